@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelode.llm.bpe import op2_bpe
+from framelode.llm.decontaminate import op9_decontaminate
+from framelode.llm.near_dedup import op10_near_dedup
+from framelode.llm.pii import op8_pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {"op2_bpe": op2_bpe, "op8_pii": op8_pii, "op9_decontaminate": op9_decontaminate, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
