@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from framelode.llm.bpe import op2_bpe
 from framelode.llm.decontaminate import op9_decontaminate
 from framelode.llm.near_dedup import op10_near_dedup
+from framelode.llm.neighbours import op3_neighbours
 from framelode.llm.pii import op8_pii
 from framelode.llm.quality import op6_quality
 from framelode.llm.sharding import op1_sharding
@@ -16,7 +17,7 @@ from framelode.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op8_pii": op8_pii, "op9_decontaminate": op9_decontaminate, "op10_near_dedup": op10_near_dedup}
+    return {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_neighbours": op3_neighbours, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op8_pii": op8_pii, "op9_decontaminate": op9_decontaminate, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
