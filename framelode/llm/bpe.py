@@ -46,6 +46,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces(text: str) -> list[str]:
+    """What stands between the vocabulary's white space."""
+    return _WHITE.findall(text) if _SEPARATORS.search(text) else text.split()
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte to letter, as byte-level vocabularies write bytes: printable ones are themselves, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -206,14 +211,11 @@ class TrieBpe:
         for piece, own in fresh:
             self.codes[piece] = known[own[0]] if len(own) == 1 else " ".join([known[w] for w in own])
 
-    def pieces(self, text: str) -> list[str]:
-        return _WHITE.findall(text) if _SEPARATORS.search(text) else text.split()
-
     def parts_of(self, text: str) -> list[str]:
         """The text's pieces between white space, special tokens apart."""
         if not any(t in text for t in self.special):
-            return self.pieces(text)
-        return [p for part in self.cut_special.split(text) for p in ([part] if part in self.special else self.pieces(part))]
+            return pieces(text)
+        return [p for part in self.cut_special.split(text) for p in ([part] if part in self.special else pieces(part))]
 
     def encode_texts(self, texts: list[str]) -> Iterator[list[str]]:
         """For each text the decimal ids of its pieces, those of a piece joined by spaces."""
