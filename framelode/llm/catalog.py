@@ -15,10 +15,11 @@ from framelode.llm.quality import op6_quality
 from framelode.llm.sharding import op1_sharding
 from framelode.llm.token_output import op4_token_output
 from framelode.llm.toxicity import op5_toxicity
+from framelode.llm.warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_neighbours": op3_neighbours, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op8_pii": op8_pii, "op9_decontaminate": op9_decontaminate, "op10_near_dedup": op10_near_dedup}
+    return {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_neighbours": op3_neighbours, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_decontaminate": op9_decontaminate, "op10_near_dedup": op10_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
