@@ -1,5 +1,60 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, then token ids."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark passages, personal data, then token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of ``documents``. ``run`` applies them in order, each result written to the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelode.llm import bpe, common, decontaminate, near_dedup, pii, toxicity
+
+#: A document goes if its score of class toxic is this or more. Above the operator's own threshold, as what is clean must stay.
+REJECT = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below ``REJECT``; the model is that of the operator, from the labels of ``sf_dir``."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model).where(F.col("score") < REJECT).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that of the smallest doc_id; five-word shingles, similarity 0.8."""
+    return near_dedup.deduplicated(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, spans of personal data replaced by their kinds, and n_chars with them."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, the ids of the whole text, their number, and what they decode to."""
+    return bpe.encoded(docs).select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("pii", redact_personal_data),
+    ("bpe", encode),
+]
+
+#: Learned scores and signatures have no SQL; tests hold the rows against a brute-force form of every stage.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

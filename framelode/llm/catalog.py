@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from framelode.llm.bpe import op2_bpe
@@ -19,7 +20,8 @@ from framelode.llm.warc import op7_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_bpe": op2_bpe, "op3_neighbours": op3_neighbours, "op4_token_output": op4_token_output, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_decontaminate": op9_decontaminate, "op10_near_dedup": op10_near_dedup}
+    every = (op1_sharding, op2_bpe, op3_neighbours, op4_token_output, op5_toxicity, op6_quality, op7_warc, op8_pii, op9_decontaminate, op10_near_dedup)
+    return {q.__name__: q for q in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

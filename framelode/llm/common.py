@@ -84,7 +84,7 @@ def in_groups(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def by_text_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def by_text_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text at most, so that a worker's arrays stay bounded
     by that or by the longest single text."""
     import numpy as np

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from framelode.llm import common, shingles
 
@@ -154,7 +155,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in common.by_text_bytes(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column("text")))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.schema.add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
