@@ -1 +1 @@
-"""Scalar column functions."""
+"""Scalar column functions: text, coercion of loosely typed values, vectors."""

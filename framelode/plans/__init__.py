@@ -1 +1,3 @@
 """Registered queries and the SQL they are held against."""
+
+from framelode.plans import retrieval  # noqa: F401
