@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -29,9 +30,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from framelode.llm import common
 
 #: Words whose codes a worker keeps, at most twice over.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Pairs of tokens whose compatibility a worker keeps.
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 200_000
 
 #: Python's str.split() also splits at these four, the vocabulary's white space does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -246,12 +247,15 @@ def _each(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple
     """Slices of the batches, with each text's ids, decimal and joined by spaces, and what they decode to."""
     bpe = TrieBpe(path or default_vocabulary())
     gc.disable()  # the caches hold no cycles, and walking them again and again costs more than all the rest
-    for batch in common.by_text_bytes(batches, most=12 << 20):
-        rows = []
-        for codes in bpe.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
-            joined = " ".join(codes)
-            rows.append((joined, bpe.decode_decimal(joined)))
-        yield batch, rows
+    try:
+        for batch in common.by_text_bytes(batches, most=2 << 20):
+            rows = []
+            for codes in bpe.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
+                joined = " ".join(codes)
+                rows.append((joined, bpe.decode_decimal(joined)))
+            yield batch, rows
+    finally:
+        gc.enable()
 
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -261,7 +265,8 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in _each(batches, vocabulary):
-            ids = pa.array([[*map(int, joined.split(" "))] if joined else [] for joined, _ in rows], pa.list_(pa.int32()))
+            each = [np.fromstring(joined, np.int32, sep=" ") for joined, _ in rows]
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.array(np.concatenate(each)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([d for _, d in rows], pa.string())], [*batch.schema.names, "token_ids", "decoded"])
 
     return docs.mapInArrow(run, schema)

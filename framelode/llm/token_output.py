@@ -40,7 +40,7 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 16384, 65536, 3
 #: A block is closed at so many bytes or documents; so many blocks make a file.
 BLOCK_BYTES, BLOCK_DOCS, FILE_BLOCKS = 1 << 20, 4096, 4
 MOST_SHARDS = 2000
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 
 _HEAD = struct.Struct("<4sBB8sIIIQ")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("ids", "<u8")])
@@ -159,10 +159,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
 
         encoder, compress = Encoder(vocabulary), zstandard.ZstdCompressor(level=LEVEL, **_zstd(dictionary)).compress
         gc.disable()  # nothing here has cycles
-        for batch in common.by_text_bytes(batches, most=4 << 20):
-            ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            counts = pa.array([len(i) // width for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), counts, pa.array(map(compress, ids), pa.binary())], ["shard", "doc_id", "n_tokens", "blob"])
+        try:
+            for batch in common.by_text_bytes(batches, most=4 << 20):
+                ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+                counts = pa.array([len(i) // width for i in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), counts, pa.array(map(compress, ids), pa.binary())], ["shard", "doc_id", "n_tokens", "blob"])
+        finally:
+            gc.enable()
 
     encoded = docs.select(shard.cast("int").alias("shard"), "doc_id", "text").mapInArrow(encode, "shard int, doc_id long, n_tokens long, blob binary")
     ordered = encoded.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "blob")
