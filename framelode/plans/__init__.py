@@ -1,3 +1,3 @@
 """Registered queries and the SQL they are held against."""
 
-from framelode.plans import retrieval, timeline  # noqa: F401
+from framelode.plans import entities, retrieval, timeline, units  # noqa: F401
