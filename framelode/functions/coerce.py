@@ -27,7 +27,7 @@ def unit_score(value: Column, default: float = 0.0) -> Column:
     percent = text.endswith("%")
     number = F.trim(F.regexp_replace(text, "%$", "")).try_cast("double")
     scaled = F.when(percent | ((number > 1) & (number <= 100)), number / 100).otherwise(number)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)), F.lit(default))
+    return F.when(scaled.isNull(), default).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
 
 
 def safe_bool(value: Column, default: bool = False) -> Column:

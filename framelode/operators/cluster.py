@@ -18,14 +18,40 @@ EPS, LEAST_POINTS, SPLIT_EPS, MOST_RADIUS = 0.42, 3, 0.30, 0.34
 CENTROID_ALONE, LINK, CENTROID_WITH_LINK, STRONG, CENTROID_WITH_STRONG = 0.86, 0.78, 0.62, 0.82, 0.50
 LEAST_DET, SIDE_YAW, SIDE_OFFSET = 0.65, 35.0, 0.35
 SLACK = 1e-9
+#: Faces of a block of the all-pairs comparison.
+BLOCK = 1024
 
 
-def near_pairs(faces: DataFrame, eps: float, group: str | None = None) -> DataFrame:
-    """(a, b), both ways and each face with itself, of faces (face_id, embedding) of one ``group`` whose cosine distance is eps or less."""
-    own = faces.select("face_id", V.unit(F.col("embedding")).alias("u"), *([group] if group else []))
-    a, b = own.withColumnsRenamed({"face_id": "a", "u": "ua"}), own.withColumnsRenamed({"face_id": "b", "u": "ub"})
-    both = a.join(b, group) if group else a.crossJoin(b)
-    return both.where(V.dot(F.col("ua"), F.col("ub")) >= 1 - eps - SLACK).select("a", "b", *([group] if group else []))
+def _block_pairs(faces: DataFrame, columns: list[str], step, schema: str) -> DataFrame:
+    """``step(i, j, rows of block i, rows of block j)`` for every pair of blocks i <= j of about ``BLOCK`` faces, each in a task of its own:
+    all pairs of faces meet, as matrices, and no task holds more than two blocks."""
+    rows = faces.select("face_id", "embedding", *columns)
+    n = max(1, -(-rows.count() // BLOCK))
+    own = F.pmod(F.xxhash64("face_id"), F.lit(n)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.struct(F.least(own, b).alias("i"), F.greatest(own, b).alias("j")))
+    dealt = rows.withColumn("own", own).withColumn("_at", F.explode(pairs)).select("*", "_at.i", "_at.j").drop("_at")
+
+    def run(key, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("face_id")
+        vectors = np.stack(block["embedding"]).astype(float)
+        size = np.linalg.norm(vectors, axis=1, keepdims=True)
+        block = block.assign(at=range(len(block)))
+        unit = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+        left, right = block[block["own"] == key[0]], block[block["own"] == key[1]]
+        return step(left, right, unit[left["at"]] @ unit[right["at"]].T, key[0] == key[1])
+
+    return dealt.groupBy("i", "j").applyInPandas(run, schema)
+
+
+def near_pairs(faces: DataFrame, eps: float) -> DataFrame:
+    """(a, b), both ways and each face with itself, of faces (face_id, embedding) whose cosine distance is eps or less."""
+
+    def step(left: pd.DataFrame, right: pd.DataFrame, similar: np.ndarray, same: bool) -> pd.DataFrame:
+        x, y = np.nonzero(similar >= 1 - eps - SLACK)
+        a, b = left["face_id"].to_numpy()[x], right["face_id"].to_numpy()[y]
+        return pd.DataFrame({"a": a, "b": b} if same else {"a": np.concatenate([a, b]), "b": np.concatenate([b, a])})
+
+    return _block_pairs(faces, [], step, "a long, b long")
 
 
 def core_points(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS) -> DataFrame:
@@ -33,9 +59,14 @@ def core_points(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS) -
     return near_pairs(faces, eps).groupBy(F.col("a").alias("face_id")).agg(F.count("*").alias("n_near")).where(F.col("n_near") >= least)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A step of a loop, in the shared folder where there is one."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def density_labels(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS) -> DataFrame:
     """face_id and label: the smallest core face that its core reaches; a border face joins the smallest label of its cores; -1 for noise."""
-    near = near_pairs(faces, eps)
+    near = _kept(near_pairs(faces, eps))
     cores = near.groupBy(F.col("a").alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("core")
     edges = near.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi")
     now = cores.withColumn("label", F.col("core"))
@@ -43,7 +74,7 @@ def density_labels(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS
     while True:  # the smallest label spreads, and labels follow their own label's label
         spread = edges.join(now, F.col("b") == F.col("core")).groupBy(F.col("a").alias("core")).agg(F.min("label").alias("label"))
         jumped = spread.join(now.select(F.col("core").alias("label"), F.col("label").alias("next")), "label").select("core", F.least("label", "next").alias("label"))
-        now = jumped.persist()
+        now = _kept(jumped)
         total = now.agg(F.sum("label")).first()[0] or 0
         if total == before:
             break
@@ -97,10 +128,22 @@ def should_merge(centroid: Column, link: Column, strong: Column) -> Column:
 
 
 def top_pair_mean(faces: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """(x, y, link, strong): for two clusters the mean of their k most similar pairs of faces, and the best one."""
-    own = faces.select(key, "face_id", V.unit(F.col("embedding")).alias("u"))
-    pairs = own.select(F.col(key).alias("x"), F.col("u").alias("ux"), F.col("face_id").alias("fx")).join(own.select(F.col(key).alias("y"), F.col("u").alias("uy"), F.col("face_id").alias("fy")), F.col("x") < F.col("y"))
-    ranked = pairs.withColumn("s", V.dot(F.col("ux"), F.col("uy"))).withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("s"), "fx", "fy"))).where(F.col("n") <= k)
+    """(x, y, link, strong): for two clusters the mean of their k most similar pairs of faces, and the best one. Each pair of blocks reports
+    the k best of each two clusters."""
+
+    def step(left: pd.DataFrame, right: pd.DataFrame, similar: np.ndarray, same: bool) -> pd.DataFrame:
+        out = []
+        places = {c: rows for c, rows in left.reset_index(drop=True).groupby(key).groups.items()}, {c: rows for c, rows in right.reset_index(drop=True).groupby(key).groups.items()}
+        for x, own in places[0].items():
+            for y, other in places[1].items():
+                if x == y or (same and x > y):
+                    continue
+                s = similar[np.ix_(own, other)].ravel()
+                out += [(min(x, y), max(x, y), v) for v in np.sort(s)[::-1][:k]]
+        return pd.DataFrame(out, columns=["x", "y", "s"])
+
+    best = _block_pairs(faces, [key], step, "x long, y long, s double")
+    ranked = best.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("s")))).where(F.col("n") <= k)
     return ranked.groupBy("x", "y").agg(F.avg("s").alias("link"), F.max("s").alias("strong"))
 
 

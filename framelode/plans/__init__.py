@@ -1,3 +1,3 @@
 """Registered queries and the SQL they are held against."""
 
-from framelode.plans import cuts, entities, faces, retrieval, timeline, units  # noqa: F401
+from framelode.plans import coercion, cuts, entities, faces, retrieval, timeline, units  # noqa: F401
