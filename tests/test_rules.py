@@ -1,0 +1,116 @@
+"""Cases worked out by hand for the rules that the SQL checks don't reach."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from framelode.functions import coerce, text
+from framelode.operators import cluster, fusion, plan, search, temporal
+
+
+def value(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_keywords_and_pairs(spark):
+    assert value(spark, text.keywords(F.lit("Hello, world a 你不要走 Hi"))) == ["hello", "hi", "world", "不要", "你不", "你不要走", "要走"]
+    assert value(spark, text.keywords(F.lit("走。"))) == ["走。"]
+    assert value(spark, text.tokens(F.lit("Ab　c  D"))) == ["ab", "c", "d"]
+
+
+@pytest.mark.parametrize("raw,share", [("90%", 0.9), ("35", 0.35), ("1.5", 0.015), ("1", 1), ("0.5%", 0.005), ("150", 1), ("-3", 0), ("abc", 0), (None, 0)])
+def test_shares(spark, raw, share):
+    assert value(spark, coerce.unit_score(F.lit(raw).cast("string"))) == pytest.approx(share)
+
+
+def test_greedy_groups():
+    assert temporal.greedy_groups([60, 50, 60, 100, 60, 20], 150, 30) == [0, 0, 0, 1, 1, 1]
+    assert temporal.greedy_groups([60, 50, 60, 100, 60, 30], 150, 30) == [0, 0, 0, 1, 1, 2]
+    assert temporal.greedy_groups([10], 150, 30) == [0]
+
+
+def test_chunks_that_take_in_a_rest(spark):
+    rows, at = [], 0
+    for i, d in enumerate([6000, 5000, 6000, 10000, 6000, 2000]):
+        rows.append((1, i, at, at + d, d))
+        at += d
+    out = temporal.chunks(spark.createDataFrame(rows, "video_id long, scene_index int, start_cs long, end_cs long, dur_cs long")).orderBy("chunk_index").collect()
+    assert [(r.n_shots, r.duration_cs) for r in out] == [(3, 17000), (3, 18000)]
+
+
+def test_chapters():
+    assert temporal.split_points([100, 350, 500, 700], 2000, 300, 600) == [0, 350, 700, 2000]
+    assert temporal.split_points([], 2000, 300, 600) == [0, 600, 1200, 2000]
+
+
+@pytest.mark.parametrize("seconds,n", [(1.9, 1), (2, 2), (4.99, 2), (5, 3), (15, 3), (20, 4), (60, 6)])
+def test_key_frames(spark, seconds, n):
+    assert len(value(spark, temporal.sample_grid(F.lit(0), F.lit(int(seconds * 100))))) == n
+
+
+def test_key_frames_are_in_the_middle(spark):
+    assert value(spark, temporal.sample_grid(F.lit(0), F.lit(1000))) == pytest.approx([100, 500, 900])
+
+
+def test_segments_take_the_shot_of_their_middle(spark):
+    shots = spark.createDataFrame([(1, 0, 0, 1000), (1, 1, 1000, 2000)], "video_id long, scene_index int, start_cs long, end_cs long")
+    segments = spark.createDataFrame([(1, 1, 800, 1300), (1, 2, 900, 1100), (1, 3, 2500, 2700)], "video_id long, segment_id long, start_cs long, end_cs long")
+    assert {(r.segment_id, r.scene_index, r.cross_shot) for r in temporal.assigned(segments, shots).collect()} == {(1, 1, True), (2, 1, True), (3, 1, True)}
+
+
+def test_touching_intervals_do_not_overlap(spark):
+    a = spark.createDataFrame([(1, 10, 20)], "v long, l_start long, l_end long")
+    b = spark.createDataFrame([(1, 0, 10), (1, 10, 20), (1, 20, 30)], "v long, r_start long, r_end long")
+    for width in (1, 7, 100):
+        assert [(r.r_start, r.r_end) for r in temporal.overlapping(a, b, "v", width).collect()] == [(10, 20)]
+
+
+def test_merging_of_hits(spark):
+    rows = [(1, 1, 0.7, "embedding", "", "", "", ["embedding"], ["e"], (0, 1, 0)), (1, 1, 0.7, "keyword_transcript", "t", "t", "", ["transcript"], ["t"], (1, 1, 0)), (1, 1, 0.8, "keyword_vision", "v", "", "v", ["vision"], ["v"], (2, 1, 0))]
+    kind = "query_id long, scene_index long, score double, match_type string, snippet string, transcript string, vision string, modalities array<string>, refs array<string>, ord struct<layer: int, scene: long, pos: long>"
+    whole = search.deduplicated(spark.createDataFrame(rows, kind)).first()
+    assert (whole.score, whole.match_type, whole.modalities, whole.transcript, whole.vision) == (0.8, "keyword_vision", ["embedding", "transcript", "vision"], "t", "v")
+    two = search.deduplicated(spark.createDataFrame(rows[:2], kind)).first()
+    assert (two.score, two.match_type, two.snippet) == (0.7, "embedding", "")
+
+
+def test_merge_predicate(spark):
+    rows = spark.createDataFrame([(0.87, 0.0, 0.0), (0.65, 0.78, 0.1), (0.61, 0.80, 0.81), (0.55, 0.7, 0.82), (0.49, 0.99, 0.99)], "c double, l double, s double")
+    assert [r[0] for r in rows.select(cluster.should_merge(F.col("c"), F.col("l"), F.col("s"))).collect()] == [True, True, False, True, False]
+
+
+def test_density_clusters_of_three_bundles(spark):
+    rng = np.random.default_rng(5)
+    axes = np.eye(8)[:3] * 5
+    vectors = [axes[i % 3] + rng.normal(scale=0.2, size=8) for i in range(30)] + [-np.ones(8)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "face_id long, embedding array<double>")
+    labels = {r.face_id: r.label for r in cluster.density_labels(rows).collect()}
+    assert labels == {i: i % 3 for i in range(30)} | {30: -1}
+    assert cluster.dbscan(np.array(vectors), 0.42, 3).tolist() == [i % 3 for i in range(30)] + [-1]
+
+
+def test_clusters_that_share_a_key_frame_stay_apart(spark):
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4)], "video_id long, x long, y long")
+    frames = spark.createDataFrame([(1, 1, [10]), (1, 2, [20]), (1, 3, [10]), (1, 4, [30])], "video_id long, cluster long, keyframes array<long>")
+    assert {(r.cluster, r.merged) for r in cluster.merged(pairs, frames).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+
+
+def test_alignment_confidence(spark):
+    two = fusion.alignment_confidence(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("a"), F.lit("b")), F.lit(True), F.lit(True), F.lit(1))
+    one = fusion.alignment_confidence(F.array(F.lit("a")), F.array(F.lit("a")), F.lit(False), F.lit(True), F.lit(1))
+    assert value(spark, two) == pytest.approx(1.0) and value(spark, one) == pytest.approx(0.85)
+
+
+def test_units_without_text_keep_the_bar(spark):
+    empty = F.array().cast("array<string>")
+    assert value(spark, fusion.combined_text(empty, F.lit(""), empty, F.lit("calm"))) == " | music:calm"
+
+
+def test_running_timeline_and_verdicts(spark):
+    clips = spark.createDataFrame([(1, 0, 10.0, 1.0), (1, 1, 9.0, 1.5), (1, 2, 5.0, 0.5)], "plan_id long, clip_index int, d double, s double")
+    out = plan.placed(clips, F.col("d"), F.col("s")).orderBy("clip_index").collect()
+    assert [(r.timeline_start, r.timeline_end) for r in out] == [(0, 10), (10, 16), (16, 26)]
+    issues = spark.createDataFrame([(2, "x", 0)] * 2 + [(3, "x", 0)] * 3 + [(4, "too_few_clips", 0)], "plan_id long, rule string, clip_index int")
+    plans = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "plan_id long")
+    assert {(r.plan_id, r.approved, round(r.score, 2)) for r in plan.verdicts(plans, issues).collect()} == {(1, True, 1.0), (2, True, 0.7), (3, False, 0.55), (4, False, 0.2)}
+    assert plan.tempo_stages(5) == [2.0, 2.0, 1.25] and plan.tempo_stages(0.2) == [0.5, 0.5, 0.8]
