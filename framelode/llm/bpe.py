@@ -61,6 +61,20 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class Splitter:
+    """Pieces to words in the vocabulary's byte letters. Pieces of printable ASCII and Latin-1 letters, which are in normal
+    form, are split here, and all others by the vocabulary's own rules. Special tokens are not looked for."""
+
+    def __init__(self, library):
+        self.normalize, self.words_of = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+
+    def __call__(self, piece: str) -> list[str]:
+        if not _LATIN(piece):
+            return [w for w, _ in self.words_of(self.normalize(piece))]
+        words = _LATIN_WORDS(piece.lower())
+        return words if piece.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
+
+
 class TrieBpe:
     """Encoder and decoder of one vocabulary file of the kind "BPE with word ends"."""
 
@@ -79,8 +93,7 @@ class TrieBpe:
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("special tokens that strip or are normalised are not supported")
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        library = Tokenizer.from_file(path)
-        self.normalize, self.words_of = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.split_words = Splitter(Tokenizer.from_file(path))
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         #: By pair of tokens: the rank of the rule that joins them. By token: the rank that makes it, and from what; -1 for a single symbol.
         self.joins = {self.vocab[a] << 32 | self.vocab[b]: n for (a, b), n in self.ranks.items()}
@@ -188,14 +201,6 @@ class TrieBpe:
             before = word
         return out
 
-    def split_words(self, piece: str) -> list[str]:
-        """A piece's words in the vocabulary's byte letters. Pieces of printable ASCII and Latin-1 letters, which are
-        in normal form, are split here, and all others by the vocabulary's own rules."""
-        if not _LATIN(piece):
-            return [w for w, _ in self.words_of(self.normalize(piece))]
-        words = _LATIN_WORDS(piece.lower())
-        return words if piece.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
-
     def learn(self, pieces: set[str]) -> None:
         """Put the codes of these pieces without white space into the cache; what was there before may go."""
         if len(self.codes) > CACHE_WORDS:

@@ -11,8 +11,8 @@ ascending doc_id, null first. The dictionary is a file beside them and is known
 of its SHA-256). It is trained on the serialised ids of ``SAMPLE_DOCS`` documents at most, of up to ``SAMPLE_BYTES`` of
 text each, those with the smallest hashes of their ids; with too few to train on there is none, and its hash is of nothing.
 
-Ids come from the tokenizers library, once for each distinct piece between white space, kept in a bounded cache: the
-vocabulary's rules never reach across white space. Files are written by Spark's own writer, with its commit protocol,
+Ids come from the tokenizers library's own model, once for each distinct word, those of a piece between white space kept in a
+bounded cache: the vocabulary's rules never reach across white space. Files are written by Spark's own writer, with its commit protocol,
 and read by its own reader, so any file system that Spark knows will do, and a lost executor costs only its own tasks.
 
 Defined cases: null text is empty and has only the end id; repeated rows are documents of their own, side by side;
@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelode.llm import common
-from framelode.llm.bpe import default_vocabulary, pieces
+from framelode.llm.bpe import Splitter, default_vocabulary, pieces
 
 END_ID = 2
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 16384, 65536, 3
 #: A block is closed at so many bytes or documents; so many blocks make a file.
 BLOCK_BYTES, BLOCK_DOCS, FILE_BLOCKS = 1 << 20, 4096, 4
 MOST_SHARDS = 2000
-CACHE_PIECES = 250_000
+CACHE_PIECES = 200_000
 
 _HEAD = struct.Struct("<4sBB8sIIIQ")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("ids", "<u8")])
@@ -53,39 +53,67 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.split, self.tokenize = Splitter(self.library), self.library.model.tokenize
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() < 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
+        self.pack = {n: struct.Struct(f"<{n}{'H' if self.kind.itemsize == 2 else 'I'}").pack for n in range(64)}
+        self.end = self.packed([end_id])
         self.codes: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return self.pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, self.kind).tobytes()
+
+    def encode_pieces(self, new: set[str]) -> Iterator[tuple[str, bytes]]:
+        """(piece, ids) of each; a distinct word of them goes to the library's model once."""
+        known: dict[str, bytes] = {}
+        tokenize, packed, split, get, older = self.tokenize, self.packed, self.split, known.get, self.older.get
+        for piece in new:
+            if (code := older(piece)) is None:
+                plain = piece.isascii() and piece.isalpha()  # such a piece is one word
+                code = b""
+                for word in (piece.lower(),) if plain else split(piece):
+                    if (own := get(word)) is None:
+                        own = known[word] = packed([t.id for t in tokenize(word)])
+                    code += own
+            yield piece, code
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.codes) > CACHE_PIECES:
-            self.codes = {}
+            self.older, self.codes = self.codes, {}
         parts = [pieces(t) for t in texts]
-        new = list(set().union(*parts).difference(self.codes))
-        for at in range(0, len(new), 4096):
-            own = new[at : at + 4096]
-            for piece, found in zip(own, self.library.encode_batch_fast(own, add_special_tokens=False), strict=True):
-                self.codes[piece] = np.array(found.ids, self.kind).tobytes()
-        return [b"".join([*map(self.codes.__getitem__, p), self.end]) for p in parts]
+        new = set().union(*parts).difference(self.codes)
+        if odd := {p for s in self.special for t in texts if s in t for p in pieces(t) if s in p}:
+            self.codes.update((p, self.packed(self.library.encode(p, add_special_tokens=False).ids)) for p in odd)
+        self.codes.update(self.encode_pieces(new - odd))
+        code = self.codes.__getitem__
+        return [b"".join([*map(code, p), self.end]) for p in parts]
 
 
 def _dictionary(docs: DataFrame, path: str) -> bytes:
     """Trained on a bounded sample; empty if the sample is too small for that."""
     import zstandard
 
-    chosen = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), "text")
-    rows = chosen.orderBy("h", "text").limit(SAMPLE_DOCS).collect()
-    samples = Encoder(path).encode([r.text for r in rows])
+    size = F.octet_length("text") <= SAMPLE_BYTES
+    # ids first, so that few texts travel
+    ids = docs.where(size & F.col("doc_id").isNotNull()).select("doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id").distinct()
+    rows = docs.where(size).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    samples = Encoder(path).encode([r.text for r in sorted(rows, key=lambda r: r.doc_id)])
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
 
-def _zstd(dictionary: bytes) -> dict:
+def _zstd(dictionary: bytes, compress: bool = False) -> dict:
     import zstandard
 
-    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    if not dictionary:
+        return {}
+    data = zstandard.ZstdCompressionDict(dictionary)
+    if compress:
+        data.precompute_compress(level=LEVEL)  # once, not for every document
+    return {"dict_data": data}
 
 
 def _mark(dictionary: bytes) -> bytes:
@@ -157,10 +185,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, compress = Encoder(vocabulary), zstandard.ZstdCompressor(level=LEVEL, **_zstd(dictionary)).compress
+        encoder, compress = Encoder(vocabulary), zstandard.ZstdCompressor(level=LEVEL, **_zstd(dictionary, compress=True)).compress
         gc.disable()  # nothing here has cycles
         try:
-            for batch in common.by_text_bytes(batches, most=4 << 20):
+            for batch in common.by_text_bytes(batches, most=2 << 20):
                 ids = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
                 counts = pa.array([len(i) // width for i in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), counts, pa.array(map(compress, ids), pa.binary())], ["shard", "doc_id", "n_tokens", "blob"])
