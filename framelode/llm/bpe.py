@@ -265,7 +265,7 @@ def _each(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with ``token_ids`` array<int> and ``decoded`` string. ``vocabulary``: the file's path on every executor."""
-    docs = common.clear_of(docs, "token_ids", "decoded")
+    docs = common.clear_of(common.light(docs), "token_ids", "decoded")
     schema = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +292,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.light(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -102,8 +102,19 @@ def by_text_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most:
             at = to
 
 
-def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+#: Rows, and bytes where this Spark counts them, of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def light(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose batches for Python workers hold a bounded amount of text: the session's own limits, which count
+    rows that may each be long, are lowered to ``BATCH_ROWS`` and ``BATCH_BYTES`` if they are higher."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, "-1")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
 
 
 def clear_of(df: DataFrame, *names: str) -> DataFrame:

@@ -164,13 +164,13 @@ def _indexes(items: DataFrame) -> Iterator[Broadcast]:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, item_ids, n_shared, n_item: one row for each document and each distinct item (by text; item_id is the
     smallest of those in item_ids) of whose shingles the document holds 80 of 100 or more."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = common.light(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return reduce(DataFrame.union, [docs.mapInArrow(lambda batches, index=index: _leaks(batches, index.value), _SCHEMA) for index in _indexes(items)])
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that hold an item, each row judged by its own text."""
-    return reduce(lambda left, index: left.mapInArrow(lambda batches: _clean(batches, index.value), docs.schema), _indexes(items), docs)
+    return reduce(lambda left, index: left.mapInArrow(lambda batches: _clean(batches, index.value), docs.schema), _indexes(items), common.light(docs))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,7 +210,7 @@ def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, for each row of ``docs`` (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = common.light(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = common.written(rows.mapInArrow(lambda b: _sketches(b, shingle_words), _SKETCH), "sketches")
 
     # one member for each distinct set; the member is its smallest doc_id

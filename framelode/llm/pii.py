@@ -136,7 +136,7 @@ def found(docs: DataFrame) -> DataFrame:
             rows = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, _SPAN)], ["doc_id", "pii"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pii array<struct<kind: string, start: int, end: int, score: double>>")
+    return common.light(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, pii array<struct<kind: string, start: int, end: int, score: double>>")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             text = pa.array([redact(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], text, *batch.columns[at + 1 :]], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.light(docs).mapInArrow(run, docs.schema)
 
 
 def _listed(wanted: Column) -> Column:

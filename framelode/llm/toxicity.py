@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, of class 1."""
-    docs = common.clear_of(docs, "score")
+    docs = common.clear_of(common.light(docs), "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

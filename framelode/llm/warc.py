@@ -180,7 +180,7 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as WARC files, by way of ARC records."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    pages = common.light(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     again = common.small(common.written(revisits(pages), "revisits"))
     keyed = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     told = keyed.join(again.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("page_id") == F.col("_page")), "left")
