@@ -111,7 +111,7 @@ def light(df: DataFrame) -> DataFrame:
     rows that may each be long, are lowered to ``BATCH_ROWS`` and ``BATCH_BYTES`` if they are higher."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = conf.get(key, "-1")
+        now = (conf.get(key) or "").removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
     return df
