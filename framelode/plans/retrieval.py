@@ -66,7 +66,7 @@ def text_index_keywords(spark, sf_dir):
     "text_index_score",
     A.sql(
         "transcripts search_queries",
-        f"""SELECT query_id, scene_index, pos, m AS matches, round(least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE, 6) AS score FROM (
+        f"""SELECT query_id, scene_index, pos, m AS matches, round(least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE, 9) AS score FROM (
         SELECT query_id, scene_index, pos, terms, len(list_intersect(terms, k)) + {_HITS.format('lower(text)')} AS m
         FROM (SELECT *, {_KEYWORDS.format('text')} AS k FROM transcripts),
         (SELECT query_id, list_distinct(list_concat({_TERMS.format('query')}, {_GRAMS.format(_PARTS.format('lower(query)'))})) AS terms FROM search_queries)) WHERE m > 0""",
@@ -74,7 +74,7 @@ def text_index_keywords(spark, sf_dir):
 )
 def text_index_score(spark, sf_dir):
     rows = A.transcripts(spark, sf_dir).select(F.struct("scene_index", "pos").alias("scene_index"), F.col("text").alias("combined_text"), T.keywords(F.col("text")).alias("keywords"))
-    return S.index_hits(rows, A.search_queries(spark, sf_dir)).select("query_id", "scene_index.scene_index", "scene_index.pos", "matches", F.round("score", 6).alias("score"))
+    return S.index_hits(rows, A.search_queries(spark, sf_dir)).select("query_id", "scene_index.scene_index", "scene_index.pos", "matches", F.round("score", 9).alias("score"))
 
 
 def _merged(spark, sf_dir):
