@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: The folder that stands in where the session names none.
+_OWN: dict[str, str] = {}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -24,10 +28,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, which
     is only so on one machine, a temporary folder, removed at exit."""
-    if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = "file://" + tempfile.mkdtemp(prefix="framelode-")
+    if not (found := spark.conf.get("spark.checkpoint.dir", None) or _OWN.get("dir")):
+        found = _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="framelode-")
         atexit.register(shutil.rmtree, found.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
