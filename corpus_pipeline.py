@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from framelode.llm import bpe, common, decontaminate, near_dedup, pii, toxicity
 
-#: A document goes if its score of class toxic is this or more. Above the operator's own threshold, as what is clean must stay.
-REJECT = 0.5
+#: A document goes if its score of class toxic is this or more: those that the operator calls toxic, no others.
+REJECT = toxicity.THRESHOLD
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

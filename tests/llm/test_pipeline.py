@@ -43,3 +43,15 @@ def test_rows_are_those_of_each_stage_done_plainly(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_what_the_operator_calls_toxic_is_dropped(spark, tmp_path, monkeypatch):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "mild", "en", "s", 4), (2, "between", "en", "s", 7), (3, "worst", "en", "s", 5)], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = {"mild": 0.29, "between": 0.4, "worst": 0.9}
+    monkeypatch.setattr(toxicity, "train", lambda *_: None)
+    monkeypatch.setattr(toxicity, "scored", lambda docs, _: docs.join(spark.createDataFrame(list(score.items()), "text string, score double"), "text"))
+    called = {r["doc_id"] for r in toxicity.op5_toxicity(spark, str(tmp_path)).collect() if r["predicted"]}
+    left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert called == {2, 3} and left == {1}
