@@ -18,13 +18,15 @@ _SIDES = [
     "a AS (SELECT scene_index, arg_max(music, pos) AS music, arg_max(sfx, pos) AS has_sfx, arg_max(silence, pos) AS silence FROM (SELECT c_custkey % 1200 AS scene_index, c_custkey AS pos, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE '' END AS music, c_custkey % 4 = 0 AS sfx, (c_custkey * 13 % 100) / 100.0::DOUBLE AS silence FROM customer) GROUP BY scene_index)",
     "units AS (SELECT o.o_orderkey AS scene_index, o.o_custkey AS video_id, coalesce(lines, []) AS lines, description, action, coalesce(characters, []) AS characters, coalesce(event_ids, []) AS event_ids, music, has_sfx, silence FROM orders o LEFT JOIN t ON t.scene_index = o_orderkey LEFT JOIN v ON v.scene_index = o_orderkey LEFT JOIN c ON c.scene_index = o_orderkey LEFT JOIN e ON e.scene_index = o_orderkey LEFT JOIN a ON a.scene_index = o_orderkey)",
 ]
+#: The same sides with the whole text of each turn.
+_WHOLE = [_SIDES[0].replace("left(text, 20)", "text"), *_SIDES[1:]]
 
 
-def units(spark, sf_dir):
+def units(spark, sf_dir, whole=False):
     read = lambda name: A.table(spark, sf_dir, name)
     col = F.col
     shots = read("orders").select(col("o_orderkey").alias("scene_index"), col("o_custkey").alias("video_id"))
-    lines = read("conversations").select(col("conv_id").alias("scene_index"), col("turn").alias("pos"), F.substring("text", 1, 20).alias("text"))
+    lines = read("conversations").select(col("conv_id").alias("scene_index"), col("turn").alias("pos"), (F.col("text") if whole else F.substring("text", 1, 20)).alias("text"))
     vision = read("part").select((col("p_partkey") % 700).alias("scene_index"), col("p_partkey").alias("pos"), col("p_type").alias("description"), F.when(col("p_size") > 25, col("p_brand")).otherwise("").alias("action"))
     who = read("lineitem").where("l_linenumber < 3").select(col("l_orderkey").alias("scene_index"), F.concat(F.lit("char_"), "l_suppkey").alias("character"))
     events = read("events").select((col("event_id") % 1000).alias("scene_index"), "event_id")
@@ -33,22 +35,39 @@ def units(spark, sf_dir):
     return U.fused(shots, lines, vision, who, events, audio)
 
 
-@query("memory_unit_fusion", A.sql(_SIDES, "SELECT scene_index, video_id, array_to_string(lines, '/') AS lines, description, action, array_to_string(characters, ',') AS characters, array_to_string(event_ids, ',') AS event_ids, music, has_sfx, silence FROM units"))
-def memory_unit_fusion(spark, sf_dir):
-    out = units(spark, sf_dir)
+_FUSION = "SELECT scene_index, video_id, array_to_string(lines, '/') AS lines, description, action, array_to_string(characters, ',') AS characters, array_to_string(event_ids, ',') AS event_ids, music, has_sfx, silence FROM units"
+
+
+def _fusion(out):
     return out.select("scene_index", "video_id", F.array_join("lines", "/").alias("lines"), "description", "action", F.array_join("characters", ",").alias("characters"), F.array_join(F.col("event_ids").cast("array<string>"), ",").alias("event_ids"), "music", "has_sfx", "silence")
 
 
-@query(
-    "combined_text",
-    A.sql(
-        _SIDES,
-        """SELECT scene_index, concat_ws(' | ', CASE WHEN len(lines) > 0 THEN 'said: ' || array_to_string(lines, ' ') END, CASE WHEN description <> '' THEN 'seen: ' || description END, CASE WHEN len(characters) > 0 THEN 'who: ' || array_to_string(characters, ',') END)
-        || CASE WHEN music <> '' THEN ' | music:' || music ELSE '' END AS combined_text FROM units""",
-    ),
-)
+@query("memory_unit_fusion", A.sql(_SIDES, _FUSION))
+def memory_unit_fusion(spark, sf_dir):
+    return _fusion(units(spark, sf_dir))
+
+
+@query("memory_unit_fusion_whole", A.sql(_WHOLE, _FUSION))
+def memory_unit_fusion_whole(spark, sf_dir):
+    return _fusion(units(spark, sf_dir, whole=True))
+
+
+_COMBINED = """SELECT scene_index, concat_ws(' | ', CASE WHEN len(lines) > 0 THEN 'said: ' || array_to_string(lines, ' ') END, CASE WHEN description <> '' THEN 'seen: ' || description END, CASE WHEN len(characters) > 0 THEN 'who: ' || array_to_string(characters, ',') END)
+        || CASE WHEN music <> '' THEN ' | music:' || music ELSE '' END AS combined_text FROM units"""
+
+
+def _combined(out):
+    return out.select("scene_index", U.combined_text(F.col("lines"), F.col("description"), F.col("characters"), F.col("music")).alias("combined_text"))
+
+
+@query("combined_text", A.sql(_SIDES, _COMBINED))
 def combined_text(spark, sf_dir):
-    return units(spark, sf_dir).select("scene_index", U.combined_text(F.col("lines"), F.col("description"), F.col("characters"), F.col("music")).alias("combined_text"))
+    return _combined(units(spark, sf_dir))
+
+
+@query("combined_text_whole", A.sql(_WHOLE, _COMBINED))
+def combined_text_whole(spark, sf_dir):
+    return _combined(units(spark, sf_dir, whole=True))
 
 
 @query(

@@ -1,0 +1,20 @@
+"""Queries that work on whole texts and all rows, against what the tables themselves hold."""
+
+from framelode.plans import registry
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def run(spark, name, sf_dir=SMALL):
+    return registry.queries()[name](spark, sf_dir)
+
+
+def test_units_hold_the_whole_text_of_each_turn(spark):
+    said = {}
+    for r in spark.read.parquet(f"{SMALL}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        said.setdefault(r["conv_id"], []).append(r["text"])
+    assert any(len(t) > 20 for lines in said.values() for t in lines)
+    fused = {r["scene_index"]: r["lines"] for r in run(spark, "memory_unit_fusion_whole").collect()}
+    text = {r["scene_index"]: r["combined_text"] for r in run(spark, "combined_text_whole").collect()}
+    both = fused.keys() & said.keys()
+    assert both and all(fused[k] == "/".join(said[k]) and text[k].startswith("said: " + " ".join(said[k])) for k in both)
