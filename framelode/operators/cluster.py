@@ -230,14 +230,15 @@ def spread_fill(faces: DataFrame, key: str, wanted: int = 5) -> DataFrame:
 
 
 def first_like(descriptions: DataFrame, key: str, least: float = 0.5) -> DataFrame:
-    """(key, id, leader): each description joins the first earlier leader whose words it shares by more than half, or leads."""
+    """(key, id, leader): each description joins the first earlier leader whose words it shares by more than half, or leads.
+    Leaders that are too small or too large to share that much are passed over without a look at their words."""
 
     def step(rows: pd.DataFrame) -> pd.DataFrame:
         leaders: list[tuple[int, set]] = []
         out = []
         for i, words in rows.sort_values("id")[["id", "words"]].itertuples(index=False):
             own = set(words)
-            found = next((n for n, w in leaders if len(own & w) / max(len(own | w), 1) > least), None)
+            found = next((n for n, w in leaders if min(len(own), len(w)) > least * max(len(own), len(w)) and (both := len(own & w)) / max(len(own) + len(w) - both, 1) > least), None)
             if found is None:
                 found = i
                 leaders.append((i, own))

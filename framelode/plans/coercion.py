@@ -52,6 +52,12 @@ def placeholder_filter(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", first.alias("first")).withColumn("placeholder", T.is_placeholder(F.col("first")))
 
 
+@query("placeholder_filter_whole", "SELECT doc_id, text AS first, trim(coalesce(nullif(trim(text), ''), '')) = '' OR lower(trim(trim(text), ' \t\r\n。.!！,，;；:：')) IN (" + _PLACEHOLDERS + ") AS placeholder FROM documents")
+def placeholder_filter_whole(spark, sf_dir):
+    """Every document by its whole text."""
+    return A.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("first")).withColumn("placeholder", T.is_placeholder(F.col("first")))
+
+
 @query(
     "video_slugs",
     "SELECT page_id, coalesce(nullif(left(lower(trim(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9\\x{4e00}-\\x{9fff}]', '_', 'g'), '_+', '_', 'g'), '_')), 30), ''), 'video') AS slug, left(md5(url || ':' || page_id), 8) AS hash FROM pages",

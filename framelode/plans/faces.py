@@ -131,5 +131,5 @@ def representatives_spread(spark, sf_dir):
 def descriptions_clustered(spark, sf_dir):
     from framelode.functions import text as T
 
-    rows = A.scenes(spark, sf_dir).select("scene_type", F.col("scene_index").alias("id"), F.array_distinct(T.tokens(F.substring("description", 1, 200))).alias("words"))
+    rows = A.scenes(spark, sf_dir).select("scene_type", F.col("scene_index").alias("id"), F.array_distinct(T.tokens(F.col("description"))).alias("words"))
     return C.first_like(rows, "scene_type")

@@ -1,5 +1,8 @@
 """Queries that work on whole texts and all rows, against what the tables themselves hold."""
 
+import pytest
+
+from framelode.operators import cluster
 from framelode.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -18,3 +21,50 @@ def test_units_hold_the_whole_text_of_each_turn(spark):
     text = {r["scene_index"]: r["combined_text"] for r in run(spark, "combined_text_whole").collect()}
     both = fused.keys() & said.keys()
     assert both and all(fused[k] == "/".join(said[k]) and text[k].startswith("said: " + " ".join(said[k])) for k in both)
+
+
+def scenes(spark, tmp_path, texts):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def leaders(texts):
+    """The first earlier leader whose words are shared by more than half."""
+    found = {}
+    for i, text in enumerate(texts):
+        words = set(text.lower().split())
+        for n in sorted(set(found.values())):
+            other = set(texts[n].lower().split())
+            if words | other and len(words & other) / len(words | other) > 0.5:
+                found[i] = n
+                break
+        else:
+            found[i] = i
+    return found
+
+
+def test_descriptions_are_compared_beyond_their_first_200_characters(spark, tmp_path):
+    start = " ".join(f"same{n}" for n in range(40))
+    tail = lambda kind, n: " ".join(f"{kind}{i}" for i in range(n))
+    texts = [f"{start} {tail('a', 80)}", f"{start} {tail('b', 80)}", f"{start} {tail('a', 60)}", start, "", "", f"{start} {tail('b', 79)}"]
+    assert len(start) > 200
+    expected = leaders(texts)
+    assert expected[1] == 1 and expected[2] == 0 and expected[6] == 1
+    assert {r["id"]: r["leader"] for r in run(spark, "descriptions_clustered", scenes(spark, tmp_path, texts)).collect()} == expected
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_first_like_is_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    rows = spark.createDataFrame([("s", i, sorted(set(t.split()))) for i, t in enumerate(texts)], "k string, id long, words array<string>")
+    assert {r["id"]: r["leader"] for r in cluster.first_like(rows, "k").collect()} == leaders(texts)
+
+
+def test_placeholders_are_told_by_the_whole_text_of_every_document(spark, tmp_path):
+    texts = ["a real text", "none", " N/A. ", "real", "words", "None!       and more", "", "无变化。", "last"]
+    out = {r["doc_id"]: r["placeholder"] for r in run(spark, "placeholder_filter_whole", scenes(spark, tmp_path, texts)).collect()}
+    assert out == {i: i in (1, 2, 6, 7) for i in range(len(texts))}
