@@ -22,6 +22,16 @@ def cooccurring(appearances: DataFrame, least: int = 1) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.min("shot").alias("first_shared")).where(F.col("n_shared") >= least)
 
 
+def overlaps(appearances: DataFrame) -> DataFrame:
+    """Of every pair a < b of characters: shots of both, of either, their Jaccard value, and shots of a alone. Shots are joined as in
+    ``cooccurring``; pairs without a common shot come from the characters and their numbers of shots alone."""
+    size = appearances.select("character", "shot").distinct().groupBy("character").agg(F.count("*").alias("n"))
+    pairs = size.select(F.col("character").alias("a"), F.col("n").alias("n_a")).join(size.select(F.col("character").alias("b"), F.col("n").alias("n_b")), F.col("a") < F.col("b"))
+    pairs = pairs.join(cooccurring(appearances).select("a", "b", "n_shared"), ["a", "b"], "left").withColumn("both", F.coalesce("n_shared", F.lit(0)))
+    pairs = pairs.withColumn("either", F.col("n_a") + F.col("n_b") - F.col("both"))
+    return pairs.select("a", "b", "both", "either", F.round(F.col("both") / F.greatest("either", F.lit(1)), 6).alias("jaccard"), (F.col("n_a") - F.col("both")).alias("only_a"))
+
+
 def speaker_counts(speech: DataFrame, appearances: DataFrame, top: int = 5) -> DataFrame:
     """The ``top`` characters that are in most scenes in which each speaker speaks, ties by character."""
     pairs = speech.select("speaker", "scene_index").distinct().join(appearances.select("character", F.col("shot").alias("scene_index")).distinct(), "scene_index")

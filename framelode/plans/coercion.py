@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framelode.functions import chunks as K
 from framelode.functions import coerce as V
 from framelode.functions import text as T
-from framelode.operators import joins
+from framelode.operators import entity, joins
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
 
@@ -158,3 +158,12 @@ def set_rules(spark, sf_dir):
     own = A.appearances(spark, sf_dir).where("character < 6").groupBy("character").agg(F.collect_list("shot").alias("s"))
     pairs = own.select(F.col("character").alias("a"), F.col("s").alias("x")).join(own.select(F.col("character").alias("b"), F.col("s").alias("y")), F.col("a") < F.col("b"))
     return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("either"), F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.size(F.array_except("x", "y")).alias("only_a"))
+
+
+@query(
+    "set_rules_whole",
+    A.sql("appearances", "SELECT x.c AS a, y.c AS b, coalesce(n, 0) AS \"both\", x.s + y.s - coalesce(n, 0) AS either, round(coalesce(n, 0) / (x.s + y.s - coalesce(n, 0)), 6) AS jaccard, x.s - coalesce(n, 0) AS only_a FROM (SELECT character AS c, count(*) AS s FROM appearances GROUP BY 1) x JOIN (SELECT character AS c, count(*) AS s FROM appearances GROUP BY 1) y ON x.c < y.c LEFT JOIN (SELECT p.character AS a, q.character AS b, count(*) AS n FROM appearances p JOIN appearances q USING (shot) WHERE p.character < q.character GROUP BY ALL) ON a = x.c AND b = y.c"),
+)
+def set_rules_whole(spark, sf_dir):
+    """Every pair of characters."""
+    return entity.overlaps(A.appearances(spark, sf_dir))

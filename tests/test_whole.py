@@ -2,7 +2,7 @@
 
 import pytest
 
-from framelode.operators import cluster
+from framelode.operators import cluster, entity
 from framelode.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -68,3 +68,15 @@ def test_placeholders_are_told_by_the_whole_text_of_every_document(spark, tmp_pa
     texts = ["a real text", "none", " N/A. ", "real", "words", "None!       and more", "", "无变化。", "last"]
     out = {r["doc_id"]: r["placeholder"] for r in run(spark, "placeholder_filter_whole", scenes(spark, tmp_path, texts)).collect()}
     assert out == {i: i in (1, 2, 6, 7) for i in range(len(texts))}
+
+
+def test_overlaps_of_every_pair(spark):
+    shots = {1: {1, 2, 3}, 5: {3}, 6: {2, 3, 4}, 700: {9}, 701: {2, 3, 4}}
+    rows = spark.createDataFrame([(c, s) for c, own in shots.items() for s in own] + [(1, 1)], "character long, shot long")
+    expected = {(a, b, len(x & y), len(x | y), round(len(x & y) / len(x | y), 6), len(x - y)) for a, x in shots.items() for b, y in shots.items() if a < b}
+    assert {tuple(r) for r in entity.overlaps(rows).collect()} == expected and len(expected) == 10
+
+
+def test_set_rules_has_every_pair_of_characters(spark):
+    n = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert run(spark, "set_rules_whole").count() == n * (n - 1) // 2
