@@ -70,23 +70,23 @@ def combined_text_whole(spark, sf_dir):
     return _combined(units(spark, sf_dir, whole=True))
 
 
-@query(
-    "alignment_rules",
-    A.sql(
-        _SIDES,
-        """SELECT scene_index, array_to_string(list_filter([CASE WHEN n > 0 THEN 'speech' END, CASE WHEN action <> '' THEN 'visual_action' END, CASE WHEN music <> '' THEN 'music' END, CASE WHEN has_sfx THEN 'sfx' END, CASE WHEN silence > 0.8 THEN 'silence' END], lambda x: x IS NOT NULL), ',') AS active,
+_ALIGNMENT = """SELECT scene_index, array_to_string(list_filter([CASE WHEN n > 0 THEN 'speech' END, CASE WHEN action <> '' THEN 'visual_action' END, CASE WHEN music <> '' THEN 'music' END, CASE WHEN has_sfx THEN 'sfx' END, CASE WHEN silence > 0.8 THEN 'silence' END], lambda x: x IS NOT NULL), ',') AS active,
         CASE WHEN silence > 0.8 THEN 'silence' WHEN n >= 2 THEN 'speech' WHEN music <> '' AND n = 0 THEN 'music' WHEN action <> '' THEN 'visual_action' WHEN n > 0 THEN 'speech' ELSE 'visual' END AS dominant,
         CASE WHEN n > 0 THEN 'speech' WHEN music <> '' THEN 'music' ELSE 'visual' END AS dominant_in_chunk,
         round(least(1.0::DOUBLE, 0.5::DOUBLE + len(list_intersect(characters, speaking)) * 0.15::DOUBLE + ((silence IS NOT NULL)::INT + (description IS NOT NULL)::INT + (n > 0)::INT) * 0.1::DOUBLE), 6) AS confidence,
         CASE WHEN len(gone) > 0 THEN 'not in view: ' || array_to_string(gone, ',') ELSE '' END AS notes
-        FROM (SELECT *, len(lines) AS n, list_filter(speaking, lambda x: NOT list_contains(characters, x)) AS gone FROM (SELECT *, ['char_' || (scene_index % 10), 'char_' || (scene_index % 7)] AS speaking FROM units WHERE scene_index % 10 <> scene_index % 7))""",
-    ),
+        FROM (SELECT *, len(lines) AS n, list_filter(speaking, lambda x: NOT list_contains(characters, x)) AS gone FROM (SELECT *, ['char_' || (scene_index % 10), 'char_' || (scene_index % 7)] AS speaking FROM units WHERE scene_index % 10 <> scene_index % 7))"""
+#: Of every unit; a name that comes twice counts once.
+_ALIGNMENT_WHOLE = _ALIGNMENT.replace(" WHERE scene_index % 10 <> scene_index % 7", "").replace(
+    "['char_' || (scene_index % 10), 'char_' || (scene_index % 7)]", "CASE WHEN scene_index % 10 = scene_index % 7 THEN ['char_' || (scene_index % 10)] ELSE ['char_' || (scene_index % 10), 'char_' || (scene_index % 7)] END"
 )
-def alignment_rules(spark, sf_dir):
+
+
+def _alignment(rows):
     c, i = F.col, F.col("scene_index")
     n, music = F.size("lines"), F.coalesce(F.col("music") != "", F.lit(False))
     speaking = F.array(F.concat(F.lit("char_"), i % 10), F.concat(F.lit("char_"), i % 7))
-    rows = units(spark, sf_dir).where("scene_index % 10 <> scene_index % 7").withColumn("speaking", speaking)
+    rows = rows.withColumn("speaking", F.array_distinct(speaking))
     return rows.select(
         "scene_index", F.array_join(U.active_modalities(n, c("action"), music, c("has_sfx"), c("silence")), ",").alias("active"), U.dominant_modality(n, c("action"), music, c("silence")).alias("dominant"),
         U.dominant_in_chunk(n, music).alias("dominant_in_chunk"), F.round(U.alignment_confidence(c("speaking"), c("characters"), c("silence").isNotNull(), c("description").isNotNull(), n), 6).alias("confidence"),
@@ -94,6 +94,16 @@ def alignment_rules(spark, sf_dir):
     )
 
 
+@query("alignment_rules", A.sql(_SIDES, _ALIGNMENT))
+def alignment_rules(spark, sf_dir):
+    return _alignment(units(spark, sf_dir).where("scene_index % 10 <> scene_index % 7"))
+
+
+@query("alignment_rules_whole", A.sql(_WHOLE, _ALIGNMENT_WHOLE))
+def alignment_rules_whole(spark, sf_dir):
+    return _alignment(units(spark, sf_dir, whole=True))
+
+
 @query(
     "beat_units",
     A.sql(
@@ -112,12 +122,21 @@ def beat_units(spark, sf_dir):
     "idx_character",
     A.sql(_SIDES, "SELECT DISTINCT character, unit_index FROM (SELECT unnest(characters) AS character, scene_index // 4 AS unit_index FROM units UNION ALL SELECT 'char_' || l_suppkey, l_orderkey // 4 FROM lineitem WHERE l_orderkey % 2 = 0) WHERE character IN (SELECT 'char_' || l_suppkey FROM lineitem WHERE l_orderkey % 2 = 0)"),
 )
-def idx_character(spark, sf_dir):
-    seen = A.table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(F.concat(F.lit("char_"), "l_suppkey").alias("character"), F.col("l_orderkey").alias("shot"))
+def idx_character(spark, sf_dir, whole=False):
+    seen = A.table(spark, sf_dir, "lineitem").where("true" if whole else "l_orderkey % 2 = 0").select(F.concat(F.lit("char_"), "l_suppkey").alias("character"), F.col("l_orderkey").alias("shot"))
     rows = units(spark, sf_dir).groupBy(F.floor(F.col("scene_index") / 4).alias("unit_index")).agg(F.flatten(F.collect_list("characters")).alias("cast"), F.collect_list("scene_index").alias("shot_ids"))
     return I.character_units(seen, rows)
 
 
+@query(
+    "idx_character_whole",
+    A.sql(_WHOLE, "SELECT DISTINCT character, unit_index FROM (SELECT unnest(characters) AS character, scene_index // 4 AS unit_index FROM units UNION ALL SELECT 'char_' || l_suppkey, l_orderkey // 4 FROM lineitem)"),
+)
+def idx_character_whole(spark, sf_dir):
+    """Appearances in every order."""
+    return idx_character(spark, sf_dir, whole=True)
+
+
 @query("idx_event", A.sql("shots story_events", "SELECT video_id, event_type, string_agg(event_id, ',' ORDER BY importance DESC, event_id) AS event_ids FROM story_events GROUP BY ALL"))
 def idx_event(spark, sf_dir):
     return I.events_by_type(A.story_events(spark, sf_dir)).select("video_id", "event_type", F.array_join(F.col("event_ids").cast("array<string>"), ",").alias("event_ids"))

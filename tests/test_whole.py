@@ -80,3 +80,16 @@ def test_overlaps_of_every_pair(spark):
 def test_set_rules_has_every_pair_of_characters(spark):
     n = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_suppkey").distinct().count()
     assert run(spark, "set_rules_whole").count() == n * (n - 1) // 2
+
+
+def test_rules_and_indexes_have_every_row(spark):
+    table = lambda name: spark.read.parquet(f"{SMALL}/{name}.parquet")
+    units = {r["scene_index"]: r["notes"] for r in run(spark, "alignment_rules_whole").collect()}
+    assert units.keys() == {r[0] for r in table("orders").select("o_orderkey").collect()}
+    same = [i for i in units if i % 10 == i % 7]
+    assert same and all(units[i] in ("", f"not in view: char_{i % 10}") for i in same)
+    seen = {(f"char_{r[0]}", r[1] // 4) for r in table("lineitem").select("l_suppkey", "l_orderkey").collect()}
+    assert {tuple(r) for r in run(spark, "idx_character_whole").select("character", "unit_index").collect()} >= seen
+    bare = {r[0] for r in table("orders").where("o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0").select("o_custkey").collect()}
+    found = {r["plan_id"] for r in run(spark, "grounding_violations_whole").where("rule = 'event_not_covered'").collect()}
+    assert bare and bare <= found
