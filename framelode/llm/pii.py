@@ -70,6 +70,18 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each run the longest part from its start to a word break that passes; words and numbers behind it may be in upper case too."""
+    at = 0
+    while match := _IBAN.search(text, at):
+        run, start = match[0], match.start()
+        ends = [len(run), *(i for i in range(len(run) - 1, 0, -1) if run[i] == " ")]
+        end = next((e for e in ends if len(own := run[:e].replace(" ", "")) >= 15 and passes_mod97(own)), None)
+        if end:
+            yield start, start + end
+        at = start + (end or 1)
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     """Spans that the patterns propose and the validators confirm, by kind and start."""
     if "@" in text:
@@ -90,9 +102,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                 yield "phone", m.start(), m.end()
     if numbers:
-        for m in _IBAN.finditer(text):
-            if passes_mod97(m[0].replace(" ", "")):
-                yield "iban", m.start(), m.end()
+        for start, end in _ibans(text):
+            yield "iban", start, end
         for m in _LOCAL_PHONE.finditer(text):
             yield "local_phone", m.start(), m.end()
 

@@ -77,3 +77,10 @@ def test_query(spark, tmp_path):
     assert pii.redacted(docs).columns == docs.columns
     assert {r.text for r in pii.redacted(docs.where("doc_id is null")).collect()} == {"[EMAIL]"}
     assert pii.found(docs.limit(0)).count() == 0
+
+
+def test_iban_before_upper_case_words_and_numbers():
+    own, other = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    for text, expected in [(f"IBAN {own} BIC COBADEFF", [own]), (f"{own} 2024", [own]), (f"{own} {other} END", [own, other]), (f"AB12 3456 7890 1234 {own} X", [own]), (f"{own[:-1]}1 BIC", [])]:
+        assert [text[s:e] for k, s, e, _ in pii.spans(text) if k == "iban"] == expected
+    assert pii.redact(f"IBAN {own} BIC COBADEFF").endswith(" BIC COBADEFF") and own not in pii.redact(f"IBAN {own} BIC COBADEFF")
