@@ -2,16 +2,19 @@
 
 Each distinct word is encoded once. The distinct words of a batch, sorted, are a trie in depth-first order:
 the prefix a word shares with the one before it is the path they share from the root. Walking that path, each
-node keeps the last token of its prefix's encoding, so the encoding of a shared prefix is found once. A token
-that ends at a node is that last token if and only if it follows the last token of what stands before it without
-the two merging differently, which depends on the two tokens alone and is remembered.
+node keeps the last token of its prefix's encoding and where that token starts, so the encoding of a shared prefix is
+found once. A token that ends at a node is that last token if and only if it follows the last token of what stands before
+it without the two merging differently, which depends on the two tokens alone and is remembered. A word's tokens are read
+off its path from the end, so time and memory are linear in its length.
 
-Normalising and splitting into words are the vocabulary file's own, called once for each distinct piece between
-white space (neither ever reaches across white space). A word's code is kept in a cache of bounded size; a word
-that falls out of it is encoded again.
+A text is taken apart into units: its words, where the whole text is of characters that are in normal form and whose
+class is known here, else its pieces between white space (neither normalising nor splitting ever reaches across
+that), which the vocabulary's own rules turn into words. Codes of units are kept in a cache that is bounded in their number
+and length; a unit that falls out of it, or is too long for it, is encoded again.
 
 Defined cases: null text is empty; empty and white-space texts have no ids; special tokens that stand in a text
-become their ids, as the library does it; repeated rows each get their row; other columns are not read.
+become their ids, as the library does it; words of any length; repeated rows each get their row; other columns are not
+read, and those that clash with an added one are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import gc
 import json
 import re
+from collections import ChainMap
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -29,16 +33,18 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from framelode.llm import common
 
-#: Words whose codes a worker keeps, at most twice over.
-CACHE_WORDS = 100_000
+#: Units whose codes a worker keeps, at most twice over, and how long the longest of them is.
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64
 #: Pairs of tokens whose compatibility a worker keeps.
 CACHE_PAIRS = 200_000
 
 #: Python's str.split() also splits at these four, the vocabulary's white space does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-_LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
-_WHITE = re.compile("[^\t-\r \x85\xa0  -     　]+")
+_WHITE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: ASCII but for control characters, Latin-1 letters and signs, dashes, quotes, dots and currency signs: each is in normal form, none joins with another.
+_PLAIN = re.compile("[\t-\r -~\xa0-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*").fullmatch
+#: Words of such text in lower case: letters, a digit, an English ending, or what is neither of these nor white space.
+_WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \xa00-9a-zß-öø-ÿ]+").findall
 
 
 def default_vocabulary() -> str:
@@ -52,6 +58,11 @@ def pieces(text: str) -> list[str]:
     return _WHITE.findall(text) if _SEPARATORS.search(text) else text.split()
 
 
+def units(text: str) -> list[str]:
+    """The text's words if it is plain, else its pieces; each has ids of its own, in either case the same."""
+    return _WORDS(text.lower()) if _PLAIN(text) else pieces(text)
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte to letter, as byte-level vocabularies write bytes: printable ones are themselves, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,17 +73,17 @@ _BYTE_LETTERS = _byte_letters()
 
 
 class Splitter:
-    """Pieces to words in the vocabulary's byte letters. Pieces of printable ASCII and Latin-1 letters, which are in normal
-    form, are split here, and all others by the vocabulary's own rules. Special tokens are not looked for."""
+    """Units to words in the vocabulary's byte letters: plain ones here, all others by the vocabulary's own rules. Special
+    tokens are not looked for."""
 
     def __init__(self, library):
         self.normalize, self.words_of = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
 
-    def __call__(self, piece: str) -> list[str]:
-        if not _LATIN(piece):
-            return [w for w, _ in self.words_of(self.normalize(piece))]
-        words = _LATIN_WORDS(piece.lower())
-        return words if piece.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
+    def __call__(self, unit: str) -> list[str]:
+        if not _PLAIN(unit):
+            return [w for w, _ in self.words_of(self.normalize(unit))]
+        words = _WORDS(unit.lower())
+        return words if unit.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LETTERS) for w in words]
 
 
 class TrieBpe:
@@ -104,6 +115,8 @@ class TrieBpe:
         self.whole: dict[int, bool] = {}
         self.codes: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+        self.older_text: dict[str, str] = {}
         self.decimal = {i: str(i) for i in self.names}
         self.named = {str(i): t for i, t in self.names.items()}
 
@@ -158,28 +171,22 @@ class TrieBpe:
         """The decimal ids of each distinct word, joined by spaces, by a depth-first walk of the words' trie."""
         get, end, longest, follows, stands, shown = self.vocab.get, self.end, self.longest, self.follows, self.stands, self.decimal
         out: dict[str, str] = {}
-        #: At each depth, for the prefix: its last token, where that starts, and its whole code once a word has asked for it.
-        last, starts, codes, before = [-1], [0], [""], ""
+        #: At each depth, for the prefix: its last token, and where that starts.
+        last, starts, before = [-1], [0], ""
 
         def elsewhere(word: str, depth: int, suffix: str, near: int) -> tuple[int, int]:
             for start in range(near - 1, max(-1, depth - longest - 1), -1):
                 token = get(word[start:depth] + suffix)
                 if token is not None and (follows(last[start], token) if start else stands(token)):
                     return token, start
-            raise ValueError(f"no token of the vocabulary ends {word[:depth]!r}")
-
-        def code_of(depth: int) -> str:
-            if not (code := codes[depth]) and depth:
-                start = starts[depth]
-                code = codes[depth] = f"{code_of(start)} {shown[last[depth]]}" if start else shown[last[depth]]
-            return code
+            raise ValueError(f"no token of the vocabulary ends {word[:depth][-longest:]!r}")
 
         for word in sorted(words):
             shared, size = 0, len(word)
             most = min(len(before), size) - 1
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], starts[shared + 1 :], codes[shared + 1 :]
+            del last[shared + 1 :], starts[shared + 1 :]
             for depth in range(shared + 1, size):
                 # exactly one token can be the last one; those that grow from the node before are tried first
                 for start in range(starts[depth - 1], depth):
@@ -190,54 +197,67 @@ class TrieBpe:
                     token, start = elsewhere(word, depth, "", starts[depth - 1])
                 last.append(token)
                 starts.append(start)
-                codes.append("")
             for start in range(starts[size - 1], size):
                 token = get(word[start:] + end)
                 if token is not None and (follows(last[start], token) if start else stands(token)):
                     break
             else:
                 token, start = elsewhere(word, size, end, starts[size - 1])
-            out[word] = f"{code_of(start)} {shown[token]}" if start else shown[token]
+            code = [shown[token]]
+            while start:
+                code.append(shown[last[start]])
+                start = starts[start]
+            code.reverse()
+            out[word] = " ".join(code)
             before = word
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the codes of these pieces without white space into the cache; what was there before may go."""
+    def learn(self, wanted: set[str]) -> dict[str, str]:
+        """Put the codes of these units into the cache, where those that were there before may go, and what they decode to
+        beside them; the codes of the units that are too long for it are returned."""
         if len(self.codes) > CACHE_WORDS:
-            self.older, self.codes = self.codes, {}
+            self.older, self.codes, self.older_text, self.decoded = self.codes, {}, self.decoded, {}
         fresh, words = [], set()
-        for piece in pieces.difference(self.codes):
-            if (code := self.older.get(piece)) is not None:
-                self.codes[piece] = code
+        for unit in wanted.difference(self.codes):
+            if (code := self.older.get(unit)) is not None:
+                self.codes[unit], self.decoded[unit] = code, self.older_text[unit]
                 continue
-            own = self.split_words(piece)
-            fresh.append((piece, own))
+            own = self.split_words(unit)
+            fresh.append((unit, own))
             words.update(own)
         known = self.encode_words(list(words))
-        for piece, own in fresh:
-            self.codes[piece] = known[own[0]] if len(own) == 1 else " ".join([known[w] for w in own])
+        long = {}
+        for unit, own in fresh:
+            code = known[own[0]] if len(own) == 1 else " ".join([known[w] for w in own])
+            if len(unit) > CACHE_LENGTH:
+                long[unit] = code
+            else:
+                self.codes[unit], self.decoded[unit] = code, self.decode_decimal(code)
+        return long
 
     def parts_of(self, text: str) -> list[str]:
-        """The text's pieces between white space, special tokens apart."""
+        """The text's units, special tokens apart."""
         if not any(t in text for t in self.special):
-            return pieces(text)
+            return units(text)
         return [p for part in self.cut_special.split(text) for p in ([part] if part in self.special else pieces(part))]
 
-    def encode_texts(self, texts: list[str]) -> Iterator[list[str]]:
-        """For each text the decimal ids of its pieces, those of a piece joined by spaces."""
-        every: set[str] = set()
-        for text in texts:
-            every.update(self.parts_of(text))
-        special = every.intersection(self.special)
-        self.learn(every - special)
-        codes = self.codes
-        if special:
-            codes = codes | {t: str(self.special[t]) for t in special}
-        for text in texts:
-            yield [c for c in map(codes.__getitem__, self.parts_of(text)) if c]
+    def encode_texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """For each text its decimal ids, joined by spaces, and what they decode to."""
+        every = [self.parts_of(text) for text in texts]
+        wanted = set().union(*every)
+        special = wanted.intersection(self.special)
+        codes, decoded = {t: str(self.special[t]) for t in special}, {t: t for t in special}
+        codes |= self.learn(wanted - special)
+        if not codes:
+            codes, decoded = self.codes, self.decoded
+        else:
+            decoded |= {u: self.decode_decimal(c) for u, c in codes.items() if u not in special}
+            codes, decoded = ChainMap(codes, self.codes), ChainMap(decoded, self.decoded)
+        for own in every:
+            yield " ".join(filter(None, map(codes.__getitem__, own))), " ".join(filter(None, map(decoded.__getitem__, own)))
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for code in next(self.encode_texts([text or ""])) for i in code.split(" ")]
+        return [int(i) for i in next(self.encode_texts([text or ""]))[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Special tokens stay; without a decoder in the file, the tokens stand joined by spaces."""
@@ -254,11 +274,7 @@ def _each(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple
     gc.disable()  # the caches hold no cycles, and walking them again and again costs more than all the rest
     try:
         for batch in common.by_text_bytes(batches, most=2 << 20):
-            rows = []
-            for codes in bpe.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
-                joined = " ".join(codes)
-                rows.append((joined, bpe.decode_decimal(joined)))
-            yield batch, rows
+            yield batch, list(bpe.encode_texts([t or "" for t in batch.column("text").to_pylist()]))
     finally:
         gc.enable()
 

@@ -1,5 +1,6 @@
 import random
 from hashlib import sha256
+from time import process_time
 
 from tokenizers import Tokenizer
 
@@ -30,11 +31,51 @@ def test_the_batch_form_and_a_cache_that_overflows(monkeypatch):
     own, library = bpe.TrieBpe(PATH), Tokenizer.from_file(PATH)
     texts = odd_texts()
     for at in range(0, len(texts), 37):
-        for text, codes in zip(texts[at : at + 37], own.encode_texts(texts[at : at + 37]), strict=True):
-            joined = " ".join(codes)
+        for text, (joined, shown) in zip(texts[at : at + 37], own.encode_texts(texts[at : at + 37]), strict=True):
             ids = library.encode(text, add_special_tokens=False).ids
             assert joined == " ".join(map(str, ids))
-            assert own.decode_decimal(joined) == library.decode(ids, skip_special_tokens=False)
+            assert shown == own.decode_decimal(joined) == library.decode(ids, skip_special_tokens=False)
+
+
+def long_texts():
+    rng = random.Random(11)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(100_000))
+    return [letters, chinese, letters[:100_000] + "x", "é" * 30_000, "'" * 50_000, "before " + letters[:5000] + " <|endoftext|> " + chinese[:3000]]
+
+
+def test_words_of_any_length_in_linear_time_and_memory():
+    own, library = bpe.TrieBpe(PATH), Tokenizer.from_file(PATH)
+    texts = long_texts()
+    for text, (joined, shown) in zip(texts, own.encode_texts(texts), strict=True):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert joined == " ".join(map(str, ids)) and shown == library.decode(ids, skip_special_tokens=False)
+    assert max(map(len, own.codes), default=0) <= bpe.CACHE_LENGTH
+    seconds = []
+    for n in (50_000, 200_000):
+        since = process_time()
+        own.encode(texts[0][:n])
+        seconds.append(process_time() - since)
+    assert seconds[1] < 12 * max(seconds[0], 0.02)
+
+
+def test_plain_text_and_its_pieces_have_the_same_ids():
+    own, library = bpe.TrieBpe(PATH), Tokenizer.from_file(PATH)
+    every = [chr(c) for c in range(0x2100) if chr(c) != "<"]
+    for a in range(0, len(every), 7):
+        text = " x".join(every[a : a + 7]) + "y" + "".join(every[a : a + 7]) + "'re\u2019s"
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    for c in filter(bpe._PLAIN, every):
+        text = f"it{c}s 'll{c}{c}d{c}'S"
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_through_the_operator(spark):
+    texts = long_texts()
+    library = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.token_ids for r in bpe.encoded(docs).collect()}
+    assert found == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
 
 
 def test_query_and_operator_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
