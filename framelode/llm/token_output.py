@@ -11,8 +11,8 @@ ascending doc_id, null first. The dictionary is a file beside them and is known
 of its SHA-256). It is trained on the serialised ids of ``SAMPLE_DOCS`` documents at most, of up to ``SAMPLE_BYTES`` of
 text each, those with the smallest hashes of their ids; with too few to train on there is none, and its hash is of nothing.
 
-Ids come from the tokenizers library's own model, once for each distinct word, those of a piece between white space kept in a
-bounded cache: the vocabulary's rules never reach across white space. Files are written by Spark's own writer, with its commit protocol,
+Ids come from the tokenizers library's own model, once for each distinct unit of text (see ``bpe``), kept in a cache that is
+bounded in number and length. Files are written by Spark's own writer, with its commit protocol,
 and read by its own reader, so any file system that Spark knows will do, and a lost executor costs only its own tasks.
 
 Defined cases: null text is empty and has only the end id; repeated rows are documents of their own, side by side;
@@ -24,6 +24,7 @@ from __future__ import annotations
 import gc
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -33,14 +34,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelode.llm import common
-from framelode.llm.bpe import Splitter, default_vocabulary, pieces
+from framelode.llm.bpe import CACHE_LENGTH, Splitter, default_vocabulary, pieces, units
 
 END_ID = 2
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1000, 16384, 65536, 3
 #: A block is closed at so many bytes or documents; so many blocks make a file.
 BLOCK_BYTES, BLOCK_DOCS, FILE_BLOCKS = 1 << 20, 4096, 4
 MOST_SHARDS = 2000
-CACHE_PIECES = 200_000
+#: Units whose ids a worker keeps, at most twice over.
+CACHE_UNITS = 200_000
 
 _HEAD = struct.Struct("<4sBB8sIIIQ")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("ids", "<u8")])
@@ -64,29 +66,40 @@ class Encoder:
     def packed(self, ids: list[int]) -> bytes:
         return self.pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, self.kind).tobytes()
 
-    def encode_pieces(self, new: set[str]) -> Iterator[tuple[str, bytes]]:
-        """(piece, ids) of each; a distinct word of them goes to the library's model once."""
+    def learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Put the ids of these units into the cache, where those that were there before may go; those of the units that are too
+        long for it are returned. A distinct word of them goes to the library's model once."""
+        if len(self.codes) > CACHE_UNITS:
+            self.older, self.codes = self.codes, {}
         known: dict[str, bytes] = {}
-        tokenize, packed, split, get, older = self.tokenize, self.packed, self.split, known.get, self.older.get
-        for piece in new:
-            if (code := older(piece)) is None:
-                plain = piece.isascii() and piece.isalpha()  # such a piece is one word
-                code = b""
-                for word in (piece.lower(),) if plain else split(piece):
-                    if (own := get(word)) is None:
-                        own = known[word] = packed([t.id for t in tokenize(word)])
-                    code += own
-            yield piece, code
+        tokenize, packed, split, get, older, codes, long = self.tokenize, self.packed, self.split, known.get, self.older.get, self.codes, {}
+        for unit in wanted.difference(codes):
+            if (code := older(unit)) is None:
+                if unit.isascii() and unit.isalpha():  # such a unit is one word
+                    code = packed([t.id for t in tokenize(unit.lower())])
+                else:
+                    own = split(unit)
+                    for word in own:
+                        if get(word) is None:
+                            known[word] = packed([t.id for t in tokenize(word)])
+                    code = b"".join(map(known.__getitem__, own))
+            if len(unit) > CACHE_LENGTH:
+                long[unit] = code
+            else:
+                codes[unit] = code
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.codes) > CACHE_PIECES:
-            self.older, self.codes = self.codes, {}
-        parts = [pieces(t) for t in texts]
-        new = set().union(*parts).difference(self.codes)
-        if odd := {p for s in self.special for t in texts if s in t for p in pieces(t) if s in p}:
-            self.codes.update((p, self.packed(self.library.encode(p, add_special_tokens=False).ids)) for p in odd)
-        self.codes.update(self.encode_pieces(new - odd))
-        code = self.codes.__getitem__
+        odd: dict[str, bytes] = {}
+        parts = []
+        for text in texts:
+            if any(s in text for s in self.special):
+                parts.append(pieces(text))
+                odd.update((p, self.packed(self.library.encode(p, add_special_tokens=False).ids)) for p in parts[-1] if any(s in p for s in self.special))
+            else:
+                parts.append(units(text))
+        odd |= self.learn(set().union(*parts) - odd.keys())
+        code = (ChainMap(odd, self.codes) if odd else self.codes).__getitem__
         return [b"".join([*map(code, p), self.end]) for p in parts]
 
 
@@ -196,7 +209,8 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
             gc.enable()
 
     encoded = docs.select(shard.cast("int").alias("shard"), "doc_id", "text").mapInArrow(encode, "shard int, doc_id long, n_tokens long, blob binary")
-    ordered = encoded.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "blob")
+    # by the number itself: hashes of a few numbers would leave some tasks empty and give others several shards
+    ordered = encoded.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "blob")
     blocks = ordered.mapInArrow(lambda b: _blocks(b, _mark(dictionary), width), "block binary")
     # a string of any bytes, which the writer puts out as they are
     blocks.select(F.col("block").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/ids")

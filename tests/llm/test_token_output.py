@@ -5,6 +5,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from framelode.llm import bpe, token_output
+from tests.llm.test_bpe import long_texts, odd_texts
 
 
 def plain(rows):
@@ -52,3 +53,21 @@ def test_one_document_from_its_block(spark, tmp_path):
                 assert own.tolist() == [*library.encode(texts[int(e["doc_id"])], add_special_tokens=False).ids, 2]
                 seen += 1
     assert seen == len(rows)
+
+
+def test_words_of_any_length_and_clashing_columns(spark, tmp_path):
+    rows = list(enumerate(long_texts()))
+    path = f"file://{tmp_path}/long"
+    docs = spark.createDataFrame([(i, t, "x", 7, None) for i, t in rows], "doc_id long, text string, Shard string, n_tokens int, blob string")
+    token_output.write(docs, path)
+    assert sorted((tuple(r) for r in token_output.read(spark, path).collect()), key=lambda r: r[1]) == plain(rows)
+
+
+def test_a_cache_that_overflows(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE_UNITS", 40)
+    own, library = token_output.Encoder(bpe.default_vocabulary()), Tokenizer.from_file(bpe.default_vocabulary())
+    texts = odd_texts()
+    for at in range(0, len(texts), 41):
+        part = texts[at : at + 41]
+        for text, ids in zip(part, own.encode(part), strict=True):
+            assert np.frombuffer(ids, own.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
