@@ -1,72 +1,208 @@
-"""The retrieval funnel: scored hits of several layers, merged, filtered, ranked, blended and put in context.
+"""The retrieval funnel: scored hits of five layers, merged, filtered, ranked, blended and put in context.
 
-A hit is a row of query_id, scene_index, score, match_type, snippet, transcript, vision, modalities, refs and ord, the
-place it has in the order in which the layers report.
+A hit is a row of query_id, scene_index, score, match_type, snippet, modalities, refs, where its texts stand
+(``transcript_at``: the place of its transcript, ``vision_at``: the scene of its description, null where the layer has none
+or it is empty) and pos, the place it has among those of its layer and scene. Whole texts are looked up at the end, for what is shown.
+
+Queries are a stated set. They go to the rows in blocks of ``QUERY_BLOCK``, each of which is one pass over the rows: a block's
+terms are one automaton that finds all of them in a text at once, a block's vectors are one matrix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from framelode.functions import numbers as N
 from framelode.functions import text as T
-from framelode.functions import vector as V
-from framelode.operators import joins
+from framelode.functions.terms import TermTable
+from framelode.operators import joins, shared
 
 SNIPPET = 100
 #: Fixed values of the layers' scores.
 VISION_WEIGHT, EVENT_WEIGHT, EVENT_STEP, EVENT_CAP, INDEX_WEIGHT, INDEX_CAP = 0.8, 0.9, 0.05, 2.0, 0.85, 1.5
 RERANK_OLD, RERANK_NEW, RERANK_LEAST, RERANK_REST = 0.3, 0.7, 0.2, 0.3
-
-
-def matched(rows: DataFrame, queries: DataFrame, text: Column) -> DataFrame:
-    """Every row with each query of which it holds a term: ``share`` of its terms. Queries are a stated set and go to the rows."""
-    asked = queries.withColumn("terms", T.tokens(F.col("query"))).where(F.size("terms") > 0)
-    both = rows.withColumn("_text", text).join(joins.small(asked), T.hits(F.col("terms"), F.col("_text")) > 0)
-    return both.withColumn("share", T.hits(F.col("terms"), F.col("_text")) / F.size("terms")).drop("_text", "terms")
-
-
-def _hits(rows: DataFrame, kind: str, score: Column, snippet: Column, ref: Column, transcript: Column | None = None, vision: Column | None = None) -> DataFrame:
-    none = F.lit("")
+VECTOR_TOP, CANDIDATES = 50, 20
+#: Queries that go out at once, and rows that are compared with them at once.
+QUERY_BLOCK, ROW_BLOCK = 4096, 2048
+#: Hits that leave a task at once, at most.
+HITS = 1 << 18
+
+
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    """The rows of the queries, block by block."""
+    first = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(first) <= QUERY_BLOCK:
+        yield from [first] if first else []
+        return
+    n = -(-queries.count() // QUERY_BLOCK)
+    for block in range(n):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).collect()
+
+
+def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str], extra: str, step: Callable) -> DataFrame:
+    """``rows`` without ``texts`` and with query_id and the long columns of ``extra``, a row for each hit. ``step(table, batch)`` gives for each
+    row of the batch the queries that it hits, as an array of their places, and an array of each of ``extra``."""
+    kept, extra = [c for c in rows.columns if c not in texts], extra.split()
+    asked = queries.select("query_id", terms.alias("terms")).where(F.size("terms") > 0)
+    schema = StructType([*(rows.schema[c] for c in kept), queries.schema["query_id"], *(StructField(c, LongType()) for c in extra)])
+    id_type, names = to_arrow_type(queries.schema["query_id"].dataType), schema.names
+
+    def scan(own: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table: TermTable = own.value
+            ids, rows_at_once = pa.array(table.ids, id_type), max(1, HITS // max(1, len(table.ids)))
+            for batch in (whole.slice(at, rows_at_once) for whole in batches for at in range(0, whole.num_rows, rows_at_once)):
+                found = list(step(table, batch))
+                hit = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                places, *more = (np.concatenate(c) for c in zip(*found, strict=True))
+                picked = batch.select(kept).take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([*picked.columns, ids.take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
+
+        return rows.mapInArrow(run, schema)
+
+    parts = [scan(rows.sparkSession.sparkContext.broadcast(TermTable([(r[0], r.terms) for r in block]))) for block in _blocks(asked)]
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
+
+
+def matched(rows: DataFrame, queries: DataFrame, text: str) -> DataFrame:
+    """Every row, without its column ``text``, with each query (query_id, query) of which that holds a term: ``share`` of its terms, repeated
+    ones each time."""
+
+    def step(table: TermTable, batch: pa.RecordBatch) -> Iterator[tuple]:
+        for low in batch.column("_low").to_pylist():
+            counts = table.counts(table.held(low))
+            hit = np.flatnonzero(counts)
+            yield hit, counts[hit], table.sizes[hit]
+
+    found = _scanned(rows.withColumn("_low", F.lower(text)).drop(text), queries, T.tokens(F.col("query")), ["_low"], "_held _size", step)
+    return found.withColumn("share", F.col("_held") / F.col("_size")).drop("_held", "_size")
+
+
+def _hits(rows: DataFrame, kind: str, score: Column, ref: Column, transcript: Column | None = None, vision: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("long")
     return rows.select(
-        "query_id", "scene_index", score.alias("score"), F.lit(f"keyword_{kind}").alias("match_type"), T.prefix(snippet, SNIPPET).alias("snippet"), (none if transcript is None else transcript).alias("transcript"),
-        (none if vision is None else vision).alias("vision"), F.array(F.lit(kind)).alias("modalities"), F.array(ref).alias("refs"), "pos",
+        "query_id", "scene_index", score.alias("score"), F.lit(f"keyword_{kind}").alias("match_type"), F.coalesce("snippet", F.lit("")).alias("snippet"), F.array(F.lit(kind)).alias("modalities"), F.array(ref).alias("refs"),
+        (none if transcript is None else transcript).cast("long").alias("transcript_at"), (none if vision is None else vision).cast("long").alias("vision_at"), F.col("pos").cast("long").alias("pos"),
     )
 
 
-def transcript_hits(transcripts: DataFrame, queries: DataFrame) -> DataFrame:
-    found = matched(transcripts, queries, F.col("text"))
-    return _hits(found, "transcript", F.col("share"), F.col("text"), F.concat(F.lit("transcripts#t"), F.col("pos")), transcript=F.col("text"))
+def _snippet(text: Column, brief: bool) -> Column:
+    return (F.lit("") if brief else T.prefix(text, SNIPPET)).alias("snippet")
 
 
-def vision_hits(scenes: DataFrame, queries: DataFrame) -> DataFrame:
-    found = matched(scenes, queries, F.concat_ws(" ", "description", "mood", "scene_type")).withColumn("pos", F.col("scene_index"))
-    return _hits(found, "vision", F.col("share") * VISION_WEIGHT, F.col("description"), F.concat(F.lit("vision#scene_"), F.col("scene_index")), vision=F.col("description"))
+def transcript_hits(transcripts: DataFrame, queries: DataFrame, brief: bool = False) -> DataFrame:
+    """transcripts: scene_index, pos (its place in time), text. ``brief``, here and below: without snippets, where scores are all that is asked."""
+    rows = transcripts.select("scene_index", "pos", "text", _snippet(F.col("text"), brief))
+    found = matched(rows, queries, "text")
+    return _hits(found, "transcript", F.col("share"), F.concat(F.lit("transcripts#t"), F.col("pos")), transcript=F.col("pos"))
 
 
-def event_hits(events: DataFrame, queries: DataFrame) -> DataFrame:
-    """Importance raises the score by 0.05 a step, to 2.0 at most; the scene is the first of the event's."""
-    found = matched(events, queries, F.concat_ws(" ", "description", "event_type", "emotion"))
-    score = F.least(F.col("share") * EVENT_WEIGHT * (1 + F.col("importance") * EVENT_STEP), F.lit(EVENT_CAP))
-    return _hits(found, "event", score, F.col("description"), F.concat(F.lit("events#event_"), F.col("pos")))
+def vision_hits(vision: DataFrame, queries: DataFrame, brief: bool = False) -> DataFrame:
+    """vision: scene_index, description, mood, scene_type and, where there are any, objects; all of them are searched."""
+    objects = [F.array_join("objects", " ")] if "objects" in vision.columns else []
+    every = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (F.col("description"), F.col("mood"), F.col("scene_type"), *objects)))
+    said = F.coalesce(F.col("description") != "", F.lit(False))
+    rows = vision.select("scene_index", F.col("scene_index").alias("pos"), F.when(said, F.col("scene_index")).alias("vision_at"), _snippet(F.col("description"), brief), every.alias("every"))
+    found = matched(rows, queries, "every")
+    return _hits(found, "vision", F.col("share") * VISION_WEIGHT, F.concat(F.lit("vision#scene_"), F.col("scene_index")), vision=F.col("vision_at"))
 
 
-def index_hits(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits on the text index (scene_index, combined_text, keywords): shared keywords and terms in the text, each counted."""
-    asked = queries.withColumn("terms", T.query_terms(F.col("query"))).where(F.size("terms") > 0)
-    low = F.lower("combined_text")
-    total = F.size(F.array_intersect("terms", "keywords")) + F.size(F.filter("terms", lambda t: F.contains(low, t)))
-    both = index.join(joins.small(asked), total > 0)
-    return both.select("query_id", "scene_index", total.alias("matches"), (F.least(total / (F.size("terms") * 2), F.lit(INDEX_CAP)) * INDEX_WEIGHT).alias("score"))
+def event_hits(events: DataFrame, queries: DataFrame, brief: bool = False) -> DataFrame:
+    """events: scene_index (the first of the event's), pos (its number), description, event_type, emotion, importance, which raises the score by
+    0.05 a step, to 2.0 at most."""
+    every = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("description", "event_type", "emotion")))
+    rows = events.select("scene_index", "pos", "importance", _snippet(F.col("description"), brief), every.alias("every"))
+    score = F.least(F.col("share") * EVENT_WEIGHT * (1 + F.col("importance") * EVENT_STEP), F.lit(EVENT_CAP))
+    return _hits(matched(rows, queries, "every"), "event", score, F.concat(F.lit("events#event_"), F.col("pos")))
+
+
+def index_hits(index: DataFrame, queries: DataFrame, brief: bool = False) -> DataFrame:
+    """Hits on the text index (scene_index, combined_text, keywords, transcript, vision_description), with ``matches``: keywords shared with the
+    query's distinct terms, and those terms that the text holds, each counted. The modalities are those of the two texts that hold a term."""
+    texts = {"_low": "combined_text", "_said": "transcript", "_seen": "vision_description"}
+    shown = F.coalesce(F.nullif(F.col("vision_description"), F.lit("")), F.col("transcript"), F.lit(""))
+    rows = index.select("scene_index", _snippet(shown, brief), F.col("keywords").alias("_keywords"), *(F.lower(c).alias(a) for a, c in texts.items()))
+
+    def step(table: TermTable, batch: pa.RecordBatch) -> Iterator[tuple]:
+        columns = (batch.column(c).to_pylist() for c in ("_low", "_said", "_seen", "_keywords"))
+        for low, said, seen, keywords in zip(*columns, strict=True):
+            counts = table.counts(table.held(low)) + table.counts(set(keywords or ()))
+            hit = np.flatnonzero(counts)
+            in_said, in_seen = (table.counts(table.held(text))[hit] > 0 for text in ((said, seen) if len(hit) else (None, None)))
+            yield hit, counts[hit], table.sizes[hit], in_said, in_seen
+
+    found = _scanned(rows, queries, T.query_terms(F.col("query")), [*texts, "_keywords"], "matches size said seen", step)
+    either = F.array_compact(F.array(F.when(F.col("said") > 0, "transcript"), F.when(F.col("seen") > 0, "vision")))
+    found = found.withColumn("modalities", F.when(F.size(either) > 0, either).otherwise(F.array(F.lit("index"))))
+    score = N.half_even(F.least(F.col("matches") / (F.col("size") * 2), F.lit(INDEX_CAP)) * INDEX_WEIGHT, 3)
+    none = F.lit(None).cast("long")
+    return found.select(
+        "query_id", "scene_index", score.alias("score"), F.lit("index").alias("match_type"), "snippet", "modalities", F.array(F.concat(F.lit("search_index#scene_"), F.col("scene_index").cast("string"))).alias("refs"),
+        none.alias("transcript_at"), none.alias("vision_at"), F.lit(0).cast("long").alias("pos"), "matches",
+    )
 
 
-def vector_hits(units: DataFrame, queries: DataFrame, n: int = 50) -> DataFrame:
-    """The n units of the largest cosine for each query vector (query_id, embedding), ties to the smaller scene_index."""
-    asked = queries.select("query_id", V.unit(F.col("embedding")).alias("_asked"))
-    both = units.select("scene_index", V.unit(F.col("embedding")).alias("_own")).crossJoin(joins.small(asked)).select("query_id", "scene_index", V.dot(F.col("_own"), F.col("_asked")).alias("score"))
-    return top(both, n)
+def vector_hits(units: DataFrame, queries: DataFrame, n: int = VECTOR_TOP) -> DataFrame:
+    """query_id, scene_index, score and rank: the n units (scene_index, embedding) of the largest cosine, to nine digits, for each query vector
+    (query_id, embedding), ties to the smaller scene_index. Null vectors and those of another length take no part; zero vectors have cosine 0.
+    A task keeps the n best of what it has seen."""
+    rows = units.select(F.col("scene_index").cast("long").alias("scene_index"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and scene_index is not null")
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    schema = StructType([queries.schema["query_id"], StructField("scene_index", LongType()), StructField("score", DoubleType())])
+    id_type, names = to_arrow_type(queries.schema["query_id"].dataType), schema.names
+
+    def units_of(vectors: list) -> np.ndarray:
+        out = np.array(vectors, float)
+        size = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
+
+    def scan(own: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, wanted = own.value
+            scenes, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            for whole in batches:
+                for at in range(0, whole.num_rows, ROW_BLOCK):
+                    batch = whole.slice(at, ROW_BLOCK)
+                    fits = np.asarray(batch.column("embedding").value_lengths()) == wanted.shape[1]
+                    batch = batch.filter(pa.array(fits))
+                    if not batch.num_rows:
+                        continue
+                    vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                    scores = np.concatenate([scores, np.round(wanted @ units_of(vectors).T, 9)], axis=1)
+                    scenes = np.concatenate([scenes, np.broadcast_to(np.asarray(batch.column("scene_index")), (len(ids), len(batch)))], axis=1)
+                    order = np.lexsort((scenes, -scores), axis=1)[:, :n]
+                    scenes, scores = np.take_along_axis(scenes, order, axis=1), np.take_along_axis(scores, order, axis=1)
+            if scenes.size:
+                asked_by = pa.array([i for i in ids for _ in range(scenes.shape[1])], id_type)
+                yield pa.RecordBatch.from_arrays([asked_by, pa.array(scenes.ravel()), pa.array(scores.ravel())], names)
+
+        return rows.mapInArrow(run, schema)
+
+    parts = []
+    for block in _blocks(asked):
+        for size in sorted({len(r.embedding) for r in block}):
+            own = [r for r in block if len(r.embedding) == size]
+            parts.append(scan(rows.sparkSession.sparkContext.broadcast(([r.query_id for r in own], units_of([r.embedding for r in own])))))
+    found = reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
+    return top(found, n)
+
+
+def as_hits(found: DataFrame) -> DataFrame:
+    """Ranked units of ``vector_hits`` as hits."""
+    none = F.lit(None).cast("long")
+    return found.select(
+        "query_id", "scene_index", "score", F.lit("embedding").alias("match_type"), F.lit("").alias("snippet"), F.array(F.lit("embedding")).alias("modalities"), F.array(F.concat(F.lit("vectors#"), F.col("scene_index"))).alias("refs"),
+        none.alias("transcript_at"), none.alias("vision_at"), F.col("rank").cast("long").alias("pos"),
+    )
 
 
 def top(rows: DataFrame, n: int, by: str = "score") -> DataFrame:
@@ -90,13 +226,13 @@ def deduplicated(hits: DataFrame) -> DataFrame:
     def united(column: str) -> Column:
         return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", column))), lambda x: x[column])))
 
-    def first_text(column: str) -> Column:
-        return F.coalesce(F.min_by(column, F.when(F.col(column) != "", F.col("ord"))), F.lit(""))
+    def first_place(column: str) -> Column:
+        return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("ord")))
 
     shown = F.when(F.col("record") & (F.col("snippet") != ""), F.col("ord"))
     return rows.groupBy(*key).agg(
         F.max("score").alias("score"), F.max_by("match_type", F.when(F.col("record"), F.col("ord"))).alias("match_type"), F.coalesce(F.max_by("snippet", shown), F.lit("")).alias("snippet"),
-        united("modalities").alias("modalities"), united("refs").alias("refs"), first_text("transcript").alias("transcript"), first_text("vision").alias("vision"),
+        united("modalities").alias("modalities"), united("refs").alias("refs"), first_place("transcript_at").alias("transcript_at"), first_place("vision_at").alias("vision_at"),
     )
 
 
@@ -129,12 +265,96 @@ def with_context(hits: DataFrame, units: DataFrame, size: int = SNIPPET) -> Data
 
 def reranked(candidates: DataFrame, answers: DataFrame, least: int = 4) -> DataFrame:
     """Candidates (query_id, index from 0, score) blended with a model's answers (query_id, index, relevance, pos): 0.3 of the old and 0.7
-    of the new score if that is over 0.2, else 0.3 of the old. Of repeated answers the first counts. Queries with fewer than
+    of the new score, to three digits, if that is over 0.2, else 0.3 of the old. Of repeated answers the first counts. Queries with fewer than
     ``least`` candidates, or none answered, stay as they are."""
     first = joins.keep(answers.where(F.col("relevance") > RERANK_LEAST), ["query_id", "index"], ["pos"], last=False).select("query_id", "index", "relevance")
     of_query = Window.partitionBy("query_id")
     answered = answers.select("query_id").distinct().withColumn("_answered", F.lit(True))
     rows = candidates.join(first, ["query_id", "index"], "left").join(answered, "query_id", "left").withColumn("_n", F.count("*").over(of_query))
-    blend = F.when(F.col("relevance").isNotNull(), F.col("score") * RERANK_OLD + F.col("relevance") * RERANK_NEW).otherwise(F.col("score") * RERANK_REST)
+    blend = F.when(F.col("relevance").isNotNull(), N.half_even(F.col("score") * RERANK_OLD + F.col("relevance") * RERANK_NEW, 3)).otherwise(F.col("score") * RERANK_REST)
     stays = F.col("_answered").isNull() | (F.col("_n") < least)
     return rows.withColumn("semantic", ~stays & F.col("relevance").isNotNull()).withColumn("score", F.when(stays, F.col("score")).otherwise(blend)).drop("_n", "_answered", "relevance")
+
+
+def looked_up(hits: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
+    """``hits``, a written table of few rows, with the columns of ``table`` for their keys, null where it has none: the table is reduced to the keys
+    of the hits before they are joined."""
+    return hits.join(table.join(joins.small(hits.select(*key).distinct()), key, "left_semi"), key, "left")
+
+
+def best_scenes(layers: Callable[[dict[str, DataFrame], bool], list[DataFrame]], tables: dict[str, DataFrame], n: int, allowed: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
+    """The n best scenes of each query among the allowed hits of ``layers(tables, brief)``, deduplicated, with their rank. Scores alone, to nine digits,
+    decide which these are; only the rows of those scenes are then searched again for all that a hit shows."""
+    scores = reduce(DataFrame.union, [hits.select("query_id", "scene_index", "score") for hits in layers(tables, True)])
+    best = allowed(scores.groupBy("query_id", "scene_index").agg(F.round(F.max("score"), 9).alias("by")))
+    best = shared.written(top(best, n, "by").select("query_id", "scene_index", "rank"), "scenes")
+    scenes = joins.small(best.select("scene_index").distinct())
+    narrow = {name: rows.join(scenes, "scene_index", "left_semi") for name, rows in tables.items()}
+    hits = merged(layers(narrow, False)).join(joins.small(best.select("query_id", "scene_index")), ["query_id", "scene_index"], "left_semi")
+    return deduplicated(hits).join(joins.small(best), ["query_id", "scene_index"])
+
+
+def search_memory(
+    memory: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, character=None, time_range: tuple | None = None, scene_type: str | None = None, answers: DataFrame | Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The whole funnel for queries (query_id, query, embedding) over one memory.
+
+    ``memory``: units (scene_index, combined_text, transcript, vision, embedding), transcripts, vision, events and index as their layers
+    read them, shots (scene_index, start_cs, end_cs) and appearances (character, shot). The five layers are merged and filtered, hits of one scene
+    become one, the 20 best are reranked by ``answers`` (query_id, index, relevance, pos; or a function from candidates to them) where there are more
+    than three, and the ``top_k`` best are put in context. Ties go to the smaller scene, after the reranking to the better rank before.
+
+    Returns query_id, rank, scene_index, score, match_type, snippet, modalities (with "semantic" for reranked ones), refs, transcript, vision,
+    start_cs, end_cs, combined_text, context_before and context_after."""
+    near = shared.written(as_hits(vector_hits(memory["units"], queries)), "near")
+
+    def layers(rows: dict[str, DataFrame], brief: bool) -> DataFrame:
+        return [
+            near, transcript_hits(rows["transcripts"], queries, brief), vision_hits(rows["vision"], queries, brief), event_hits(rows["events"], queries, brief),
+            index_hits(rows["index"], queries, brief).drop("matches"),
+        ]
+
+    def allowed(hits: DataFrame) -> DataFrame:
+        if character is not None:
+            hits = of_character(hits, memory["appearances"], character)
+        if time_range is not None:
+            hits = within_time(hits, memory["shots"], *time_range)
+        if scene_type is not None:
+            hits = of_scene_type(hits, memory["vision"], scene_type)
+        return hits
+
+    found = best_scenes(layers, {name: memory[name] for name in ("transcripts", "vision", "events", "index")}, CANDIDATES, allowed)
+    found = shared.written(found.withColumn("index", F.col("rank") - 1).drop("rank"), "candidates")
+    if answers is not None:
+        given = answers(looked_up(found, memory["units"].select("scene_index", "combined_text"), ["scene_index"])) if callable(answers) else answers
+        found = reranked(found, given)
+        semantic = F.when(F.col("semantic"), F.array(F.lit("semantic"))).otherwise(F.array().cast("array<string>"))
+        found = found.withColumn("modalities", F.array_distinct(F.concat("modalities", semantic))).drop("semantic")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "index")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("index")
+    return enriched(shared.written(found, "found"), memory)
+
+
+def enriched(found: DataFrame, memory: dict[str, DataFrame]) -> DataFrame:
+    """``found``, a written table of hits, with their texts, their shot and what stands in the shots numbered one before and one after. A hit without
+    a transcript gets its unit's, else its scene's lines; one without a description its unit's, else the scene's own."""
+    lines = memory["transcripts"]
+    views = memory["vision"].groupBy("scene_index").agg(F.first("description").alias("_view"))
+    own = lines.select("scene_index", F.col("pos").cast("long").alias("transcript_at"), F.col("text").alias("_line"))
+    rows = looked_up(found, own.dropDuplicates(["scene_index", "transcript_at"]), ["scene_index", "transcript_at"])
+    in_shot = lines.groupBy("scene_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("_lines"))
+    units = memory["units"].select("scene_index", "combined_text", F.col("transcript").alias("_unit_line"), F.col("vision").alias("_unit_view"))
+    for table in (in_shot, units, views, memory["shots"].select("scene_index", "start_cs", "end_cs")):
+        rows = rows.join(table.join(joins.small(found.select("scene_index").distinct()), "scene_index", "left_semi"), "scene_index", "left")
+    shots = memory["shots"].select("scene_index").distinct()
+    around = memory["units"].join(shots, "scene_index", "left_semi").select("scene_index", T.prefix(F.col("combined_text"), SNIPPET).alias("text"))
+    for name, step in (("context_before", 1), ("context_after", -1)):
+        near = around.select((F.col("scene_index") + step).alias("scene_index"), F.nullif(F.col("text"), F.lit("")).alias(name))
+        rows = rows.join(near.join(joins.small(found.select("scene_index").distinct()), "scene_index", "left_semi"), "scene_index", "left")
+    filled = lambda *columns: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit(""))
+    has_shot = F.col("start_cs").isNotNull()
+    return rows.select(
+        "query_id", "rank", "scene_index", "score", "match_type", "snippet", "modalities", "refs", filled("_line", "_unit_line", "_lines").alias("transcript"),
+        F.when(F.col("vision_at").isNotNull(), F.col("_view")).otherwise(filled("_unit_view", "_view")).alias("vision"), "start_cs", "end_cs", "combined_text",
+        F.when(has_shot, F.col("context_before")).alias("context_before"), F.when(has_shot, F.col("context_after")).alias("context_after"),
+    )

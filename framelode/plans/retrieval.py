@@ -13,7 +13,7 @@ _TERMS = r"list_filter(regexp_split_to_array(lower({0}), '[\s\x{{3000}}]+'), lam
 _HITS = "len(list_filter(terms, lambda t: contains({0}, t)))"
 _ASKED = "asked AS (SELECT *, " + _TERMS.format("query") + " AS terms FROM search_queries)"
 _TRANSCRIPT = f"th AS (SELECT query_id, scene_index, {_HITS.format('lower(text)')} / len(terms) AS score, pos, text FROM transcripts, asked WHERE {_HITS.format('lower(text)')} > 0)"
-_SCENE = "lower(concat_ws(' ', description, mood, scene_type))"
+_SCENE = "lower(concat_ws(' ', description, mood, scene_type, array_to_string(objects, ' ')))"
 _VISION = f"vh AS (SELECT query_id, scene_index, {_HITS.format(_SCENE)} / len(terms) * 0.8::DOUBLE AS score, description FROM scenes, asked WHERE {_HITS.format(_SCENE)} > 0)"
 
 
@@ -62,19 +62,23 @@ def text_index_keywords(spark, sf_dir):
     return A.transcripts(spark, sf_dir).select("scene_index", "pos", F.size(k).alias("n_keywords"), F.array_join(k, " ").alias("keywords"))
 
 
+_INDEX_TERMS = f"list_distinct(list_concat({_TERMS.format('query')}, {_GRAMS.format(_PARTS.format('lower(query)'))}))"
+
+
 @query(
     "text_index_score",
     A.sql(
         "transcripts search_queries",
-        f"""SELECT query_id, scene_index, pos, m AS matches, round(least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE, 9) AS score FROM (
-        SELECT query_id, scene_index, pos, terms, len(list_intersect(terms, k)) + {_HITS.format('lower(text)')} AS m
+        f"""SELECT query_id, scene_index, pos, m AS matches, round_even(least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE, 3) AS score, left(text, 100) AS snippet,
+          array_to_string(CASE WHEN {_HITS.format('lower(text)')} > 0 THEN ['transcript'] ELSE ['index'] END, ',') AS modalities FROM (
+        SELECT query_id, scene_index, pos, text, terms, len(list_intersect(terms, k)) + {_HITS.format('lower(text)')} AS m
         FROM (SELECT *, {_KEYWORDS.format('text')} AS k FROM transcripts),
-        (SELECT query_id, list_distinct(list_concat({_TERMS.format('query')}, {_GRAMS.format(_PARTS.format('lower(query)'))})) AS terms FROM search_queries)) WHERE m > 0""",
+        (SELECT query_id, {_INDEX_TERMS} AS terms FROM search_queries)) WHERE m > 0""",
     ),
 )
 def text_index_score(spark, sf_dir):
-    rows = A.transcripts(spark, sf_dir).select(F.struct("scene_index", "pos").alias("scene_index"), F.col("text").alias("combined_text"), T.keywords(F.col("text")).alias("keywords"))
-    return S.index_hits(rows, A.search_queries(spark, sf_dir)).select("query_id", "scene_index.scene_index", "scene_index.pos", "matches", F.round("score", 9).alias("score"))
+    rows = A.transcripts(spark, sf_dir).select(F.struct("scene_index", "pos").alias("scene_index"), F.col("text").alias("combined_text"), T.keywords(F.col("text")).alias("keywords"), F.col("text").alias("transcript"), F.lit("").alias("vision_description"))
+    return S.index_hits(rows, A.search_queries(spark, sf_dir)).select("query_id", "scene_index.scene_index", "scene_index.pos", "matches", "score", "snippet", F.array_join("modalities", ",").alias("modalities"))
 
 
 def _merged(spark, sf_dir):
@@ -82,21 +86,29 @@ def _merged(spark, sf_dir):
     return S.merged([S.transcript_hits(A.transcripts(spark, sf_dir), asked), S.vision_hits(A.scenes(spark, sf_dir), asked)])
 
 
+_DEDUPE = """records AS (SELECT *, coalesce(score > max(score) OVER (PARTITION BY query_id, scene_index ORDER BY layer, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS record FROM hits),
+ kinds AS (SELECT query_id, scene_index, string_agg(m, ',' ORDER BY place) AS modalities FROM (SELECT query_id, scene_index, m, min((layer, pos, k)) AS place FROM (
+   SELECT query_id, scene_index, layer, pos, unnest(modalities) AS m, generate_subscripts(modalities, 1) AS k FROM hits) GROUP BY ALL) GROUP BY ALL),
+ best AS (SELECT query_id, scene_index, max(score) AS score, arg_max(match_type, (layer, pos)) FILTER (record) AS match_type, coalesce(arg_max(snippet, (layer, pos)) FILTER (record AND snippet <> ''), '') AS snippet,
+   count(DISTINCT ref) AS n_refs, coalesce(arg_min(transcript, (layer, pos)) FILTER (transcript <> ''), '') AS transcript, coalesce(arg_min(vision, (layer, pos)) FILTER (vision <> ''), '') AS vision FROM records GROUP BY ALL),
+ merged AS (SELECT * FROM best JOIN kinds USING (query_id, scene_index))"""
 _MERGE = [
     *("transcripts", "scenes", "search_queries", _ASKED, _TRANSCRIPT, _VISION),
-    """hits AS (SELECT query_id, scene_index, score, 'keyword_transcript' AS match_type, left(text, 100) AS snippet, text AS transcript, '' AS vision, 'transcript' AS modality, 'transcripts#t' || pos AS ref, 0 AS layer, pos FROM th
-  UNION ALL SELECT query_id, scene_index, score, 'keyword_vision', left(description, 100), '', description, 'vision', 'vision#scene_' || scene_index, 1, scene_index FROM vh),
- records AS (SELECT *, coalesce(score > max(score) OVER (PARTITION BY query_id, scene_index ORDER BY layer, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS record FROM hits),
- merged AS (SELECT query_id, scene_index, max(score) AS score, arg_max(match_type, (layer, pos)) FILTER (record) AS match_type, coalesce(arg_max(snippet, (layer, pos)) FILTER (record AND snippet <> ''), '') AS snippet,
-   CASE WHEN count(*) FILTER (layer = 0) > 0 AND count(*) FILTER (layer = 1) > 0 THEN 'transcript,vision' WHEN min(layer) = 0 THEN 'transcript' ELSE 'vision' END AS modalities,
-   count(DISTINCT ref) AS n_refs, coalesce(arg_min(transcript, (layer, pos)) FILTER (transcript <> ''), '') AS transcript, coalesce(arg_min(vision, (layer, pos)) FILTER (vision <> ''), '') AS vision FROM records GROUP BY ALL)""",
+    """hits AS (SELECT query_id, scene_index, score, 'keyword_transcript' AS match_type, left(text, 100) AS snippet, text AS transcript, '' AS vision, ['transcript'] AS modalities, 'transcripts#t' || pos AS ref, 0 AS layer, pos FROM th
+  UNION ALL SELECT query_id, scene_index, score, 'keyword_vision', left(description, 100), '', description, ['vision'], 'vision#scene_' || scene_index, 1, scene_index FROM vh)""",
+    _DEDUPE,
 ]
 
 
 @query("merge_dedupe_modalities", A.sql(_MERGE, "SELECT query_id, scene_index, round(score, 6) AS score, match_type, snippet, modalities, n_refs, md5(transcript) AS transcript_md5, md5(vision) AS vision_md5 FROM merged"))
 def merge_dedupe_modalities(spark, sf_dir):
     out = S.deduplicated(_merged(spark, sf_dir))
-    return out.select("query_id", "scene_index", F.round("score", 6).alias("score"), "match_type", "snippet", F.array_join("modalities", ",").alias("modalities"), F.size("refs").cast("long").alias("n_refs"), F.md5("transcript").alias("transcript_md5"), F.md5("vision").alias("vision_md5"))
+    # digests, not texts, meet the hits
+    lines = A.transcripts(spark, sf_dir).select("scene_index", F.col("pos").cast("long").alias("transcript_at"), F.md5("text").alias("transcript_md5"))
+    views = A.scenes(spark, sf_dir).select("scene_index", F.col("scene_index").alias("vision_at"), F.md5("description").alias("vision_md5"))
+    out = out.join(lines, ["scene_index", "transcript_at"], "left").join(views, ["scene_index", "vision_at"], "left")
+    filled = lambda c: F.coalesce(c, F.md5(F.lit(""))).alias(c)
+    return out.select("query_id", "scene_index", F.round("score", 6).alias("score"), "match_type", "snippet", F.array_join("modalities", ",").alias("modalities"), F.size("refs").cast("long").alias("n_refs"), filled("transcript_md5"), filled("vision_md5"))
 
 
 @query(
@@ -104,10 +116,107 @@ def merge_dedupe_modalities(spark, sf_dir):
     A.sql(_MERGE, "SELECT query_id, CAST(rank AS INTEGER) AS rank, scene_index, round(score, 6) AS score, match_type, modalities, snippet FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, scene_index) AS rank FROM merged) WHERE rank <= 10"),
 )
 def kw_search_topk(spark, sf_dir):
-    ranked = S.top(S.deduplicated(_merged(spark, sf_dir)).withColumn("_by", F.round("score", 9)), 10, by="_by")
+    asked = A.search_queries(spark, sf_dir)
+    layers = lambda rows, brief: [S.transcript_hits(rows["transcripts"], asked, brief), S.vision_hits(rows["vision"], asked, brief)]
+    ranked = S.best_scenes(layers, {"transcripts": A.transcripts(spark, sf_dir), "vision": A.scenes(spark, sf_dir)}, 10)
     return ranked.select("query_id", "rank", "scene_index", F.round("score", 6).alias("score"), "match_type", F.array_join("modalities", ",").alias("modalities"), "snippet")
 
 
+# One memory for the whole funnel: a scene is a document's number, its lines are a conversation's.
+_MEMORY = [
+    *("shots", "story_events", "transcripts", "scenes"),
+    "mq AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') || ' ' || ['click', 'obj_3', 'TENSE purchase', ''][item_id % 4 + 1] AS query, embedding::DOUBLE[] AS embedding FROM benchmark JOIN embeddings ON vec_id = item_id * 3)",
+    "asked AS (SELECT *, " + _TERMS.format("query") + " AS terms FROM mq)",
+    _TRANSCRIPT,
+    _VISION,
+    "sh AS (SELECT doc_id AS scene_index, doc_id * 100 AS start_cs, doc_id * 100 + 100 AS end_cs FROM documents WHERE doc_id % 17 > 0 GROUP BY doc_id)",
+    f"""eh AS (SELECT query_id, scene_index, event_id AS pos, description, least({_HITS.format('txt')} / len(terms) * 0.9::DOUBLE * (1 + importance * 0.05::DOUBLE), 2.0::DOUBLE) AS score FROM (
+      SELECT *, lower(concat_ws(' ', description, event_type, emotion)) AS txt FROM (SELECT video_id AS scene_index, event_id, event_type, importance, 'user ' || event_type || ' ' || importance AS description, CASE WHEN importance >= 7 THEN 'tense' ELSE 'calm' END AS emotion FROM story_events)), asked
+      WHERE {_HITS.format('txt')} > 0)""",
+    f"""un AS (SELECT scene_index, string_agg(text, ' ' ORDER BY pos) AS combined_text, arg_min(text, pos) AS transcript, arg_max(text, pos) AS vision FROM transcripts GROUP BY scene_index),
+    ix AS (SELECT query_id, scene_index, terms, len(list_intersect(terms, k)) + {_HITS.format('lower(combined_text)')} AS m, transcript, vision FROM (SELECT *, {_KEYWORDS.format('combined_text')} AS k FROM un), (SELECT query_id, {_INDEX_TERMS} AS terms FROM mq)),
+    ih AS (SELECT *, round_even(least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE, 3) AS score, list_concat(CASE WHEN {_HITS.format('lower(transcript)')} > 0 THEN ['transcript'] ELSE [] END, CASE WHEN {_HITS.format('lower(vision)')} > 0 THEN ['vision'] ELSE [] END) AS ms FROM ix WHERE m > 0)""",
+    """eb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scene_index) AS rank FROM (SELECT q.query_id, u.vec_id AS scene_index, round(list_cosine_similarity(u.embedding::DOUBLE[], q.embedding), 9) AS score FROM embeddings u, mq q)) WHERE rank <= 50)""",
+    """every_hit AS (SELECT query_id, scene_index, score, 'embedding' AS match_type, '' AS snippet, '' AS transcript, '' AS vision, ['embedding'] AS modalities, 'vectors#' || scene_index AS ref, 0 AS layer, rank AS pos FROM eb
+  UNION ALL SELECT query_id, scene_index, score, 'keyword_transcript', left(text, 100), text, '', ['transcript'], 'transcripts#t' || pos, 1, pos FROM th
+  UNION ALL SELECT query_id, scene_index, score, 'keyword_vision', left(description, 100), '', description, ['vision'], 'vision#scene_' || scene_index, 2, scene_index FROM vh
+  UNION ALL SELECT query_id, scene_index, score, 'keyword_event', left(description, 100), '', '', ['event'], 'events#event_' || pos, 3, pos FROM eh
+  UNION ALL SELECT query_id, scene_index, score, 'index', left(coalesce(nullif(vision, ''), transcript, ''), 100), '', '', CASE WHEN len(ms) = 0 THEN ['index'] ELSE ms END, 'search_index#scene_' || scene_index, 4, 0 FROM ih)""",
+]
+_FUNNEL = [
+    _DEDUPE,
+    """top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scene_index) - 1 AS "index", count(*) OVER (PARTITION BY query_id) AS n FROM merged) WHERE "index" < 20),
+ answered AS (SELECT *, ((query_id * 7 + "index" * 3) % 11) / 11.0::DOUBLE AS relevance FROM top20),
+ blended AS (SELECT * REPLACE (CASE WHEN stays THEN score WHEN semantic THEN round_even(score * 0.3::DOUBLE + relevance * 0.7::DOUBLE, 3) ELSE score * 0.3::DOUBLE END AS score) FROM (
+   SELECT *, n < 4 OR query_id % 5 = 0 AS stays, NOT (n < 4 OR query_id % 5 = 0) AND "index" % 2 = 0 AND relevance > 0.2::DOUBLE AS semantic FROM answered)),
+ top_k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "index") AS rank FROM blended) WHERE rank <= 10),
+ lines AS (SELECT scene_index, string_agg(text, ' ' ORDER BY pos) AS every_line FROM transcripts GROUP BY scene_index)""",
+]
+_SHOWN = """SELECT query_id, CAST(rank AS INTEGER) AS rank, t.scene_index, round(score, 6) AS score, match_type, snippet, CASE WHEN semantic THEN modalities || ',semantic' ELSE modalities END AS modalities, n_refs,
+  md5(coalesce(nullif(t.transcript, ''), nullif(un.transcript, ''), every_line, '')) AS transcript_md5, md5(coalesce(nullif(t.vision, ''), nullif(un.vision, ''), d.text, '')) AS vision_md5, sh.start_cs, sh.end_cs, md5(un.combined_text) AS unit_md5,
+  CASE WHEN sh.scene_index IS NOT NULL AND s0.scene_index IS NOT NULL THEN left(u0.combined_text, 100) END AS context_before, CASE WHEN sh.scene_index IS NOT NULL AND s2.scene_index IS NOT NULL THEN left(u2.combined_text, 100) END AS context_after
+  FROM top_k t LEFT JOIN un ON un.scene_index = t.scene_index LEFT JOIN lines ON lines.scene_index = t.scene_index LEFT JOIN documents d ON d.doc_id = t.scene_index LEFT JOIN sh ON sh.scene_index = t.scene_index
+  LEFT JOIN sh s0 ON s0.scene_index = t.scene_index - 1 LEFT JOIN un u0 ON u0.scene_index = t.scene_index - 1 LEFT JOIN sh s2 ON s2.scene_index = t.scene_index + 1 LEFT JOIN un u2 ON u2.scene_index = t.scene_index + 1"""
+
+
+def _funnel_sql(condition: str) -> str:
+    return A.sql([*_MEMORY, "appearances", f"hits AS (SELECT * FROM every_hit WHERE {condition})", *_FUNNEL], _SHOWN)
+
+
+def _memory(spark, sf_dir):
+    col = F.col
+    lines = A.transcripts(spark, sf_dir)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    units = lines.groupBy("scene_index").agg(F.array_join(ordered, " ").alias("combined_text"), F.min_by("text", "pos").alias("transcript"), F.max_by("text", "pos").alias("vision"))
+    vectors = A.table(spark, sf_dir, "embeddings").select(col("vec_id").alias("scene_index"), "embedding")
+    docs = A.table(spark, sf_dir, "documents").where("doc_id % 17 > 0").select("doc_id").distinct()
+    return {
+        "units": units.join(vectors, "scene_index", "full"), "transcripts": lines, "vision": A.scenes(spark, sf_dir), "events": _event_rows(spark, sf_dir), "appearances": A.appearances(spark, sf_dir),
+        "index": units.select("scene_index", "combined_text", T.keywords(col("combined_text")).alias("keywords"), "transcript", col("vision").alias("vision_description")),
+        "shots": docs.select(col("doc_id").alias("scene_index"), (col("doc_id") * 100).alias("start_cs"), (col("doc_id") * 100 + 100).alias("end_cs")),
+    }
+
+
+def _asked(spark, sf_dir):
+    more = F.element_at(F.array(*map(F.lit, ("click", "obj_3", "TENSE purchase", ""))), (F.col("item_id") % 4 + 1).cast("int"))
+    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    vectors = A.table(spark, sf_dir, "embeddings").select((F.col("vec_id") / 3).alias("item_id"), "embedding")
+    return A.table(spark, sf_dir, "benchmark").join(vectors, "item_id").select(F.col("item_id").alias("query_id"), F.concat(words, F.lit(" "), more).alias("query"), "embedding")
+
+
+def _answers(candidates):
+    """A model's answers: every second candidate, and none for every fifth query."""
+    rows = candidates.where("index % 2 = 0 AND query_id % 5 > 0")
+    return rows.select("query_id", "index", (((F.col("query_id") * 7 + F.col("index") * 3) % 11) / 11).alias("relevance"), F.col("index").alias("pos"))
+
+
+def _shown(found):
+    return found.select(
+        "query_id", "rank", "scene_index", F.round("score", 6).alias("score"), "match_type", "snippet", F.array_join("modalities", ",").alias("modalities"), F.size("refs").cast("long").alias("n_refs"),
+        F.md5("transcript").alias("transcript_md5"), F.md5("vision").alias("vision_md5"), "start_cs", "end_cs", F.md5("combined_text").alias("unit_md5"), "context_before", "context_after",
+    )
+
+
+@query("search_memory", _funnel_sql("true"))
+def search_memory(spark, sf_dir):
+    return _shown(S.search_memory(_memory(spark, sf_dir), _asked(spark, sf_dir), answers=_answers))
+
+
+@query("search_memory_character", _funnel_sql("scene_index IN (SELECT shot FROM appearances WHERE character = 5)"))
+def search_memory_character(spark, sf_dir):
+    return _shown(S.search_memory(_memory(spark, sf_dir), _asked(spark, sf_dir), answers=_answers, character=5))
+
+
+@query("search_memory_time", _funnel_sql("scene_index IN (SELECT scene_index FROM sh WHERE start_cs >= 500 AND end_cs <= 15000)"))
+def search_memory_time(spark, sf_dir):
+    return _shown(S.search_memory(_memory(spark, sf_dir), _asked(spark, sf_dir), answers=_answers, time_range=(500, 15000)))
+
+
+@query("search_memory_scene_type", _funnel_sql("scene_index IN (SELECT scene_index FROM scenes WHERE contains(lower(scene_type), 'src1'))"))
+def search_memory_scene_type(spark, sf_dir):
+    return _shown(S.search_memory(_memory(spark, sf_dir), _asked(spark, sf_dir), answers=_answers, scene_type="SRC1"))
+
+
 @query("filter_character", A.sql("appearances", "SELECT 5 AS asked, o_orderkey AS scene_index FROM orders WHERE o_orderkey IN (SELECT shot FROM appearances WHERE character = 5) UNION ALL SELECT -1, o_orderkey FROM orders"))
 def filter_character(spark, sf_dir):
     hits, who = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scene_index")), A.appearances(spark, sf_dir)
@@ -150,7 +259,7 @@ def vector_topn(spark, sf_dir):
     "rerank_blend",
     A.sql(
         "clips",
-        """SELECT plan_id AS query_id, clip_index AS "index", semantic, round(CASE WHEN stays THEN score WHEN semantic THEN score * 0.3::DOUBLE + relevance * 0.7::DOUBLE ELSE score * 0.3::DOUBLE END, 6) AS score FROM (
+        """SELECT plan_id AS query_id, clip_index AS "index", semantic, round(CASE WHEN stays THEN score WHEN semantic THEN round_even(score * 0.3::DOUBLE + relevance * 0.7::DOUBLE, 3) ELSE score * 0.3::DOUBLE END, 6) AS score FROM (
         SELECT c.plan_id, c.clip_index, c.score, a.relevance, (c.n < 4 OR x.plan_id IS NULL) AS stays, NOT (c.n < 4 OR x.plan_id IS NULL) AND a.relevance IS NOT NULL AS semantic
         FROM (SELECT plan_id, clip_index, (clip_id % 97) / 97.0::DOUBLE AS score, count(*) OVER (PARTITION BY plan_id) AS n FROM clips) c
         LEFT JOIN (SELECT plan_id, clip_index, (clip_id % 11) / 11.0::DOUBLE AS relevance FROM clips WHERE clip_index % 2 = 0 AND (clip_id % 11) / 11.0::DOUBLE > 0.2::DOUBLE AND plan_id % 5 > 0) a USING (plan_id, clip_index)

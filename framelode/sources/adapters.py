@@ -40,8 +40,9 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as described scenes: text, mood and type."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scene_index"), F.col("text").alias("description"), F.col("lang").alias("mood"), F.col("source").alias("scene_type"))
+    """Documents as described scenes: text, mood, type and what is in them."""
+    objects = F.array(F.concat(F.lit("obj_"), F.coalesce("n_chars", F.lit(0)) % 7))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scene_index"), F.col("text").alias("description"), F.col("lang").alias("mood"), F.col("source").alias("scene_type"), objects.alias("objects"))
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ CTES = {
   SELECT s.video_id, s.event_id, s.event_type, s.start_cs, s.end_cs + 500 AS end_cs, CAST(CAST(json_extract(e.props, '$.k') AS INTEGER) // 10 AS INTEGER) + 1 AS importance
   FROM shots s JOIN events e USING (event_id))""",
     "transcripts": "transcripts AS (SELECT conv_id AS scene_index, turn AS pos, role AS speaker, text FROM conversations)",
-    "scenes": "scenes AS (SELECT doc_id AS scene_index, text AS description, lang AS mood, source AS scene_type FROM documents)",
+    "scenes": "scenes AS (SELECT doc_id AS scene_index, text AS description, lang AS mood, source AS scene_type, ['obj_' || (coalesce(n_chars, 0) % 7)] AS objects FROM documents)",
     "search_queries": "search_queries AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS query FROM benchmark)",
     "signals": """signals AS (
   SELECT doc_id AS unit_index, source AS unit_type, (n_chars % 1000) / 1000.0::DOUBLE AS hook_score, quality::DOUBLE AS clarity_score, toxic::DOUBLE AS tension_score, (doc_id * 7 % 100) / 100.0::DOUBLE AS emotion_score

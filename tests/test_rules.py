@@ -66,10 +66,10 @@ def test_touching_intervals_do_not_overlap(spark):
 
 
 def test_merging_of_hits(spark):
-    rows = [(1, 1, 0.7, "embedding", "", "", "", ["embedding"], ["e"], (0, 1, 0)), (1, 1, 0.7, "keyword_transcript", "t", "t", "", ["transcript"], ["t"], (1, 1, 0)), (1, 1, 0.8, "keyword_vision", "v", "", "v", ["vision"], ["v"], (2, 1, 0))]
-    kind = "query_id long, scene_index long, score double, match_type string, snippet string, transcript string, vision string, modalities array<string>, refs array<string>, ord struct<layer: int, scene: long, pos: long>"
+    rows = [(1, 1, 0.7, "embedding", "", None, None, ["embedding"], ["e"], (0, 1, 0)), (1, 1, 0.7, "keyword_transcript", "t", 4, None, ["transcript"], ["t"], (1, 1, 4)), (1, 1, 0.8, "keyword_vision", "v", None, 1, ["vision"], ["v"], (2, 1, 0))]
+    kind = "query_id long, scene_index long, score double, match_type string, snippet string, transcript_at long, vision_at long, modalities array<string>, refs array<string>, ord struct<layer: int, scene: long, pos: long>"
     whole = search.deduplicated(spark.createDataFrame(rows, kind)).first()
-    assert (whole.score, whole.match_type, whole.modalities, whole.transcript, whole.vision) == (0.8, "keyword_vision", ["embedding", "transcript", "vision"], "t", "v")
+    assert (whole.score, whole.match_type, whole.modalities, whole.transcript_at, whole.vision_at) == (0.8, "keyword_vision", ["embedding", "transcript", "vision"], 4, 1)
     two = search.deduplicated(spark.createDataFrame(rows[:2], kind)).first()
     assert (two.score, two.match_type, two.snippet) == (0.7, "embedding", "")
 
