@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 TRUE_WORDS = ("true", "yes", "y", "1", "是", "有")
 FALSE_WORDS = ("false", "no", "n", "0", "否", "无", "none", "null", "")
 #: Media types by file extension.
-MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif", "mp4": "video/mp4", "mov": "video/quicktime", "mp3": "audio/mpeg", "wav": "audio/wav"}
+MEDIA_TYPES = {
+    "mp4": "video/mp4", "avi": "video/x-msvideo", "mov": "video/quicktime", "webm": "video/webm", "mkv": "video/x-matroska",
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif",
+    "wav": "audio/wav", "mp3": "audio/mpeg", "flac": "audio/flac", "ogg": "audio/ogg", "m4a": "audio/mp4",
+}
 
 
 def safe_float(value: Column, default: float = 0.0) -> Column:
@@ -31,8 +35,10 @@ def unit_score(value: Column, default: float = 0.0) -> Column:
 
 
 def safe_bool(value: Column, default: bool = False) -> Column:
+    """Words for true and false; a number is true unless it is zero; the default for all else."""
     text = F.lower(F.trim(value))
-    return F.when(text.isin(*TRUE_WORDS), True).when(text.isin(*FALSE_WORDS), False).otherwise(default)
+    number = text.try_cast("double")
+    return F.when(text.isin(*TRUE_WORDS), True).when(text.isin(*FALSE_WORDS), False).when(number.isNotNull(), number != 0).otherwise(default)
 
 
 def frame_rate(ratio: Column, default: float = 30.0) -> Column:

@@ -49,6 +49,13 @@ def query_terms(query: Column) -> Column:
     return F.array_distinct(F.concat(tokens(query), two_grams(F.lower(query))))
 
 
+def description_words(text: Column) -> Column:
+    """The distinct words of a text with spaces, and all two-character substrings of one without; case stays."""
+    some = F.coalesce(text, F.lit(""))
+    pairs = F.when(F.length(some) > 2, pairs_of(some)).when(some != "", F.array(some)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.when(F.contains(some, F.lit(" ")), parts(some)).otherwise(pairs))
+
+
 def hits(terms: Column, text: Column) -> Column:
     """How many of the terms, repeated ones each time, are substrings of the lower-cased text."""
     low = F.lower(text)

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import vector as V
+from framelode.operators import shared
 
 #: Fixed values of the rules.
 EPS, LEAST_POINTS, SPLIT_EPS, MOST_RADIUS = 0.42, 3, 0.30, 0.34
 CENTROID_ALONE, LINK, CENTROID_WITH_LINK, STRONG, CENTROID_WITH_STRONG = 0.86, 0.78, 0.62, 0.82, 0.50
+PASSERBY = 3
 LEAST_DET, SIDE_YAW, SIDE_OFFSET = 0.65, 35.0, 0.35
 SLACK = 1e-9
 #: Faces of a block of the all-pairs comparison.
@@ -60,8 +62,8 @@ def core_points(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS) -
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """A step of a loop, in the shared folder where there is one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """A step of a loop, in the shared folder."""
+    return shared.written(df, "cluster")
 
 
 def density_labels(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS) -> DataFrame:
@@ -192,11 +194,17 @@ def merged(pairs: DataFrame, keyframes: DataFrame) -> DataFrame:
     return pairs.groupBy("video_id").cogroup(keyframes.groupBy("video_id")).applyInPandas(step, "video_id long, cluster long, merged long")
 
 
-def tiers(faces: DataFrame, key: str, n_shots: int, long: bool) -> DataFrame:
-    """main for clusters in 10 scenes or a twentieth of the shots, passerby for few faces (2, or for long videos 5), else minor."""
-    least, few = max(10, int(0.05 * n_shots)), 5 if long else 2
+def tier_bounds(n_shots: int, seconds: float) -> tuple[int, int]:
+    """Scenes from which a cluster is major and minor, by a video's shots and length: 10 or a twentieth of the shots; 2 below 10 minutes,
+    ``PASSERBY`` below 30, then 5 or that."""
+    return max(10, int(n_shots * 0.05)), 2 if seconds < 600 else PASSERBY if seconds < 1800 else max(5, PASSERBY)
+
+
+def tiers(faces: DataFrame, key: str, n_shots: int, seconds: float) -> DataFrame:
+    """n_faces, n_scenes and tier of each cluster, by the number of its scenes."""
+    major, minor = tier_bounds(n_shots, seconds)
     counts = faces.groupBy(key).agg(F.count("*").alias("n_faces"), F.countDistinct("scene_index").alias("n_scenes"))
-    return counts.withColumn("tier", F.when(F.col("n_scenes") >= least, "main").when(F.col("n_faces") < few, "passerby").otherwise("minor"))
+    return counts.withColumn("tier", F.when(F.col("n_scenes") >= major, "major").when(F.col("n_scenes") >= minor, "minor").otherwise("passerby"))
 
 
 def best_of_scene(faces: DataFrame, key: str) -> DataFrame:

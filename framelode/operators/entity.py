@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import text as T
+from framelode.operators import shared
 
 #: Fixed values of the rules.
 LEAST_CONFIDENCE, LEAST_CHUNKS = 0.85, 2
 WEIGHTS = (0.4, 0.3, 0.3)
-TIERS = ("main", "minor", "passerby")
+TIERS = ("major", "minor", "passerby")
+#: The fallback roles by screen time.
+ROLES, OTHER_ROLE = ("male_lead", "female_lead"), "supporting"
 TEMPORARY = "char_tmp_"
 
 
@@ -74,17 +77,21 @@ def canonical(links: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(min(rounds, steps)):
         onward = now.select(F.col("id").alias("to"), F.col("to").alias("next"))
         now = now.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-        now = now.checkpoint() if now.sparkSession.conf.get("spark.checkpoint.dir", None) else now
+        now = shared.written(now, "canonical")
     ends = links.where("merged <> kept").select(F.col("merged").alias("to")).distinct()
     return now.join(ends.withColumn("_loop", F.lit(True)), "to", "left").select("id", F.when(F.col("_loop"), F.col("id")).otherwise(F.col("to")).alias("canonical"))
 
 
-def renamed(rows: DataFrame, column: str, names: DataFrame, is_list: bool = False) -> DataFrame:
-    """``column`` with canonical ids put for merged ones; in lists repeated ids keep their first place."""
-    table = names.select(F.map_from_entries(F.collect_list(F.struct("id", "canonical"))).alias("_names"))  # one row: the merged identities
-    key = lambda c: F.coalesce(F.try_element_at("_names", c), c)
-    changed = F.array_distinct(F.transform(column, key)) if is_list else key(F.col(column))
-    return rows.crossJoin(F.broadcast(table)).withColumn(column, changed).drop("_names")
+def renamed(rows: DataFrame, column: str, names: DataFrame, key: list[str], is_list: bool = False) -> DataFrame:
+    """``column`` with canonical ids put for merged ones (names: id, canonical), by an equi-join; in lists, which ``key`` tells apart, repeated ids keep
+    their first place, and a null list stays null."""
+    own = names.select(F.col("id").alias("_id"), F.col("canonical").alias("_canonical")).dropDuplicates(["_id"])
+    if not is_list:
+        return rows.join(own, F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_canonical", column)).drop("_id", "_canonical")
+    each = rows.select(*key, F.posexplode(column).alias("_place", "_one")).join(own, F.col("_one") == F.col("_id"), "left")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("_place", F.coalesce("_canonical", "_one").alias("id")))), lambda x: x["id"])
+    lists = each.groupBy(*key).agg(F.array_distinct(ids).alias("_list"))
+    return rows.join(lists, key, "left").withColumn(column, F.coalesce("_list", column)).drop("_list")
 
 
 def profiles(updates: DataFrame) -> DataFrame:
@@ -104,7 +111,7 @@ def profiles(updates: DataFrame) -> DataFrame:
 def roles(screen: DataFrame) -> DataFrame:
     """The fallback roles of each video's characters by screen time."""
     n = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("screen_cs"), "character"))
-    return screen.withColumn("role", F.when(n == 1, "protagonist").when(n == 2, "deuteragonist").otherwise("supporting"))
+    return screen.withColumn("role", F.coalesce(F.try_element_at(F.array(*map(F.lit, ROLES)), n), F.lit(OTHER_ROLE)))
 
 
 def speakers_map(transcripts: DataFrame) -> DataFrame:

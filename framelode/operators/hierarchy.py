@@ -38,3 +38,10 @@ def members(parents: DataFrame, children: DataFrame, parent: str, child: str) ->
 def missing(anchor: DataFrame, present: DataFrame, key: list[str]) -> DataFrame:
     """Rows of the anchor that nothing covers."""
     return anchor.join(present.select(*key).distinct(), key, "left_anti")
+
+
+def completed(present: DataFrame, anchor: DataFrame, key: list[str], defaults: dict) -> DataFrame:
+    """``present`` and a row of ``defaults``, null for all else, for each key of the anchor that it doesn't cover, which ``filled`` tells apart."""
+    bare = missing(anchor.select(*key).distinct(), present, key)
+    holes = bare.select(*key, *[F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name) for f in present.schema if f.name not in key])
+    return present.withColumn("filled", F.lit(False)).unionByName(holes.withColumn("filled", F.lit(True)))

@@ -6,11 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import text as T
-
-
-def text_index(units: DataFrame) -> DataFrame:
-    """scene_index, combined_text and its keywords."""
-    return units.select("scene_index", "combined_text", T.keywords(F.col("combined_text")).alias("keywords"))
+from framelode.functions import vector as V
+from framelode.operators import joins, temporal
+
+#: The signals by which units are ranked.
+SIGNALS = ("hook_score", "plot_importance", "emotional_intensity", "visual_impact", "independence_score", "boundary_quality")
+#: Centiseconds of a bin in which times are joined.
+BIN = 6000
+
+
+def text_index(shots: DataFrame, units: DataFrame, transcripts: DataFrame, vision: DataFrame, events: DataFrame, characters: DataFrame) -> DataFrame:
+    """An entry for each shot (scene_index, start_cs, end_cs): the text, transcript, description and characters of its unit (scene_index, combined_text,
+    transcript, vision_description, characters), and for a shot without one what stands in the tables: the lines (start_cs, text) that begin in its time,
+    its view (scene_index, description, mood), the events (event_id, start_cs, end_cs, description) that overlap it, and who (display_name, scene_index) is in it.
+    With the keywords of the text."""
+    bare = shots.join(units.select("scene_index"), "scene_index", "left_anti").select("scene_index", "start_cs", "end_cs")
+    span = bare.withColumnsRenamed({"start_cs": "l_start", "end_cs": "l_end"}).withColumn("v", F.lit(0))
+    points = transcripts.select(F.lit(0).alias("v"), F.col("start_cs").alias("r_start"), (F.col("start_cs") + 1).alias("r_end"), "text")
+    ordered = lambda at, of: F.transform(F.array_sort(F.collect_list(F.struct(at, of))), lambda x: x[of])
+    said = temporal.overlapping(span, points, "v", BIN).where("r_start >= l_start and r_start < l_end").groupBy("scene_index").agg(F.array_join(ordered("r_start", "text"), " ").alias("_said"))
+    spans = events.select(F.lit(0).alias("v"), F.col("start_cs").alias("r_start"), F.col("end_cs").alias("r_end"), "event_id", "description")
+    happens = temporal.overlapping(span, spans, "v", BIN).groupBy("scene_index").agg(ordered("event_id", "description").alias("_events"))
+    view = joins.keep(vision, ["scene_index"], ["description"], last=False).select("scene_index", F.col("description").alias("_view"), F.col("mood").alias("_mood"))
+    who = characters.groupBy("scene_index").agg(F.array_sort(F.collect_set("display_name")).alias("_who"))
+    rows = bare
+    for side in (said, happens, view, who):
+        rows = rows.join(side, "scene_index", "left")
+    filled = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c))
+    collected = rows.select(
+        "scene_index", F.concat_ws(" ", filled("_said"), filled("_view"), filled("_mood"), F.coalesce("_events", F.array().cast("array<string>"))).alias("combined_text"),
+        F.coalesce("_said", F.lit("")).alias("transcript"), F.coalesce("_view", F.lit("")).alias("vision_description"), F.coalesce("_who", F.array().cast("array<string>")).alias("characters"),
+    )
+    known = shots.select("scene_index").join(units.select(*collected.columns), "scene_index")
+    return known.union(collected).withColumn("keywords", T.keywords(F.col("combined_text")))
+
+
+def vector_index(units: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Units (scene_index, combined_text) whose text is not blank, with the unit vector of their embedding (scene_index, embedding); no rows
+    if all texts are blank."""
+    rows = units.where(F.trim("combined_text") != "").join(embedded.where("embedding is not null"), "scene_index")
+    return rows.select("scene_index", V.unit(F.col("embedding").cast("array<double>")).alias("embedding"))
+
+
+def relation_index(relations: DataFrame) -> DataFrame:
+    """relations (character_a, character_b, pos, ...) by their key "a|b"; of several of one pair the last counts."""
+    return joins.keep(relations, ["character_a", "character_b"], ["pos"]).withColumn("relation_key", F.concat_ws("|", "character_a", "character_b")).drop("pos")
+
+
+def chapter_index(chapters: DataFrame) -> DataFrame:
+    """chapters by the text of their number; of several of one number the last by start counts."""
+    return joins.keep(chapters, ["chapter_index"], ["start_cs"]).withColumn("chapter_key", F.col("chapter_index").cast("string"))
 
 
 def character_units(characters: DataFrame, units: DataFrame) -> DataFrame:
@@ -47,7 +92,10 @@ def by_tag(rows: DataFrame, tags: Column, ref: str) -> DataFrame:
     return rows.select(F.explode(tags).alias("tag"), ref)
 
 
-def audio_tags(music: Column, sfx: Column, silence: Column, emotion: Column, silent: float = 0.7) -> Column:
-    filled = lambda c, name: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}:"), c))
-    fixed = F.array_compact(F.array(filled(music, "music"), F.when(silence > silent, F.lit("silence")), filled(emotion, "speech_emotion")))
-    return F.concat(fixed, F.transform(F.coalesce(sfx, F.array().cast("array<string>")), lambda s: F.concat(F.lit("sfx:"), s)))
+def audio_tags(has_music: Column, music_mood: Column, has_sfx: Column, sfx: Column, silence: Column, emotion: Column, silent: float = 0.7) -> Column:
+    """The tags of a shot's sound: music under its mood, "unknown" without one, effects, silence, the emotion of speech."""
+    mood = F.coalesce(F.nullif(music_mood, F.lit("")), F.lit("unknown"))
+    music = F.when(has_music, F.concat(F.lit("music:"), mood))
+    effects = F.when(has_sfx, F.transform(F.coalesce(sfx, F.array().cast("array<string>")), lambda s: F.concat(F.lit("sfx:"), s))).otherwise(F.array().cast("array<string>"))
+    rest = F.array_compact(F.array(F.when(silence > silent, F.lit("silence")), F.when(F.coalesce(emotion, F.lit("")) != "", F.concat(F.lit("speech_emotion:"), emotion))))
+    return F.concat(F.array_compact(F.array(music)), effects, rest)

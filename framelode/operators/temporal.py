@@ -25,7 +25,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, width: int, spans:
 
 def assigned(segments: DataFrame, shots: DataFrame, width: int = 30_000) -> DataFrame:
     """segments (video_id, segment_id, start_cs, end_cs) with the ``scene_index`` of the shot that holds their midpoint, or else of the shot
-    whose start is nearest to it (ties to the earlier one), and ``cross_shot``: whether they reach beyond that shot."""
+    whose start is nearest to it (ties to the earlier one; one video's segments that no shot holds are one sorted walk), and ``cross_shot``: whether they reach beyond that shot."""
     doubled = F.col("start_cs") + F.col("end_cs")
     own = segments.withColumn("twice", doubled).withColumn("_bin", F.floor(F.col("twice") / (2 * width)))
     ends = shots.select("video_id", "scene_index", F.col("start_cs").alias("shot_start"), F.col("end_cs").alias("shot_end"))
@@ -33,10 +33,17 @@ def assigned(segments: DataFrame, shots: DataFrame, width: int = 30_000) -> Data
     inside = own.join(dealt, ["video_id", "_bin"]).where((2 * F.col("shot_start") <= F.col("twice")) & (F.col("twice") < 2 * F.col("shot_end")))
     inside = inside.select("video_id", "segment_id", "start_cs", "end_cs", "scene_index", "shot_start", "shot_end")
     rest = own.join(inside.select("video_id", "segment_id"), ["video_id", "segment_id"], "left_anti")
-    near = rest.join(ends, "video_id").groupBy("video_id", "segment_id", "start_cs", "end_cs").agg(
-        F.min_by(F.struct("scene_index", "shot_start", "shot_end"), F.struct(F.abs(2 * F.col("shot_start") - F.col("twice")), "shot_start", "scene_index")).alias("s")
-    )
-    near = near.select("video_id", "segment_id", "start_cs", "end_cs", "s.*")
+    # as of the midpoint: the last start before it and the first behind it, in one walk over both in order of time
+    starts = ends.groupBy("video_id", "shot_start").agg(F.min(F.struct("scene_index", "shot_start", "shot_end")).alias("s"))
+    marks = starts.select("video_id", (2 * F.col("shot_start")).alias("at"), F.lit(0).alias("kind"), "s", F.lit(None).cast(rest.select(F.struct("segment_id", "start_cs", "end_cs")).schema[0].dataType).alias("segment"))
+    points = rest.select("video_id", F.col("twice").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["s"].dataType).alias("s"), F.struct("segment_id", "start_cs", "end_cs").alias("segment"))
+    order = Window.partitionBy("video_id").orderBy("at", "kind")
+    before = F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("s", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    walked = marks.unionByName(points).withColumns({"before": before, "after": after}).where("kind = 1")
+    earlier = F.col("after").isNull() | (F.col("at") - 2 * F.col("before.shot_start") <= 2 * F.col("after.shot_start") - F.col("at"))
+    near = walked.withColumn("s", F.when(F.col("before").isNull(), F.col("after")).when(earlier, F.col("before")).otherwise(F.col("after"))).where("s is not null")
+    near = near.select("video_id", "segment.*", "s.*")
     return inside.union(near).select("video_id", "segment_id", "scene_index", ((F.col("start_cs") < F.col("shot_start")) | (F.col("end_cs") > F.col("shot_end"))).alias("cross_shot"))
 
 

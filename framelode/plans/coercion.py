@@ -30,7 +30,7 @@ def raw(spark, sf_dir):
         [_RAW],
         """SELECT event_id, round(coalesce(try_cast(trim(value) AS DOUBLE), 0.0::DOUBLE), 6) AS number, try_cast(trunc(try_cast(trim(value) AS DOUBLE)) AS INTEGER) AS whole,
         round(CASE WHEN n IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN ends_with(trim(value), '%') OR (n > 1 AND n <= 100) THEN n / 100 ELSE n END)) END, 6) AS share,
-        CASE WHEN lower(trim(value)) IN ('true', 'yes', 'y', '1', '是', '有') THEN true WHEN lower(trim(value)) IN ('false', 'no', 'n', '0', '否', '无', 'none', 'null', '') THEN false ELSE false END AS flag
+        CASE WHEN lower(trim(value)) IN ('true', 'yes', 'y', '1', '是', '有') THEN true WHEN lower(trim(value)) IN ('false', 'no', 'n', '0', '否', '无', 'none', 'null', '') THEN false ELSE coalesce(try_cast(trim(value) AS DOUBLE) <> 0, false) END AS flag
         FROM (SELECT *, try_cast(trim(rtrim(trim(value), '%')) AS DOUBLE) AS n FROM raw)""",
     ),
 )
@@ -42,18 +42,8 @@ def safe_values(spark, sf_dir):
 _PLACEHOLDERS = ", ".join(f"'{p}'" for p in T.PLACEHOLDERS)
 
 
-@query(
-    "placeholder_filter",
-    "SELECT doc_id, first, trim(coalesce(nullif(trim(first), ''), '')) = '' OR lower(trim(trim(first), ' \t\r\n。.!！,，;；:：')) IN (" + _PLACEHOLDERS + ") AS placeholder FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN ' N/A. ' WHEN 1 THEN '无变化。' WHEN 2 THEN '  ' WHEN 3 THEN 'NONE!' ELSE left(text, 12) END AS first FROM documents)",
-)
+@query("placeholder_filter", "SELECT doc_id, text AS first, trim(coalesce(nullif(trim(text), ''), '')) = '' OR lower(trim(trim(text), ' \t\r\n。.!！,，;；:：')) IN (" + _PLACEHOLDERS + ") AS placeholder FROM documents")
 def placeholder_filter(spark, sf_dir):
-    i = F.col("doc_id")
-    first = F.when(i % 7 == 0, " N/A. ").when(i % 7 == 1, "无变化。").when(i % 7 == 2, "  ").when(i % 7 == 3, "NONE!").otherwise(F.substring("text", 1, 12))
-    return A.table(spark, sf_dir, "documents").select("doc_id", first.alias("first")).withColumn("placeholder", T.is_placeholder(F.col("first")))
-
-
-@query("placeholder_filter_whole", "SELECT doc_id, text AS first, trim(coalesce(nullif(trim(text), ''), '')) = '' OR lower(trim(trim(text), ' \t\r\n。.!！,，;；:：')) IN (" + _PLACEHOLDERS + ") AS placeholder FROM documents")
-def placeholder_filter_whole(spark, sf_dir):
     """Every document by its whole text."""
     return A.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("first")).withColumn("placeholder", T.is_placeholder(F.col("first")))
 
@@ -80,11 +70,11 @@ def json_extract(spark, sf_dir):
 
 @query(
     "probe_parse",
-    "SELECT s_suppkey, round(coalesce(CASE WHEN d <> 0 THEN n / d END, 30.0::DOUBLE), 6) AS fps, CASE s_suppkey % 4 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'application/octet-stream' ELSE 'audio/wav' END AS media, s_suppkey % 700 > 480 OR s_suppkey % 50 > 10 AS compress FROM (SELECT *, (s_suppkey % 60 * 1000)::DOUBLE AS n, (s_suppkey % 3 * 1001)::DOUBLE AS d FROM supplier)",
+    "SELECT s_suppkey, round(coalesce(CASE WHEN d <> 0 THEN n / d END, 30.0::DOUBLE), 6) AS fps, CASE s_suppkey % 4 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN CASE WHEN s_suppkey % 8 = 2 THEN 'application/octet-stream' ELSE 'video/x-matroska' END ELSE 'audio/mp4' END AS media, s_suppkey % 700 > 480 OR s_suppkey % 50 > 10 AS compress FROM (SELECT *, (s_suppkey % 60 * 1000)::DOUBLE AS n, (s_suppkey % 3 * 1001)::DOUBLE AS d FROM supplier)",
 )
 def probe_parse(spark, sf_dir):
     i = F.col("s_suppkey")
-    name = F.element_at(F.array(*map(F.lit, ("a.MP4", "b.c.jpg", "none", "x.wav"))), (i % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("a.MP4", "b.c.jpg", "none", "x.m4a", "a.MP4", "b.c.jpg", "film.mkv", "x.m4a"))), (i % 8 + 1).cast("int"))
     return A.table(spark, sf_dir, "supplier").select("s_suppkey", F.round(V.frame_rate(F.concat(i % 60 * 1000, F.lit("/"), i % 3 * 1001)), 6).alias("fps"), V.media_type(name).alias("media"), ((i % 700 > 480) | (i % 50 > 10)).alias("compress"))
 
 
@@ -152,18 +142,8 @@ def list_rules(spark, sf_dir):
 
 @query(
     "set_rules",
-    A.sql("appearances", "SELECT a, b, shared AS \"both\", either, round(shared / greatest(either, 1), 6) AS jaccard, only_a FROM (SELECT x.c AS a, y.c AS b, len(list_intersect(x.s, y.s)) AS shared, len(list_distinct(list_concat(x.s, y.s))) AS either, len(list_filter(x.s, lambda v: NOT list_contains(y.s, v))) AS only_a FROM (SELECT character AS c, list(shot) AS s FROM appearances WHERE character < 6 GROUP BY 1) x, (SELECT character AS c, list(shot) AS s FROM appearances WHERE character < 6 GROUP BY 1) y WHERE x.c < y.c)"),
-)
-def set_rules(spark, sf_dir):
-    own = A.appearances(spark, sf_dir).where("character < 6").groupBy("character").agg(F.collect_list("shot").alias("s"))
-    pairs = own.select(F.col("character").alias("a"), F.col("s").alias("x")).join(own.select(F.col("character").alias("b"), F.col("s").alias("y")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size(F.array_union("x", "y")).alias("either"), F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.size(F.array_except("x", "y")).alias("only_a"))
-
-
-@query(
-    "set_rules_whole",
     A.sql("appearances", "SELECT x.c AS a, y.c AS b, coalesce(n, 0) AS \"both\", x.s + y.s - coalesce(n, 0) AS either, round(coalesce(n, 0) / (x.s + y.s - coalesce(n, 0)), 6) AS jaccard, x.s - coalesce(n, 0) AS only_a FROM (SELECT character AS c, count(*) AS s FROM appearances GROUP BY 1) x JOIN (SELECT character AS c, count(*) AS s FROM appearances GROUP BY 1) y ON x.c < y.c LEFT JOIN (SELECT p.character AS a, q.character AS b, count(*) AS n FROM appearances p JOIN appearances q USING (shot) WHERE p.character < q.character GROUP BY ALL) ON a = x.c AND b = y.c"),
 )
-def set_rules_whole(spark, sf_dir):
+def set_rules(spark, sf_dir):
     """Every pair of characters."""
     return entity.overlaps(A.appearances(spark, sf_dir))

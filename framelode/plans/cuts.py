@@ -83,9 +83,7 @@ def rule_violations(spark, sf_dir):
     return P.review_rules(cuts(spark, sf_dir), goals(spark, sf_dir), scenes(spark, sf_dir))
 
 
-_EVENTS = "important AS (SELECT o_custkey AS plan_id, o_orderkey AS event_id, CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE [o_orderkey % 200, o_orderkey % 90] END AS scene_indices FROM orders WHERE o_orderkey % 3 = 0)"
-#: The same of every order.
-_ALL_EVENTS = _EVENTS.replace(" WHERE o_orderkey % 3 = 0", "")
+_EVENTS = "important AS (SELECT o_custkey AS plan_id, o_orderkey AS event_id, CASE WHEN o_orderkey % 4 = 0 THEN [] ELSE [o_orderkey % 200, o_orderkey % 90] END AS scene_indices FROM orders)"
 _GROUNDS = """grounds AS (SELECT plan_id, 'no_evidence' AS rule, NULL::INT AS clip_index FROM cut GROUP BY plan_id HAVING count(*) FILTER (len(list_filter(evidence, lambda r: NOT contains(r, 'unchecked'))) = 0) > 0
   UNION ALL SELECT plan_id, 'before_unit', clip_index FROM cut JOIN places USING (scene_index) WHERE source_start < start_cs - 50
   UNION ALL SELECT plan_id, 'after_unit', clip_index FROM cut JOIN places USING (scene_index) WHERE source_end > end_cs + 50
@@ -93,9 +91,9 @@ _GROUNDS = """grounds AS (SELECT plan_id, 'no_evidence' AS rule, NULL::INT AS cl
   UNION ALL SELECT DISTINCT plan_id, 'event_not_covered', NULL::INT FROM important i WHERE NOT EXISTS (FROM cut c WHERE c.plan_id = i.plan_id AND list_contains(i.scene_indices, c.scene_index)))"""
 
 
-def _important(spark, sf_dir, whole=False):
+def _important(spark, sf_dir):
     i = F.col("o_orderkey")
-    return A.table(spark, sf_dir, "orders").where("true" if whole else "o_orderkey % 3 = 0").select(F.col("o_custkey").alias("plan_id"), i.alias("event_id"), F.when(i % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i % 200, i % 90)).alias("scene_indices"))
+    return A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan_id"), i.alias("event_id"), F.when(i % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(i % 200, i % 90)).alias("scene_indices"))
 
 
 @query("grounding_violations", A.sql(["clips", _RUN, _SCENES, _CUT, _EVENTS, _GROUNDS], "SELECT * FROM grounds"))
@@ -103,12 +101,6 @@ def grounding_violations(spark, sf_dir):
     return P.grounding_rules(cuts(spark, sf_dir), scenes(spark, sf_dir), _important(spark, sf_dir))
 
 
-@query("grounding_violations_whole", A.sql(["clips", _RUN, _SCENES, _CUT, _ALL_EVENTS, _GROUNDS], "SELECT * FROM grounds"))
-def grounding_violations_whole(spark, sf_dir):
-    """Every event is checked."""
-    return P.grounding_rules(cuts(spark, sf_dir), scenes(spark, sf_dir), _important(spark, sf_dir, whole=True))
-
-
 @query(
     "verdict",
     A.sql(

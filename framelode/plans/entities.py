@@ -71,20 +71,20 @@ def importance_score(spark, sf_dir):
     return rows.select("character", F.round(E.importance(c("screen_cs"), c("lines"), c("n_events"), c("total"), c("all_lines"), c("all_events")), 6).alias("importance_score"))
 
 
-_VOTES = "votes AS (SELECT l_suppkey % 40 AS prim, l_partkey % 40 AS dup, l_linenumber AS chunk, l_discount * 10 AS confidence FROM lineitem WHERE l_quantity < 4)"
-_TIERS = "tiers AS (SELECT s_suppkey AS character, CASE s_suppkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'minor' WHEN 2 THEN 'passerby' ELSE 'odd' END AS tier FROM supplier WHERE s_suppkey < 38)"
+_VOTES = "votes AS (SELECT l_suppkey % 40 AS prim, l_partkey % 40 AS dup, l_linenumber AS chunk, l_discount * 10 AS confidence FROM lineitem)"
+_TIERS = "tiers AS (SELECT s_suppkey AS character, CASE s_suppkey % 4 WHEN 0 THEN 'major' WHEN 1 THEN 'minor' WHEN 2 THEN 'passerby' ELSE 'odd' END AS tier FROM supplier)"
 _MERGES = """pairs AS (SELECT least(prim, dup) AS x, greatest(prim, dup) AS y, max(confidence) AS best, count(DISTINCT chunk) AS chunks, count(*) FILTER (prim = least(prim, dup)) AS for_x, count(*) FILTER (prim = greatest(prim, dup)) AS for_y FROM votes WHERE prim <> dup GROUP BY ALL),
- ranked AS (SELECT character, CASE tier WHEN 'main' THEN 1 WHEN 'minor' THEN 2 WHEN 'passerby' THEN 3 ELSE 4 END AS rank FROM tiers),
+ ranked AS (SELECT character, CASE tier WHEN 'major' THEN 1 WHEN 'minor' THEN 2 WHEN 'passerby' THEN 3 ELSE 4 END AS rank FROM tiers),
  merges AS (SELECT CASE WHEN first THEN x ELSE y END AS kept, CASE WHEN first THEN y ELSE x END AS merged, best, chunks FROM (
    SELECT p.*, (-for_x, coalesce(rx.rank, 4), x) <= (-for_y, coalesce(ry.rank, 4), y) AS first FROM pairs p LEFT JOIN ranked rx ON rx.character = x LEFT JOIN ranked ry ON ry.character = y WHERE best >= 0.85 AND chunks >= 2))"""
 
 
 def _merges(spark, sf_dir):
-    rows = A.table(spark, sf_dir, "lineitem").where("l_quantity < 4")
+    rows = A.table(spark, sf_dir, "lineitem")
     votes = rows.select((F.col("l_suppkey") % 40).alias("primary"), (F.col("l_partkey") % 40).alias("duplicate"), F.col("l_linenumber").alias("chunk"), (F.col("l_discount") * 10).alias("confidence"))
     i = F.col("s_suppkey")
-    tier = F.element_at(F.array(*map(F.lit, ("main", "minor", "passerby", "odd"))), (i % 4 + 1).cast("int"))
-    return E.confirmed_merges(votes, A.table(spark, sf_dir, "supplier").where("s_suppkey < 38").select(i.alias("character"), tier.alias("tier")))
+    tier = F.element_at(F.array(*map(F.lit, ("major", "minor", "passerby", "odd"))), (i % 4 + 1).cast("int"))
+    return E.confirmed_merges(votes, A.table(spark, sf_dir, "supplier").select(i.alias("character"), tier.alias("tier")))
 
 
 @query("merge_votes", A.sql([_VOTES, _TIERS, _MERGES], "SELECT kept, merged, round(best, 6) AS best, chunks FROM merges"))
@@ -92,8 +92,8 @@ def merge_votes(spark, sf_dir):
     return _merges(spark, sf_dir).select("kept", "merged", F.round("best", 6).alias("best"), "chunks")
 
 
-#: Chains of links: each id to the next multiple of three, which ends at a multiple of 81; a few cycles.
-_LINKS = "links AS (SELECT p_partkey AS merged, CASE WHEN p_partkey % 50 = 7 THEN p_partkey + 1 WHEN p_partkey % 50 = 8 THEN p_partkey - 1 ELSE p_partkey // 3 END AS kept FROM part WHERE p_partkey % 81 <> 0)"
+#: Chains of links: each id to a third of itself, down to 0; a few cycles.
+_LINKS = "links AS (SELECT p_partkey AS merged, CASE WHEN p_partkey % 50 = 7 THEN p_partkey + 1 WHEN p_partkey % 50 = 8 THEN p_partkey - 1 ELSE p_partkey // 3 END AS kept FROM part)"
 
 
 @query(
@@ -110,7 +110,7 @@ _LINKS = "links AS (SELECT p_partkey AS merged, CASE WHEN p_partkey % 50 = 7 THE
 def canonicalize(spark, sf_dir):
     i = F.col("p_partkey")
     to = F.when(i % 50 == 7, i + 1).when(i % 50 == 8, i - 1).otherwise(F.floor(i / 3))
-    return E.canonical(A.table(spark, sf_dir, "part").where("p_partkey % 81 <> 0").select(i.alias("merged"), to.alias("kept")))
+    return E.canonical(A.table(spark, sf_dir, "part").select(i.alias("merged"), to.alias("kept")))
 
 
 @query(
@@ -124,7 +124,7 @@ def canonicalize(spark, sf_dir):
 def apply_mapping(spark, sf_dir):
     names = _merges(spark, sf_dir).groupBy(F.col("merged").alias("id")).agg(F.min("kept").alias("canonical"))
     rows = A.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 40).alias("v"), "l_linenumber").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "v"))), lambda x: x["v"]).alias("characters"))
-    return E.renamed(rows, "characters", names, is_list=True).select("l_orderkey", F.array_join("characters", ",").alias("characters"))
+    return E.renamed(rows, "characters", names, ["l_orderkey"], is_list=True).select("l_orderkey", F.array_join("characters", ",").alias("characters"))
 
 
 _UPDATES = """updates AS (SELECT user_id AS character, event_id AS chunk, CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS name,
@@ -146,7 +146,7 @@ def profile_fold(spark, sf_dir):
     return E.profiles(rows).select("character", F.array_join("names", ",").alias("names"), "description", F.array_join("actions", ",").alias("actions"), "n_updates")
 
 
-@query("role_fallback", "SELECT c_nationkey AS video_id, c_custkey AS character, CASE row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) WHEN 1 THEN 'protagonist' WHEN 2 THEN 'deuteragonist' ELSE 'supporting' END AS role FROM customer")
+@query("role_fallback", "SELECT c_nationkey AS video_id, c_custkey AS character, CASE row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) WHEN 1 THEN 'male_lead' WHEN 2 THEN 'female_lead' ELSE 'supporting' END AS role FROM customer")
 def role_fallback(spark, sf_dir):
     rows = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("video_id"), F.col("c_custkey").alias("character"), F.col("c_acctbal").alias("screen_cs"))
     return E.roles(rows).select("video_id", "character", "role")
@@ -193,7 +193,19 @@ def event_edges_valid(spark, sf_dir):
     return E.valid_edges(edges, nodes).select("source", "target", "n")
 
 
-@query("speaker_bind_greedy")
+@query(
+    "speaker_bind_greedy",
+    A.sql(
+        [
+            "counts AS (SELECT o_custkey % 50 AS video_id, o_orderpriority AS speaker, o_orderkey % 6 AS character, count(*) AS n FROM orders GROUP BY ALL)",
+            "ranked AS (SELECT video_id, speaker, row_number() OVER (PARTITION BY video_id ORDER BY speaker) AS k, list(character ORDER BY n DESC, character) AS wanted FROM counts GROUP BY video_id, speaker)",
+            """walk AS (SELECT DISTINCT video_id, 0::BIGINT AS k, []::BIGINT[] AS used, ''::VARCHAR AS speaker, NULL::BIGINT AS character FROM counts UNION ALL
+              SELECT video_id, k, CASE WHEN free IS NULL THEN used ELSE list_append(used, free) END, speaker, free FROM (SELECT r.video_id, r.k, w.used, r.speaker, list_filter(r.wanted, lambda c: NOT list_contains(w.used, c))[1] AS free FROM walk w JOIN ranked r ON r.video_id = w.video_id AND r.k = w.k + 1))""",
+        ],
+        "SELECT video_id, speaker, character FROM walk WHERE character IS NOT NULL",
+        recursive=True,
+    ),
+)
 def speaker_bind_greedy(spark, sf_dir):
     rows = A.table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("video_id"), F.col("o_orderpriority").alias("speaker"), (F.col("o_orderkey") % 6).alias("character")).agg(F.count("*").alias("n"))
     return E.bound_greedily(rows)

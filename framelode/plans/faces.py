@@ -72,9 +72,9 @@ def merge_candidates(spark, sf_dir):
     return rows.select("x", "y", F.round("link", 6).alias("link"), F.round("strong", 6).alias("strong"), F.round("centroid", 6).alias("centroid"), C.should_merge(F.col("centroid"), F.col("link"), F.col("strong")).alias("merges"))
 
 
-@query("cluster_tiers", A.sql("faces", "SELECT label, count(*) AS n_faces, count(DISTINCT scene_index) AS n_scenes, CASE WHEN count(DISTINCT scene_index) >= 50 THEN 'main' WHEN count(*) < 2 THEN 'passerby' ELSE 'minor' END AS tier FROM faces GROUP BY label"))
+@query("cluster_tiers", A.sql("faces", "SELECT label, count(*) AS n_faces, count(DISTINCT scene_index) AS n_scenes, CASE WHEN count(DISTINCT scene_index) >= 50 THEN 'major' WHEN count(DISTINCT scene_index) >= 3 THEN 'minor' ELSE 'passerby' END AS tier FROM faces GROUP BY label"))
 def cluster_tiers(spark, sf_dir):
-    return C.tiers(A.faces(spark, sf_dir), "label", 1000, long=False)
+    return C.tiers(A.faces(spark, sf_dir), "label", 1000, 900.0)
 
 
 @query("best_face_per_scene", A.sql("faces", "SELECT label, scene_index, arg_max(face_id, (det_score, -face_id)) AS face_id FROM faces GROUP BY label, scene_index"))
@@ -111,18 +111,35 @@ def faces_deduplicated(spark, sf_dir):
 
 @query("split_impure_clusters")
 def split_impure_clusters(spark, sf_dir):
-    return C.split_impure(A.faces(spark, sf_dir).withColumnRenamed("label", "cluster"), eps=EPS)
+    return C.split_impure(A.faces(spark, sf_dir).withColumnRenamed("label", "cluster"))
 
 
 @query("merge_constrained")
 def merge_constrained(spark, sf_dir):
     faces = A.faces(spark, sf_dir)
-    pairs = C.top_pair_mean(faces, "label").where("strong >= 0.4").select(F.lit(1).cast("long").alias("video_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    pairs = merge_candidates(spark, sf_dir).where("merges").select(F.lit(1).cast("long").alias("video_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
     frames = faces.groupBy(F.col("label").cast("long").alias("cluster")).agg(F.collect_set(F.col("keyframe") % 40).alias("keyframes")).select(F.lit(1).cast("long").alias("video_id"), "cluster", "keyframes")
     return C.merged(pairs, frames)
 
 
-@query("representatives_spread")
+_TAKEN = "list_transform(taken, lambda t: t.scene_index)"
+
+
+@query(
+    "representatives_spread",
+    A.sql(
+        [
+            "faces",
+            "every AS (SELECT label, list({'face_id': face_id, 'scene_index': scene_index, 'det': det_score} ORDER BY det_score DESC, face_id) AS fs FROM faces GROUP BY label)",
+            f"""walk AS (SELECT label, fs[2:] AS rest, fs[1:1] AS taken FROM every UNION ALL SELECT label, list_filter(rest, lambda r: r.face_id <> best.id), list_append(taken, list_filter(rest, lambda r: r.face_id = best.id)[1]) FROM (
+              SELECT *, {{'fresh': top.fresh, 'id': -top.minus}} AS best FROM (SELECT *, list_aggregate(list_transform(rest, lambda r: {{'fresh': NOT list_contains({_TAKEN}, r.scene_index), 'apart': list_aggregate(list_transform({_TAKEN}, lambda s: abs(r.scene_index - s)), 'min'), 'det': r.det, 'minus': -r.face_id}}), 'max') AS top
+              FROM walk WHERE len(rest) > 0 AND len(taken) < 5)))""",
+            "longest AS (SELECT label, arg_max(taken, len(taken)) AS taken FROM walk GROUP BY label)",
+        ],
+        "SELECT label, unnest(taken).face_id AS face_id, generate_subscripts(taken, 1) - 1 AS place FROM longest",
+        recursive=True,
+    ),
+)
 def representatives_spread(spark, sf_dir):
     return C.spread_fill(A.faces(spark, sf_dir), "label")
 
@@ -131,5 +148,5 @@ def representatives_spread(spark, sf_dir):
 def descriptions_clustered(spark, sf_dir):
     from framelode.functions import text as T
 
-    rows = A.scenes(spark, sf_dir).select("scene_type", F.col("scene_index").alias("id"), F.array_distinct(T.tokens(F.col("description"))).alias("words"))
+    rows = A.scenes(spark, sf_dir).select("scene_type", F.col("scene_index").alias("id"), T.description_words(F.col("description")).alias("words"))
     return C.first_like(rows, "scene_type")

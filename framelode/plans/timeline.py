@@ -182,7 +182,9 @@ def child_members(spark, sf_dir):
     return H.members(_listed(spark, sf_dir), A.shots(spark, sf_dir), "beat", "scene_index")
 
 
-@query("missing_placeholders", A.sql(["shots", _LISTED], "SELECT video_id, scene_index, 'placeholder' AS description FROM shots s WHERE NOT EXISTS (FROM listed l WHERE l.video_id = s.video_id AND l.scene_index = s.scene_index)"))
+@query("missing_placeholders", "SELECT o_orderkey AS scene_index, coalesce(lang, 'unseen') AS description, d.doc_id IS NULL AS filled FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey * 2 UNION ALL SELECT CAST(doc_id / 2 AS BIGINT), lang, false FROM documents WHERE doc_id % 2 = 0 AND CAST(doc_id / 2 AS BIGINT) NOT IN (SELECT o_orderkey FROM orders)")
 def missing_placeholders(spark, sf_dir):
-    covered = _listed(spark, sf_dir).select("video_id", F.explode("scene_index_ids").alias("scene_index"))
-    return H.missing(A.shots(spark, sf_dir), covered, ["video_id", "scene_index"]).select("video_id", "scene_index", F.lit("placeholder").alias("description"))
+    """Views of half the shots, completed for the others."""
+    views = A.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select((F.col("doc_id") / 2).cast("long").alias("scene_index"), F.col("lang").alias("description"))
+    shots = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("scene_index"))
+    return H.completed(views, shots, ["scene_index"], {"description": "unseen"})

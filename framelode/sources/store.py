@@ -31,6 +31,13 @@ class Store:
         rows = self.spark.read.schema(kind).parquet(self.path(name)) if self.exists(name) else self.spark.createDataFrame([], kind)
         return rows if video_id is None else rows.where(F.col("video_id") == video_id)
 
+    def video(self, video_id: str) -> DataFrame:
+        """The row of a video that the store knows; an error for one that it doesn't."""
+        found = self.read("video_meta", video_id)
+        if found.isEmpty():
+            raise LookupError(f"no video {video_id!r}")
+        return found
+
     def write(self, name: str, rows: DataFrame) -> None:
         """Replace the partitions of the videos in ``rows``. Missing columns are null, others are refused."""
         kind = schemas.schema(name)

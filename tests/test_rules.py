@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelode.functions import coerce, text
-from framelode.operators import cluster, fusion, plan, search, temporal
+from framelode.operators import cluster, entity, fusion, index, plan, search, temporal
 
 
 def value(spark, column):
@@ -102,8 +102,94 @@ def test_alignment_confidence(spark):
 
 
 def test_units_without_text_keep_the_bar(spark):
-    empty = F.array().cast("array<string>")
-    assert value(spark, fusion.combined_text(empty, F.lit(""), empty, F.lit("calm"))) == " | music:calm"
+    shots = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "scene_index long, video_id long")
+    lines = spark.createDataFrame([(2, 1, "b"), (2, 0, "a")], "scene_index long, pos int, text string")
+    who = spark.createDataFrame([(2, "y"), (2, "x"), (2, "x")], "scene_index long, character string")
+    events = spark.createDataFrame([(2, 7, "fight", "they meet")], "scene_index long, event_id long, event_type string, description string")
+    vision = spark.createDataFrame([(2, 0, "old", "m", "t", ["o"], "act"), (2, 1, "a room", "dark", "inside", ["lamp", "door"], "runs"), (3, 0, "", "", None, [], "")], "scene_index long, pos int, description string, mood string, scene_type string, objects array<string>, action string")
+    audio = spark.createDataFrame([(1, 0, True, "calm", False, [], ""), (2, 0, True, "", True, ["a", "b", "c", "d"], "angry")], "scene_index long, pos int, has_music boolean, music_mood string, has_sfx boolean, sfx_tags array<string>, speech_emotion string")
+    ocr = spark.createDataFrame([(2, 0, ["EXIT", "No"])], "scene_index long, pos int, texts array<string>")
+    out = {r.scene_index: r.text for r in fusion.fused(shots, lines, who, events, vision=vision, audio=audio, ocr=ocr).select("scene_index", fusion.combined_text().alias("text")).collect()}
+    assert out[1] == " | 音频: 音乐:calm" and out[3] == "画面: "
+    assert out[2] == "台词: a b | 画面: a room | 情绪: dark | 类型: inside | 物体: lamp, door | 动作: runs | 文字: EXIT, No | 事件[fight]: they meet | 人物: x, y | 音频: 音乐:, 音效:a,b,c, 语音情绪:angry"
+
+
+def test_labels_that_callers_match_on(spark):
+    assert [cluster.tier_bounds(n, s) for n, s in ((100, 599), (400, 600), (1000, 1800))] == [(10, 2), (20, 3), (50, 5)]
+    faces = spark.createDataFrame([(c, s, 10 * c + n) for c, scenes in enumerate((12, 3, 2)) for n, s in enumerate([*range(scenes), 0, 0, 0])], "c int, scene_index int, face_id int")
+    assert {r.c: r.tier for r in cluster.tiers(faces, "c", 100, 700.0).collect()} == {0: "major", 1: "minor", 2: "passerby"}
+    assert entity.TIERS == ("major", "minor", "passerby")
+    rows = spark.createDataFrame([(1, "a", 5), (1, "b", 9), (1, "c", 7)], "video_id int, character string, screen_cs int")
+    assert {r.character: r.role for r in entity.roles(rows).collect()} == {"b": "male_lead", "c": "female_lead", "a": "supporting"}
+    tags = index.audio_tags(F.lit(True), F.lit(""), F.lit(False), F.array(F.lit("x")), F.lit(0.8), F.lit("sad"))
+    assert value(spark, tags) == ["music:unknown", "silence", "speech_emotion:sad"]
+    assert value(spark, fusion.unseen_speakers(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b")))) == "说话者不在画面中: a（可能是画外音/旁白）"
+    assert [value(spark, coerce.media_type(F.lit(p))) for p in ("a.MKV", "b.m4a", "c.ogg", "d.webm", "e", "f.txt")] == ["video/x-matroska", "audio/mp4", "audio/ogg", "video/webm", "application/octet-stream", "application/octet-stream"]
+    assert [value(spark, coerce.safe_bool(F.lit(v))) for v in ("2", "0.0", "-1", "有", "maybe")] == [True, False, True, True, False]
+
+
+def test_impure_clusters_are_split_by_a_plain_walk(spark):
+    rng = np.random.default_rng(8)
+    axes = np.eye(12) * 4
+    rows = []
+    for c in range(5):
+        for n in range(8 + c):
+            rows.append((c, 100 * c + n, n if c % 2 else n % 6, (axes[c] + (c > 2) * axes[(n % 3) + 6] * 1.2 + rng.normal(scale=0.25, size=12)).tolist()))
+    out = {r.face_id: r.part for r in cluster.split_impure(spark.createDataFrame(rows, "cluster long, face_id long, keyframe long, embedding array<double>")).collect()}
+    for c in range(5):
+        own = [r for r in rows if r[0] == c]
+        unit = np.array([np.array(r[3]) / np.linalg.norm(r[3]) for r in own])
+        middle = unit.mean(axis=0)
+        apart = sorted(1 - unit @ (middle / np.linalg.norm(middle)))
+        at = 0.9 * (len(apart) - 1)
+        radius = apart[int(at)] + (at - int(at)) * (apart[min(int(at) + 1, len(apart) - 1)] - apart[int(at)])
+        impure = len({r[2] for r in own}) < len(own) or radius > 0.34
+        expected = [0] * len(own)
+        if impure and len(own) >= 6:
+            near = [[j for j in range(len(own)) if unit[i] @ unit[j] >= 1 - 0.30 - 1e-9] for i in range(len(own))]
+            expected, label = [-1] * len(own), 0
+            for i in range(len(own)):
+                if expected[i] < 0 and len(near[i]) >= 3:
+                    todo = [i]
+                    while todo:
+                        j = todo.pop()
+                        if expected[j] < 0:
+                            expected[j] = label
+                            todo += near[j] if len(near[j]) >= 3 else []
+                    label += 1
+            for i in range(len(own)):
+                if expected[i] < 0:
+                    expected[i], label = label, label + 1
+        assert [out[r[1]] for r in own] == expected, c
+    assert len(set(out.values())) > 2
+
+
+def test_merges_under_the_constraint_are_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    frames = {(v, c): {rng.randrange(14) for _ in range(3)} for v in (1, 2) for c in range(20)}
+    pairs = [(v, *sorted(rng.sample(range(20), 2))) for v in (1, 2) for _ in range(40)]
+    expected = {}
+    for v in (1, 2):
+        group = {c: c for c in range(20)}
+        for _, x, y in sorted(p for p in pairs if p[0] == v):
+            a, b = sorted((group[x], group[y]))
+            if a == b or any(frames[v, p] & frames[v, q] for p in group if group[p] == a for q in group if group[q] == b):
+                continue
+            group = {c: a if g == b else g for c, g in group.items()}
+        expected |= {(v, c): g for c, g in group.items()}
+    table = spark.createDataFrame([(v, c, sorted(f)) for (v, c), f in frames.items()], "video_id long, cluster long, keyframes array<long>")
+    out = {(r.video_id, r.cluster): r.merged for r in cluster.merged(spark.createDataFrame(pairs, "video_id long, x long, y long"), table).collect()}
+    assert out == expected and len(set(expected.values())) < 20
+
+
+def test_lists_and_values_get_canonical_ids(spark):
+    names = spark.createDataFrame([(1, 9), (2, 9), (5, 4)], "id long, canonical long")
+    rows = spark.createDataFrame([(1, [1, 3, 2, 5]), (2, []), (3, None), (4, [9, 1])], "k long, who array<long>")
+    assert {r.k: r.who for r in entity.renamed(rows, "who", names, ["k"], is_list=True).collect()} == {1: [9, 3, 4], 2: [], 3: None, 4: [9]}
+    single = spark.createDataFrame([(1, 1), (2, 7), (3, None)], "k long, who long")
+    assert {r.k: r.who for r in entity.renamed(single, "who", names, ["k"]).collect()} == {1: 9, 2: 7, 3: None}
 
 
 def test_running_timeline_and_verdicts(spark):
