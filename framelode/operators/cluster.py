@@ -24,41 +24,41 @@ SLACK = 1e-9
 BLOCK = 1024
 
 
-def _block_pairs(faces: DataFrame, columns: list[str], step, schema: str) -> DataFrame:
-    """``step(i, j, rows of block i, rows of block j)`` for every pair of blocks i <= j of about ``BLOCK`` faces, each in a task of its own:
-    all pairs of faces meet, as matrices, and no task holds more than two blocks."""
-    rows = faces.select("face_id", "embedding", *columns)
-    n = max(1, -(-rows.count() // BLOCK))
-    own = F.pmod(F.xxhash64("face_id"), F.lit(n)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.struct(F.least(own, b).alias("i"), F.greatest(own, b).alias("j")))
-    dealt = rows.withColumn("own", own).withColumn("_at", F.explode(pairs)).select("*", "_at.i", "_at.j").drop("_at")
-
-    def run(key, block: pd.DataFrame) -> pd.DataFrame:
+def _block_pairs(faces: DataFrame, columns: list[str], step, schema: str, scope: str | None = None) -> DataFrame:
+    """``step(i, j, rows of block i, rows of block j)`` for every pair of blocks i <= j of about ``BLOCK`` faces of one ``scope``, that is of one video (all
+    faces are of one without it), each in a task of its own: all pairs of a video's faces meet, as matrices, and no task holds more than two blocks."""
+    rows = faces.select("face_id", "embedding", (F.lit(0) if scope is None else F.col(scope)).alias("_scope"), *columns)
+    sizes = rows.groupBy("_scope").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64("face_id"), F.col("_n")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda b: F.struct(F.least(own, b).alias("i"), F.greatest(own, b).alias("j")))
+    dealt = rows.join(sizes, "_scope").withColumn("own", own).withColumn("_at", F.explode(pairs)).select("*", "_at.i", "_at.j").drop("_at", "_n")
+
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("face_id")
         vectors = np.stack(block["embedding"]).astype(float)
         size = np.linalg.norm(vectors, axis=1, keepdims=True)
         block = block.assign(at=range(len(block)))
         unit = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
-        left, right = block[block["own"] == key[0]], block[block["own"] == key[1]]
-        return step(left, right, unit[left["at"]] @ unit[right["at"]].T, key[0] == key[1])
+        left, right = block[block["own"] == key[1]], block[block["own"] == key[2]]
+        return step(left, right, unit[left["at"]] @ unit[right["at"]].T, key[1] == key[2])
 
-    return dealt.groupBy("i", "j").applyInPandas(run, schema)
+    return dealt.groupBy("_scope", "i", "j").applyInPandas(run, schema)
 
 
-def near_pairs(faces: DataFrame, eps: float) -> DataFrame:
-    """(a, b), both ways and each face with itself, of faces (face_id, embedding) whose cosine distance is eps or less."""
+def near_pairs(faces: DataFrame, eps: float, scope: str | None = None) -> DataFrame:
+    """(a, b), both ways and each face with itself, of faces (face_id, embedding) of one video, ``scope``, whose cosine distance is eps or less."""
 
     def step(left: pd.DataFrame, right: pd.DataFrame, similar: np.ndarray, same: bool) -> pd.DataFrame:
         x, y = np.nonzero(similar >= 1 - eps - SLACK)
         a, b = left["face_id"].to_numpy()[x], right["face_id"].to_numpy()[y]
         return pd.DataFrame({"a": a, "b": b} if same else {"a": np.concatenate([a, b]), "b": np.concatenate([b, a])})
 
-    return _block_pairs(faces, [], step, "a long, b long")
+    return _block_pairs(faces, [], step, "a long, b long", scope)
 
 
-def core_points(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS) -> DataFrame:
+def core_points(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS, scope: str | None = None) -> DataFrame:
     """Faces with ``least`` faces or more, themselves included, within eps."""
-    return near_pairs(faces, eps).groupBy(F.col("a").alias("face_id")).agg(F.count("*").alias("n_near")).where(F.col("n_near") >= least)
+    return near_pairs(faces, eps, scope).groupBy(F.col("a").alias("face_id")).agg(F.count("*").alias("n_near")).where(F.col("n_near") >= least)
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -66,9 +66,9 @@ def _kept(df: DataFrame) -> DataFrame:
     return shared.written(df, "cluster")
 
 
-def density_labels(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS) -> DataFrame:
+def density_labels(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS, scope: str | None = None) -> DataFrame:
     """face_id and label: the smallest core face that its core reaches; a border face joins the smallest label of its cores; -1 for noise."""
-    near = _kept(near_pairs(faces, eps))
+    near = _kept(near_pairs(faces, eps, scope))
     cores = near.groupBy(F.col("a").alias("core")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("core")
     edges = near.join(cores, F.col("a") == F.col("core"), "left_semi").join(cores, F.col("b") == F.col("core"), "left_semi")
     now = cores.withColumn("label", F.col("core"))
@@ -129,7 +129,7 @@ def should_merge(centroid: Column, link: Column, strong: Column) -> Column:
     return (centroid >= CENTROID_ALONE) | ((link >= LINK) & (centroid >= CENTROID_WITH_LINK)) | ((strong >= STRONG) & (centroid >= CENTROID_WITH_STRONG))
 
 
-def top_pair_mean(faces: DataFrame, key: str, k: int = 5) -> DataFrame:
+def top_pair_mean(faces: DataFrame, key: str, k: int = 5, scope: str | None = None) -> DataFrame:
     """(x, y, link, strong): for two clusters the mean of their k most similar pairs of faces, and the best one. Each pair of blocks reports
     the k best of each two clusters."""
 
@@ -144,7 +144,7 @@ def top_pair_mean(faces: DataFrame, key: str, k: int = 5) -> DataFrame:
                 out += [(min(x, y), max(x, y), v) for v in np.sort(s)[::-1][:k]]
         return pd.DataFrame(out, columns=["x", "y", "s"])
 
-    best = _block_pairs(faces, [key], step, "x long, y long, s double")
+    best = _block_pairs(faces, [key], step, "x long, y long, s double", scope)
     ranked = best.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("s")))).where(F.col("n") <= k)
     return ranked.groupBy("x", "y").agg(F.avg("s").alias("link"), F.max("s").alias("strong"))
 

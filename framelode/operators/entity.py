@@ -119,6 +119,21 @@ def speakers_map(transcripts: DataFrame) -> DataFrame:
     return transcripts.where(F.col("speaker").isNotNull() & F.col("character").isNotNull()).groupBy("video_id", "speaker").agg(F.max_by("character", "pos").alias("character"))
 
 
+def with_speakers(transcripts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """transcripts (speaker, character) with the character that ``mapping`` (speaker, mapped) has for their speaker, their own otherwise."""
+    own = mapping.where("mapped is not null").dropDuplicates(["speaker"])
+    return transcripts.join(own, "speaker", "left").withColumn("character", F.coalesce("mapped", "character")).drop("mapped")
+
+
+def with_speaker_ids(characters: DataFrame, mapping: DataFrame) -> DataFrame:
+    """characters (character, speaker_ids) with the speakers that ``mapping`` binds to them among their own, in order, each once."""
+    bound = mapping.where("mapped is not null").groupBy(F.col("mapped").alias("character")).agg(F.collect_set("speaker").alias("_bound"))
+    none = F.array().cast("array<string>")
+    rows = characters.join(bound, "character", "left")
+    every = F.array_sort(F.array_distinct(F.concat(F.coalesce("speaker_ids", none), F.coalesce("_bound", none))))
+    return rows.withColumn("speaker_ids", F.when(F.col("_bound").isNotNull(), every).otherwise(F.col("speaker_ids"))).drop("_bound")
+
+
 def bound_greedily(counts: DataFrame) -> DataFrame:
     """(video_id, speaker, character, n) to one character for each speaker: speakers by name, each the best free character by count, then by name."""
 

@@ -29,9 +29,23 @@ TABLES = {
     "edit_plan": "plan_id string, target_duration double, status string, bgm_enabled boolean, bgm_path string",
     "edit_clip": "plan_id string, clip_index int, source_scene_index int, source_start double, source_end double, timeline_start double, timeline_end double, narrative_role string, characters array<string>, evidence_refs array<string>, speed double, audio_volume double, transition_in string, transition_out string",
     "review_result": "plan_id string, approved boolean, score double, feedback string, issues array<string>",
+    "text_index": "scene_index int, combined_text string, transcript string, vision_description string, characters array<string>, keywords array<string>",
+    "vector_index": "scene_index int, embedding array<float>",
+    "character_index": "character string, unit_type string, unit_index int",
+    "event_index": "event_type string, event_ids array<long>",
+    "relation_index": "relation_key string, character_a string, character_b string, relation_type string, description string, strength double, co_appearance_shots array<int>",
+    "emotion_index": "emotion string, source string, ref long, intensity double",
+    "signal_index": "signal string, rank int, unit_type string, unit_index int, score double",
+    "audio_index": "tag string, scene_index int, volume_peak double",
+    "chapter_index": "chapter_key string, chapter_index int, title string, description string, theme string, chapter_type string, characters array<string>",
+    "usage_index": "tag string, unit_type string, unit_index int",
     "progress": "step string, at timestamp",
 }
 
 
+#: Tables that are built from others and may be built again.
+INDEXES = tuple(name for name in TABLES if name.endswith("_index"))
+
+
 def schema(name: str) -> StructType:
     return StructType.fromDDL(f"video_id string, {TABLES[name]}")

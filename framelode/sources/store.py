@@ -46,6 +46,23 @@ class Store:
         whole = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind])
         whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(self.path(name))
 
+    def write_indexes(self, video_id: str, tables: dict[str, DataFrame]) -> None:
+        """Replace the video's part of each index; vectors are stored as floats."""
+        for name, rows in tables.items():
+            if name not in schemas.INDEXES:
+                raise ValueError(f"{name} is no index")
+            self.write(name, rows.withColumn("video_id", F.lit(video_id)))
+
+    def index(self, name: str, video_id: str) -> DataFrame | None:
+        """The video's part of an index, or None where there is none or its files can't be read: the search then goes without it."""
+        if name not in schemas.INDEXES:
+            raise ValueError(f"{name} is no index")
+        try:
+            rows = self.read(name, video_id)
+            return None if rows.isEmpty() else rows
+        except Exception:  # noqa: BLE001 - whatever the reason, an index can be built again
+            return None
+
     def list_videos(self) -> DataFrame:
         """Videos in order of their ids, and whether they have units to be searched."""
         ready = self.read("memory_unit").select("video_id").distinct().withColumn("memory_ready", F.lit(True))

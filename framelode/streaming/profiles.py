@@ -15,26 +15,48 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 CHUNK = "video_id long, chunk_index long, first_scene long, n_shots long, start_cs long, end_cs long, duration_cs long"
 
 
-def closed_chunks(shots: DataFrame, target: int = 15_000) -> DataFrame:
-    """The greedy chunks (see the batch form) of a stream of shots, each as soon as it holds ``target``. A rest that never fills stays in the state; the batch
-    form's merging of a short rest is for the end of a video, which a stream doesn't have."""
+def closed_chunks(shots: DataFrame, target: int = 15_000, least: int = 0) -> DataFrame:
+    """The greedy chunks (see the batch form) of a stream of shots. A row without scene_index is a video's end: what is left then is its last
+    chunk, or joins the one before if it is shorter than ``least``. Without a ``least`` a chunk leaves as soon as it holds ``target``, with one as soon as the next does,
+    as it may still take in a rest. A video without an end keeps its rest in the state. Rows behind the end are dropped."""
 
     def step(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        index, first, n, start, end, held = state.get if state.exists else (0, -1, 0, 0, 0, 0)
-        out = []
-        for part in parts:
-            for row in part.sort_values("scene_index").itertuples(index=False):
-                if not n:
-                    first, start, held = row.scene_index, row.start_cs, 0
-                n, end, held = n + 1, row.end_cs, held + row.dur_cs
-                if held >= target:
-                    out.append((key[0], index, first, n, start, end, held))
-                    index, n = index + 1, 0
-        state.update((int(index), int(first), int(n), int(start), int(end), int(held)))
+        # the open chunk: index, first, n, start, end, held; and one that is full but may still grow
+        now, full = (list(state.get[:6]), list(state.get[6:])) if state.exists else ([0, -1, 0, 0, 0, 0], [0, -1, 0, 0, 0, 0])
+        out: list[tuple] = []
+
+        def leave(chunk: list) -> None:
+            if chunk[2]:
+                out.append((key[0], *chunk))
+
+        rows = pd.concat(list(parts)).sort_values("scene_index")
+        for row in rows.itertuples(index=False):
+            if now[0] < 0:
+                break
+            if pd.isna(row.scene_index):
+                if now[2] and full[2] and now[5] < least:
+                    full = [*full[:2], full[2] + now[2], full[3], now[4], now[4] - full[3]]
+                    now[2] = 0
+                leave(full)
+                leave(now)
+                now, full = [-1, -1, 0, 0, 0, 0], [0, -1, 0, 0, 0, 0]
+                break
+            if not now[2]:
+                now[1], now[3], now[5] = row.scene_index, row.start_cs, 0
+            now[2], now[4], now[5] = now[2] + 1, row.end_cs, now[5] + row.dur_cs
+            if now[5] >= target:
+                leave(full)
+                full = list(now)
+                now = [now[0] + 1, -1, 0, 0, 0, 0]
+                if not least:
+                    leave(full)
+                    full[2] = 0
+        state.update(tuple(int(x) for x in [*now, *full]))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHUNK.split(", ")])
 
     rows = shots.select("video_id", "scene_index", "start_cs", "end_cs", "dur_cs")
-    return rows.groupBy("video_id").applyInPandasWithState(step, CHUNK, "i long, f long, n long, s long, e long, h long", "append", GroupStateTimeout.NoTimeout)
+    held = ", ".join(f"{kind}{c} long" for kind in ("now_", "full_") for c in ("index", "first", "n", "start", "end", "held"))
+    return rows.groupBy("video_id").applyInPandasWithState(step, CHUNK, held, "append", GroupStateTimeout.NoTimeout)
 
 
 def running_profiles(updates: DataFrame) -> DataFrame:

@@ -89,6 +89,17 @@ def test_density_clusters_of_three_bundles(spark):
     assert cluster.dbscan(np.array(vectors), 0.42, 3).tolist() == [i % 3 for i in range(30)] + [-1]
 
 
+def test_faces_meet_within_their_video_and_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    rows = [(v, 100 * v + i, (np.eye(4)[i % 2] * 3 + rng.normal(scale=0.3, size=4)).tolist()) for v in (1, 2, 3) for i in range(5 * v)]
+    faces = spark.createDataFrame(rows, "video long, face_id long, embedding array<double>")
+    unit = {i: np.array(e) / np.linalg.norm(e) for _, i, e in rows}
+    expected = {(a, b) for v, a, _ in rows for w, b, _ in rows if v == w and unit[a] @ unit[b] >= 1 - 0.3 - 1e-9}
+    assert {tuple(r) for r in cluster.near_pairs(faces, 0.3, "video").collect()} == expected
+    assert {i // 100 for i, label in map(tuple, cluster.density_labels(faces, 0.42, 3, "video").collect()) if label >= 0 and label // 100 != i // 100} == set()
+
+
 def test_clusters_that_share_a_key_frame_stay_apart(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4)], "video_id long, x long, y long")
     frames = spark.createDataFrame([(1, 1, [10]), (1, 2, [20]), (1, 3, [10]), (1, 4, [30])], "video_id long, cluster long, keyframes array<long>")

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from framelode.operators import search
 from framelode.sources import schemas
 from framelode.sources.store import Store, ingest_id, read_json_list
 
@@ -59,3 +60,32 @@ def test_ids_of_new_videos(spark):
     rows = spark.createDataFrame([("My  Film (2).mp4", "/x/a", 5), ("???.mov", "/y", 1)], "name string, path string, size long")
     found = [r[0] for r in rows.select(ingest_id(F.col("name"), F.col("path"), F.col("size"))).collect()]
     assert found[0].startswith("my_film_2_") and len(found[0]) == len("my_film_2_") + 8 and found[1].startswith("video_")
+
+
+def test_a_video_that_is_not_there_is_an_error(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    with pytest.raises(LookupError):
+        store.video("v1")
+    store.write("video_meta", spark.createDataFrame([("v1", "a.mp4")], "video_id string, filename string"))
+    assert store.video("v1").first()["filename"] == "a.mp4"
+    with pytest.raises(LookupError):
+        store.video("v2")
+
+
+def test_indexes_are_written_read_and_gone_without(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    assert store.index("text_index", "v1") is None
+    texts = spark.createDataFrame([(1, "a b", ["a"])], "scene_index int, combined_text string, keywords array<string>")
+    vectors = spark.createDataFrame([(1, [0.6, 0.8])], "scene_index int, embedding array<double>")
+    store.write_indexes("v1", {"text_index": texts, "vector_index": vectors})
+    assert [(r.scene_index, r.keywords) for r in store.index("text_index", "v1").collect()] == [(1, ["a"])]
+    found = search.vector_hits(store.index("vector_index", "v1"), spark.createDataFrame([(9, [3.0, 4.0])], "query_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r.scene_index, round(r.score, 6)) for r in found] == [(9, 1, 1.0)]
+    assert store.index("vector_index", "v2") is None
+    for part in (tmp_path / "s" / "text_index").rglob("*.parquet"):
+        for side in part.parent.glob(f".{part.name}.crc"):
+            side.unlink()
+        part.write_bytes(b"no parquet")
+    assert store.index("text_index", "v1") is None
+    with pytest.raises(ValueError, match="no index"):
+        store.write_indexes("v1", {"shot": texts})

@@ -24,6 +24,18 @@ def test_streamed_chunks_are_the_batch_ones(spark, tmp_path):
     assert out.count() > 0
 
 
+def test_an_end_of_a_video_closes_its_rest(spark, tmp_path):
+    shots = adapters.shots(spark, SMALL).select("video_id", "scene_index", "start_cs", "end_cs", "dur_cs")
+    ends = shots.select("video_id", F.lit(None).cast("int").alias("scene_index"), F.lit(0).cast("long").alias("start_cs"), F.lit(0).cast("long").alias("end_cs"), F.lit(0).cast("long").alias("dur_cs")).distinct()
+    for n in range(3):
+        shots.where(f"scene_index div 8 = {n}" if n < 2 else "scene_index >= 16").coalesce(1).write.mode("append").parquet(f"{tmp_path}/shots")
+    ends.coalesce(1).write.mode("append").parquet(f"{tmp_path}/shots")
+    for least in (0, 3_000, 14_000):
+        stream = spark.readStream.schema(shots.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/shots")
+        out = drained(profiles.closed_chunks(stream, least=least), f"ended_{least}", "append")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, temporal.chunks(shots, least=least).collect()))
+
+
 def test_streamed_profiles_end_as_the_batch_ones(spark, tmp_path):
     rows = spark.createDataFrame([(i % 5, i, f"n{i % 7}" if i % 3 else "") for i in range(60)], "character long, chunk long, name string")
     for n in range(3):
