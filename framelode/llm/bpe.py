@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from framelode.llm import common
 
 #: Units whose codes a worker keeps, at most twice over, and how long the longest of them is.
-CACHE_WORDS, CACHE_LENGTH = 150_000, 64
+CACHE_WORDS, CACHE_LENGTH = 100_000, 64
 #: Pairs of tokens whose compatibility a worker keeps.
 CACHE_PAIRS = 200_000
 
@@ -281,7 +281,7 @@ def _each(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[tuple
 
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with ``token_ids`` array<int> and ``decoded`` string. ``vocabulary``: the file's path on every executor."""
-    docs = common.clear_of(common.light(docs), "token_ids", "decoded")
+    docs = common.clear_of(docs, "token_ids", "decoded")
     schema = StructType([*docs.schema.fields, StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +308,9 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return common.light(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.light_batches(spark)
     return digests(common.documents(spark, sf_dir))

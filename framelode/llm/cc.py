@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Each step is an aggregation for the smallest neighbour and a join back, so a vertex with very many neighbours is
-combined before the shuffle and split by the adaptive skew join; nothing is gathered in one task or on the driver.
+Each step is an aggregation for the smallest neighbour, combined before the shuffle, and a join back. The smallest neighbours of
+vertices with one edge in ``HOT_SHARE`` or more, of which there are few at any size, are joined by broadcast, so that their edges
+stay where they are; nothing is gathered in one task or on the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +13,21 @@ from pyspark.sql import functions as F
 from framelode.llm import common
 
 
+#: A vertex is hot if one in so many ends of edges is its own.
+HOT_SHARE = 1000
+
+
+def _with_smallest(edges: DataFrame, smallest: DataFrame, ends: int) -> DataFrame:
+    """``edges`` (u, v) with the ``m`` of ``smallest`` (u, m, n: its edges) for their u."""
+    # HOT_SHARE rows at most
+    hot = [tuple(r) for r in smallest.where(F.col("n") * HOT_SHARE >= F.lit(ends)).select("u", "m").collect()]
+    if not hot:
+        return edges.join(smallest.select("u", "m"), "u")
+    few = F.broadcast(edges.sparkSession.createDataFrame(hot, "u long, m long"))
+    rest = edges.join(few, "u", "left_anti").join(smallest.select("u", "m"), "u")
+    return edges.join(few, "u").unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``id`` and ``component``, the smallest id that it reaches, for every id of the edges (``a``, ``b``).
 
@@ -19,19 +35,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     now = common.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
+    ends = 2 * now.count()
     for _ in range(rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_smallest(both.where("v > u"), smallest, ends).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every edge leads from the larger to the smaller end
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         after = common.written(small, "edges")
         sign = after.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
-        if before is not None and tuple(sign) == before:
-            now = after
+        common.dropped(spark, now)
+        settled, now, before, ends = tuple(sign) == before, after, tuple(sign), 2 * sign.n
+        if settled:
             break
-        now, before = after, tuple(sign)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

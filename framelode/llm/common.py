@@ -34,23 +34,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of the shared store that this process has made and not yet deleted.
+_MADE: dict[str, None] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = None
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store that nothing reads any more."""
+def dropped(spark: SparkSession, *what: DataFrame | str) -> None:
+    """Delete written tables, or folders, of the shared store that nothing reads any more."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for path in (w if isinstance(w, str) else w._written_to for w in what):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _MADE.pop(path, None)
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Delete all that the operators of this process have left in the shared folder, once their results, which are read from there,
+    have been written elsewhere."""
+    dropped(spark, *list(_MADE))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -105,19 +121,36 @@ def by_text_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most:
             at = to
 
 
-#: Rows, and bytes where this Spark counts them, of a batch that goes to a Python worker.
+#: Rows and bytes of a batch that goes to a Python worker, where a whole pipeline of text stages shares an executor's memory.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
-def light(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose batches for Python workers hold a bounded amount of text: the session's own limits, which count
-    rows that may each be long, are lowered to ``BATCH_ROWS`` and ``BATCH_BYTES`` if they are higher."""
-    conf = df.sparkSession.conf
+def light_batches(spark: SparkSession) -> None:
+    """Lower the session's own limits of batches for Python workers, which count rows that may each be long, to ``BATCH_ROWS`` and ``BATCH_BYTES``
+    if they are higher. For applications, as the pipeline's stages and the queries that carry texts through are; operators change no setting."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = (conf.get(key) or "").removesuffix("b")
+        now = (spark.conf.get(key, None) or "").removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(key, str(most))
-    return df
+            spark.conf.set(key, str(most))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def may_hold(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among the values of ``keys[key]``; none of the others is lost. A filter of 2**bits
+    bits, a table of 2**bits / 64 rows at most, goes to the rows, so that those that are not wanted need no shuffle."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(11)), F.lit(1 << bits))
+    own, word, mask = (fresh(rows, n) for n in ("place", "word", "mask"))
+    shift = lambda p: F.expr(f"shiftleft(1L, cast({p} & 63 as int))")
+    table = keys.select(place(key).alias(own)).select(F.shiftright(own, 6).alias(word), shift(own).alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    marked = rows.withColumn(own, place(column)).withColumn(word, F.shiftright(own, 6)).join(F.broadcast(table), word)
+    return marked.where(F.col(mask).bitwiseAND(shift(own)) != 0).select(*rows.columns)
 
 
 def clear_of(df: DataFrame, *names: str) -> DataFrame:

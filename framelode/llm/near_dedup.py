@@ -15,7 +15,8 @@ A link of similarity 0.8 shares no band with probability (1 - 0.8**6)**40 < 1e-5
 
 Defined cases: null and empty texts, and texts of white space, have empty sets and are linked with nothing, not
 even with each other. A text with fewer words than a shingle is one shingle. Repeated rows of one doc_id stay rows,
-of one component; a null doc_id keeps its row, with its own component null unless copies have an id.
+of one component; a null doc_id keeps its row, with its own component null unless copies have an id. An empty table gives no
+rows; columns other than doc_id and text are not read, whatever their names. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -210,7 +211,7 @@ def _dealt(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, for each row of ``docs`` (doc_id, text)."""
-    rows = common.light(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = common.written(rows.mapInArrow(lambda b: _sketches(b, shingle_words), _SKETCH), "sketches")
 
     # one member for each distinct set; the member is its smallest doc_id
@@ -235,26 +236,29 @@ def components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     size = groups.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES))
     heavy = common.written(size.withColumn("blocks", blocks).where("blocks > 1").select("component", "blocks"), "heavy")
-    texts = rows.join(common.small(groups.select("id", "component")), F.col("doc_id") == F.col("id")).select("id", "component", "text")
+    # texts of documents that are no candidates stay where they are
+    texts = common.may_hold(rows, "doc_id", groups, "id").join(groups.select("id", "component"), F.col("doc_id") == F.col("id")).select("id", "component", "text")
     exact = _dealt(texts, "component", common.small(heavy)).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
     links = exact.mapInArrow(lambda b: _confirmed(b, shingle_words, percent), "a long, b long")
     linked = cc.components(links)
 
     found = classes.join(linked, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     found = common.written(found, "found")
+    common.dropped(docs.sparkSession, groups)
     full = sketch.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b").join(found, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", "component_id")
     return full.union(sketch.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their group, which are those of its smallest doc_id. Rows that repeat a doc_id
-    and text leave one. Documents without words, which are linked with nothing, and rows without a doc_id all stay."""
-    gone = components(docs, shingle_words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(common.small(common.written(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    and text leave one. Documents without words, which are linked with nothing, and rows without a doc_id all stay. Other columns may have any names."""
+    own, n = common.fresh(docs, "gone"), common.fresh(docs, "n")
+    gone = components(docs, shingle_words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    left = docs.join(common.small(common.written(gone, "gone")), F.col("doc_id") == F.col(own), "left_anti")
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(own)
     again = common.small(common.written(ids, "again"))
-    once = left.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    return once.union(left.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = left.join(again, F.col("doc_id") == F.col(own), "left_anti")
+    return once.union(left.join(again, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

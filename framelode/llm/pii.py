@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, words near by adjust the score.
 
 Kinds: email, ip, card (Luhn), phone in international form; these four stand whatever their score. Beyond them
-iban (mod 97) and local phone numbers, which stand if their score reaches ``LEAST_SCORE``; the words before a
-local number decide that. Spans are counted in code points, end exclusive; those of one kind never overlap, spans
+iban (by its country's length, then mod 97) and local phone numbers, which stand if their score reaches ``LEAST_SCORE``. Words
+near by raise a score, or lower it where they speak of other numbers; for a local number they decide. Spans are counted in code points, end exclusive; those of one kind never overlap, spans
 of different kinds may.
 
 Every pattern runs in time linear in the text: runs are taken whole (possessively), and an address is grown to
@@ -35,6 +35,13 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+").match
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: Characters of an IBAN by its country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _WORDS = {
@@ -45,6 +52,8 @@ _WORDS = {
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b"),
     "local_phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|teléfono|téléphone)\b"),
 }
+#: Words before a number that speak of something else.
+_AGAINST = re.compile(r"(?i)\b(?:order|invoice|part|item|isbn|version|serial|example|sample|dummy|bestellung|rechnung|pedido|factura|commande|facture)\b")
 #: Values of a digit after doubling, as Luhn's check counts every second one.
 _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
@@ -71,11 +80,14 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    """Of each run the longest part from its start to a word break that passes; words and numbers behind it may be in upper case too."""
+    """Of each run the part of its country's length, if a word ends there and it passes; for a country that has no length here, the longest part up
+    to a word break that passes. Words and numbers behind it may be in upper case too."""
     at = 0
     while match := _IBAN.search(text, at):
         run, start = match[0], match.start()
         ends = [len(run), *(i for i in range(len(run) - 1, 0, -1) if run[i] == " ")]
+        if (length := IBAN_LENGTHS.get(run[:2])) is not None:
+            ends = [e for e in ends if len(run[:e].replace(" ", "")) == length]
         end = next((e for e in ends if len(own := run[:e].replace(" ", "")) >= 15 and passes_mod97(own)), None)
         if end:
             yield start, start + end
@@ -113,7 +125,8 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     out = []
     for kind, start, end in _proposed(text or ""):
         near = _WORDS[kind].search(text[max(0, start - NEAR) : start]) or _WORDS[kind].search(text[end : end + NEAR])
-        score = min(1.0, SCORES[kind] + (CONTEXT if near else 0))
+        against = _AGAINST.search(text[max(0, start - NEAR) : start])
+        score = max(0.0, min(1.0, SCORES[kind] + (CONTEXT if near else 0) - (CONTEXT if against else 0)))
         if kind in BASE_KINDS or score >= LEAST_SCORE:
             out.append((kind, start, end, score))
     return out
@@ -147,7 +160,7 @@ def found(docs: DataFrame) -> DataFrame:
             rows = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, _SPAN)], ["doc_id", "pii"])
 
-    return common.light(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, pii array<struct<kind: string, start: int, end: int, score: double>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pii array<struct<kind: string, start: int, end: int, score: double>>")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -159,7 +172,7 @@ def redacted(docs: DataFrame) -> DataFrame:
             text = pa.array([redact(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], text, *batch.columns[at + 1 :]], batch.schema.names)
 
-    return common.light(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _listed(wanted: Column) -> Column:
@@ -169,5 +182,6 @@ def _listed(wanted: Column) -> Column:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     pii = F.col("pii")
     base = F.filter(pii, lambda s: s["kind"].isin(*BASE_KINDS))
+    scores = F.array_join(F.transform(pii, lambda s: F.format_number(s["score"], 2)), ",")
     count = lambda kind: F.size(F.filter(pii, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found(common.documents(spark, sf_dir)).select("doc_id", *map(count, BASE_KINDS), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(pii).alias("spans"))
+    return found(common.documents(spark, sf_dir)).select("doc_id", *map(count, BASE_KINDS), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(pii).alias("spans"), scores.alias("scores"))

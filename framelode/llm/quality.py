@@ -96,6 +96,14 @@ def statistics(column: pa.Array) -> np.ndarray:
     )
 
 
+def solved(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x of factor @ x = right, for a lower triangular factor."""
+    out = np.empty_like(right)
+    for n in range(len(factor)):
+        out[n] = (right[n] - factor[n, :n] @ out[:n]) / factor[n, n]
+    return out
+
+
 class Discriminant:
     """rows, sums and sums of products of each class's statistics, to scores."""
 
@@ -113,12 +121,12 @@ class Discriminant:
             # the fewer the rows, the more is shrunk away
             shrink = min(1.0, SHRINK + sums.shape[1] / (sums.shape[1] + count[c]))
             factor = np.linalg.cholesky((1 - shrink) * covariance[c] + shrink * target)
-            self.classes.append((means[c], np.linalg.inv(factor), np.log(np.diagonal(factor)).sum(), np.log(count[c] / count.sum())))
+            self.classes.append((means[c], factor, np.log(np.diagonal(factor)).sum(), np.log(count[c] / count.sum())))
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         if self.classes is None:
             return np.full(len(rows), self.share)
-        density = [prior - volume - 0.5 * (((rows - mean) @ whiten.T) ** 2).sum(axis=1) for mean, whiten, volume, prior in self.classes]
+        density = [prior - volume - 0.5 * (solved(factor, (rows - mean).T) ** 2).sum(axis=0) for mean, factor, volume, prior in self.classes]
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / TEMPER, -60, 60)))
 
 
@@ -131,7 +139,7 @@ def measured(docs: DataFrame) -> DataFrame:
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), stats], ["doc_id", "stats"])
 
-    return common.light(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, stats array<double>")
 
 
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1) -> Discriminant:

@@ -182,7 +182,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
     """Write the ids of ``docs`` (doc_id, text) under ``path``: ids/ and dictionary/. ``vocabulary``: a path on every executor."""
     spark = docs.sparkSession
     vocabulary = vocabulary or default_vocabulary()
-    docs = common.light(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dictionary = _dictionary(docs, vocabulary)
     width = Encoder(vocabulary).kind.itemsize
     spark.range(1).select(F.lit(dictionary).cast("string")).coalesce(1).write.text(f"{path}/dictionary")
@@ -249,6 +249,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.light_batches(spark)
     path = common.new_path(spark, "token-ids")
     write(common.documents(spark, sf_dir), path)
     return read(spark, path)

@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams (``SIZES`` bytes of the lower-cased text, runs of white space as one space each
-byte) of the whole text, hashed to 2**``BUCKET_BITS`` buckets. A feature counts as its log ratio of document
+Features are the distinct n-grams (``SIZES`` code points of the lower-cased text, white space as spaces) of the whole text,
+hashed to 2**``BUCKET_BITS`` buckets. A feature counts as its log ratio of document
 frequencies in the two classes; a logistic regression with a ridge weighs the ``FEATURES`` most telling ones. It is fitted on
 a bounded sample of the labelled rows: the ``SAMPLE_PER_CLASS`` of each class with the smallest hashes of their ids, of
-texts up to ``SAMPLE_BYTES``. The intercept is moved to the classes' shares among all training rows.
+texts up to ``SAMPLE_BYTES``. Spark counts the sample's document frequencies and picks the features; what comes to the driver is which
+of those each row of the sample has, no texts. The intercept is moved to the classes' shares among all training rows.
 
 Defined cases: null and empty texts have no features and get the intercept's score; if no labelled row of one class can be
 used, every score is the share of class 1, 0.5 without any; repeated rows each get their row; columns that clash are not read.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -30,13 +32,29 @@ FEATURES, LEAST_TELLING, RIDGE, STEPS = 1024, 4.0, 9.0, 12
 THRESHOLD = 0.3
 
 
+#: By code point below 2**16: itself, or a space if it is white space; and a random value.
+_FOLD = np.arange(1 << 16, dtype=np.uint32)
+_FOLD[[9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 32
+_VALUE = shingles.mixed(np.arange(1 << 16, dtype=np.uint64) + np.uint64(1 << 20))
+
+
+def points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all lower-cased texts, one after another, and where each begins (and the end). Null texts are empty."""
+    low = pc.utf8_lower(pc.fill_null(column, ""))
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(low)), dtype=np.int64)])
+    return np.frombuffer("".join(low.to_pylist()).encode("utf-32-le"), np.uint32), offsets
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size: the bytes at which an n-gram of one text begins, and its bucket."""
-    data = np.where(shingles._SPACE[data], np.uint8(32), data)
+    """For each size: the code points at which an n-gram of one text begins, and its bucket."""
     n = len(data)
+    low = np.minimum(data, np.uint32((1 << 16) - 1))
+    values = _VALUE[_FOLD[low]]
+    if (high := data >= 1 << 16).any():
+        values[high] = shingles.mixed(data[high].astype(np.uint64) + np.uint64(1 << 20))
     up, down = shingles.powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(shingles._BYTE[data] * up[:n], out=sums[1:])
+    np.cumsum(values * up[:n], out=sums[1:])
     ends = np.repeat(offsets[1:], np.diff(offsets))
     for size in SIZES:
         at = np.flatnonzero(np.arange(size, n + size) <= ends)
@@ -65,7 +83,7 @@ class Model:
         self.weights, self.intercept = weights, intercept
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        data, offsets = shingles.utf8(column)
+        data, offsets = points(column)
         logit = np.full(len(column), self.intercept)
         if len(data):
             text, bucket = present(data, offsets, self.weights != 0)
@@ -73,57 +91,39 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def fitted(column: pa.Array, label: np.ndarray, shares: tuple[int, int]) -> Model:
-    """shares: rows of class 0 and 1 in the whole training set."""
+def constant(shares: tuple[int, int]) -> Model:
+    """The model of one class alone: the share of class 1."""
+    share = (shares[1] + 0.5) / (sum(shares) + 1)
+    return Model(np.zeros(1 << BUCKET_BITS), float(np.log(share / (1 - share))))
+
+
+def fitted(buckets: np.ndarray, scale: np.ndarray, row: np.ndarray, col: np.ndarray, label: np.ndarray, shares: tuple[int, int]) -> Model:
+    """buckets and scale: the features and their log ratios; (row, col): which of them each row has; label: of each row; shares: rows of class
+    0 and 1 in the whole training set."""
     weights = np.zeros(1 << BUCKET_BITS, np.float64)
     ones = int(label.sum())
-    if not ones or ones == len(label):
-        share = (shares[1] + 0.5) / (sum(shares) + 1)
-        return Model(weights, float(np.log(share / (1 - share))))
-    frequency = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-    step = 200
-    for at in range(0, len(column), step):
-        text, bucket = present(*shingles.utf8(column.slice(at, step)))
-        for c in (0, 1):
-            frequency[c] += np.bincount(bucket[label[at + text] == c], minlength=1 << BUCKET_BITS)
     total = np.array([len(label) - ones, ones])
-    share = (frequency + 1) / (total[:, None] + 2)
-    ratio = np.log(share[1] / share[0])
-    # how far the two frequencies are apart, against what chance allows
-    rate = (frequency.sum(axis=0) + 1) / (len(label) + 2)
-    telling = np.abs(share[1] - share[0]) / np.sqrt(rate * (1 - rate) * (1 / total[0] + 1 / total[1]))
-    best = np.argsort(-telling, kind="stable")[:FEATURES]
-    best = np.sort(best[telling[best] > LEAST_TELLING])
-    wanted, index = np.zeros(1 << BUCKET_BITS, bool), np.zeros(1 << BUCKET_BITS, np.int64)
-    wanted[best], index[best] = True, np.arange(len(best))
-    rows, columns = [], []
-    for at in range(0, len(column), step):
-        text, bucket = present(*shingles.utf8(column.slice(at, step)), wanted)
-        rows.append(at + text)
-        columns.append(index[bucket])
-    row, col = np.concatenate(rows), np.concatenate(columns)
-    scale = ratio[best]
     value = scale[col]
-    beta, bias = np.zeros(len(best)), float(np.log(total[1] / total[0]))
+    beta, bias = np.zeros(len(buckets)), float(np.log(total[1] / total[0]))
     # Newton steps on the mean log loss with a ridge, each solved by conjugate gradients
     n, ridge = len(label), RIDGE / len(label)
     for _ in range(STEPS):
         chance = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * beta[col], n) + bias, -60, 60)))
         miss, bend = (chance - label) / n, np.maximum(chance * (1 - chance), 1e-6) / n
-        left = -np.append(np.bincount(col, value * miss[row], len(best)) + ridge * beta, miss.sum())
+        left = -np.append(np.bincount(col, value * miss[row], len(buckets)) + ridge * beta, miss.sum())
         step, way, size = np.zeros(len(left)), left.copy(), float(left @ left)
         for _ in range(30):
             if size < 1e-14:
                 break
             moved = bend * (np.bincount(row, value * way[col], n) + way[-1])
-            curve = np.append(np.bincount(col, value * moved[row], len(best)) + ridge * way[:-1], moved.sum() + 1e-9 * way[-1])
+            curve = np.append(np.bincount(col, value * moved[row], len(buckets)) + ridge * way[:-1], moved.sum() + 1e-9 * way[-1])
             length = size / float(way @ curve)
             step += length * way
             left = left - length * curve
             before, size = size, float(left @ left)
             way = left + size / before * way
         beta, bias = beta + step[:-1], bias + float(step[-1])
-    weights[best] = beta * scale
+    weights[buckets] = beta * scale
     return Model(weights, float(bias + np.log(shares[1] / shares[0]) - np.log(total[1] / total[0])))
 
 
@@ -134,21 +134,57 @@ def fold(doc_id: Column, parts: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held: int = 2) -> Model:
     """The model of ``labels[label]`` from the rows outside the held-out fold."""
     known = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id"), parts) != held)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
-    usable = common.written(docs.select(F.col("doc_id").alias("_id"), F.octet_length("text").alias("_n")).join(known, "_id").select("_id", "y", "_n"), "labelled")
+    usable = common.written(docs.select(F.col("doc_id").cast("long").alias("_id"), F.octet_length("text").alias("_n")).join(known, "_id").select("_id", "y", "_n"), "labelled")
     counts = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
         own = usable.where((F.col("y") == y) & (F.coalesce("_n", F.lit(0)) <= SAMPLE_BYTES)).select("_id", "y").distinct().orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(SAMPLE_PER_CLASS)
         picked = own if picked is None else picked.union(own)
     # at most 2 * SAMPLE_PER_CLASS ids, so that they may go out to all
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(picked), "_id").dropDuplicates(["_id"]).select("_id", "text", "y").toArrow()
-    rows = rows.sort_by([("_id", "ascending")])
-    return fitted(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.asarray(rows.column("y")).astype(np.int64), (counts.get(0, 0), counts.get(1, 0)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(picked), "_id").dropDuplicates(["_id"]).select("_id", "text", "y")
+    sample = common.written(rows, "sample")
+    total = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    shares = counts.get(0, 0), counts.get(1, 0)
+    if len(total) < 2:
+        return constant(shares)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        for batch in common.by_text_bytes(batches):
+            label = np.asarray(batch.column("y"))
+            text, bucket = present(*points(batch.column("text")))
+            for c in (0, 1):
+                known[c] += np.bincount(bucket[label[text] == c], minlength=1 << BUCKET_BITS)
+        held = np.flatnonzero(known.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(known[0][held]), pa.array(known[1][held])], ["bucket", "n0", "n1"])
+
+    share = [(F.col(f"n{c}") + 1) / F.lit(total[c] + 2.0) for c in (0, 1)]
+    rate = (F.col("n0") + F.col("n1") + 1) / F.lit(total[0] + total[1] + 2.0)
+    # how far the two frequencies are apart, against what chance allows
+    telling = F.abs(share[1] - share[0]) / F.sqrt(rate * (1 - rate) * (1 / total[0] + 1 / total[1]))
+    every = sample.mapInArrow(frequencies, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    best = every.select("bucket", F.log(share[1] / share[0]).alias("scale"), telling.alias("telling")).where(F.col("telling") > LEAST_TELLING).orderBy(F.desc("telling"), "bucket").limit(FEATURES).collect()
+    best = sorted((r.bucket, r.scale) for r in best)
+    buckets, scale = np.array([b for b, _ in best], np.int64), np.array([s for _, s in best], float)
+    wanted, index = np.zeros(1 << BUCKET_BITS, bool), np.zeros(1 << BUCKET_BITS, np.int32)
+    wanted[buckets], index[buckets] = True, np.arange(len(buckets))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.by_text_bytes(batches):
+            text, bucket = present(*points(batch.column("text")), wanted)
+            ends = np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(ends), pa.array(index[bucket]))], ["_id", "y", "has"])
+
+    # a row of the sample has FEATURES of them at most
+    table = sample.mapInArrow(features, "_id long, y int, has array<int>").toArrow().sort_by([("_id", "ascending")])
+    has = table.column("has").combine_chunks()
+    row = np.repeat(np.arange(len(has)), np.asarray(has.value_lengths()))
+    return fitted(buckets, scale, row, np.asarray(has.flatten()).astype(np.int64), np.asarray(table.column("y")).astype(np.int64), shares)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score``, of class 1."""
-    docs = common.clear_of(common.light(docs), "score")
+    docs = common.clear_of(docs, "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,11 +8,13 @@ time: an id that follows from its content (a name-based UUID), a SHA-1 payload d
 
 ``op7_warc`` writes the pages as ARC files, converts them, and writes and reads back the WARC files. Of the records with equal
 payloads that of the smallest page_id is a response and the others revisit it, without a payload of their own. WARC
-files come from Spark's own text writer, gzip-compressed: a record ends with two line ends, which is the separator.
+files come from Spark's own text writer, gzip-compressed: a record ends with two line ends, which is the separator. A file
+holds up to ``FILE_RECORDS`` records and closes behind ``FILE_BYTES`` of them, so that a reader's memory is bounded by that and the longest record.
 
 Defined cases: null html is empty; payloads below ``LEAST_BYTES`` are never revisited; a null or odd URL is written
 percent-encoded, or as ``about:blank``; rows of equal page_id and payload that share the smallest id are all responses; a null
-page_id is never the response that others refer to unless all are null; an empty table gives no files.
+page_id is never the response that others refer to unless all are null; an empty table gives no files; columns other than
+page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 from framelode.llm import common
 
 LEAST_BYTES = 0
-#: Records of a file.
-FILE_RECORDS = 2000
+#: Records of a file, and bytes of them behind which it closes.
+FILE_RECORDS, FILE_BYTES = 2000, 16 << 20
+#: Revisits up to which they are broadcast: a digest and two ids each.
+BROADCAST_ROWS = 250_000
 #: A digest that at least one row in so many has is joined by broadcast: there are no more of those than that.
 HOT_SHARE = 1000
 
@@ -153,7 +157,8 @@ def _url(url: str | None) -> str:
 
 
 def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages, of which half go through each version of ARC, to WARC records."""
+    """Pages, of which half go through each version of ARC, to runs of WARC records, a file each."""
+    held, size = [], 0
     for batch in common.by_text_bytes(batches, "html"):
         rows = list(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True))
         out = []
@@ -161,7 +166,14 @@ def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [r for r in rows if (r[0] or 0) % 2 + 1 == version]
             data = arc_file(version, [(_url(url), _HEAD + (html or "").encode()) for _, url, html, _ in own])
             out += [warc_record(fields, content, page_id, to) for (page_id, _, _, to), (fields, content) in zip(own, arc_records(data), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+        for record in out:
+            held.append(record)
+            size += len(record)
+            if len(held) >= FILE_RECORDS or size >= FILE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([_ENDS.join(held)], pa.binary())], ["records"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([_ENDS.join(held)], pa.binary())], ["records"])
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -180,12 +192,12 @@ def revisits(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as WARC files, by way of ARC records."""
-    pages = common.light(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    again = common.small(common.written(revisits(pages), "revisits"))
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    again = common.small(common.written(revisits(pages), "revisits"), BROADCAST_ROWS)
     keyed = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     told = keyed.join(again.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("page_id") == F.col("_page")), "left")
-    records = told.select("page_id", "url", "html", "refers_to").mapInArrow(_converted, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", _ENDS.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records = told.select("page_id", "url", "html", "refers_to").mapInArrow(_converted, "records binary")
+    records.select(F.col("records").cast("string")).write.option("lineSep", _ENDS.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

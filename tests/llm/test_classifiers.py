@@ -98,3 +98,76 @@ def test_words_and_shingles_are_those_of_the_pattern():
         assert len(own) == len(words)
         for w, h in zip(words, own, strict=True):
             assert known.setdefault(w, h) == h and back.setdefault(h, w) == w
+
+
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x + 0x9E3779B97F4A7C15) & MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+    return x ^ (x >> 31)
+
+
+def plain_buckets(text):
+    low = "".join(" " if c.isspace() else c for c in (text or "").lower())
+    return {mixed(sum(mixed(ord(c) + (1 << 20)) * pow(0x5851F42D4C957F2D, n, 1 << 64) for n, c in enumerate(low[at : at + size])) + size & MASK) >> 44 for size in (3, 4, 5, 6) for at in range(len(low) - size + 1)}
+
+
+def test_toxicity_is_the_plain_fit(spark, tmp_path):
+    rows = [(i, t[:160] + (" ÉÀ😀 中文字" if i % 3 else ""), y) for i, t, y in corpus(260, "toxic", seed=4)]
+    spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x")], "doc_id long, text string, weights string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    has = {i: plain_buckets(t) for i, t, _ in rows} | {900: set()}
+    train = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    total = [sum(y == c for _, y in train) for c in (0, 1)]
+    counts = {}
+    for i, y in train:
+        for b in has[i]:
+            counts.setdefault(b, [0, 0])[y] += 1
+    share = {b: [(n[c] + 1) / (total[c] + 2) for c in (0, 1)] for b, n in counts.items()}
+    rate = {b: (sum(n) + 1) / (sum(total) + 2) for b, n in counts.items()}
+    telling = {b: abs(share[b][1] - share[b][0]) / (rate[b] * (1 - rate[b]) * (1 / total[0] + 1 / total[1])) ** 0.5 for b in counts}
+    best = sorted(sorted((b for b in counts if telling[b] > toxicity.LEAST_TELLING), key=lambda b: (-telling[b], b))[: toxicity.FEATURES])
+    assert len(best) > 20
+    scale = np.array([np.log(share[b][1] / share[b][0]) for b in best])
+    x = np.array([[float(b in has[i]) for b in best] for i, _ in train]) * scale
+    x, y = np.column_stack([x, np.ones(len(x))]), np.array([y for _, y in train])
+    ridge = np.diag([toxicity.RIDGE] * len(best) + [0.0])
+    beta = np.append(np.zeros(len(best)), np.log(total[1] / total[0]))
+    for _ in range(40):
+        chance = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve(x.T * (chance * (1 - chance)) @ x + ridge, x.T @ (chance - y) + ridge @ beta)
+    out = {r.doc_id: r.score for r in toxicity.op5_toxicity(spark, str(tmp_path)).collect()}
+    for i, own in has.items():
+        logit = sum(scale[n] * beta[n] for n, b in enumerate(best) if b in own) + beta[-1]
+        assert abs(out[i] - 1 / (1 + np.exp(-logit))) < 2e-3, i
+
+
+def test_case_and_accents_of_any_alphabet_fold():
+    buckets = lambda t: set(toxicity.present(*toxicity.points(pa.array([t])))[1].tolist())
+    assert buckets("ÉCOLE ДОМ Ωμέγα") == buckets("école дом ωμέγα") == plain_buckets("ÉCOLE ДОМ Ωμέγα")
+    assert buckets("中文") == set() and len(buckets("中文字")) == 1 and buckets("a\n\u3000b") == plain_buckets("a  b")
+
+
+def test_quality_is_the_plain_discriminant(spark, tmp_path):
+    rows = corpus(300, "quality", seed=6)
+    spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, stats string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stats = quality.statistics(pa.array([t for _, t, _ in rows]))
+    train = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i, *_ in rows])
+    y = np.array([y for *_, y in rows])
+    own = [stats[train & (y == c)] for c in (0, 1)]
+    count = np.array(list(map(len, own)))
+    spread = [np.cov(part.T, bias=True) for part in own]
+    target = np.diag(np.diagonal(sum(s * n for s, n in zip(spread, count, strict=True)) / count.sum()) + 1e-6)
+    density = []
+    for c in (0, 1):
+        shrink = min(1.0, quality.SHRINK + stats.shape[1] / (stats.shape[1] + count[c]))
+        whole = (1 - shrink) * spread[c] + shrink * target
+        apart = stats - own[c].mean(axis=0)
+        density.append(np.log(count[c] / count.sum()) - 0.5 * np.linalg.slogdet(whole)[1] - 0.5 * np.einsum("ij,jk,ik->i", apart, np.linalg.inv(whole), apart))
+    expected = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / quality.TEMPER, -60, 60)))
+    out = {r.doc_id: r.score for r in quality.op6_quality(spark, str(tmp_path)).collect()}
+    assert np.allclose([out[i] for i, *_ in rows], expected, atol=1e-7)

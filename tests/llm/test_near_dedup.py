@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from framelode.llm import cc, near_dedup
+from framelode.llm import cc, common, near_dedup
 
 
 def plain_components(rows, size, percent=80):
@@ -100,3 +100,37 @@ def test_components_of_chains_stars_and_loops(spark):
     out = {(r.id, r.component) for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {(i, 0) for i in range(41)} | {(i, 100) for i in range(100, 160)} | {(200, 200), (201, 200)}
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_vertices_and_small_shares(spark, monkeypatch):
+    monkeypatch.setattr(cc, "HOT_SHARE", 4)
+    edges = [(5, i) for i in range(6, 300)] + [(i, i + 1) for i in range(400, 420)] + [(3, 250)]
+    out = {(r.id, r.component) for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {(i, 3) for i in [3, *range(5, 300)]} | {(i, 400) for i in range(400, 421)}
+
+
+def test_any_column_names(spark):
+    text = " ".join(f"word{i}" for i in range(50))
+    kind = "doc_id long, text string, gone string, _gone string, N int, _again int, component string, n_shingles int, place int"
+    rows = [(1, text, "g", "h", 1, 2, "c", 3, 4), (2, text, "i", "j", 5, 6, "d", 7, 8), (4, text + " x", None, None, None, None, None, None, None), (5, "clean", "k", None, 9, 9, "e", 9, 9), (5, "clean", "k", None, 9, 9, "e", 9, 9)]
+    docs = spark.createDataFrame(rows, kind)
+    out = near_dedup.deduplicated(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[3]]
+    assert sorted((r.doc_id, r.component_id) for r in near_dedup.components(docs).collect()) == [(1, 1), (2, 1), (4, 1), (5, 5), (5, 5)]
+
+
+def test_no_row_that_is_wanted_is_filtered(spark):
+    rows = spark.range(0, 20_000).selectExpr("id AS doc_id", "id AS place", "id AS mask")
+    keys = spark.createDataFrame([(i * 37,) for i in range(500)] + [(-5,), (None,)], "id long")
+    out = [r.doc_id for r in common.may_hold(rows, "doc_id", keys, "id").collect()]
+    assert {i * 37 for i in range(500)} <= set(out) and len(out) == len(set(out)) < 700
+    few = {r.doc_id for r in common.may_hold(rows, "doc_id", keys, "id", bits=8).collect()}
+    assert {i * 37 for i in range(500)} <= few
+
+
+def test_intermediate_tables_can_be_removed(spark, tables):
+    before = len(common._MADE)
+    near_dedup.components(tables[1], 4).count()
+    assert len(common._MADE) > before
+    common.cleaned(spark)
+    assert not common._MADE

@@ -71,7 +71,8 @@ def test_query(spark, tmp_path):
     for i, text, _ in rows:
         base, every = list(plain(text or "")), [s[:3] for s in pii.spans(text)]
         shown = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b in s)
-        expected.append((i, *(sum(s[0] == k for s in base) for k in pii.BASE_KINDS), sha256(shown(base).encode()).hexdigest(), shown(every)))
+        scores = ",".join(f"{s[3]:.2f}" for s in pii.spans(text))
+        expected.append((i, *(sum(s[0] == k for s in base) for k in pii.BASE_KINDS), sha256(shown(base).encode()).hexdigest(), shown(every), scores))
     assert sorted(map(str, map(tuple, pii.op8_pii(spark, str(tmp_path)).collect()))) == sorted(map(str, expected))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert pii.redacted(docs).columns == docs.columns
@@ -84,3 +85,24 @@ def test_iban_before_upper_case_words_and_numbers():
     for text, expected in [(f"IBAN {own} BIC COBADEFF", [own]), (f"{own} 2024", [own]), (f"{own} {other} END", [own, other]), (f"AB12 3456 7890 1234 {own} X", [own]), (f"{own[:-1]}1 BIC", [])]:
         assert [text[s:e] for k, s, e, _ in pii.spans(text) if k == "iban"] == expected
     assert pii.redact(f"IBAN {own} BIC COBADEFF").endswith(" BIC COBADEFF") and own not in pii.redact(f"IBAN {own} BIC COBADEFF")
+
+
+def test_ibans_have_their_countrys_length():
+    def found(text):
+        return [text[s:e] for k, s, e, _ in pii.spans(text) if k == "iban"]
+
+    assert found("GB82WEST12345698765432 PLEASE") == ["GB82WEST12345698765432"]
+    assert found("NL91 ABNA 0417 1643 00 AND MORE 12") == ["NL91 ABNA 0417 1643 00"]
+    for country, length in pii.IBAN_LENGTHS.items():
+        for size in (length - 1, length, length + 1):
+            body = "7" * (size - 4)
+            check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+            assert found(f"x {country}{check:02d}{body} Y") == ([f"{country}{check:02d}{body}"] if size == length else [])
+
+
+def test_words_near_by_raise_and_lower_scores():
+    score = lambda text: {k: s for k, _, _, s in pii.spans(text)}
+    own = "DE89 3704 0044 0532 0130 00"
+    assert score(own)["iban"] == 0.9 and score(f"iban {own}")["iban"] == 1.0 and round(score(f"sample {own}")["iban"], 2) == 0.65
+    assert score("call 555-010-9999") == {"local_phone": 0.6} and score("555-010-9999") == {} and score("order by phone: invoice 555-010-9999") == {}
+    assert round(score("order jo@ex.org")["email"], 2) == 0.65 and score("mail jo@ex.org")["email"] == 1.0

@@ -55,3 +55,23 @@ def test_what_the_operator_calls_toxic_is_dropped(spark, tmp_path, monkeypatch):
     called = {r["doc_id"] for r in toxicity.op5_toxicity(spark, str(tmp_path)).collect() if r["predicted"]}
     left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
     assert called == {2, 3} and left == {1}
+
+
+def test_stages_keep_columns_of_any_name_and_odd_rows(spark, tmp_path):
+    rows = corpus(160, "toxic", seed=8)
+    names = "score _score _gone _again gone n token_ids decoded pii stats weights place".split()
+    docs = [(i, t, "en", "s", len(t), *[float(i)] * len(names)) for i, t, _ in rows] + [(900, None, None, None, None, *[None] * len(names)), (901, "", "en", "s", 0, *[1.0] * len(names)), (None, "no id", "en", "s", 5, *[2.0] * len(names)), (902, "é" * 50_000, "en", "s", 50_000, *[3.0] * len(names))]
+    docs += [docs[-1], docs[0]]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} double" for n in names)
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "words that nobody here ever wrote down")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = spark.createDataFrame(docs, kind)
+    given = {(r[0], r[1]): r[5:] for r in docs}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, str(tmp_path))
+        assert out.columns == table.columns and out.schema == table.schema, name
+        for r in out.collect():
+            assert name == "pii" or tuple(r)[5:] == given[r[0], r[1]]
+        assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path))
+    assert last.count() == len(docs) and last.columns == ["doc_id", "lang", "source", "token_ids", "n_tokens", "decoded"]
