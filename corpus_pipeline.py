@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of ``documents``. ``run`` applies them in order, each result written to the shared folder and read again.
+
+Defined cases, for every stage: null and empty texts are no copies and no leaks, are judged toxic by the share of toxic labels alone, and have no tokens;
+texts are taken whole, of any length; repeated rows are judged one by one and only the near-duplicate stage takes them away; rows without
+a doc_id stay; an empty table gives an empty one; further columns, whatever their names, keep their values (the last stage leaves them out).
+
+Stages lower the session's limits of batches for Python workers, which the session keeps: five kinds of workers share an executor's memory.
 """
 
 from __future__ import annotations
@@ -16,28 +22,36 @@ REJECT = toxicity.THRESHOLD
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below ``REJECT``; the model is that of the operator, from the labels of ``sf_dir``."""
+    """Documents whose score stays below ``REJECT``; the model is that of the operator, from the labels of ``sf_dir``. A column that is named as the
+    score is put aside meanwhile."""
+    common.light_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).where(F.col("score") < REJECT).select(*docs.columns)
+    aside = {c: common.fresh(docs, "score") for c in docs.columns if c.lower() == "score"}
+    kept = toxicity.scored(docs.withColumnsRenamed(aside), model).where(F.col("score") < REJECT).drop("score")
+    return kept.withColumnsRenamed({own: c for c, own in aside.items()}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the smallest doc_id; five-word shingles, similarity 0.8."""
+    """One document of each group, that of the smallest doc_id; five-word shingles, similarity 0.8. Of rows equal in doc_id and text one stays."""
+    common.light_batches(spark)
     return near_dedup.deduplicated(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, or less than 0.8 of its shingles."""
+    common.light_batches(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, spans of personal data replaced by their kinds, and n_chars with them."""
-    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long"))
+    common.light_batches(spark)
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of the whole text, their number, and what they decode to."""
+    """doc_id, lang, source, the ids of the whole text (none for null and empty ones), their number, and what they decode to."""
+    common.light_batches(spark)
     return bpe.encoded(docs).select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded")
 
 
