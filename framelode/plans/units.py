@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelode.operators import fusion as U
 from framelode.operators import index as I
+from framelode.operators import prompts as M
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
 
@@ -311,3 +312,30 @@ def idx_audio_tags(spark, sf_dir):
 def idx_usage(spark, sf_dir):
     tags = F.array_distinct(F.array("lang", "source", F.when(F.col("n_chars") > 1000, "long").otherwise("short")))
     return I.by_tag(A.table(spark, sf_dir, "documents"), tags, "doc_id").groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_units"))
+
+
+@query(
+    "prompt_beats",
+    A.sql(
+        [_BEATS],
+        """SELECT beat_index % 20 AS segment, md5(string_agg(line, chr(10) ORDER BY beat_index)) AS lines_md5, count(*) AS n FROM (SELECT beat_index, concat_ws(' | ', 'Beat ' || beat_index || ' [' || beat_index || '.0s-' || beat_index || '.5s]', '类型: ' || beat_type, CASE WHEN description <> '' THEN '内容: ' || description END,
+        CASE WHEN emotion <> '' THEN '情绪: ' || emotion END, CASE WHEN len(characters) > 0 THEN '人物: ' || array_to_string(characters, ', ') END) AS line FROM beats) GROUP BY 1""",
+    ),
+)
+def prompt_beats(spark, sf_dir):
+    rows = _beats(spark, sf_dir).withColumns({"segment": F.col("beat_index") % 20, "start_time": F.col("beat_index").cast("double"), "end_time": F.col("beat_index") + 0.5})
+    counts = rows.groupBy("segment").agg(F.count("*").alias("n"))
+    return M.prompt_of(rows, "segment", "beat_index", M.beat_line()).join(counts, "segment").select("segment", F.md5("lines").alias("lines_md5"), "n")
+
+
+@query(
+    "prompt_scenes",
+    A.sql(
+        [_STORY],
+        """SELECT s_nationkey AS chapter, string_agg(line, chr(10) ORDER BY scene) AS lines FROM (SELECT s_nationkey, scene, concat_ws(' | ', 'StoryScene ' || scene || ' [' || scene || '.0s-' || scene || '.5s]', CASE WHEN location <> '' THEN '地点: ' || location END, CASE WHEN plot_function <> '' THEN '功能: ' || plot_function END,
+        CASE WHEN description <> '' THEN '内容: ' || left(description, 80) END, CASE WHEN len(characters) > 0 THEN '人物: ' || array_to_string(characters[1:5], ', ') END) AS line, row_number() OVER (PARTITION BY s_nationkey ORDER BY scene) AS n FROM story) WHERE n <= 3 GROUP BY 1""",
+    ),
+)
+def prompt_scenes(spark, sf_dir):
+    rows = _story(spark, sf_dir).withColumns({"start_time": F.col("story_scene_index").cast("double"), "end_time": F.col("story_scene_index") + 0.5})
+    return M.prompt_of(rows, "s_nationkey", "story_scene_index", M.scene_line(), most=3).withColumnRenamed("s_nationkey", "chapter")

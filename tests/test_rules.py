@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelode.functions import coerce, text
-from framelode.operators import cluster, entity, fusion, index, plan, search, temporal
+from framelode.operators import cluster, entity, fusion, index, plan, prompts, search, temporal
 
 
 def value(spark, column):
@@ -211,3 +211,19 @@ def test_running_timeline_and_verdicts(spark):
     plans = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "plan_id long")
     assert {(r.plan_id, r.approved, round(r.score, 2)) for r in plan.verdicts(plans, issues).collect()} == {(1, True, 1.0), (2, True, 0.7), (3, False, 0.55), (4, False, 0.2)}
     assert plan.tempo_stages(5) == [2.0, 2.0, 1.25] and plan.tempo_stages(0.2) == [0.5, 0.5, 0.8]
+
+
+def test_lines_for_a_model(spark):
+    shot = spark.createDataFrame([(3, 1.0, 2.5, [("", "x" * 60), ("B", "two")], True, "a room", "dark", ""), (4, 2.5, 3.0, [], False, None, None, None)], "scene_index int, start_time double, end_time double, lines array<struct<speaker: string, text: string>>, has_vision boolean, description string, mood string, scene_type string")
+    assert [r[0] for r in shot.select(prompts.shot_line()).collect()] == ["Shot 3 [1.0s-2.5s] | 台词[?]: " + "x" * 50 + " two | 画面: a room | 情绪: dark", "Shot 4 [2.5s-3.0s]"]
+    event = spark.createDataFrame([(0.0, 9.0, "fight", 8, "rage", [1, 2], "they meet"), (9.0, 10.0, "talk", 2, None, [], "")], "start_time double, end_time double, event_type string, importance int, emotion string, scene_indices array<int>, description string")
+    assert [r[0] for r in event.select(prompts.event_line()).collect()] == ["  [0.0s-9.0s] [fight] [重要性:8] [rage] [scenes: 1,2] they meet", "  [9.0s-10.0s] [talk] [重要性:2] [] "]
+    line = spark.createDataFrame([(0.0, 1.0, "A", "hi"), (1.0, 2.0, None, "ho")], "start_time double, end_time double, speaker string, text string")
+    assert [r[0] for r in line.select(prompts.transcript_line()).collect()] == ["[0.0s-1.0s] [A] hi", "[1.0s-2.0s]  ho"]
+    view = spark.createDataFrame([(4.0, "inside", None, "lamp")], "timestamp double, scene_type string, mood string, description string")
+    assert view.select(prompts.view_line()).first()[0] == "[4.0s] [inside] [] lamp"
+    who = spark.createDataFrame([("c1", "Ann", "supporting", ["s1", "s2"], "tall", [1, 2, 3], 12.0), ("c2", "Bo", None, None, None, None, 0.0)], "character string, display_name string, role string, speaker_ids array<string>, description string, shots array<int>, total_screen_time double")
+    assert [r[0] for r in who.select(prompts.character_line()).collect()] == ["- c1 (Ann) [supporting] (speakers: s1, s2): tall, 出场 3 个镜头, 总时长 12.0s", "- c2 (Bo): , 出场 0 个镜头, 总时长 0.0s"]
+    found = spark.createDataFrame([(0, 7, 1.0, 3.0, 0.5, ["transcript", "vision"], "said", "", None, "next", ["a", "b", "c", "d"])], "index int, scene_index int, start_time double, end_time double, score double, modalities array<string>, transcript string, vision string, context_before string, context_after string, refs array<string>")
+    assert found.select(prompts.candidate_line()).first()[0] == "  [0] Scene 7 [1.0s-3.0s, 2.0s]\n    相关度=0.50, 命中模态: transcript, vision\n    台词: said\n    后文: next\n    证据: a, b, c"
+    assert prompts.prompt_of(line.withColumn("k", F.lit(1)), "k", "start_time", prompts.transcript_line(), most=1).first().lines == "[0.0s-1.0s] [A] hi"
