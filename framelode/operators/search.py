@@ -238,10 +238,8 @@ def deduplicated(hits: DataFrame) -> DataFrame:
 
 def of_character(hits: DataFrame, appearances: DataFrame, character) -> DataFrame:
     """Hits in scenes where the character is; all hits if nobody knows that character."""
-    own = appearances.where(F.col("character") == F.lit(character)).select(F.col("shot").alias("_shot")).distinct()
-    known = appearances.select((F.count_if(F.col("character") == F.lit(character)) > 0).alias("_known"))
-    marked = hits.join(own, F.col("scene_index") == F.col("_shot"), "left").crossJoin(F.broadcast(known))
-    return marked.where(~F.col("_known") | F.col("_shot").isNotNull()).drop("_shot", "_known")
+    own = appearances.where(F.col("character") == F.lit(character)).select(F.col("shot").alias("scene_index")).distinct()
+    return hits if own.isEmpty() else hits.join(own, "scene_index", "left_semi")
 
 
 def within_time(hits: DataFrame, shots: DataFrame, start, end) -> DataFrame:
