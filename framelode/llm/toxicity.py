@@ -30,6 +30,8 @@ SAMPLE_PER_CLASS, SAMPLE_BYTES = 4000, 32768
 #: RIDGE is for a training set of one row and shrinks as it grows.
 FEATURES, LEAST_TELLING, RIDGE, STEPS = 1024, 4.0, 9.0, 12
 THRESHOLD = 0.3
+#: Bytes of text whose code points, values and n-grams, some hundred times as much, a worker holds at once.
+SLICE = 1 << 19
 
 
 #: By code point below 2**16: itself, or a space if it is white space; and a random value.
@@ -150,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.zeros((2, 1 << BUCKET_BITS), np.int64)
-        for batch in common.by_text_bytes(batches):
+        for batch in common.by_text_bytes(batches, most=SLICE // 2):
             label = np.asarray(batch.column("y"))
             text, bucket = present(*points(batch.column("text")))
             for c in (0, 1):
@@ -170,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     wanted[buckets], index[buckets] = True, np.arange(len(buckets))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.by_text_bytes(batches):
+        for batch in common.by_text_bytes(batches, most=SLICE // 2):
             text, bucket = present(*points(batch.column("text")), wanted)
             ends = np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(ends), pa.array(index[bucket]))], ["_id", "y", "has"])
@@ -188,7 +190,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.by_text_bytes(batches):
+        for batch in common.by_text_bytes(batches, most=SLICE):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(batch.column("text")))], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
