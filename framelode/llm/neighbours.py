@@ -8,7 +8,7 @@ original vectors, in double precision.
 The first round looks into the ``FIRST_PROBES`` nearest axes of ``FIRST_TABLES`` tables, and so finds how far off the k nearest
 are at most. A vector that far off in a random direction falls into each bucket of a table with a chance that follows from the
 rotated query alone; the second round probes, of every table, the likeliest buckets that together hold such a vector with a chance
-of ``CATCH``. Where a vector's neighbours are near, that is one bucket or two; where there is no structure, many. A neighbour is
+of ``CATCH``. A query for which the first round found too few to tell looks into all buckets. Where a vector's neighbours are near, that is one bucket or two; where there is no structure, many. A neighbour is
 missed by all tables with a chance of about (1 - CATCH)**TABLES, at any size of the table and any dimension.
 
 The search is one of a stated set of queries against all rows, in blocks: a bucket's vectors and the queries that look
@@ -71,9 +71,9 @@ class CrossPolytope:
         both = self.signed(vectors, table)
         return both.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-both, axis=1, kind="stable")[:, :probes]
 
-    def likely(self, vectors: np.ndarray, table: int, apart: np.ndarray, catch: float) -> list[np.ndarray]:
+    def likely(self, vectors: np.ndarray, table: int, apart: np.ndarray, catch: float | np.ndarray) -> list[np.ndarray]:
         """For each unit vector the likeliest buckets of a unit vector ``apart`` from it (the chord) in a random direction, so many that they
-        hold it with a chance of ``catch``. An axis is the nearest where its value passes a level that on average one axis passes."""
+        hold it with a chance of ``catch``, one for all or one each (from 1 on: all buckets). An axis is the nearest where its value passes a level that on average one axis passes."""
         middle = self.signed(vectors, table) * (1 - apart**2 / 2)[:, None]
         spread = np.sqrt(np.maximum(apart**2 - apart**4 / 4, 0) / self.width)[:, None] + 1e-9
 
@@ -89,7 +89,8 @@ class CrossPolytope:
         share = chance(high)
         order = np.argsort(-share, axis=1, kind="stable")
         held = np.cumsum(np.take_along_axis(share, order, axis=1), axis=1)
-        return [row[: int(np.searchsorted(sums, catch)) + 1] for row, sums in zip(order, held, strict=True)]
+        wanted = np.broadcast_to(catch, len(vectors)).tolist()
+        return [row[: len(row) if w >= 1 else int(np.searchsorted(sums, w)) + 1] for row, sums, w in zip(order, held, wanted, strict=True)]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -124,7 +125,8 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _probes(batches: Iterator[pa.RecordBatch], first: bool, catch: float = CATCH) -> Iterator[pa.RecordBatch]:
-    """(row, table, bucket) for the buckets of the first round, or those of the second that the first has not probed; ``reach`` is the distance found."""
+    """(row, table, bucket) for the buckets of the first round, or those of the second that the first has not probed; ``reach`` is the
+    distance found, null where too few were found."""
     for part, polytope, vectors in _by_size(batches):
         rows = _on_sphere(vectors)
         if not first:
@@ -132,10 +134,11 @@ def _probes(batches: Iterator[pa.RecordBatch], first: bool, catch: float = CATCH
             with np.errstate(over="ignore"):
                 apart = reach / np.linalg.norm(vectors, axis=1)
             apart = np.where(np.isfinite(apart), np.minimum(apart, np.sqrt(2)), np.sqrt(2))
+            wanted = np.where(np.isnan(reach), 1.0, catch)
         for table in range(FIRST_TABLES if first else TABLES):
             found = list(polytope.nearest(rows, table, FIRST_PROBES)) if first or table < FIRST_TABLES else None
             if not first:
-                likely = polytope.likely(rows, table, apart, catch)
+                likely = polytope.likely(rows, table, apart, wanted)
                 found = likely if found is None else [a[~np.isin(a, b)] for a, b in zip(likely, found, strict=True)]
             at = np.repeat(np.arange(len(rows)), [len(f) for f in found])
             picked = part.select(["code", "vector", "size"]).take(pa.array(at))

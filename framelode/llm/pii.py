@@ -160,7 +160,7 @@ def found(docs: DataFrame) -> DataFrame:
             rows = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans(t)] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, _SPAN)], ["doc_id", "pii"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pii array<struct<kind: string, start: int, end: int, score: double>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, pii array<struct<kind: string, start: int, end: int, score: double>>")
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def measured(docs: DataFrame) -> DataFrame:
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), stats], ["doc_id", "stats"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, stats array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, stats array<double>")
 
 
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1) -> Discriminant:

@@ -87,6 +87,20 @@ def test_recall_through_spark(spark, monkeypatch):
     assert np.mean(hits) > 0.9
 
 
+@pytest.mark.parametrize(("n", "far"), [(3, 0), (11, 0), (12, 0), (40, 0), (40, 35)])
+def test_small_tables_give_whole_lists(spark, n, far):
+    rng = np.random.default_rng(n + far)
+    vectors = rng.normal(size=(n, 64))
+    vectors[:far] = vectors[0] + 1e-3 * vectors[:far]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    found = held(nn.neighbours(table, table))
+    assert {q: len(v) for q, v in found.items()} == dict.fromkeys(range(n), min(10, n - 1))
+    if far == 0:
+        expected = {i: sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in enumerate(vectors) if j != i)[:10] for i, v in enumerate(vectors)}
+        assert sum(same(found[q], expected[q]) for q in found) >= 0.75 * n
+
+
 def test_distances_are_exact_for_near_copies_and_large_values(monkeypatch):
     monkeypatch.setattr(nn, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(9)
