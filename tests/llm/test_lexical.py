@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from framelode.llm import lexical as lx
+from tests.oracle import connect, differs
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -97,3 +98,8 @@ def test_empty_tables(spark):
     none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lx.search(lx.indexed(none), one).count() == 0
     assert lx.search(lx.indexed(one.withColumnRenamed("item_id", "doc_id")), none.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_rows_are_those_of_the_sql(spark):
+    small = "/root/testdata/sf0.001"
+    assert differs(lx.op12_lexical_search(spark, small), lx.SQL, connect(small)) is None
