@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelode.functions import numbers as N
+
 
 def time_modes(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """(chunk, mode) from items (chunk, start, end) and chunks (chunk, start_time, end_time, duration): absolute if more of the ends lie in the chunk's own
@@ -18,9 +20,17 @@ def time_modes(items: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.select("chunk", F.when(absolute, "absolute").otherwise("relative").alias("mode"))
 
 
+def time_mode(times: Column, start: Column, end: Column, length: Column) -> Column:
+    """The same from the list of a chunk's times that are 0 or more, within its row."""
+    own = F.size(F.filter(times, lambda t: t <= length + 1))
+    whole = F.size(F.filter(times, lambda t: (t >= start - 1) & (t <= end + 1)))
+    absolute = (start > 0.5) & (whole > own) & (F.array_min(times) >= start - 1)
+    return F.when(absolute, "absolute").otherwise("relative")
+
+
 def whole_time(value: Column, start: Column, mode: Column) -> Column:
     """A time of the whole, to a tenth."""
-    return F.round(F.when(mode == "absolute", value).otherwise(value + start), 1)
+    return N.half_even(F.when(mode == "absolute", value).otherwise(value + start), 1)
 
 
 def scene_index_mode(local_hits: Column, global_hits: Column) -> Column:

@@ -55,5 +55,5 @@ def media_type(path: Column) -> Column:
 def character_id(raw: Column, chunk_index: Column) -> Column:
     """An identifier in the scope of the whole: known ones stay, unknown_N is one of its chunk, all else is null."""
     text = F.trim(F.coalesce(raw, F.lit("")))
-    own = F.when(chunk_index >= 0, F.concat(F.lit("char_tmp_chunk_"), F.lpad(chunk_index.cast("string"), 4, "0"), F.lit("_"), text)).otherwise(F.concat(F.lit("char_tmp_"), text))
+    own = F.when(chunk_index >= 0, F.concat(F.lit("char_tmp_chunk_"), F.format_string("%04d", chunk_index), F.lit("_"), text)).otherwise(F.concat(F.lit("char_tmp_"), text))
     return F.when(text.startswith("char_") | text.startswith("entity_"), text).when(text.startswith("unknown_"), own)

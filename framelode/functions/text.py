@@ -86,11 +86,24 @@ def short_hash(text: Column, digits: int = 8) -> Column:
     return F.substring(F.md5(text.cast("binary")), 1, digits)
 
 
+def json_value(text: Column) -> Column:
+    """A text that is one JSON value, as VARIANT, else null. Spark's own parser takes what follows the first value for nothing; as an item of a list with one more, it must end there."""
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]"))), "$", "array<variant>")
+    return F.when(F.size(items) == 2, F.get(items, F.lit(0)))
+
+
+def _json_tries(text: Column) -> list[Column]:
+    return [F.trim(F.regexp_extract(text, p, 1)) for p in (r"(?s)```json\s*(.*?)```", r"(?s)```\s*(.*?)```", r"(?s)(\[.*\])", r"(?s)(\{.*\})")] + [F.trim(text)]
+
+
 def json_block(text: Column) -> Column:
     """The first of these that is JSON: a fenced block named json, any fenced block, the outermost list, the outermost object, the whole."""
-    tries = [F.regexp_extract(text, p, 1) for p in (r"(?s)```json\s*(.*?)```", r"(?s)```\s*(.*?)```", r"(?s)(\[.*\])", r"(?s)(\{.*\})")]
-    good = [F.when((t != "") & F.try_parse_json(t).isNotNull(), F.trim(t)) for t in (*tries, text)]
-    return F.coalesce(*good)
+    return F.coalesce(*[F.when(json_value(t).isNotNull(), t) for t in _json_tries(text)])
+
+
+def json_found(text: Column) -> Column:
+    """The same as VARIANT."""
+    return F.coalesce(*map(json_value, _json_tries(text)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

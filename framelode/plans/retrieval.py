@@ -69,7 +69,7 @@ _INDEX_TERMS = f"list_distinct(list_concat({_TERMS.format('query')}, {_GRAMS.for
     "text_index_score",
     A.sql(
         "transcripts search_queries",
-        f"""SELECT query_id, scene_index, pos, m AS matches, round_even(least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE, 3) AS score, left(text, 100) AS snippet,
+        f"""SELECT query_id, scene_index, pos, m AS matches, CAST(format('{{:.3f}}', least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE) AS DOUBLE) AS score, left(text, 100) AS snippet,
           array_to_string(CASE WHEN {_HITS.format('lower(text)')} > 0 THEN ['transcript'] ELSE ['index'] END, ',') AS modalities FROM (
         SELECT query_id, scene_index, pos, text, terms, len(list_intersect(terms, k)) + {_HITS.format('lower(text)')} AS m
         FROM (SELECT *, {_KEYWORDS.format('text')} AS k FROM transcripts),
@@ -135,7 +135,7 @@ _MEMORY = [
       WHERE {_HITS.format('txt')} > 0)""",
     f"""un AS (SELECT scene_index, string_agg(text, ' ' ORDER BY pos) AS combined_text, arg_min(text, pos) AS transcript, arg_max(text, pos) AS vision FROM transcripts GROUP BY scene_index),
     ix AS (SELECT query_id, scene_index, terms, len(list_intersect(terms, k)) + {_HITS.format('lower(combined_text)')} AS m, transcript, vision FROM (SELECT *, {_KEYWORDS.format('combined_text')} AS k FROM un), (SELECT query_id, {_INDEX_TERMS} AS terms FROM mq)),
-    ih AS (SELECT *, round_even(least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE, 3) AS score, list_concat(CASE WHEN {_HITS.format('lower(transcript)')} > 0 THEN ['transcript'] ELSE [] END, CASE WHEN {_HITS.format('lower(vision)')} > 0 THEN ['vision'] ELSE [] END) AS ms FROM ix WHERE m > 0)""",
+    ih AS (SELECT *, CAST(format('{{:.3f}}', least(m / (len(terms) * 2), 1.5::DOUBLE) * 0.85::DOUBLE) AS DOUBLE) AS score, list_concat(CASE WHEN {_HITS.format('lower(transcript)')} > 0 THEN ['transcript'] ELSE [] END, CASE WHEN {_HITS.format('lower(vision)')} > 0 THEN ['vision'] ELSE [] END) AS ms FROM ix WHERE m > 0)""",
     """eb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scene_index) AS rank FROM (SELECT q.query_id, u.vec_id AS scene_index, round(list_cosine_similarity(u.embedding::DOUBLE[], q.embedding), 9) AS score FROM embeddings u, mq q)) WHERE rank <= 50)""",
     """every_hit AS (SELECT query_id, scene_index, score, 'embedding' AS match_type, '' AS snippet, '' AS transcript, '' AS vision, ['embedding'] AS modalities, 'vectors#' || scene_index AS ref, 0 AS layer, rank AS pos FROM eb
   UNION ALL SELECT query_id, scene_index, score, 'keyword_transcript', left(text, 100), text, '', ['transcript'], 'transcripts#t' || pos, 1, pos FROM th
@@ -147,7 +147,7 @@ _FUNNEL = [
     _DEDUPE,
     """top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scene_index) - 1 AS "index", count(*) OVER (PARTITION BY query_id) AS n FROM merged) WHERE "index" < 20),
  answered AS (SELECT *, ((query_id * 7 + "index" * 3) % 11) / 11.0::DOUBLE AS relevance FROM top20),
- blended AS (SELECT * REPLACE (CASE WHEN stays THEN score WHEN semantic THEN round_even(score * 0.3::DOUBLE + relevance * 0.7::DOUBLE, 3) ELSE score * 0.3::DOUBLE END AS score) FROM (
+ blended AS (SELECT * REPLACE (CASE WHEN stays THEN score WHEN semantic THEN CAST(format('{:.3f}', score * 0.3::DOUBLE + relevance * 0.7::DOUBLE) AS DOUBLE) ELSE score * 0.3::DOUBLE END AS score) FROM (
    SELECT *, n < 4 OR query_id % 5 = 0 AS stays, NOT (n < 4 OR query_id % 5 = 0) AND "index" % 2 = 0 AND relevance > 0.2::DOUBLE AS semantic FROM answered)),
  top_k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "index") AS rank FROM blended) WHERE rank <= 10),
  lines AS (SELECT scene_index, string_agg(text, ' ' ORDER BY pos) AS every_line FROM transcripts GROUP BY scene_index)""",
@@ -259,7 +259,7 @@ def vector_topn(spark, sf_dir):
     "rerank_blend",
     A.sql(
         "clips",
-        """SELECT plan_id AS query_id, clip_index AS "index", semantic, round(CASE WHEN stays THEN score WHEN semantic THEN round_even(score * 0.3::DOUBLE + relevance * 0.7::DOUBLE, 3) ELSE score * 0.3::DOUBLE END, 6) AS score FROM (
+        """SELECT plan_id AS query_id, clip_index AS "index", semantic, round(CASE WHEN stays THEN score WHEN semantic THEN CAST(format('{:.3f}', score * 0.3::DOUBLE + relevance * 0.7::DOUBLE) AS DOUBLE) ELSE score * 0.3::DOUBLE END, 6) AS score FROM (
         SELECT c.plan_id, c.clip_index, c.score, a.relevance, (c.n < 4 OR x.plan_id IS NULL) AS stays, NOT (c.n < 4 OR x.plan_id IS NULL) AND a.relevance IS NOT NULL AS semantic
         FROM (SELECT plan_id, clip_index, (clip_id % 97) / 97.0::DOUBLE AS score, count(*) OVER (PARTITION BY plan_id) AS n FROM clips) c
         LEFT JOIN (SELECT plan_id, clip_index, (clip_id % 11) / 11.0::DOUBLE AS relevance FROM clips WHERE clip_index % 2 = 0 AND (clip_id % 11) / 11.0::DOUBLE > 0.2::DOUBLE AND plan_id % 5 > 0) a USING (plan_id, clip_index)
