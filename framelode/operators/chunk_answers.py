@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from framelode.functions import chunks as K
 from framelode.functions import coerce
-from framelode.functions import numbers as N
 from framelode.functions import variants as V
 from framelode.operators import fusion
 
@@ -91,14 +90,17 @@ def _views(read_chunks: DataFrame) -> DataFrame:
     return best.withColumn("shot", shot).select(*_KEY, "scene_index", "shot.start_time", "shot.end_time", "best.item")
 
 
-def _present(item: Column, chunk: Column) -> Column:
-    """The characters that an item names, in order, each as often as it does."""
+def _named(item: Column) -> Column:
+    """The ids that an item names as present, as written: of an object its character_id, or its id."""
     value = V.at(item, "characters_present")
-    single = V.kind(value).isin("STRING", "OBJECT")
-    named = F.when(single, F.array(value)).otherwise(F.try_variant_get(item, "$.characters_present", "array<variant>"))
+    every = F.when(V.kind(value).isin("STRING", "OBJECT"), F.array(value)).otherwise(F.try_variant_get(item, "$.characters_present", "array<variant>"))
     first = lambda x: F.coalesce(F.nullif(V.raw_text(x, "character_id"), F.lit("")), V.raw_text(x, "id"))
-    ids = F.transform(F.coalesce(named, F.array().cast("array<variant>")), lambda x: coerce.character_id(F.when(V.kind(x) == "OBJECT", first(x)).otherwise(F.try_variant_get(x, "$", "string")), chunk))
-    return F.filter(ids, lambda c: c.isNotNull())
+    return F.transform(F.coalesce(every, F.array().cast("array<variant>")), lambda x: F.when(V.kind(x) == "OBJECT", first(x)).otherwise(F.try_variant_get(x, "$", "string")))
+
+
+def _present(item: Column, chunk: Column) -> Column:
+    """The characters that an item names, in order, each as often as it does."""
+    return F.filter(F.transform(_named(item), lambda c: coerce.character_id(c, chunk)), lambda c: c.isNotNull())
 
 
 def backfilled(chunks: DataFrame, shots: DataFrame, answers: DataFrame) -> Backfilled:
@@ -142,28 +144,38 @@ def speaker_map(transcripts: DataFrame) -> DataFrame:
     return transcripts.where("character_id is not null").groupBy("video_id", "speaker").agg(F.max_by("character_id", last).alias("character_id"))
 
 
-def mentions(read_chunks: DataFrame) -> DataFrame:
-    """What answers say of characters, in the order in which it counts: video_id, chunk_index, ``phase`` (0 a name in a line or view, 1 an update), ``place``, character_id, ``raw`` (unknown_N, as written),
-    names, change and action of an update. Only names of unknown ones are listed: known ones enter nothing by being named."""
-    answer = F.col("answer")
+def unknown_names(answer: Column) -> Column:
+    """The distinct unknown_N, as written, of the lines and views of an answer."""
     lines = F.transform(F.filter(V.objects(answer, "transcripts"), lambda x: V.text(x["item"], "text") != ""), lambda x: V.text(x["item"], "speaker", "unknown"))
-    present = lambda x: F.when(V.kind(V.at(x, "characters_present")).isin("STRING", "OBJECT"), F.array(V.at(x, "characters_present"))).otherwise(F.coalesce(F.try_variant_get(x, "$.characters_present", "array<variant>"), F.array().cast("array<variant>")))
-    written = lambda c: F.when(V.kind(c) == "OBJECT", F.coalesce(F.nullif(V.raw_text(c, "character_id"), F.lit("")), V.raw_text(c, "id"))).otherwise(F.try_variant_get(c, "$", "string"))
-    seen = F.flatten(F.transform(V.objects(answer, "per_shot"), lambda x: F.transform(present(x["item"]), written)))
-    rows = read_chunks.where("answer is not null")
-    empty = F.array().cast(_STRINGS)
-    named = rows.select(*_KEY, F.explode(F.array_distinct(F.concat(lines, seen))).alias("raw")).withColumn("raw", F.trim("raw")).where(F.col("raw").startswith("unknown_"))
-    named = named.select(*_KEY, F.lit(0).alias("phase"), F.lit(0).alias("place"), coerce.character_id(F.col("raw"), F.col("chunk_index")).alias("character_id"), "raw", empty.alias("names"), F.lit("").alias("change"), F.lit("").alias("action"))
-    item = F.col("x.item")
-    told = rows.select(*_KEY, F.explode(V.objects(answer, "character_updates")).alias("x"))
-    raw = V.text(item, "character_id")
-    told = told.select(*_KEY, F.lit(1).alias("phase"), F.col("x.place").alias("place"), coerce.character_id(raw, F.col("chunk_index")).alias("character_id"), F.when(raw.startswith("unknown_"), raw).alias("raw"), V.texts(item, "new_names").alias("names"), V.text(item, "appearance_change").alias("change"), V.text(item, "key_action").alias("action"))
-    return named.dropDuplicates().union(told.where("character_id is not null"))
+    seen = F.flatten(F.transform(V.objects(answer, "per_shot"), lambda x: F.transform(_named(x["item"]), lambda c: F.trim(c))))
+    return F.array_distinct(F.filter(F.concat(lines, seen), lambda c: c.startswith("unknown_")))
 
 
-def suggestions(read_chunks: DataFrame) -> DataFrame:
-    """Merges that answers suggest: video_id, chunk_index, place, primary, duplicate, confidence and reason; those of an id with itself or without one are left out."""
-    item = F.col("x.item")
-    rows = read_chunks.where("answer is not null").select(*_KEY, F.explode(V.objects(F.col("answer"), "character_merge_suggestions")).alias("x"))
-    ids = [F.coalesce(V.raw_text(item, c), F.lit("")).alias(c) for c in ("primary", "duplicate")]
-    return rows.select(*_KEY, F.col("x.place").alias("place"), *ids, V.share(item, "confidence").alias("confidence"), F.coalesce(V.raw_text(item, "reason"), F.lit("")).alias("reason")).where("primary <> '' and duplicate <> '' and primary <> duplicate")
+def updates(answer: Column) -> Column:
+    """The updates of characters in an answer: place, id (as written), names, change and action."""
+    one = lambda x: F.struct(x["place"], V.text(x["item"], "character_id").alias("id"), V.texts(x["item"], "new_names").alias("names"), V.text(x["item"], "appearance_change").alias("change"), V.text(x["item"], "key_action").alias("action"))
+    return F.transform(V.objects(answer, "character_updates"), one)
+
+
+def suggested(answer: Column) -> Column:
+    """The merges that an answer suggests: place, primary, duplicate, confidence and reason; those of an id with itself or without one are left out."""
+    raw = lambda x, path: F.coalesce(V.raw_text(x["item"], path), F.lit("")).alias(path)
+    every = F.transform(V.objects(answer, "character_merge_suggestions"), lambda x: F.struct(x["place"], raw(x, "primary"), raw(x, "duplicate"), V.share(x["item"], "confidence").alias("confidence"), raw(x, "reason")))
+    return F.filter(every, lambda s: (s["primary"] != "") & (s["duplicate"] != "") & (s["primary"] != s["duplicate"]))
+
+
+def mentions(answers: DataFrame) -> DataFrame:
+    """What ``answers`` (video_id, chunk_index, answer as VARIANT) say of characters, in the order in which it counts: video_id, chunk_index, ``phase`` (0 a name in a line or view, 1 an update), ``place``,
+    character_id, ``raw`` (unknown_N, as written), names, change and action of an update. Only names of unknown ones are listed: known ones enter nothing by being named."""
+    rows = answers.where("answer is not null").select(*_KEY, "answer")
+    named = rows.select(*_KEY, F.explode(unknown_names(F.col("answer"))).alias("raw"))
+    own = coerce.character_id(F.col("raw"), F.col("chunk_index")).alias("character_id")
+    named = named.select(*_KEY, F.lit(0).alias("phase"), F.lit(0).alias("place"), own, "raw", F.array().cast(_STRINGS).alias("names"), F.lit("").alias("change"), F.lit("").alias("action"))
+    told = rows.select(*_KEY, F.explode(updates(F.col("answer"))).alias("u"))
+    told = told.select(*_KEY, F.lit(1).alias("phase"), "u.place", coerce.character_id(F.col("u.id"), F.col("chunk_index")).alias("character_id"), F.when(F.col("u.id").startswith("unknown_"), F.col("u.id")).alias("raw"), "u.names", "u.change", "u.action")
+    return named.union(told.where("character_id is not null"))
+
+
+def suggestions(answers: DataFrame) -> DataFrame:
+    """``suggested`` of each answer as rows with video_id and chunk_index."""
+    return answers.where("answer is not null").select(*_KEY, F.explode(suggested(F.col("answer"))).alias("s")).select(*_KEY, "s.*")

@@ -54,18 +54,20 @@ def importance(screen: Column, dialogue: Column, events: Column, duration: Colum
     return a * screen / F.greatest(duration, one) + b * dialogue / F.greatest(lines, one) + c * events / F.greatest(total_events, one)
 
 
-def confirmed_merges(votes: DataFrame, tiers: DataFrame) -> DataFrame:
+def confirmed_merges(votes: DataFrame, tiers: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """votes (primary, duplicate, chunk, confidence) to confirmed (kept, merged): a pair, in either order, whose best confidence is 0.85 or more and
-    which two chunks or more name. Kept is who has most votes as primary, then the better tier, then the smaller id."""
+    which two chunks or more name, both of it known to ``tiers`` (character, tier). Kept is who has most votes as primary, then the better tier, then the smaller id.
+    scope: columns of both, as video_id, within which ids are ids."""
+    scope = scope or []
     pair = votes.where("primary <> duplicate").withColumn("x", F.least("primary", "duplicate")).withColumn("y", F.greatest("primary", "duplicate"))
-    good = pair.groupBy("x", "y").agg(F.max("confidence").alias("best"), F.countDistinct("chunk").alias("chunks"), F.count_if(F.col("primary") == F.col("x")).alias("for_x"), F.count_if(F.col("primary") == F.col("y")).alias("for_y"))
+    good = pair.groupBy(*scope, "x", "y").agg(F.max("confidence").alias("best"), F.countDistinct("chunk").alias("chunks"), F.count_if(F.col("primary") == F.col("x")).alias("for_x"), F.count_if(F.col("primary") == F.col("y")).alias("for_y"))
     good = good.where((F.col("best") >= LEAST_CONFIDENCE) & (F.col("chunks") >= LEAST_CHUNKS))
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")), F.lit(0)), F.lit(len(TIERS) + 1))
-    ranks = tiers.select("character", rank.alias("rank"))
-    both = good.join(ranks.withColumnsRenamed({"character": "x", "rank": "rank_x"}), "x", "left").join(ranks.withColumnsRenamed({"character": "y", "rank": "rank_y"}), "y", "left")
-    last = F.lit(len(TIERS) + 1)
-    key = lambda own, side: F.struct(-F.col(f"for_{side}"), F.coalesce(f"rank_{side}", last), F.col(own))
-    return both.select(F.when(key("x", "x") <= key("y", "y"), F.col("x")).otherwise(F.col("y")).alias("kept"), F.when(key("x", "x") <= key("y", "y"), F.col("y")).otherwise(F.col("x")).alias("merged"), "best", "chunks")
+    ranks = tiers.groupBy(*scope, "character").agg(F.min(rank).alias("rank"))
+    both = good.join(ranks.withColumnsRenamed({"character": "x", "rank": "rank_x"}), [*scope, "x"]).join(ranks.withColumnsRenamed({"character": "y", "rank": "rank_y"}), [*scope, "y"])
+    key = lambda own, side: F.struct(-F.col(f"for_{side}"), F.col(f"rank_{side}"), F.col(own))
+    first = key("x", "x") <= key("y", "y")
+    return both.select(*scope, F.when(first, F.col("x")).otherwise(F.col("y")).alias("kept"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("merged"), "best", "chunks")
 
 
 def canonical(links: DataFrame, rounds: int = 40) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framelode.functions import variants as V
 from framelode.operators import chunk_answers as C
+from framelode.operators import entity, profiles
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
 
@@ -44,7 +46,7 @@ def answers(spark, sf_dir):
     start = F.when(F.col("video_id") % 2 == 0, F.col("start_time") - F.col("from")).otherwise(F.col("start_time")) + 0.25
     end = start + (i % 5 - 1) * 1.5
     line = fields(start_time=F.when(i % 3 == 0, text(start)).otherwise(start.cast("string")), end_time=end.cast("string"), text=F.when(i % 6 == 0, '""').otherwise(text(F.concat("event_type", F.lit(" line")))), speaker=one_of(i, ['"char_a"', '"unknown_2"', '"unknown"', F.lit(None)]), type=F.when(i % 3 == 1, '"narration"'))
-    update = F.when(i % 3 == 0, fields(character_id=one_of(i / 3, ['"char_a"', '"entity_7"', '"unknown_2"', '"char_c"', '"nobody"', '"unknown_9"']), new_names=one_of(i, [F.concat(F.lit('["Name'), i % 8, F.lit('", "未知"]')), F.lit(None)]), appearance_change=one_of(i, [F.concat(F.lit('" coat '), i % 10, F.lit('"')), F.lit('"无变化"'), F.lit(None), F.lit('""')]), key_action=one_of(i, [F.lit('"暂无"'), F.concat(F.lit('"runs '), i % 6, F.lit('"')), F.lit('""')])))
+    update = F.when(i % 3 == 0, fields(character_id=one_of(i / 3, ['"char_a"', '"entity_7"', '"unknown_2"', '"char_c"', '"nobody"', '"unknown_9"']), new_names=one_of(i, [F.concat(F.lit('["Name'), i % 8, F.lit('", "未知"]')), F.lit(None)]), appearance_change=one_of(i, [F.concat(F.lit('" coat '), i % 10, F.lit('"')), F.lit('"无变化"'), F.lit(None), F.lit('""')]), key_action=one_of(i / 3, [F.lit('"暂无"'), F.concat(F.lit('"runs '), i % 6, F.lit('"')), F.lit('""')])))
     merge = F.when(i % 5 == 0, fields(primary=one_of(i / 5, ['"char_a"', '"char_c"', '"entity_7"', '"char_a"']), duplicate=one_of(i / 10, ['"char_c"', '"char_a"', '"char_zz"', '"entity_7"', '""']), confidence=one_of(i, ['"95%"', "0.7", "0.86", '"x"']), reason='"alike"'))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scene_index", c.alias("of")))), lambda x: x["of"]), ", ")
     some = rows.groupBy("video_id", "chunk_index").agg(listed(view).alias("views"), listed(again).alias("again"), listed(line).alias("lines"), listed(update).alias("updates"), listed(merge).alias("merges"))
@@ -120,3 +122,69 @@ def chunk_backfill(spark, sf_dir):
     rows = made.vision.join(made.ocr.drop("timestamp"), key).join(made.audio, key).join(made.alignments, key)
     shown = [F.array_join(c, ",").alias(c) for c in ("objects", "texts", "sfx_tags", "visible_characters", "speaking_characters", "active_modalities")]
     return rows.select(*key, "timestamp", "start_time", "end_time", "description", "mood", "action_description", "has_music", "has_sfx", "silence_ratio", "speech_rate", "speech_emotion", "dominant_modality", "alignment_confidence", "notes", *shown)
+
+
+#: Two characters of each video from its pictures and a passer-by, who counts for nobody.
+_GALLERIES = """gl AS (SELECT DISTINCT video_id, 'char_a' AS cid, 'major' AS tier FROM cs UNION ALL SELECT DISTINCT video_id, 'char_c', 'minor' FROM cs WHERE video_id % 2 = 0)"""
+
+
+def galleries(spark, sf_dir):
+    videos = A.shots(spark, sf_dir).select("video_id").distinct()
+    of = lambda name, tier: videos.select("video_id", F.lit(name).alias("character_id"), F.lit(tier).alias("tier"), F.array(F.col("video_id").cast("int") % 5, F.lit(1)).alias("appearance_scenes"))
+    return of("char_a", "major").union(of("char_c", "minor").where("video_id % 2 = 0")).union(of("char_zz", "passerby"))
+
+
+_PROFILES = [
+    *_BASE,
+    _GALLERIES,
+    f"""up AS (SELECT video_id, chunk_index, 1 AS phase, scene_index AS place, i, CASE (i // 3) % 6 WHEN 0 THEN 'char_a' WHEN 1 THEN 'entity_7' WHEN 2 THEN {_TMP} || '2' WHEN 3 THEN 'char_c' ELSE {_TMP} || '9' END AS cid,
+      CASE (i // 3) % 6 WHEN 2 THEN 'unknown_2' WHEN 5 THEN 'unknown_9' END AS raw, CASE WHEN i % 2 = 0 THEN 'Name' || (i % 8) END AS name, CASE i % 4 WHEN 0 THEN 'coat ' || (i % 10) WHEN 1 THEN '无变化' END AS change, CASE WHEN (i // 3) % 3 = 1 THEN 'runs ' || (i % 6) END AS action
+      FROM st WHERE i % 3 = 0 AND (i // 3) % 6 <> 4)""",
+    f"""me AS (SELECT video_id, chunk_index, phase, place, cid, raw, name, change, action FROM up
+      UNION ALL SELECT DISTINCT video_id, chunk_index, 0, -1, {_TMP} || '2', 'unknown_2', NULL, NULL, NULL FROM st WHERE i % 6 > 0 AND i % 4 = 1
+      UNION ALL SELECT DISTINCT video_id, chunk_index, 0, -1, {_TMP} || '1', 'unknown_1', NULL, NULL, NULL FROM st WHERE (video_id + chunk_index) % 17 > 0 AND i % 5 = 0)""",
+    "kn AS (SELECT video_id, cid, min(chunk_index) AS first FROM (SELECT video_id, cid, chunk_index FROM me UNION ALL SELECT video_id, cid, -1 FROM gl) GROUP BY ALL)",
+    "mn AS (SELECT m.*, gl.tier AS gtier, row_number() OVER (PARTITION BY m.video_id, m.cid ORDER BY chunk_index, phase, place) AS n FROM me m LEFT JOIN gl ON gl.video_id = m.video_id AND gl.cid = m.cid)",
+    "fi AS (SELECT video_id, cid, gtier IS NULL AND raw IS NOT NULL AS tmp, gtier IS NULL AND raw IS NULL AS made, raw FROM mn WHERE n = 1)",
+    "na AS (SELECT video_id, cid, string_agg(name, ',' ORDER BY nth) AS names FROM (SELECT video_id, cid, name, min(n) AS nth FROM (SELECT video_id, cid, name, n FROM mn WHERE name IS NOT NULL UNION ALL SELECT video_id, cid, raw, 0 FROM fi WHERE tmp) GROUP BY ALL) GROUP BY ALL)",
+    """de AS (SELECT video_id, cid, arg_max(change, n) FILTER (change <> '无变化') AS description, string_agg(chunk_index || ':' || change, ',' ORDER BY n) FILTER (change IS NOT NULL) AS changes, string_agg(chunk_index || ':' || action, ',' ORDER BY n) FILTER (action IS NOT NULL AND NOT (made AND n = 1)) AS actions
+      FROM mn JOIN fi USING (video_id, cid) GROUP BY ALL)""",
+    """su AS (SELECT * FROM (SELECT video_id, chunk_index, scene_index AS place, ['char_a', 'char_c', 'entity_7', 'char_a'][(i // 5) % 4 + 1] AS prim, ['char_c', 'char_a', 'char_zz', 'entity_7', ''][(i // 10) % 5 + 1] AS dup, [0.95::DOUBLE, 0.7::DOUBLE, 0.86::DOUBLE, 0.0::DOUBLE][i % 4 + 1] AS confidence FROM st WHERE i % 5 = 0) WHERE prim <> dup AND dup <> '')""",
+    "ac AS (SELECT s.* FROM su s JOIN kn p ON p.video_id = s.video_id AND p.cid = s.prim AND p.first <= s.chunk_index JOIN kn d ON d.video_id = s.video_id AND d.cid = s.dup AND d.first <= s.chunk_index)",
+    "sg AS (SELECT video_id, prim AS cid, string_agg(chunk_index || ':' || dup || ':' || CAST(confidence AS VARCHAR), ',' ORDER BY chunk_index, place) AS merges FROM ac GROUP BY ALL)",
+    """pr AS (SELECT k.video_id, k.cid, coalesce(names, '') AS names, coalesce(de.description, CASE WHEN tmp THEN '临时标注人物（无脸谱匹配）' ELSE '' END) AS description, coalesce(changes, '') AS changes, coalesce(actions, '') AS actions, coalesce(gl.tier, 'minor') AS tier,
+      NOT coalesce(made AND k.cid LIKE 'entity%', FALSE) AS is_human, coalesce(merges, '') AS merges FROM kn k LEFT JOIN gl ON gl.video_id = k.video_id AND gl.cid = k.cid LEFT JOIN fi ON fi.video_id = k.video_id AND fi.cid = k.cid
+      LEFT JOIN na ON na.video_id = k.video_id AND na.cid = k.cid LEFT JOIN de ON de.video_id = k.video_id AND de.cid = k.cid LEFT JOIN sg ON sg.video_id = k.video_id AND sg.cid = k.cid)""",
+]
+
+
+def _profiles(spark, sf_dir):
+    read = answers(spark, sf_dir).withColumn("answer", V.read_object(F.col("answer")))
+    return profiles.folded(galleries(spark, sf_dir), C.mentions(read), C.suggestions(read))
+
+
+@query("chunk_profiles", A.sql(_PROFILES, "SELECT video_id, cid AS character_id, names, description, changes, actions, tier, is_human, merges FROM pr"))
+def chunk_profiles(spark, sf_dir):
+    shown = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ",")
+    rows = _profiles(spark, sf_dir)
+    return rows.select(
+        "video_id", "character_id", F.array_join("names", ",").alias("names"), "description", shown("appearance_changes", "chunk_idx", "description").alias("changes"), shown("key_actions", "chunk_idx", "action").alias("actions"), "tier", "is_human",
+        shown("merge_suggestions", "chunk_index", "duplicate_id", "confidence").alias("merges"),
+    )
+
+
+@query(
+    "chunk_identity_links",
+    A.sql(
+        [
+            *_PROFILES,
+            """pv AS (SELECT video_id, least(prim, dup) AS x, greatest(prim, dup) AS y, max(confidence) AS best, count(DISTINCT chunk_index) AS chunks, count_if(prim = least(prim, dup)) AS for_x, count_if(prim = greatest(prim, dup)) AS for_y FROM ac GROUP BY ALL)""",
+            "rk AS (SELECT video_id, cid, CASE tier WHEN 'major' THEN 1 ELSE 2 END AS rank FROM pr)",
+        ],
+        """SELECT video_id, CASE WHEN f THEN x ELSE y END AS kept, CASE WHEN f THEN y ELSE x END AS merged, best, chunks FROM (
+      SELECT pv.*, (-for_x, rx.rank, x) <= (-for_y, ry.rank, y) AS f FROM pv JOIN rk rx ON rx.video_id = pv.video_id AND rx.cid = x JOIN rk ry ON ry.video_id = pv.video_id AND ry.cid = y WHERE best >= 0.85 AND chunks >= 2)""",
+    ),
+)
+def chunk_identity_links(spark, sf_dir):
+    rows = _profiles(spark, sf_dir)
+    return entity.confirmed_merges(profiles.votes(rows), rows.select("video_id", F.col("character_id").alias("character"), "tier"), ["video_id"])

@@ -76,7 +76,7 @@ _TIERS = "tiers AS (SELECT s_suppkey AS character, CASE s_suppkey % 4 WHEN 0 THE
 _MERGES = """pairs AS (SELECT least(prim, dup) AS x, greatest(prim, dup) AS y, max(confidence) AS best, count(DISTINCT chunk) AS chunks, count(*) FILTER (prim = least(prim, dup)) AS for_x, count(*) FILTER (prim = greatest(prim, dup)) AS for_y FROM votes WHERE prim <> dup GROUP BY ALL),
  ranked AS (SELECT character, CASE tier WHEN 'major' THEN 1 WHEN 'minor' THEN 2 WHEN 'passerby' THEN 3 ELSE 4 END AS rank FROM tiers),
  merges AS (SELECT CASE WHEN first THEN x ELSE y END AS kept, CASE WHEN first THEN y ELSE x END AS merged, best, chunks FROM (
-   SELECT p.*, (-for_x, coalesce(rx.rank, 4), x) <= (-for_y, coalesce(ry.rank, 4), y) AS first FROM pairs p LEFT JOIN ranked rx ON rx.character = x LEFT JOIN ranked ry ON ry.character = y WHERE best >= 0.85 AND chunks >= 2))"""
+   SELECT p.*, (-for_x, rx.rank, x) <= (-for_y, ry.rank, y) AS first FROM pairs p JOIN ranked rx ON rx.character = x JOIN ranked ry ON ry.character = y WHERE best >= 0.85 AND chunks >= 2))"""
 
 
 def _merges(spark, sf_dir):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelode.functions import coerce, text
+from framelode.functions import coerce, numbers, text
 from framelode.operators import cluster, entity, fusion, index, plan, prompts, search, temporal
 
 
@@ -227,3 +227,17 @@ def test_lines_for_a_model(spark):
     found = spark.createDataFrame([(0, 7, 1.0, 3.0, 0.5, ["transcript", "vision"], "said", "", None, "next", ["a", "b", "c", "d"])], "index int, scene_index int, start_time double, end_time double, score double, modalities array<string>, transcript string, vision string, context_before string, context_after string, refs array<string>")
     assert found.select(prompts.candidate_line()).first()[0] == "  [0] Scene 7 [1.0s-3.0s, 2.0s]\n    相关度=0.50, 命中模态: transcript, vision\n    台词: said\n    后文: next\n    证据: a, b, c"
     assert prompts.prompt_of(line.withColumn("k", F.lit(1)), "k", "start_time", prompts.transcript_line(), most=1).first().lines == "[0.0s-1.0s] [A] hi"
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [2.675, 0.615, 0.125, 0.375, 2.5, -2.5, 1.005, 1e300, -0.04, 0.0, 4503599627370497.5]
+    while len(values) < 100_000:
+        n = rng.randint(0, 3)
+        values.append(rng.choice([(rng.randint(-(10**6), 10**6) * 2 + 1) / 2 / 10**n, rng.randint(-(10**4), 10**4) / 16, rng.uniform(-20, 20), rng.random() * 10.0 ** rng.randint(-6, 9)]))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    found = rows.select("i", *[numbers.half_even(F.col("v"), n).alias(f"r{n}") for n in range(4)]).collect()
+    assert [(tuple(r)[1:]) for r in sorted(found)] == [tuple(float(round(v, n)) for n in range(4)) for v in values]
+    assert value(spark, numbers.half_even(F.lit(None).cast("double"), 2)) is None
