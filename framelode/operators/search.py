@@ -6,6 +6,11 @@ or it is empty) and pos, the place it has among those of its layer and scene. Wh
 
 Queries are a stated set. They go to the rows in blocks of ``QUERY_BLOCK``, each of which is one pass over the rows: a block's
 terms are one automaton that finds all of them in a text at once, a block's vectors are one matrix.
+
+Tables that have a ``video_id`` are a collection: a scene is a scene of its video, a query (which then has a video_id too) searches its own video, and rows of videos that nobody
+asks for are left out before anything else, which on a store partitioned by video reads only those asked for. Filters are columns of the queries (character, start_cs and end_cs,
+scene_type, each null for none), so that one pass serves queries that look at different stretches. Where only the best scenes are wanted, a task applies the filters and
+keeps each query's best, so that no more than tasks x queries x n hits are shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,49 +39,156 @@ RERANK_OLD, RERANK_NEW, RERANK_LEAST, RERANK_REST = 0.3, 0.7, 0.2, 0.3
 VECTOR_TOP, CANDIDATES = 50, 20
 #: Queries that go out at once, and rows that are compared with them at once.
 QUERY_BLOCK, ROW_BLOCK = 4096, 2048
-#: Hits that leave a task at once, at most.
+#: Hits that leave a task at once, or that it holds before it keeps the best, at most.
 HITS = 1 << 18
+#: The columns of queries that restrict what they find.
+FILTERS = ("character", "start_cs", "end_cs", "scene_type")
+
+
+def scene_key(rows: DataFrame) -> list[str]:
+    return ["video_id", "scene_index"] if "video_id" in rows.columns else ["scene_index"]
+
+
+def asked_for(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """The ``rows`` of the videos that queries search; all rows where there is one memory only."""
+    if "video_id" not in rows.columns or "video_id" not in queries.columns:
+        return rows
+    return rows.join(joins.small(queries.select("video_id").distinct()), "video_id", "left_semi")
 
 
 def _blocks(queries: DataFrame) -> Iterator[list]:
-    """The rows of the queries, block by block."""
+    """The rows of the queries, block by block. A table of several blocks is evaluated once."""
     first = queries.limit(QUERY_BLOCK + 1).collect()
     if len(first) <= QUERY_BLOCK:
         yield from [first] if first else []
         return
+    queries = shared.written(queries, "queries")
     n = -(-queries.count() // QUERY_BLOCK)
     for block in range(n):
         yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).collect()
 
 
-def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str], extra: str, step: Callable) -> DataFrame:
+class _Asked:
+    """The queries of one video in a block: their terms, and their filters by place."""
+
+    def __init__(self, rows: list):
+        self.table = TermTable([(r.query_id, r.terms) for r in rows])
+        filters = [[r[f] if f in r else None for r in rows] for f in FILTERS]
+        self.character, start, end, kind = filters
+        self.start = np.array([-np.inf if x is None else x for x in start], float)
+        self.end = np.array([np.inf if x is None else x for x in end], float)
+        self.kind = [None if k is None else k.lower() for k in kind]
+        timed = np.array([x is not None or y is not None for x, y in zip(start, end, strict=True)], bool)
+        self.timed = timed if timed.any() else None
+        told = np.array([c is not None or k is not None for c, k in zip(self.character, self.kind, strict=True)], bool)
+        self.told = told if told.any() else None
+
+    def allowed(self, hit: np.ndarray, start, end, cast, kinds) -> np.ndarray:
+        """Which of the queries ``hit`` may find a scene of these times, characters and types (lower-cased, null where it has no view)."""
+        good = np.ones(len(hit), bool)
+        if self.timed is not None:
+            within = np.zeros(len(hit), bool) if start is None or end is None else (start >= self.start[hit]) & (end <= self.end[hit])
+            good &= within | ~self.timed[hit]
+        if self.told is not None:
+            for n in np.flatnonzero(self.told[hit] & good).tolist():
+                who, kind = self.character[hit[n]], self.kind[hit[n]]
+                good[n] = (who is None or who in (cast or ())) and (kind is None or any(kind in k for k in kinds or ()))
+        return good
+
+
+#: Columns that rows have where queries have filters.
+_ATTRIBUTES = ("_start", "_end", "_cast", "_kinds")
+
+
+def _best(query: np.ndarray, scene: np.ndarray, score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, scene, score) the n best scenes of each query by their best score, ties to the smaller scene."""
+    order = np.lexsort((-score, scene, query))
+    query, scene, score = query[order], scene[order], score[order]
+    first = np.ones(len(query), bool)
+    first[1:] = (query[1:] != query[:-1]) | (scene[1:] != scene[:-1])
+    query, scene, score = query[first], scene[first], score[first]
+    order = np.lexsort((scene, -score, query))
+    query, scene, score = query[order], scene[order], score[order]
+    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, int)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+    return query[place < n], scene[place < n], score[place < n]
+
+
+def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str], extra: str, step: Callable, best: int | None = None, score: Callable | None = None) -> DataFrame:
     """``rows`` without ``texts`` and with query_id and the long columns of ``extra``, a row for each hit. ``step(table, batch)`` gives for each
-    row of the batch the queries that it hits, as an array of their places, and an array of each of ``extra``."""
-    kept, extra = [c for c in rows.columns if c not in texts], extra.split()
-    asked = queries.select("query_id", terms.alias("terms")).where(F.size("terms") > 0)
-    schema = StructType([*(rows.schema[c] for c in kept), queries.schema["query_id"], *(StructField(c, LongType()) for c in extra)])
+    row of the batch the queries that it hits, as an array of their places, and an array of each of ``extra``.
+
+    With ``best``, instead: query_id, the scene's key and ``by``, the score to nine digits, of the ``best`` scenes that each task finds for each query among those that its
+    filters allow. ``score(batch, rows of hits, *extra)`` gives the hits' scores."""
+    video = "video_id" if "video_id" in rows.columns and "video_id" in queries.columns else None
+    key, extra = scene_key(rows) if video else ["scene_index"], extra.split()
+    kept = [c for c in rows.columns if c not in texts and c not in _ATTRIBUTES]
+    asked = queries.select("query_id", *([video] if video else []), *[c for c in FILTERS if c in queries.columns], terms.alias("terms")).where(F.size("terms") > 0)
+    if best:
+        schema = StructType([*(rows.schema[c] for c in key), queries.schema["query_id"], StructField("by", DoubleType())])
+    else:
+        schema = StructType([*(rows.schema[c] for c in kept), queries.schema["query_id"], *(StructField(c, LongType()) for c in extra)])
     id_type, names = to_arrow_type(queries.schema["query_id"].dataType), schema.names
-
-    def scan(own: Broadcast) -> DataFrame:
+    # the rows of one video, of a batch
+    def parts_of(batch: pa.RecordBatch, own: dict) -> Iterator[tuple[object, pa.RecordBatch]]:
+        if video is None:
+            yield None, batch
+            return
+        column = batch.column(video)
+        for value in column.unique().to_pylist():
+            if value in own:
+                yield value, batch.filter(pc.equal(column, pa.scalar(value, column.type)))
+
+    def scan(shared_block: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table: TermTable = own.value
-            ids, rows_at_once = pa.array(table.ids, id_type), max(1, HITS // max(1, len(table.ids)))
-            for batch in (whole.slice(at, rows_at_once) for whole in batches for at in range(0, whole.num_rows, rows_at_once)):
-                found = list(step(table, batch))
-                hit = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                places, *more = (np.concatenate(c) for c in zip(*found, strict=True))
-                picked = batch.select(kept).take(pa.array(hit))
-                yield pa.RecordBatch.from_arrays([*picked.columns, ids.take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
+            own: dict[object, _Asked] = shared_block.value
+            # n best scenes of each video's queries: place of the query, scene, score
+            pool: dict[object, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+            held: dict[object, int] = {}
+            for whole in batches:
+                for value, part in parts_of(whole, own):
+                    asked_by, table = own[value], own[value].table
+                    rows_at_once = max(1, HITS // max(1, len(table.ids)))
+                    for at in range(0, part.num_rows, rows_at_once):
+                        batch = part.slice(at, rows_at_once)
+                        found = list(step(table, batch))
+                        hit = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                        places, *more = (np.concatenate(c) for c in zip(*found, strict=True))
+                        if not best:
+                            picked = batch.select(kept).take(pa.array(hit))
+                            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(table.ids, id_type).take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
+                            continue
+                        by = np.round(score(batch, hit, *more), 9)
+                        if _ATTRIBUTES[0] in batch.schema.names:
+                            scenes = list(zip(*(batch.column(c).to_pylist() for c in _ATTRIBUTES), strict=True))
+                            good = np.concatenate([asked_by.allowed(f[0], *scenes[n]) for n, f in enumerate(found)]) if len(hit) else np.zeros(0, bool)
+                            hit, places, by = hit[good], places[good], by[good]
+                        pool.setdefault(value, []).append((places, np.asarray(batch.column("scene_index"))[hit], by))
+                        held[value] = held.get(value, 0) + len(hit)
+                        if held[value] > HITS:
+                            pool[value] = [_best(*(np.concatenate(c) for c in zip(*pool[value], strict=True)), best)]
+                            held[value] = len(pool[value][0][0])
+            for value, parts in pool.items():
+                places, scenes, by = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), best)
+                columns = [pa.array(scenes, to_arrow_type(schema["scene_index"].dataType)), pa.array(own[value].table.ids, id_type).take(pa.array(places)), pa.array(by)]
+                if video:
+                    columns.insert(0, pa.array([value] * len(scenes), to_arrow_type(schema[video].dataType)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
         return rows.mapInArrow(run, schema)
 
-    parts = [scan(rows.sparkSession.sparkContext.broadcast(TermTable([(r[0], r.terms) for r in block]))) for block in _blocks(asked)]
+    parts = []
+    for block in _blocks(asked):
+        by_video: dict[object, list] = {}
+        for r in block:
+            by_video.setdefault(r[video] if video else None, []).append(r)
+        parts.append(scan(rows.sparkSession.sparkContext.broadcast({v: _Asked(own) for v, own in by_video.items()})))
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 
-def matched(rows: DataFrame, queries: DataFrame, text: str) -> DataFrame:
+def matched(rows: DataFrame, queries: DataFrame, text: str, best: int | None = None, score: Callable = lambda batch, hit, share: share) -> DataFrame:
     """Every row, without its column ``text``, with each query (query_id, query) of which that holds a term: ``share`` of its terms, repeated
-    ones each time."""
+    ones each time. With ``best`` the scenes that are best by ``score(batch, rows of hits, shares)``."""
 
     def step(table: TermTable, batch: pa.RecordBatch) -> Iterator[tuple]:
         for low in batch.column("_low").to_pylist():
@@ -83,70 +196,100 @@ def matched(rows: DataFrame, queries: DataFrame, text: str) -> DataFrame:
             hit = np.flatnonzero(counts)
             yield hit, counts[hit], table.sizes[hit]
 
-    found = _scanned(rows.withColumn("_low", F.lower(text)).drop(text), queries, T.tokens(F.col("query")), ["_low"], "_held _size", step)
-    return found.withColumn("share", F.col("_held") / F.col("_size")).drop("_held", "_size")
+    found = _scanned(rows.withColumn("_low", F.lower(text)).drop(text), queries, T.tokens(F.col("query")), ["_low"], "_held _size", step, best, lambda batch, hit, held, size: score(batch, hit, held / size))
+    return found if best else found.withColumn("share", F.col("_held") / F.col("_size")).drop("_held", "_size")
 
 
 def _hits(rows: DataFrame, kind: str, score: Column, ref: Column, transcript: Column | None = None, vision: Column | None = None) -> DataFrame:
     none = F.lit(None).cast("long")
     return rows.select(
-        "query_id", "scene_index", score.alias("score"), F.lit(f"keyword_{kind}").alias("match_type"), F.coalesce("snippet", F.lit("")).alias("snippet"), F.array(F.lit(kind)).alias("modalities"), F.array(ref).alias("refs"),
+        "query_id", *scene_key(rows), score.alias("score"), F.lit(f"keyword_{kind}").alias("match_type"), F.coalesce("snippet", F.lit("")).alias("snippet"), F.array(F.lit(kind)).alias("modalities"), F.array(ref).alias("refs"),
         (none if transcript is None else transcript).cast("long").alias("transcript_at"), (none if vision is None else vision).cast("long").alias("vision_at"), F.col("pos").cast("long").alias("pos"),
     )
 
 
-def _snippet(text: Column, brief: bool) -> Column:
-    return (F.lit("") if brief else T.prefix(text, SNIPPET)).alias("snippet")
+def _kept(rows: DataFrame) -> list[str]:
+    """The columns that a layer passes on: the scene's key and what filters ask of it."""
+    return [*scene_key(rows), *(c for c in _ATTRIBUTES if c in rows.columns)]
+
 
+def _snippet(text: Column) -> Column:
+    return T.prefix(text, SNIPPET).alias("snippet")
 
-def transcript_hits(transcripts: DataFrame, queries: DataFrame, brief: bool = False) -> DataFrame:
-    """transcripts: scene_index, pos (its place in time), text. ``brief``, here and below: without snippets, where scores are all that is asked."""
-    rows = transcripts.select("scene_index", "pos", "text", _snippet(F.col("text"), brief))
-    found = matched(rows, queries, "text")
+
+def transcript_hits(transcripts: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
+    """transcripts: scene_index, pos (its place in time), text. ``best``, here and below: only so many scenes of each query and task, with ``by`` in place of all that a hit shows."""
+    if best:
+        return matched(transcripts.select(*_kept(transcripts), "text"), queries, "text", best)
+    found = matched(transcripts.select(*_kept(transcripts), "pos", "text", _snippet(F.col("text"))), queries, "text")
     return _hits(found, "transcript", F.col("share"), F.concat(F.lit("transcripts#t"), F.col("pos")), transcript=F.col("pos"))
 
 
-def vision_hits(vision: DataFrame, queries: DataFrame, brief: bool = False) -> DataFrame:
+def vision_hits(vision: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
     """vision: scene_index, description, mood, scene_type and, where there are any, objects; all of them are searched."""
     objects = [F.array_join("objects", " ")] if "objects" in vision.columns else []
     every = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (F.col("description"), F.col("mood"), F.col("scene_type"), *objects)))
+    if best:
+        return matched(vision.select(*_kept(vision), every.alias("every")), queries, "every", best, lambda batch, hit, share: share * VISION_WEIGHT)
     said = F.coalesce(F.col("description") != "", F.lit(False))
-    rows = vision.select("scene_index", F.col("scene_index").alias("pos"), F.when(said, F.col("scene_index")).alias("vision_at"), _snippet(F.col("description"), brief), every.alias("every"))
+    rows = vision.select(*_kept(vision), F.col("scene_index").alias("pos"), F.when(said, F.col("scene_index")).alias("vision_at"), _snippet(F.col("description")), every.alias("every"))
     found = matched(rows, queries, "every")
     return _hits(found, "vision", F.col("share") * VISION_WEIGHT, F.concat(F.lit("vision#scene_"), F.col("scene_index")), vision=F.col("vision_at"))
 
 
-def event_hits(events: DataFrame, queries: DataFrame, brief: bool = False) -> DataFrame:
+def event_hits(events: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
     """events: scene_index (the first of the event's), pos (its number), description, event_type, emotion, importance, which raises the score by
     0.05 a step, to 2.0 at most."""
     every = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("description", "event_type", "emotion")))
-    rows = events.select("scene_index", "pos", "importance", _snippet(F.col("description"), brief), every.alias("every"))
+    if best:
+        of = lambda batch, hit, share: np.minimum(share * EVENT_WEIGHT * (1 + np.asarray(batch.column("importance"))[hit] * EVENT_STEP), EVENT_CAP)
+        return matched(events.select(*_kept(events), F.coalesce(F.col("importance").cast("double"), F.lit(0.0)).alias("importance"), every.alias("every")), queries, "every", best, of)
+    rows = events.select(*_kept(events), "pos", F.coalesce("importance", F.lit(0)).alias("importance"), _snippet(F.col("description")), every.alias("every"))
     score = F.least(F.col("share") * EVENT_WEIGHT * (1 + F.col("importance") * EVENT_STEP), F.lit(EVENT_CAP))
     return _hits(matched(rows, queries, "every"), "event", score, F.concat(F.lit("events#event_"), F.col("pos")))
 
 
-def index_hits(index: DataFrame, queries: DataFrame, brief: bool = False) -> DataFrame:
+def _index_score(matches: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The score of the text index of each pair; there are few different ones."""
+    pairs, place = np.unique(np.stack([matches, size], axis=1), axis=0, return_inverse=True)
+    each = np.array([round(min(m / (n * 2), INDEX_CAP) * INDEX_WEIGHT, 3) for m, n in pairs.tolist()], float)
+    return each[place.ravel()]
+
+
+def index_hits(index: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
     """Hits on the text index (scene_index, combined_text, keywords, transcript, vision_description), with ``matches``: keywords shared with the
     query's distinct terms, and those terms that the text holds, each counted. The modalities are those of the two texts that hold a term."""
     texts = {"_low": "combined_text", "_said": "transcript", "_seen": "vision_description"}
     shown = F.coalesce(F.nullif(F.col("vision_description"), F.lit("")), F.col("transcript"), F.lit(""))
-    rows = index.select("scene_index", _snippet(shown, brief), F.col("keywords").alias("_keywords"), *(F.lower(c).alias(a) for a, c in texts.items()))
+    rows = index.select(*_kept(index), _snippet(shown), F.col("keywords").alias("_keywords"), *(F.lower(c).alias(a) for a, c in texts.items()))
+
+    def counted(table: TermTable, low: str | None, keywords: list | None) -> np.ndarray:
+        return table.counts(table.held(low)) + table.counts(set(keywords or ()))
 
     def step(table: TermTable, batch: pa.RecordBatch) -> Iterator[tuple]:
         columns = (batch.column(c).to_pylist() for c in ("_low", "_said", "_seen", "_keywords"))
         for low, said, seen, keywords in zip(*columns, strict=True):
-            counts = table.counts(table.held(low)) + table.counts(set(keywords or ()))
+            counts = counted(table, low, keywords)
             hit = np.flatnonzero(counts)
             in_said, in_seen = (table.counts(table.held(text))[hit] > 0 for text in ((said, seen) if len(hit) else (None, None)))
             yield hit, counts[hit], table.sizes[hit], in_said, in_seen
 
+    def brief(table: TermTable, batch: pa.RecordBatch) -> Iterator[tuple]:
+        for low, keywords in zip(batch.column("_low").to_pylist(), batch.column("_keywords").to_pylist(), strict=True):
+            counts = counted(table, low, keywords)
+            hit = np.flatnonzero(counts)
+            yield hit, counts[hit], table.sizes[hit]
+
+    if best:
+        few = rows.drop("snippet", "_said", "_seen")
+        return _scanned(few, queries, T.query_terms(F.col("query")), ["_low", "_keywords"], "matches size", brief, best, lambda batch, hit, matches, size: _index_score(matches, size))
     found = _scanned(rows, queries, T.query_terms(F.col("query")), [*texts, "_keywords"], "matches size said seen", step)
     either = F.array_compact(F.array(F.when(F.col("said") > 0, "transcript"), F.when(F.col("seen") > 0, "vision")))
     found = found.withColumn("modalities", F.when(F.size(either) > 0, either).otherwise(F.array(F.lit("index"))))
     score = N.half_even(F.least(F.col("matches") / (F.col("size") * 2), F.lit(INDEX_CAP)) * INDEX_WEIGHT, 3)
     none = F.lit(None).cast("long")
     return found.select(
-        "query_id", "scene_index", score.alias("score"), F.lit("index").alias("match_type"), "snippet", "modalities", F.array(F.concat(F.lit("search_index#scene_"), F.col("scene_index").cast("string"))).alias("refs"),
+        "query_id", *scene_key(found), score.alias("score"), F.lit("index").alias("match_type"), "snippet", "modalities", F.array(F.concat(F.lit("search_index#scene_"), F.col("scene_index").cast("string"))).alias("refs"),
         none.alias("transcript_at"), none.alias("vision_at"), F.lit(0).cast("long").alias("pos"), "matches",
     )
 
@@ -154,10 +297,11 @@ def index_hits(index: DataFrame, queries: DataFrame, brief: bool = False) -> Dat
 def vector_hits(units: DataFrame, queries: DataFrame, n: int = VECTOR_TOP) -> DataFrame:
     """query_id, scene_index, score and rank: the n units (scene_index, embedding) of the largest cosine, to nine digits, for each query vector
     (query_id, embedding), ties to the smaller scene_index. Null vectors and those of another length take no part; zero vectors have cosine 0.
-    A task keeps the n best of what it has seen."""
-    rows = units.select(F.col("scene_index").cast("long").alias("scene_index"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and scene_index is not null")
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
-    schema = StructType([queries.schema["query_id"], StructField("scene_index", LongType()), StructField("score", DoubleType())])
+    A task keeps the n best of what it has seen. Of a collection those of the query's video."""
+    video = ["video_id"] if "video_id" in units.columns and "video_id" in queries.columns else []
+    rows = asked_for(units, queries).select(*video, F.col("scene_index").cast("long").alias("scene_index"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null and scene_index is not null")
+    asked = queries.select("query_id", *video, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    schema = StructType([*(units.schema[c] for c in video), queries.schema["query_id"], StructField("scene_index", LongType()), StructField("score", DoubleType())])
     id_type, names = to_arrow_type(queries.schema["query_id"].dataType), schema.names
 
     def units_of(vectors: list) -> np.ndarray:
@@ -167,31 +311,38 @@ def vector_hits(units: DataFrame, queries: DataFrame, n: int = VECTOR_TOP) -> Da
 
     def scan(own: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, wanted = own.value
-            scenes, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            # by video and length of vector: ids of queries, their vectors, the best scenes and scores so far
+            held = {k: [ids, wanted, np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))] for k, (ids, wanted) in own.value.items()}
             for whole in batches:
                 for at in range(0, whole.num_rows, ROW_BLOCK):
                     batch = whole.slice(at, ROW_BLOCK)
-                    fits = np.asarray(batch.column("embedding").value_lengths()) == wanted.shape[1]
-                    batch = batch.filter(pa.array(fits))
-                    if not batch.num_rows:
-                        continue
-                    vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-                    scores = np.concatenate([scores, np.round(wanted @ units_of(vectors).T, 9)], axis=1)
-                    scenes = np.concatenate([scenes, np.broadcast_to(np.asarray(batch.column("scene_index")), (len(ids), len(batch)))], axis=1)
-                    order = np.lexsort((scenes, -scores), axis=1)[:, :n]
-                    scenes, scores = np.take_along_axis(scenes, order, axis=1), np.take_along_axis(scores, order, axis=1)
-            if scenes.size:
-                asked_by = pa.array([i for i in ids for _ in range(scenes.shape[1])], id_type)
-                yield pa.RecordBatch.from_arrays([asked_by, pa.array(scenes.ravel()), pa.array(scores.ravel())], names)
+                    sizes = np.asarray(batch.column("embedding").value_lengths())
+                    videos = batch.column("video_id") if video else None
+                    for value in videos.unique().to_pylist() if video else [None]:
+                        of_video = np.ones(len(batch), bool) if videos is None else np.asarray(pc.equal(videos, pa.scalar(value, videos.type)))
+                        for size in np.unique(sizes[of_video]).tolist():
+                            if (value, size) not in held:
+                                continue
+                            part = batch.filter(pa.array(of_video & (sizes == size)))
+                            ids, wanted, scenes, scores = held[value, size]
+                            vectors = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+                            scores = np.concatenate([scores, np.round(wanted @ units_of(vectors).T, 9)], axis=1)
+                            scenes = np.concatenate([scenes, np.broadcast_to(np.asarray(part.column("scene_index")), (len(ids), len(part)))], axis=1)
+                            order = np.lexsort((scenes, -scores), axis=1)[:, :n]
+                            held[value, size][2:] = np.take_along_axis(scenes, order, axis=1), np.take_along_axis(scores, order, axis=1)
+            for (value, _), (ids, _, scenes, scores) in held.items():
+                if scenes.size:
+                    columns = [pa.array([i for i in ids for _ in range(scenes.shape[1])], id_type), pa.array(scenes.ravel()), pa.array(scores.ravel())]
+                    yield pa.RecordBatch.from_arrays([*([pa.array([value] * scenes.size, to_arrow_type(schema["video_id"].dataType))] if video else []), *columns], names)
 
         return rows.mapInArrow(run, schema)
 
     parts = []
     for block in _blocks(asked):
-        for size in sorted({len(r.embedding) for r in block}):
-            own = [r for r in block if len(r.embedding) == size]
-            parts.append(scan(rows.sparkSession.sparkContext.broadcast(([r.query_id for r in own], units_of([r.embedding for r in own])))))
+        of: dict[tuple, list] = {}
+        for r in block:
+            of.setdefault((r.video_id if video else None, len(r.embedding)), []).append(r)
+        parts.append(scan(rows.sparkSession.sparkContext.broadcast({k: ([r.query_id for r in own], units_of([r.embedding for r in own])) for k, own in of.items()})))
     found = reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
     return top(found, n)
 
@@ -200,7 +351,7 @@ def as_hits(found: DataFrame) -> DataFrame:
     """Ranked units of ``vector_hits`` as hits."""
     none = F.lit(None).cast("long")
     return found.select(
-        "query_id", "scene_index", "score", F.lit("embedding").alias("match_type"), F.lit("").alias("snippet"), F.array(F.lit("embedding")).alias("modalities"), F.array(F.concat(F.lit("vectors#"), F.col("scene_index"))).alias("refs"),
+        "query_id", *scene_key(found), "score", F.lit("embedding").alias("match_type"), F.lit("").alias("snippet"), F.array(F.lit("embedding")).alias("modalities"), F.array(F.concat(F.lit("vectors#"), F.col("scene_index"))).alias("refs"),
         none.alias("transcript_at"), none.alias("vision_at"), F.col("rank").cast("long").alias("pos"),
     )
 
@@ -219,7 +370,7 @@ def merged(layers: list[DataFrame]) -> DataFrame:
 def deduplicated(hits: DataFrame) -> DataFrame:
     """One row for each query and scene. The best score stands, an equal later one doesn't replace it; a better hit without a snippet
     keeps the one before; modalities and refs are united in order of appearance; the first texts that are not empty stay."""
-    key = ["query_id", "scene_index"]
+    key = ["query_id", *scene_key(hits)]
     before = Window.partitionBy(*key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     rows = hits.withColumn("record", F.coalesce(F.col("score") > F.max("score").over(before), F.lit(True)))
 
@@ -280,51 +431,92 @@ def looked_up(hits: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     return hits.join(table.join(joins.small(hits.select(*key).distinct()), key, "left_semi"), key, "left")
 
 
-def best_scenes(layers: Callable[[dict[str, DataFrame], bool], list[DataFrame]], tables: dict[str, DataFrame], n: int, allowed: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
-    """The n best scenes of each query among the allowed hits of ``layers(tables, brief)``, deduplicated, with their rank. Scores alone, to nine digits,
-    decide which these are; only the rows of those scenes are then searched again for all that a hit shows."""
-    scores = reduce(DataFrame.union, [hits.select("query_id", "scene_index", "score") for hits in layers(tables, True)])
-    best = allowed(scores.groupBy("query_id", "scene_index").agg(F.round(F.max("score"), 9).alias("by")))
-    best = shared.written(top(best, n, "by").select("query_id", "scene_index", "rank"), "scenes")
-    scenes = joins.small(best.select("scene_index").distinct())
-    narrow = {name: rows.join(scenes, "scene_index", "left_semi") for name, rows in tables.items()}
-    hits = merged(layers(narrow, False)).join(joins.small(best.select("query_id", "scene_index")), ["query_id", "scene_index"], "left_semi")
-    return deduplicated(hits).join(joins.small(best), ["query_id", "scene_index"])
+Layer = Callable[[dict[str, DataFrame], "int | None"], list[DataFrame]]
+
+
+def best_scenes(layers: Layer, tables: dict[str, DataFrame], n: int, more: DataFrame | None = None) -> DataFrame:
+    """The n best scenes of each query among the hits of ``layers(tables, best)`` and of ``more``, deduplicated, with their rank. Scores alone, to nine digits, decide which these
+    are, and a task passes on its n best; only the rows of those scenes are then searched again for all that a hit shows."""
+    found = layers(tables, n)
+    if more is not None:
+        found = [*found, more.select(*scene_key(more), "query_id", F.round("score", 9).alias("by"))]
+    key = scene_key(found[0])
+    scores = reduce(DataFrame.unionByName, found).groupBy("query_id", *key).agg(F.max("by").alias("by"))
+    best = shared.written(top(scores, n, "by").select("query_id", *key, "rank"), "scenes")
+    scenes = joins.small(best.select(*key).distinct())
+    narrow = {name: rows.join(scenes, key, "left_semi") for name, rows in tables.items()}
+    every = layers(narrow, None)
+    hits = merged(every if more is None else [more, *every]).join(joins.small(best.select("query_id", *key)), ["query_id", *key], "left_semi")
+    return deduplicated(hits).join(joins.small(best), ["query_id", *key])
+
+
+def attributes(memory: dict[str, DataFrame], queries: DataFrame) -> DataFrame | None:
+    """What the filters of the queries ask of scenes: each scene's times, characters and lower-cased types, null where it has no shot, nobody or no view. None without filters."""
+    asked = [f for f in FILTERS if f in queries.columns]
+    if not asked:
+        return None
+    key = scene_key(memory["shots"])
+    times = asked_for(memory["shots"], queries).groupBy(*key).agg(F.min("start_cs").alias("_start"), F.max("end_cs").alias("_end"))
+    who = asked_for(memory["appearances"], queries).select(*[c for c in key if c != "scene_index"], F.col("shot").alias("scene_index"), "character").groupBy(*key).agg(F.collect_set("character").alias("_cast"))
+    kinds = asked_for(memory["vision"], queries).groupBy(*key).agg(F.collect_set(F.lower("scene_type")).alias("_kinds"))
+    return times.join(who, key, "full").join(kinds, key, "full")
+
+
+def known_filters(queries: DataFrame, appearances: DataFrame) -> DataFrame:
+    """``queries`` without the characters whom nobody knows: those restrict nothing."""
+    if "character" not in queries.columns:
+        return queries
+    scope = ["video_id"] if "video_id" in queries.columns and "video_id" in appearances.columns else []
+    known = appearances.join(joins.small(queries.select(*scope, "character").distinct()), [*scope, "character"], "left_semi").select(*scope, "character").distinct().withColumn("_known", F.lit(True))
+    return queries.join(known, [*scope, "character"], "left").withColumn("character", F.when(F.col("_known"), F.col("character"))).drop("_known")
+
+
+def permitted(hits: DataFrame, queries: DataFrame, scenes: DataFrame | None) -> DataFrame:
+    """``hits``, few of them, that the filters of their queries allow; scenes: ``attributes``."""
+    if scenes is None:
+        return hits
+    asked = [f for f in FILTERS if f in queries.columns]
+    rows = hits.join(scenes, scene_key(hits), "left").join(joins.small(queries.select("query_id", *[F.col(f).alias(f"_q_{f}") for f in asked])), "query_id")
+    c = F.col
+    good = {
+        "start_cs": c("_q_start_cs").isNull() | (c("_start") >= c("_q_start_cs")), "end_cs": c("_q_end_cs").isNull() | (c("_end") <= c("_q_end_cs")),
+        "character": c("_q_character").isNull() | F.array_contains("_cast", c("_q_character")), "scene_type": c("_q_scene_type").isNull() | F.exists("_kinds", lambda k: F.contains(k, F.lower("_q_scene_type"))),
+    }
+    return rows.where(reduce(lambda a, b: a & b, [F.coalesce(good[f], F.lit(False)) for f in asked])).select(*hits.columns)
 
 
 def search_memory(
     memory: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, character=None, time_range: tuple | None = None, scene_type: str | None = None, answers: DataFrame | Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """The whole funnel for queries (query_id, query, embedding) over one memory.
+    """The whole funnel for queries (query_id, query, embedding) over one memory, or over a collection if its tables and the queries have ``video_id``.
 
     ``memory``: units (scene_index, combined_text, transcript, vision, embedding), transcripts, vision, events and index as their layers
-    read them, shots (scene_index, start_cs, end_cs) and appearances (character, shot). The five layers are merged and filtered, hits of one scene
-    become one, the 20 best are reranked by ``answers`` (query_id, index, relevance, pos; or a function from candidates to them) where there are more
-    than three, and the ``top_k`` best are put in context. Ties go to the smaller scene, after the reranking to the better rank before.
+    read them, shots (scene_index, start_cs, end_cs) and appearances (character, shot). The five layers are merged and filtered by the queries' own columns ``FILTERS`` (or by character,
+    time_range and scene_type, which stand for all queries), hits of one scene become one, the 20 best are reranked by ``answers`` (query_id, index, relevance, pos; or a function from
+    candidates to them) where there are more than three, and the ``top_k`` best are put in context. Ties go to the smaller scene, after the reranking to the better rank before.
 
     Returns query_id, rank, scene_index, score, match_type, snippet, modalities (with "semantic" for reranked ones), refs, transcript, vision,
     start_cs, end_cs, combined_text, context_before and context_after."""
-    near = shared.written(as_hits(vector_hits(memory["units"], queries)), "near")
-
-    def layers(rows: dict[str, DataFrame], brief: bool) -> DataFrame:
-        return [
-            near, transcript_hits(rows["transcripts"], queries, brief), vision_hits(rows["vision"], queries, brief), event_hits(rows["events"], queries, brief),
-            index_hits(rows["index"], queries, brief).drop("matches"),
-        ]
-
-    def allowed(hits: DataFrame) -> DataFrame:
-        if character is not None:
-            hits = of_character(hits, memory["appearances"], character)
-        if time_range is not None:
-            hits = within_time(hits, memory["shots"], *time_range)
-        if scene_type is not None:
-            hits = of_scene_type(hits, memory["vision"], scene_type)
-        return hits
-
-    found = best_scenes(layers, {name: memory[name] for name in ("transcripts", "vision", "events", "index")}, CANDIDATES, allowed)
+    for name, given in (("character", character), ("start_cs", time_range and time_range[0]), ("end_cs", time_range and time_range[1]), ("scene_type", scene_type)):
+        if given is not None:
+            queries = queries.withColumn(name, F.lit(given))
+    queries = shared.written(known_filters(queries, memory["appearances"]), "queries")
+    scenes = attributes(memory, queries)
+    near = shared.written(permitted(as_hits(vector_hits(memory["units"], queries)), queries, scenes), "near")
+
+    def layers(rows: dict[str, DataFrame], best: int | None) -> list[DataFrame]:
+        found = [of(rows[name], queries, best) for name, of in (("transcripts", transcript_hits), ("vision", vision_hits), ("events", event_hits), ("index", index_hits))]
+        return found if best else [*found[:3], found[3].drop("matches")]
+
+    texts = {name: asked_for(memory[name], queries) for name in ("transcripts", "vision", "events", "index")}
+    if scenes is not None:
+        own = joins.small(shared.written(scenes, "attributes"))
+        texts = {name: rows.join(own, scene_key(rows), "left") for name, rows in texts.items()}
+    found = best_scenes(layers, texts, CANDIDATES, near)
+    key = scene_key(found)
     found = shared.written(found.withColumn("index", F.col("rank") - 1).drop("rank"), "candidates")
     if answers is not None:
-        given = answers(looked_up(found, memory["units"].select("scene_index", "combined_text"), ["scene_index"])) if callable(answers) else answers
+        given = answers(looked_up(found, memory["units"].select(*key, "combined_text"), key)) if callable(answers) else answers
         found = reranked(found, given)
         semantic = F.when(F.col("semantic"), F.array(F.lit("semantic"))).otherwise(F.array().cast("array<string>"))
         found = found.withColumn("modalities", F.array_distinct(F.concat("modalities", semantic))).drop("semantic")
@@ -336,23 +528,28 @@ def search_memory(
 def enriched(found: DataFrame, memory: dict[str, DataFrame]) -> DataFrame:
     """``found``, a written table of hits, with their texts, their shot and what stands in the shots numbered one before and one after. A hit without
     a transcript gets its unit's, else its scene's lines; one without a description its unit's, else the scene's own."""
-    lines = memory["transcripts"]
-    views = memory["vision"].groupBy("scene_index").agg(F.first("description").alias("_view"))
-    own = lines.select("scene_index", F.col("pos").cast("long").alias("transcript_at"), F.col("text").alias("_line"))
-    rows = looked_up(found, own.dropDuplicates(["scene_index", "transcript_at"]), ["scene_index", "transcript_at"])
-    in_shot = lines.groupBy("scene_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("_lines"))
-    units = memory["units"].select("scene_index", "combined_text", F.col("transcript").alias("_unit_line"), F.col("vision").alias("_unit_view"))
-    for table in (in_shot, units, views, memory["shots"].select("scene_index", "start_cs", "end_cs")):
-        rows = rows.join(table.join(joins.small(found.select("scene_index").distinct()), "scene_index", "left_semi"), "scene_index", "left")
-    shots = memory["shots"].select("scene_index").distinct()
-    around = memory["units"].join(shots, "scene_index", "left_semi").select("scene_index", T.prefix(F.col("combined_text"), SNIPPET).alias("text"))
+    key = scene_key(found)
+    # the scenes that are shown, counted once: every table is reduced to them before it is joined
+    wanted = joins.small(shared.written(found.select(*key).distinct(), "wanted"))
+    of = lambda table: table.join(wanted, key, "left_semi")
+    lines = of(memory["transcripts"])
+    views = of(memory["vision"]).groupBy(*key).agg(F.first("description").alias("_view"))
+    own = lines.select(*key, F.col("pos").cast("long").alias("transcript_at"), F.col("text").alias("_line"))
+    rows = found.join(own.dropDuplicates([*key, "transcript_at"]), [*key, "transcript_at"], "left")
+    in_shot = lines.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("_lines"))
+    units = of(memory["units"]).select(*key, "combined_text", F.col("transcript").alias("_unit_line"), F.col("vision").alias("_unit_view"))
+    for table in (in_shot, units, views, of(memory["shots"]).select(*key, "start_cs", "end_cs")):
+        rows = rows.join(table, key, "left")
+    # the neighbours of the scenes that are shown, at once
+    around = wanted.select(*key).union(wanted.withColumn("scene_index", F.col("scene_index") - 1).select(*key)).union(wanted.withColumn("scene_index", F.col("scene_index") + 1).select(*key)).distinct()
+    near = memory["units"].join(joins.small(around, 3 * joins.BROADCAST_ROWS), key, "left_semi").select(*key, T.prefix(F.col("combined_text"), SNIPPET).alias("text")).join(memory["shots"].select(*key).distinct(), key, "left_semi")
+    near = shared.written(near, "around")
     for name, step in (("context_before", 1), ("context_after", -1)):
-        near = around.select((F.col("scene_index") + step).alias("scene_index"), F.nullif(F.col("text"), F.lit("")).alias(name))
-        rows = rows.join(near.join(joins.small(found.select("scene_index").distinct()), "scene_index", "left_semi"), "scene_index", "left")
+        rows = rows.join(near.select(*[c for c in key if c != "scene_index"], (F.col("scene_index") + step).alias("scene_index"), F.nullif(F.col("text"), F.lit("")).alias(name)), key, "left")
     filled = lambda *columns: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns], F.lit(""))
     has_shot = F.col("start_cs").isNotNull()
     return rows.select(
-        "query_id", "rank", "scene_index", "score", "match_type", "snippet", "modalities", "refs", filled("_line", "_unit_line", "_lines").alias("transcript"),
+        "query_id", "rank", *key, "score", "match_type", "snippet", "modalities", "refs", filled("_line", "_unit_line", "_lines").alias("transcript"),
         F.when(F.col("vision_at").isNotNull(), F.col("_view")).otherwise(filled("_unit_view", "_view")).alias("vision"), "start_cs", "end_cs", "combined_text",
         F.when(has_shot, F.col("context_before")).alias("context_before"), F.when(has_shot, F.col("context_after")).alias("context_after"),
     )

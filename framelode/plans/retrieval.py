@@ -117,7 +117,7 @@ def merge_dedupe_modalities(spark, sf_dir):
 )
 def kw_search_topk(spark, sf_dir):
     asked = A.search_queries(spark, sf_dir)
-    layers = lambda rows, brief: [S.transcript_hits(rows["transcripts"], asked, brief), S.vision_hits(rows["vision"], asked, brief)]
+    layers = lambda rows, best: [S.transcript_hits(rows["transcripts"], asked, best), S.vision_hits(rows["vision"], asked, best)]
     ranked = S.best_scenes(layers, {"transcripts": A.transcripts(spark, sf_dir), "vision": A.scenes(spark, sf_dir)}, 10)
     return ranked.select("query_id", "rank", "scene_index", F.round("score", 6).alias("score"), "match_type", F.array_join("modalities", ",").alias("modalities"), "snippet")
 
@@ -129,7 +129,7 @@ _MEMORY = [
     "asked AS (SELECT *, " + _TERMS.format("query") + " AS terms FROM mq)",
     _TRANSCRIPT,
     _VISION,
-    "sh AS (SELECT doc_id AS scene_index, doc_id * 100 AS start_cs, doc_id * 100 + 100 AS end_cs FROM documents WHERE doc_id % 17 > 0 GROUP BY doc_id)",
+    "sh AS (SELECT doc_id + doc_id // 16 AS scene_index, doc_id * 100 AS start_cs, doc_id * 100 + 100 AS end_cs FROM documents GROUP BY doc_id)",
     f"""eh AS (SELECT query_id, scene_index, event_id AS pos, description, least({_HITS.format('txt')} / len(terms) * 0.9::DOUBLE * (1 + importance * 0.05::DOUBLE), 2.0::DOUBLE) AS score FROM (
       SELECT *, lower(concat_ws(' ', description, event_type, emotion)) AS txt FROM (SELECT video_id AS scene_index, event_id, event_type, importance, 'user ' || event_type || ' ' || importance AS description, CASE WHEN importance >= 7 THEN 'tense' ELSE 'calm' END AS emotion FROM story_events)), asked
       WHERE {_HITS.format('txt')} > 0)""",
@@ -169,11 +169,12 @@ def _memory(spark, sf_dir):
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
     units = lines.groupBy("scene_index").agg(F.array_join(ordered, " ").alias("combined_text"), F.min_by("text", "pos").alias("transcript"), F.max_by("text", "pos").alias("vision"))
     vectors = A.table(spark, sf_dir, "embeddings").select(col("vec_id").alias("scene_index"), "embedding")
-    docs = A.table(spark, sf_dir, "documents").where("doc_id % 17 > 0").select("doc_id").distinct()
+    # every seventeenth number is no shot's
+    docs = A.table(spark, sf_dir, "documents").select("doc_id").distinct()
     return {
         "units": units.join(vectors, "scene_index", "full"), "transcripts": lines, "vision": A.scenes(spark, sf_dir), "events": _event_rows(spark, sf_dir), "appearances": A.appearances(spark, sf_dir),
         "index": units.select("scene_index", "combined_text", T.keywords(col("combined_text")).alias("keywords"), "transcript", col("vision").alias("vision_description")),
-        "shots": docs.select(col("doc_id").alias("scene_index"), (col("doc_id") * 100).alias("start_cs"), (col("doc_id") * 100 + 100).alias("end_cs")),
+        "shots": docs.select((col("doc_id") + F.floor(col("doc_id") / 16)).alias("scene_index"), (col("doc_id") * 100).alias("start_cs"), (col("doc_id") * 100 + 100).alias("end_cs")),
     }
 
 
