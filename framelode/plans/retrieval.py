@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelode.functions import text as T
+from framelode.operators import chapter_plan as P
 from framelode.operators import search as S
+from framelode.operators import shared
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
 
@@ -193,7 +195,7 @@ def _answers(candidates):
 
 def _shown(found):
     return found.select(
-        "query_id", "rank", "scene_index", F.round("score", 6).alias("score"), "match_type", "snippet", F.array_join("modalities", ",").alias("modalities"), F.size("refs").cast("long").alias("n_refs"),
+        "query_id", "rank", *S.scene_key(found), F.round("score", 6).alias("score"), "match_type", "snippet", F.array_join("modalities", ",").alias("modalities"), F.size("refs").cast("long").alias("n_refs"),
         F.md5("transcript").alias("transcript_md5"), F.md5("vision").alias("vision_md5"), "start_cs", "end_cs", F.md5("combined_text").alias("unit_md5"), "context_before", "context_after",
     )
 
@@ -274,3 +276,141 @@ def rerank_blend(spark, sf_dir):
     # a second answer for the same candidate must change nothing
     answers = answers.withColumn("pos", F.lit(0)).union(answers.where("relevance > 0.2").select("query_id", "index", F.lit(0.99).alias("relevance"), F.lit(1).alias("pos")))
     return S.reranked(candidates, answers).select("query_id", "index", "semantic", F.round("score", 6).alias("score"))
+
+
+# A collection: the memory's scenes dealt to three videos, whose scene numbers clash. A shot is ten seconds long.
+_V = "scene_index % 3"
+_COLLECTION = [
+    *[m for m in _MEMORY if not m.startswith(("sh AS", "eb AS"))],
+    "sh AS (SELECT doc_id + doc_id // 16 AS scene_index, ((doc_id + doc_id // 16) // 3) * 1000 AS start_cs, ((doc_id + doc_id // 16) // 3) * 1000 + 1000 AS end_cs FROM documents GROUP BY doc_id)",
+]
+_COLLECTION.insert(
+    len(_COLLECTION) - 2,
+    """eb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, scene_index) AS rank FROM (SELECT q.query_id, u.vec_id AS scene_index, round(list_cosine_similarity(u.embedding::DOUBLE[], q.embedding), 9) AS score FROM embeddings u, mq q WHERE u.vec_id % 3 = q.query_id % 3)) WHERE rank <= 50)""",
+)
+
+
+def _collection(spark, sf_dir):
+    one = _memory(spark, sf_dir)
+    dealt = {name: rows.withColumn("video_id", F.col(c := "shot" if name == "appearances" else "scene_index") % 3).withColumn(c, F.floor(F.col(c) / 3)) for name, rows in one.items()}
+    return dealt | {"shots": dealt["shots"].select("video_id", "scene_index", (F.col("scene_index") * 1000).alias("start_cs"), (F.col("scene_index") * 1000 + 1000).alias("end_cs"))}
+
+
+@query(
+    "search_collection",
+    A.sql(
+        [
+            *_COLLECTION,
+            "appearances",
+            """hits AS (SELECT h.* FROM every_hit h LEFT JOIN sh ON sh.scene_index = h.scene_index WHERE h.scene_index % 3 = query_id % 3 AND CASE query_id % 4
+             WHEN 1 THEN sh.start_cs >= 3000 AND sh.end_cs <= 40000
+             WHEN 2 THEN h.scene_index IN (SELECT shot FROM appearances WHERE character = query_id % 12) OR NOT EXISTS (SELECT 1 FROM appearances WHERE character = query_id % 12 AND shot % 3 = query_id % 3)
+             WHEN 3 THEN sh.start_cs >= 2000 AND h.scene_index IN (SELECT scene_index FROM scenes WHERE contains(lower(scene_type), 'src1')) ELSE TRUE END)""",
+            *_FUNNEL,
+        ],
+        _SHOWN.replace("t.scene_index, round", "CAST(t.scene_index % 3 AS BIGINT) AS video_id, CAST(t.scene_index // 3 AS BIGINT) AS scene_index, round").replace("t.scene_index - 1", "t.scene_index - 3").replace("t.scene_index + 1", "t.scene_index + 3"),
+    ),
+)
+def search_collection(spark, sf_dir):
+    """Queries of several videos with filters of their own, in one call."""
+    i = F.col("query_id")
+    asked = _asked(spark, sf_dir).withColumns({
+        "video_id": i % 3, "character": F.when(i % 4 == 2, i % 12), "start_cs": F.when(i % 4 == 1, 3000).when(i % 4 == 3, 2000), "end_cs": F.when(i % 4 == 1, 40000), "scene_type": F.when(i % 4 == 3, "SRC1"),
+    })
+    return _shown(S.search_memory(_collection(spark, sf_dir), asked, answers=_answers))
+
+
+_EVENTS = "pe AS (SELECT event_id % 3 AS video_id, (event_id % 997) * 3.5::DOUBLE AS start_time, CASE WHEN event_id % 3 = 2 THEN least(importance, 5) ELSE importance END AS importance FROM story_events)"
+_CHAPTERS = [
+    *_COLLECTION,
+    _EVENTS,
+    "vd AS (SELECT scene_index % 3 AS video_id, max(end_cs) / 100 AS duration FROM sh GROUP BY 1)",
+    """cut AS (SELECT video_id, 0.0::DOUBLE AS t FROM vd UNION ALL SELECT * FROM (SELECT c.video_id, (SELECT min(e.start_time) FROM pe e WHERE e.video_id = c.video_id AND e.importance >= 6 AND e.start_time - c.t >= 300) AS t FROM cut c) WHERE t IS NOT NULL)""",
+    """ends AS (SELECT video_id, duration, CASE WHEN len(told) = 1 AND duration > 1200 THEN list_concat([0.0::DOUBLE], list_transform(range(1, CAST(ceil((duration - 300) / 600) AS BIGINT)), lambda i: i * 600.0::DOUBLE)) ELSE told END AS begins
+      FROM (SELECT c.video_id, any_value(duration) AS duration, list(t ORDER BY t) AS told FROM cut c JOIN vd USING (video_id) GROUP BY c.video_id))""",
+    """chapters AS (SELECT video_id, i - 1 AS chapter_index, begins[i] AS start_time, coalesce(begins[i + 1], duration) AS end_time, len(begins) AS n FROM (SELECT *, unnest(range(1, len(begins) + 1)) AS i FROM ends))""",
+]
+
+
+def _chapters(spark, sf_dir):
+    own = A.story_events(spark, sf_dir)
+    i = F.col("event_id")
+    events = own.select((i % 3).alias("video_id"), ((i % 997) * 3.5).alias("start_time"), F.when(i % 3 == 2, F.least("importance", F.lit(5))).otherwise(F.col("importance")).alias("importance"))
+    memory = _collection(spark, sf_dir)
+    return memory, P.split(memory["shots"].groupBy("video_id").agg((F.max("end_cs") / 100).alias("duration")), events)
+
+
+@query("chapters_split", A.sql(["shots", "story_events", *_CHAPTERS[2:]], "SELECT video_id, CAST(chapter_index AS INTEGER) AS chapter_index, start_time, end_time FROM chapters", recursive=True))
+def chapters_split(spark, sf_dir):
+    return _chapters(spark, sf_dir)[1]
+
+
+_CANDIDATES = [
+    *_CHAPTERS,
+    """hits AS (SELECT h.query_id || '#' || chapter_index AS query_id, h.* EXCLUDE (query_id) FROM every_hit h JOIN sh USING (scene_index) JOIN chapters c ON c.video_id = h.scene_index % 3 AND sh.start_cs >= round(c.start_time * 100) AND sh.end_cs <= round(c.end_time * 100) WHERE h.scene_index % 3 = h.query_id % 3)""",
+    _DEDUPE,
+    "cd AS (SELECT *, CAST(split_part(query_id, '#', 1) AS BIGINT) AS plan_id, CAST(split_part(query_id, '#', 2) AS INTEGER) AS chapter_index FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, scene_index) AS rank FROM merged) WHERE rank <= 15)",
+]
+
+
+def _plans(spark, sf_dir):
+    """A plan for each benchmark item, over the video of its number."""
+    return _asked(spark, sf_dir).select(F.col("query_id").alias("plan_id"), (F.col("query_id") % 3).alias("video_id"), "query", "embedding", F.lit(90.0).alias("target_duration"))
+
+
+def _planned(spark, sf_dir):
+    memory, chapters = _chapters(spark, sf_dir)
+    asked = P.queries(_plans(spark, sf_dir), chapters)
+    return memory, asked, S.search_memory(memory, asked, P.CANDIDATES)
+
+
+@query(
+    "chapter_candidates",
+    A.sql(
+        _CANDIDATES,
+        """SELECT plan_id, cd.chapter_index, CAST(rank AS INTEGER) AS rank, CAST(scene_index % 3 AS BIGINT) AS video_id, CAST(scene_index // 3 AS BIGINT) AS scene_index, round(score, 6) AS score, match_type, n_refs, round(90.0::DOUBLE / n, 6) AS budget
+      FROM cd JOIN chapters c ON c.video_id = scene_index % 3 AND c.chapter_index = cd.chapter_index""",
+        recursive=True,
+    ),
+)
+def chapter_candidates(spark, sf_dir):
+    _, asked, found = _planned(spark, sf_dir)
+    rows = found.join(asked.select("query_id", "plan_id", "chapter_index", "budget"), "query_id")
+    return rows.select("plan_id", "chapter_index", "rank", "video_id", "scene_index", F.round("score", 6).alias("score"), "match_type", F.size("refs").cast("long").alias("n_refs"), F.round("budget", 6).alias("budget"))
+
+
+@query(
+    "chapter_planning",
+    A.sql(
+        [
+            *_CANDIDATES,
+            "sides AS (SELECT scene_index, string_agg(text, ' ' ORDER BY pos) AS every_line FROM transcripts GROUP BY scene_index)",
+            """said AS (SELECT cd.*, coalesce(nullif(cd.transcript, ''), nullif(un.transcript, ''), every_line, '') AS says, coalesce(nullif(cd.vision, ''), nullif(un.vision, ''), d.text, '') AS shows, sh.start_cs / 100 AS s0, sh.end_cs / 100 AS s1
+             FROM cd JOIN sh USING (scene_index) LEFT JOIN un USING (scene_index) LEFT JOIN sides USING (scene_index) LEFT JOIN documents d ON d.doc_id = cd.scene_index WHERE rank % 3 = 1)""",
+            """cl AS (SELECT *, CASE WHEN rank % 2 = 0 THEN s0 WHEN s0 - 1 > s0 THEN s0 - 1 ELSE s0 END AS f0, CASE WHEN rank % 2 = 0 THEN s1 ELSE least(s0 + 2.5 + rank / 7.0::DOUBLE, s1) END AS f1, CASE WHEN rank % 4 = 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS speed FROM said)""",
+            "pl AS (SELECT *, row_number() OVER w - 1 AS clip_index, coalesce(sum((f1 - f0) / speed) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t0, sum((f1 - f0) / speed) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t1 FROM cl WINDOW w AS (PARTITION BY plan_id ORDER BY chapter_index, rank))",
+        ],
+        """SELECT plan_id, CAST(clip_index AS INTEGER) AS clip_index, chapter_index, CAST(scene_index % 3 AS BIGINT) AS video_id, CAST(scene_index // 3 AS BIGINT) AS source_scene_index, CAST(format('{:.3f}', f0) AS DOUBLE) AS source_start, CAST(format('{:.3f}', f1) AS DOUBLE) AS source_end,
+      CAST(format('{:.3f}', t0) AS DOUBLE) AS timeline_start, CAST(format('{:.3f}', t1) AS DOUBLE) AS timeline_end, speed, CASE WHEN rank % 2 = 0 THEN 'rising_action' ELSE 'hook' END AS narrative_role, CASE WHEN rank = 4 THEN 1 ELSE least(n_refs, 3) END AS n_refs,
+      md5(left(says, 200)) AS transcript_md5, md5(CASE WHEN rank = 7 THEN 'own' ELSE left(shows, 200) END) AS vision_md5 FROM pl""",
+        recursive=True,
+    ),
+)
+def chapter_planning(spark, sf_dir):
+    """Answers are made of the candidates: every third one a clip, some of them inverted, out of range or of shots that don't exist."""
+    memory, asked, found = _planned(spark, sf_dir)
+    found = shared.written(found, "candidates")
+    c = F.col
+    rank, start = c("rank"), c("start_cs") / 100
+    whole = F.concat_ws(", ", F.concat(F.lit('"source_start": '), F.when(rank % 2 == 0, start + 5).otherwise(start - 1)), F.concat(F.lit('"source_end": '), F.when(rank % 2 == 0, start + 4).otherwise(start + 2.5 + rank / 7)), F.when(rank % 4 == 1, '"speed": 1.5'), F.when(rank % 2 == 1, '"narrative_role": "hook"'), F.when(rank == 4, '"evidence_refs": ["mine"]'), F.when(rank == 7, '"matched_vision": "own"'))
+    clip = F.concat(F.lit('{"source_scene_index": "'), c("scene_index").cast("string"), F.lit('", '), whole, F.lit("}"))
+    rows = found.where("rank % 3 = 1").join(asked.select("query_id", "plan_id", "chapter_index"), "query_id")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", clip.alias("clip")))), lambda x: x["clip"]), ", ")
+    answers = rows.groupBy("plan_id", "chapter_index", "video_id").agg(F.concat(F.lit('```json\n{"title": "t", "clips": [{"source_scene_index": 99999999}, 3, '), listed, F.lit("]}\n```")).alias("answer"))
+    shots = memory["shots"].select("video_id", "scene_index", (c("start_cs") / 100).alias("start_time"), (c("end_cs") / 100).alias("end_time"))
+    made = P.clips(answers, found, shots)
+    digest = lambda x: F.md5(F.coalesce(x, F.lit("")))
+    return made.select(
+        "plan_id", "clip_index", "chapter_index", "video_id", "source_scene_index", "source_start", "source_end", "timeline_start", "timeline_end", "speed", "narrative_role", F.size("evidence_refs").cast("long").alias("n_refs"),
+        digest(c("matched_transcript")).alias("transcript_md5"), digest(c("matched_vision")).alias("vision_md5"),
+    )
