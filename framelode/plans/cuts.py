@@ -25,8 +25,8 @@ def three_same_roles(spark, sf_dir):
     return P.repeated_roles(A.clips(spark, sf_dir).withColumn("role", F.col("status"))).select("plan_id", "clip_index", "status")
 
 
-# Scenes of the cut lists: one for each customer's number, a minute long.
-_SCENES = "places AS (SELECT c_custkey AS scene_index, c_custkey * 6000 AS start_cs, c_custkey * 6000 + 6000 AS end_cs, [c_mktsegment] AS characters FROM customer WHERE c_custkey % 11 > 0)"
+# Scenes of the cut lists: one for each customer, a minute long; every eleventh number is no scene's.
+_SCENES = "places AS (SELECT n AS scene_index, n * 6000 AS start_cs, n * 6000 + 6000 AS end_cs, [c_mktsegment] AS characters FROM (SELECT *, c_custkey + c_custkey // 10 AS n FROM customer))"
 _CUT = """cut AS (SELECT plan_id, clip_index, timeline_start, timeline_end, CASE WHEN clip_index = 0 AND plan_id % 3 > 0 THEN 'hook' ELSE status END AS role, clip_id % 200 AS scene_index,
   (clip_id % 200) * 6000 + (clip_id * 31) % 400 - 90 AS source_start, (clip_id % 200) * 6000 + (clip_id * 31) % 400 - 90 + dur_cs % 7000 AS source_end, speed_pct / 100.0::DOUBLE AS speed,
   CASE clip_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['scene#1_unchecked'] ELSE ['ref#' || clip_id] END AS evidence, CASE WHEN clip_id % 2 = 0 THEN ['BUILDING'] ELSE [] END AS characters,
@@ -35,8 +35,8 @@ _TARGETS = "goals AS (SELECT plan_id, (floor(sum(dur_cs) * (0.7::DOUBLE + (plan_
 
 
 def scenes(spark, sf_dir):
-    i = F.col("c_custkey")
-    return A.table(spark, sf_dir, "customer").where("c_custkey % 11 > 0").select(i.alias("scene_index"), (i * 6000).alias("start_cs"), (i * 6000 + 6000).alias("end_cs"), F.array("c_mktsegment").alias("characters"))
+    i = F.col("c_custkey") + F.floor(F.col("c_custkey") / 10)
+    return A.table(spark, sf_dir, "customer").select(i.alias("scene_index"), (i * 6000).alias("start_cs"), (i * 6000 + 6000).alias("end_cs"), F.array("c_mktsegment").alias("characters"))
 
 
 def cuts(spark, sf_dir):
@@ -133,6 +133,9 @@ def validator_violations(spark, sf_dir):
     return P.validation_errors(cuts(spark, sf_dir), goals(spark, sf_dir), scenes(spark, sf_dir))
 
 
-@query("timeline_gaps", A.sql(["clips", _RUN], "SELECT plan_id, clip_index, round(gap, 3) AS gap FROM (SELECT *, lead(timeline_start) OVER (PARTITION BY plan_id ORDER BY clip_index) - timeline_end AS gap FROM placed WHERE clip_id % 3 > 0) WHERE gap > 100"))
+@query("timeline_gaps", A.sql(["clips", _RUN], "SELECT plan_id, clip_index, round(gap, 3) AS gap FROM (SELECT *, lead(timeline_start + shift) OVER (PARTITION BY plan_id ORDER BY clip_index) - (timeline_end + shift) AS gap FROM (SELECT *, clip_index % 3 * 150 AS shift FROM placed)) WHERE gap > 100"))
 def timeline_gaps(spark, sf_dir):
-    return P.gaps(placed(spark, sf_dir).where("clip_id % 3 > 0")).select("plan_id", "clip_index", F.round("gap", 3).alias("gap"))
+    """Cut lists whose clips begin 0, 150 and 300 later in turn."""
+    shift = F.col("clip_index") % 3 * 150
+    shifted = placed(spark, sf_dir).withColumns({"timeline_start": F.col("timeline_start") + shift, "timeline_end": F.col("timeline_end") + shift})
+    return P.gaps(shifted).select("plan_id", "clip_index", F.round("gap", 3).alias("gap"))

@@ -163,13 +163,14 @@ def rollup_chapters(spark, sf_dir):
     return out.select("video_id", "chapter", "start_cs", "end_cs", "dur_cs", F.array_join("scene_ids", ",").alias("scene_ids"), F.size("scene_index_ids").alias("n_shots"))
 
 
-_LISTED = "listed AS (SELECT video_id, scene_index // 4 AS beat, unnest([scene_index, scene_index + 2]) AS scene_index FROM shots WHERE scene_index % 3 < 2)"
+_LISTED = "listed AS (SELECT video_id, scene_index // 4 AS beat, unnest([scene_index // 3 * 3 + scene_index % 2, scene_index // 3 * 3 + 6]) AS scene_index FROM shots)"
 
 
 def _listed(spark, sf_dir):
     """Lists that overlap, miss some shots and name some that don't exist."""
-    rows = A.shots(spark, sf_dir).where("scene_index % 3 < 2")
-    return rows.groupBy("video_id", F.floor(F.col("scene_index") / 4).cast("int").alias("beat")).agg(F.flatten(F.collect_list(F.array(F.col("scene_index"), F.col("scene_index") + 2))).alias("scene_index_ids"))
+    s = F.col("scene_index")
+    third = (F.floor(s / 3) * 3).cast("int")
+    return A.shots(spark, sf_dir).groupBy("video_id", F.floor(s / 4).cast("int").alias("beat")).agg(F.flatten(F.collect_list(F.array(third + s % 2, third + 6))).alias("scene_index_ids"))
 
 
 @query("reverse_links", A.sql(["shots", _LISTED], "SELECT s.video_id, s.scene_index, max(l.beat) AS beat FROM shots s LEFT JOIN listed l USING (video_id, scene_index) GROUP BY ALL"))
@@ -182,9 +183,9 @@ def child_members(spark, sf_dir):
     return H.members(_listed(spark, sf_dir), A.shots(spark, sf_dir), "beat", "scene_index")
 
 
-@query("missing_placeholders", "SELECT o_orderkey AS scene_index, coalesce(lang, 'unseen') AS description, d.doc_id IS NULL AS filled FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey * 2 UNION ALL SELECT CAST(doc_id / 2 AS BIGINT), lang, false FROM documents WHERE doc_id % 2 = 0 AND CAST(doc_id / 2 AS BIGINT) NOT IN (SELECT o_orderkey FROM orders)")
+@query("missing_placeholders", "SELECT o_orderkey AS scene_index, coalesce(lang, 'unseen') AS description, d.doc_id IS NULL AS filled FROM orders LEFT JOIN documents d ON d.doc_id * 2 = o_orderkey UNION ALL SELECT doc_id * 2, lang, false FROM documents WHERE doc_id * 2 NOT IN (SELECT o_orderkey FROM orders)")
 def missing_placeholders(spark, sf_dir):
-    """Views of half the shots, completed for the others."""
-    views = A.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select((F.col("doc_id") / 2).cast("long").alias("scene_index"), F.col("lang").alias("description"))
+    """Views of shots of even numbers, completed for the others."""
+    views = A.table(spark, sf_dir, "documents").select((F.col("doc_id") * 2).alias("scene_index"), F.col("lang").alias("description"))
     shots = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("scene_index"))
     return H.completed(views, shots, ["scene_index"], {"description": "unseen"})

@@ -21,7 +21,7 @@ _SIDES = [
     """a AS (SELECT scene_index, arg_max({'has_music': has_music, 'music_mood': music_mood, 'has_sfx': has_sfx, 'sfx_tags': sfx_tags, 'speech_emotion': speech_emotion, 'silence': silence}, pos) AS a FROM (SELECT c_custkey % 1200 AS scene_index, c_custkey AS pos, c_custkey % 3 <> 1 AS has_music, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE '' END AS music_mood,
       c_custkey % 4 = 0 AS has_sfx, ['bell', 'tag' || c_custkey % 3, 'third', 'fourth'] AS sfx_tags, CASE WHEN c_custkey % 5 = 0 THEN 'calm' ELSE '' END AS speech_emotion, (c_custkey * 13 % 100) / 100.0::DOUBLE AS silence FROM customer) GROUP BY scene_index)""",
     "s AS (SELECT doc_id AS scene_index, max(toxic)::DOUBLE AS hook FROM labels GROUP BY doc_id)",
-    "l AS (SELECT p_partkey AS scene_index, CASE WHEN p_size % 2 = 0 THEN 'speech' ELSE 'visual' END AS dominant_modality FROM part WHERE p_partkey < 400)",
+    "l AS (SELECT p_partkey AS scene_index, CASE WHEN p_size % 2 = 0 THEN 'speech' ELSE 'visual' END AS dominant_modality FROM part)",
     "ch AS (SELECT o_orderkey AS scene_index, max(n_nationkey) AS chapter_index FROM orders, nation WHERE o_orderkey % 25 IN (n_nationkey, n_nationkey + 1) GROUP BY 1)",
     """units AS (SELECT o_orderkey AS scene_index, o_custkey AS video_id, coalesce(lines, []) AS lines, v IS NOT NULL AS has_vision, v.description, v.mood, v.scene_type, v.objects, v.action, o.texts, coalesce(characters, []) AS characters, coalesce(events, []) AS events,
       a IS NOT NULL AS has_audio, a.has_music, a.music_mood, a.has_sfx, a.sfx_tags, a.speech_emotion, a.silence, s.hook, l.dominant_modality, ch.chapter_index
@@ -50,7 +50,7 @@ def units(spark, sf_dir):
         F.array(lit("bell"), F.concat(lit("tag"), i % 3), lit("third"), lit("fourth")).alias("sfx_tags"), F.when(i % 5 == 0, "calm").otherwise("").alias("speech_emotion"), (i * 13 % 100 / 100).alias("silence"),
     )
     signals = read("labels").groupBy(col("doc_id").alias("scene_index")).agg(F.create_map(lit("hook_score"), F.max("toxic").cast("double")).alias("scores")).withColumn("pos", lit(0))
-    alignments = read("part").where("p_partkey < 400").select(col("p_partkey").alias("scene_index"), lit(0).alias("pos"), F.when(size % 2 == 0, "speech").otherwise("visual").alias("dominant_modality"))
+    alignments = read("part").select(col("p_partkey").alias("scene_index"), lit(0).alias("pos"), F.when(size % 2 == 0, "speech").otherwise("visual").alias("dominant_modality"))
     number = col("n_nationkey")
     listed = read("orders").select(col("o_orderkey").alias("shot"), F.explode(F.array(col("o_orderkey") % 25, col("o_orderkey") % 25 - 1)).alias("n_nationkey"))
     chapters = listed.join(read("nation"), "n_nationkey", "left_semi").groupBy(number.alias("chapter_index")).agg(F.collect_list("shot").alias("shot_indices"))
