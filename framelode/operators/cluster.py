@@ -42,7 +42,9 @@ def _block_pairs(faces: DataFrame, columns: list[str], step, schema: str, scope:
         left, right = block[block["own"] == key[1]], block[block["own"] == key[2]]
         return step(left, right, unit[left["at"]] @ unit[right["at"]].T, key[1] == key[2])
 
-    return dealt.groupBy("_scope", "i", "j").applyInPandas(run, schema)
+    # a number of partitions that is asked for isn't lowered for small data: the work is in the comparison
+    n = int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "_scope", "i", "j").groupBy("_scope", "i", "j").applyInPandas(run, schema)
 
 
 def near_pairs(faces: DataFrame, eps: float, scope: str | None = None) -> DataFrame:
@@ -129,45 +131,61 @@ def should_merge(centroid: Column, link: Column, strong: Column) -> Column:
     return (centroid >= CENTROID_ALONE) | ((link >= LINK) & (centroid >= CENTROID_WITH_LINK)) | ((strong >= STRONG) & (centroid >= CENTROID_WITH_STRONG))
 
 
-def top_pair_mean(faces: DataFrame, key: str, k: int = 5, scope: str | None = None) -> DataFrame:
+def alike_clusters(faces: DataFrame, key: str, scope: str | None = None) -> DataFrame:
+    """(x, y, centroid), x < y, of the clusters of one scope whose centroids are as similar as any rule of ``should_merge`` asks for at least; no others can merge."""
+    place = [] if scope is None else [scope]
+    names = faces.select(*place, key).distinct()
+    middles = centroids(faces, key).join(names, key).select(F.col(key).alias("face_id"), F.col("centroid").alias("embedding"), *place)
+    pairs = near_pairs(middles, 1 - CENTROID_WITH_STRONG, scope).where("a < b").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    both = pairs.join(middles.select(F.col("face_id").alias("x"), F.col("embedding").alias("_cx")), "x").join(middles.select(F.col("face_id").alias("y"), F.col("embedding").alias("_cy")), "y")
+    return both.select("x", "y", V.dot(F.col("_cx"), F.col("_cy")).alias("centroid"))
+
+
+def top_pair_mean(faces: DataFrame, key: str, k: int = 5, scope: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """(x, y, link, strong): for two clusters the mean of their k most similar pairs of faces, and the best one. Each pair of blocks reports
-    the k best of each two clusters."""
+    the k best of each two clusters. pairs: (x, y), x < y, the only ones that are looked at."""
+    few = pairs is not None
+    if few:
+        both = pairs.select(F.col("x").alias(key), F.col("y").alias("_other")).union(pairs.select(F.col("y").alias(key), F.col("x").alias("_other")))
+        faces = faces.join(both.groupBy(key).agg(F.collect_set("_other").alias("_others")), key)
 
     def step(left: pd.DataFrame, right: pd.DataFrame, similar: np.ndarray, same: bool) -> pd.DataFrame:
         out = []
-        places = {c: rows for c, rows in left.reset_index(drop=True).groupby(key).groups.items()}, {c: rows for c, rows in right.reset_index(drop=True).groupby(key).groups.items()}
+        left, right = left.reset_index(drop=True), right.reset_index(drop=True)
+        places = {c: rows for c, rows in left.groupby(key).groups.items()}, {c: rows for c, rows in right.groupby(key).groups.items()}
         for x, own in places[0].items():
-            for y, other in places[1].items():
+            for y in sorted(set(left["_others"][own[0]]) & places[1].keys()) if few else places[1]:
                 if x == y or (same and x > y):
                     continue
-                s = similar[np.ix_(own, other)].ravel()
+                s = similar[np.ix_(own, places[1][y])].ravel()
                 out += [(min(x, y), max(x, y), v) for v in np.sort(s)[::-1][:k]]
         return pd.DataFrame(out, columns=["x", "y", "s"])
 
-    best = _block_pairs(faces, [key], step, "x long, y long, s double", scope)
+    best = _block_pairs(faces, [key, "_others"] if few else [key], step, "x long, y long, s double", scope)
     ranked = best.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("s")))).where(F.col("n") <= k)
     return ranked.groupBy("x", "y").agg(F.avg("s").alias("link"), F.max("s").alias("strong"))
 
 
+def merge_rules(faces: DataFrame, key: str, scope: str | None = None) -> DataFrame:
+    """(x, y, link, strong, centroid, merges) of the clusters that ``alike_clusters`` finds."""
+    pairs = _kept(alike_clusters(faces, key, scope))
+    rows = top_pair_mean(faces, key, scope=scope, pairs=pairs.select("x", "y")).join(pairs, ["x", "y"])
+    return rows.withColumn("merges", should_merge(F.col("centroid"), F.col("link"), F.col("strong")))
+
+
 def split_impure(faces: DataFrame, key: str = "cluster", eps: float = SPLIT_EPS, least: int = LEAST_POINTS) -> DataFrame:
     """faces (cluster, face_id, keyframe, embedding) with ``part``: clusters that hold a conflict or reach beyond 0.34, of 2 * least faces or more, are clustered
-    again with a smaller eps, noise as clusters of its own; all others are part 0."""
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("face_id")
-        vectors = np.stack(rows["embedding"]).astype(float)
-        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        middle = unit.mean(axis=0)
-        middle /= max(np.linalg.norm(middle), 1e-12)
-        impure = rows["keyframe"].duplicated().any() or np.percentile(1 - unit @ middle, 90) > MOST_RADIUS
-        part = np.zeros(len(rows), np.int64)
-        if impure and len(rows) >= 2 * least:
-            part = dbscan(vectors, eps, least)
-            alone = np.flatnonzero(part < 0)
-            part[alone] = part.max() + 1 + np.arange(len(alone))
-        return pd.DataFrame({key: rows[key], "face_id": rows["face_id"], "part": part})
-
-    return faces.select(key, "face_id", "keyframe", "embedding").groupBy(key).applyInPandas(step, f"{key} long, face_id long, part long")
+    again with a smaller eps, noise as clusters of its own; all others are part 0. Which clusters those are follows from sums; their faces are compared block by block."""
+    bad = conflicts(faces, key).union(radii(faces, key).where(F.col("radius") > MOST_RADIUS).select(key)).distinct()
+    large = faces.groupBy(key).count().where(F.col("count") >= 2 * least).select(key)
+    impure = _kept(bad.join(large, key, "left_semi"))
+    again = faces.join(impure, key, "left_semi")
+    labels = density_labels(again, eps, least, key).join(again.select(key, "face_id"), "face_id")
+    # clusters in order of their first core, then noise in order of faces
+    noise = F.col("label") < 0
+    place = F.dense_rank().over(Window.partitionBy(key).orderBy(noise, F.when(noise, F.col("face_id")).otherwise(F.col("label"))))
+    parts = labels.select(key, "face_id", (place - 1).cast("long").alias("part"))
+    return parts.union(faces.join(impure, key, "left_anti").select(key, "face_id", F.lit(0).cast("long").alias("part")))
 
 
 def merged(pairs: DataFrame, keyframes: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries over embedded faces. The test vectors have no clusters of their own, so eps is wider than the default."""
+"""Queries over embedded faces. The vectors of the table have no clusters of their own: those that are clustered are made of them, by turning each."""
 
 from __future__ import annotations
 
@@ -9,9 +9,10 @@ from framelode.operators import cluster as C
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
 
-EPS = 0.62
 _UNIT = "list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))"
-_NEAR = f"u AS (SELECT *, {_UNIT} AS u FROM faces), near AS (SELECT a.face_id AS a, b.face_id AS b FROM u a, u b WHERE list_dot_product(a.u, b.u) >= 1 - {EPS} - 1e-9)"
+_U = f"u AS (SELECT *, {_UNIT} AS u FROM faces)"
+_CROWD = f"cu AS MATERIALIZED (SELECT *, {_UNIT} AS u FROM crowd)"
+_NEAR = "near AS MATERIALIZED (SELECT a.face_id AS a, b.face_id AS b FROM cu a JOIN cu b USING (video_id) WHERE list_dot_product(a.u, b.u) >= 1 - 0.42 - 1e-9)"
 
 
 @query("vectors_normalized", A.sql("faces", "SELECT face_id, round(sqrt(list_dot_product(u, u)), 6) AS norm, round(u[1], 6) AS first FROM (SELECT face_id, " + _UNIT + " AS u FROM faces)"))
@@ -20,35 +21,32 @@ def vectors_normalized(spark, sf_dir):
     return A.faces(spark, sf_dir).select("face_id", u.alias("u")).select("face_id", F.round(V.norm(F.col("u")), 6).alias("norm"), F.round(F.element_at("u", 1), 6).alias("first"))
 
 
-@query("dbscan_core_points", A.sql(["faces", _NEAR], "SELECT a AS face_id, count(*) AS n_near FROM near GROUP BY a HAVING count(*) >= 3"))
+@query("dbscan_core_points", A.sql(["crowd", _CROWD, _NEAR], "SELECT a AS face_id, count(*) AS n_near FROM near GROUP BY a HAVING count(*) >= 3"))
 def dbscan_core_points(spark, sf_dir):
-    return C.core_points(A.faces(spark, sf_dir), EPS)
+    return C.core_points(A.crowd(spark, sf_dir), scope="video_id")
 
 
-@query(
-    "dbscan_labels",
-    A.sql(
-        [
-            "faces", _NEAR, "cores AS (SELECT a AS core FROM near GROUP BY a HAVING count(*) >= 3)", "links AS (SELECT a, b FROM near WHERE a IN (FROM cores) AND b IN (FROM cores))",
-            "reach AS (SELECT core AS a, core AS b FROM cores UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)", "labels_ AS (SELECT a AS core, min(b) AS own FROM reach GROUP BY a)",
-        ],
-        "SELECT face_id, coalesce(min(CASE WHEN l.core = face_id THEN own END), min(own), -1) AS label FROM faces LEFT JOIN near ON a = face_id LEFT JOIN labels_ l ON l.core = b GROUP BY face_id",
-        recursive=True,
-    ),
-)
+_LABELS = [
+    "cores AS (SELECT a AS core FROM near GROUP BY a HAVING count(*) >= 3)", "links AS (SELECT a, b FROM near WHERE a IN (FROM cores) AND b IN (FROM cores))",
+    "reach AS (SELECT core AS a, core AS b FROM cores UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)", "labels_ AS (SELECT a AS core, min(b) AS own FROM reach GROUP BY a)",
+    "told AS (SELECT face_id, coalesce(min(CASE WHEN l.core = face_id THEN own END), min(own), -1) AS label FROM cu LEFT JOIN near ON a = face_id LEFT JOIN labels_ l ON l.core = b GROUP BY face_id)",
+]
+
+
+@query("dbscan_labels", A.sql(["crowd", _CROWD, _NEAR, *_LABELS], "SELECT face_id, label FROM told", recursive=True))
 def dbscan_labels(spark, sf_dir):
-    return C.density_labels(A.faces(spark, sf_dir), EPS)
+    return C.density_labels(A.crowd(spark, sf_dir), scope="video_id")
 
 
 _MIDDLE = "middles AS (SELECT label, list(x ORDER BY dim) AS c FROM (SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(u) AS x, unnest(range(64)) AS dim FROM u) GROUP BY ALL) GROUP BY label), centers AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM middles)"
 
 
-@query("centroids", A.sql(["faces", _NEAR, _MIDDLE], "SELECT label, dim, round(x, 6) AS x FROM (SELECT label, unnest(c) AS x, unnest(range(64)) AS dim FROM centers)"))
+@query("centroids", A.sql(["faces", _U, _MIDDLE], "SELECT label, dim, round(x, 6) AS x FROM (SELECT label, unnest(c) AS x, unnest(range(64)) AS dim FROM centers)"))
 def centroids(spark, sf_dir):
     return C.centroids(A.faces(spark, sf_dir), "label").select("label", F.posexplode("centroid").alias("dim", "x")).select("label", "dim", F.round("x", 6).alias("x"))
 
 
-@query("cluster_radius_p90", A.sql(["faces", _NEAR, _MIDDLE], "SELECT label, round(quantile_cont(1 - list_dot_product(u, c), 0.9), 6) AS radius, count(*) AS n_faces FROM u JOIN centers USING (label) GROUP BY label"))
+@query("cluster_radius_p90", A.sql(["faces", _U, _MIDDLE], "SELECT label, round(quantile_cont(1 - list_dot_product(u, c), 0.9), 6) AS radius, count(*) AS n_faces FROM u JOIN centers USING (label) GROUP BY label"))
 def cluster_radius_p90(spark, sf_dir):
     return C.radii(A.faces(spark, sf_dir), "label").select("label", F.round("radius", 6).alias("radius"), "n_faces")
 
@@ -58,18 +56,17 @@ def cluster_conflicts(spark, sf_dir):
     return C.conflicts(A.faces(spark, sf_dir), "label")
 
 
-_TOP = "tops AS (SELECT x, y, avg(s) AS link, max(s) AS strong FROM (SELECT a.label AS x, b.label AS y, list_dot_product(a.u, b.u) AS s, row_number() OVER (PARTITION BY a.label, b.label ORDER BY list_dot_product(a.u, b.u) DESC, a.face_id, b.face_id) AS n FROM u a JOIN u b ON a.label < b.label) WHERE n <= 5 GROUP BY ALL)"
+_CENTERS = "means AS (SELECT video_id, cluster, list(x ORDER BY dim) AS c FROM (SELECT video_id, cluster, dim, avg(x) AS x FROM (SELECT video_id, cluster, unnest(u) AS x, unnest(range(64)) AS dim FROM cu) GROUP BY ALL) GROUP BY ALL), mids AS (SELECT video_id, cluster, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS c FROM means)"
+_RULES = [
+    "alike AS MATERIALIZED (SELECT a.video_id, a.cluster AS x, b.cluster AS y, list_dot_product(a.c, b.c) AS centroid FROM mids a JOIN mids b ON a.video_id = b.video_id AND a.cluster < b.cluster WHERE list_dot_product(a.c, b.c) >= 0.5 - 1e-9)",
+    "tops AS (SELECT x, y, avg(s) AS link, max(s) AS strong FROM (SELECT x, y, s, row_number() OVER (PARTITION BY x, y ORDER BY s DESC) AS n FROM (SELECT x, y, list_dot_product(a.u, b.u) AS s FROM alike JOIN cu a ON a.cluster = x JOIN cu b ON b.cluster = y)) WHERE n <= 5 GROUP BY ALL)",
+    "rules AS (SELECT video_id, x, y, link, strong, centroid, centroid >= 0.86 OR (link >= 0.78 AND centroid >= 0.62) OR (strong >= 0.82 AND centroid >= 0.5) AS merges FROM tops JOIN alike USING (x, y))",
+]
 
 
-@query(
-    "merge_candidates",
-    A.sql(["faces", _NEAR, _MIDDLE, _TOP], "SELECT x, y, round(link, 6) AS link, round(strong, 6) AS strong, round(list_dot_product(a.c, b.c), 6) AS centroid, list_dot_product(a.c, b.c) >= 0.86 OR (link >= 0.78 AND list_dot_product(a.c, b.c) >= 0.62) OR (strong >= 0.82 AND list_dot_product(a.c, b.c) >= 0.5) AS merges FROM tops JOIN centers a ON a.label = x JOIN centers b ON b.label = y"),
-)
+@query("merge_candidates", A.sql(["crowd", _CROWD, _CENTERS, *_RULES], "SELECT x, y, round(link, 6) AS link, round(strong, 6) AS strong, round(centroid, 6) AS centroid, merges FROM rules"))
 def merge_candidates(spark, sf_dir):
-    faces = A.faces(spark, sf_dir)
-    c = C.centroids(faces, "label")
-    rows = C.top_pair_mean(faces, "label").join(c.withColumnsRenamed({"label": "x", "centroid": "cx"}), "x").join(c.withColumnsRenamed({"label": "y", "centroid": "cy"}), "y").withColumn("centroid", V.dot(F.col("cx"), F.col("cy")))
-    return rows.select("x", "y", F.round("link", 6).alias("link"), F.round("strong", 6).alias("strong"), F.round("centroid", 6).alias("centroid"), C.should_merge(F.col("centroid"), F.col("link"), F.col("strong")).alias("merges"))
+    return C.merge_rules(A.crowd(spark, sf_dir), "cluster", "video_id").select("x", "y", F.round("link", 6).alias("link"), F.round("strong", 6).alias("strong"), F.round("centroid", 6).alias("centroid"), "merges")
 
 
 @query("cluster_tiers", A.sql("faces", "SELECT label, count(*) AS n_faces, count(DISTINCT scene_index) AS n_scenes, CASE WHEN count(DISTINCT scene_index) >= 50 THEN 'major' WHEN count(DISTINCT scene_index) >= 3 THEN 'minor' ELSE 'passerby' END AS tier FROM faces GROUP BY label"))
@@ -109,17 +106,49 @@ def faces_deduplicated(spark, sf_dir):
     return joins.keep(rows, ["keyframe", "spot"], ["face_id"], last=False).select("keyframe", "spot", "face_id")
 
 
-@query("split_impure_clusters")
+@query(
+    "split_impure_clusters",
+    A.sql(
+        [
+            "crowd",
+            _CROWD,
+            _CENTERS.replace("cluster", "crew"),
+            """bad AS (SELECT crew FROM cu JOIN mids USING (video_id, crew) GROUP BY crew HAVING count(*) >= 6 AND (count(*) > count(DISTINCT keyframe) OR quantile_cont(1 - list_dot_product(u, c), 0.9) > 0.34))""",
+            "near AS MATERIALIZED (SELECT a.face_id AS a, b.face_id AS b FROM cu a JOIN cu b USING (crew) WHERE crew IN (FROM bad) AND list_dot_product(a.u, b.u) >= 1 - 0.30 - 1e-9)",
+            *_LABELS,
+        ],
+        """SELECT crew AS cluster, face_id, dense_rank() OVER (PARTITION BY crew ORDER BY label < 0, CASE WHEN label < 0 THEN face_id ELSE label END) - 1 AS part FROM cu JOIN told USING (face_id) WHERE crew IN (FROM bad)
+        UNION ALL SELECT crew, face_id, 0 FROM cu WHERE crew NOT IN (FROM bad)""",
+        recursive=True,
+    ),
+)
 def split_impure_clusters(spark, sf_dir):
-    return C.split_impure(A.faces(spark, sf_dir).withColumnRenamed("label", "cluster"))
+    return C.split_impure(A.crowd(spark, sf_dir).drop("cluster").withColumnRenamed("crew", "cluster"))
 
 
-@query("merge_constrained")
+@query(
+    "merge_constrained",
+    A.sql(
+        [
+            "crowd",
+            _CROWD,
+            _CENTERS,
+            *_RULES,
+            "shared AS (SELECT DISTINCT a.cluster AS x, b.cluster AS y FROM cu a JOIN cu b ON a.video_id = b.video_id AND a.keyframe = b.keyframe AND a.cluster < b.cluster)",
+            # a person's clusters a, b, c: pairs in their order; only a and b may share a key frame
+            "ok AS (SELECT x, y FROM rules WHERE merges)",
+            "ways AS (SELECT DISTINCT video_id, cluster // 3 AS p, (cluster // 3 * 3, cluster // 3 * 3 + 1) IN (SELECT (x, y) FROM ok) AS mab, (cluster // 3 * 3, cluster // 3 * 3 + 2) IN (SELECT (x, y) FROM ok) AS ac, (cluster // 3 * 3 + 1, cluster // 3 * 3 + 2) IN (SELECT (x, y) FROM ok) AS mbc, (cluster // 3 * 3, cluster // 3 * 3 + 1) IN (SELECT (x, y) FROM shared) AS kab FROM cu)",
+        ],
+        """SELECT video_id, p * 3 + k AS cluster, CASE k WHEN 0 THEN p * 3 WHEN 1 THEN CASE WHEN (mab OR (ac AND mbc)) AND NOT kab THEN p * 3 ELSE p * 3 + 1 END
+        ELSE CASE WHEN ac OR (mab AND NOT kab AND mbc) THEN p * 3 WHEN mbc THEN p * 3 + 1 ELSE p * 3 + 2 END END AS merged FROM (SELECT *, unnest(range(3)) AS k FROM ways)""",
+    ),
+)
 def merge_constrained(spark, sf_dir):
-    faces = A.faces(spark, sf_dir)
-    pairs = merge_candidates(spark, sf_dir).where("merges").select(F.lit(1).cast("long").alias("video_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
-    frames = faces.groupBy(F.col("label").cast("long").alias("cluster")).agg(F.collect_set(F.col("keyframe") % 40).alias("keyframes")).select(F.lit(1).cast("long").alias("video_id"), "cluster", "keyframes")
-    return C.merged(pairs, frames)
+    """In this crowd clusters of one person alone merge."""
+    faces = A.crowd(spark, sf_dir)
+    video = faces.select("cluster", "video_id").distinct()
+    pairs = C.merge_rules(faces, "cluster", "video_id").where("merges").join(video.withColumnRenamed("cluster", "x"), "x").select("video_id", "x", "y")
+    return C.merged(pairs, faces.groupBy("video_id", "cluster").agg(F.collect_set("keyframe").alias("keyframes")))
 
 
 _TAKEN = "list_transform(taken, lambda t: t.scene_index)"

@@ -68,6 +68,29 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: How far the eight faces of a person are turned from the first.
+TURNS = (0.0, 0.1, 0.2, 0.6, 0.05, 0.15, 0.3, 3.0)
+
+
+def crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight faces of each embedding's person, turned away step by step, in seven videos. ``cluster``: three of a person, the first two of which are alike, and share a key frame
+    for every fifth person; ``crew``: the faces of two people, or of one in every third crew."""
+    i = F.col("vec_id")
+    e = F.col("embedding").cast("array<double>")
+
+    def turned(by: float):
+        return F.zip_with(e, F.reverse(e), lambda x, y: x + F.lit(by) * y)
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.array(*map(turned, TURNS))).alias("k", "embedding"))
+    k = F.col("k")
+    frame = i * 8 + F.when((k == 3) & (i % 5 == 0), 0).otherwise(k)
+    pair = F.floor(i / 14)
+    return rows.select(
+        (i * 8 + k).alias("face_id"), (i % 7).alias("video_id"), frame.alias("keyframe"), "embedding", (i * 3 + F.when(k == 7, 2).when(k.isin(2, 3, 6), 1).otherwise(0)).alias("cluster"),
+        F.when(pair % 3 == 0, 1_000_000 + i).otherwise(pair * 7 + i % 7).alias("crew"),
+    )
+
+
 def appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which character is in which shot."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("character"), F.col("l_orderkey").alias("shot")).distinct()
@@ -100,6 +123,10 @@ CTES = {
   SELECT doc_id AS unit_index, source AS unit_type, (n_chars % 1000) / 1000.0::DOUBLE AS hook_score, quality::DOUBLE AS clarity_score, toxic::DOUBLE AS tension_score, (doc_id * 7 % 100) / 100.0::DOUBLE AS emotion_score
   FROM labels JOIN documents USING (doc_id))""",
     "faces": "faces AS (SELECT vec_id AS face_id, vec_id // 4 AS keyframe, vec_id // 2 AS scene_index, (vec_id * 37 % 100) / 100.0::DOUBLE AS det_score, embedding::DOUBLE[] AS embedding, label FROM embeddings)",
+    "crowd": """crowd AS (SELECT vec_id * 8 + k AS face_id, vec_id % 7 AS video_id, vec_id * 8 + CASE WHEN k = 3 AND vec_id % 5 = 0 THEN 0 ELSE k END AS keyframe,
+    list_transform(range(1, 65), lambda j: e[j] + [0.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.6::DOUBLE, 0.05::DOUBLE, 0.15::DOUBLE, 0.3::DOUBLE, 3.0::DOUBLE][k + 1] * e[65 - j]) AS embedding,
+    vec_id * 3 + CASE WHEN k = 7 THEN 2 WHEN k IN (2, 3, 6) THEN 1 ELSE 0 END AS cluster, CASE WHEN vec_id // 14 % 3 = 0 THEN 1000000 + vec_id ELSE vec_id // 14 * 7 + vec_id % 7 END AS crew
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(8)) AS k FROM embeddings))""",
     "appearances": "appearances AS (SELECT DISTINCT l_suppkey AS character, l_orderkey AS shot FROM lineitem)",
     "clips": """clips AS (
   SELECT o_custkey AS plan_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS clip_index, o_orderkey AS clip_id, CAST(floor(o_totalprice / 10) AS BIGINT) AS dur_cs,
