@@ -16,8 +16,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector scaled to length 1; zero vectors stay zero."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+    # the length is bound as an item of a list, or it would be computed again for each component
+    return F.get(F.transform(F.array(norm(a)), lambda size: F.transform(a, lambda x: F.when(size > 0, x / size).otherwise(0.0))), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
