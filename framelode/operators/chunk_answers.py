@@ -106,7 +106,11 @@ def _present(item: Column, chunk: Column) -> Column:
 def backfilled(chunks: DataFrame, shots: DataFrame, answers: DataFrame) -> Backfilled:
     """The tables of the shots (video_id, scene_index, start_time, end_time) from the answers (video_id, chunk_index, answer) about chunks. A shot of which no answer speaks has a
     placeholder in each table but the transcripts."""
-    rows = read(chunks, shots, answers)
+    return backfilled_from(read(chunks, shots, answers), shots)
+
+
+def backfilled_from(rows: DataFrame, shots: DataFrame) -> Backfilled:
+    """The same from ``read``."""
     transcripts, views = _transcripts(rows), _views(rows)
     item = F.col("item")
     vision, audio = V.object_or_none(item, "vision"), V.object_or_none(item, "audio")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import variants as V
 from framelode.operators import chunk_answers as C
+from framelode.operators import chunk_outputs
 from framelode.operators import entity, profiles
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
@@ -173,18 +174,47 @@ def chunk_profiles(spark, sf_dir):
     )
 
 
+_LINKS = [
+    """pv AS (SELECT video_id, least(prim, dup) AS x, greatest(prim, dup) AS y, max(confidence) AS best, count(DISTINCT chunk_index) AS chunks, count_if(prim = least(prim, dup)) AS for_x, count_if(prim = greatest(prim, dup)) AS for_y FROM ac GROUP BY ALL)""",
+    "rk AS (SELECT video_id, cid, CASE tier WHEN 'major' THEN 1 ELSE 2 END AS rank FROM pr)",
+    """links AS (SELECT video_id, CASE WHEN f THEN x ELSE y END AS kept, CASE WHEN f THEN y ELSE x END AS merged, best, chunks FROM (
+      SELECT pv.*, (-for_x, rx.rank, x) <= (-for_y, ry.rank, y) AS f FROM pv JOIN rk rx ON rx.video_id = pv.video_id AND rx.cid = x JOIN rk ry ON ry.video_id = pv.video_id AND ry.cid = y WHERE best >= 0.85 AND chunks >= 2))""",
+]
+
+
+@query("chunk_identity_links", A.sql([*_PROFILES, *_LINKS], "SELECT video_id, kept, merged, best, chunks FROM links"))
+def chunk_identity_links(spark, sf_dir):
+    rows = _profiles(spark, sf_dir)
+    return entity.confirmed_merges(profiles.votes(rows), rows.select("video_id", F.col("character_id").alias("character"), "tier"), ["video_id"])
+
+
+_NAMES = [
+    "li AS (SELECT video_id, merged, min(kept) AS kept FROM links GROUP BY ALL)",
+    "walk AS (SELECT video_id, merged AS id, kept AS cur, 1 AS n FROM li UNION ALL SELECT w.video_id, w.id, l.kept, n + 1 FROM walk w JOIN li l ON l.video_id = w.video_id AND l.merged = w.cur WHERE n < 20)",
+    "nm AS (SELECT * FROM (SELECT video_id, id, CASE WHEN max(n) = 20 THEN id ELSE arg_max(cur, n) END AS canonical FROM walk GROUP BY video_id, id) WHERE id <> canonical)",
+]
+
+
 @query(
-    "chunk_identity_links",
+    "chunk_characters",
     A.sql(
         [
             *_PROFILES,
-            """pv AS (SELECT video_id, least(prim, dup) AS x, greatest(prim, dup) AS y, max(confidence) AS best, count(DISTINCT chunk_index) AS chunks, count_if(prim = least(prim, dup)) AS for_x, count_if(prim = greatest(prim, dup)) AS for_y FROM ac GROUP BY ALL)""",
-            "rk AS (SELECT video_id, cid, CASE tier WHEN 'major' THEN 1 ELSE 2 END AS rank FROM pr)",
+            *_LINES,
+            *_VIEWS,
+            *_LINKS,
+            *_NAMES,
+            f"vi AS (SELECT video_id, scene_index, unnest(CASE i % 5 WHEN 0 THEN ['char_a', {_TMP} || '1', 'char_b'] WHEN 1 THEN ['entity_7'] WHEN 2 THEN ['char_b'] ELSE [] END) AS cid FROM iv WHERE NOT again)",
+            "se AS (SELECT DISTINCT x.video_id, coalesce(canonical, x.cid) AS cid, x.scene_index FROM (FROM vi UNION ALL SELECT video_id, unnest([video_id % 5, 1]), cid FROM gl) x LEFT JOIN nm ON nm.video_id = x.video_id AND nm.id = x.cid)",
+            """ap AS (SELECT se.video_id, se.cid, string_agg(CAST(se.scene_index AS VARCHAR), ',' ORDER BY se.scene_index) AS scenes, sum(end_time - start_time ORDER BY se.scene_index) AS total, min(start_time) AS f, max(end_time) AS l FROM se LEFT JOIN cs ON cs.video_id = se.video_id AND cs.scene_index = se.scene_index GROUP BY ALL)""",
         ],
-        """SELECT video_id, CASE WHEN f THEN x ELSE y END AS kept, CASE WHEN f THEN y ELSE x END AS merged, best, chunks FROM (
-      SELECT pv.*, (-for_x, rx.rank, x) <= (-for_y, ry.rank, y) AS f FROM pv JOIN rk rx ON rx.video_id = pv.video_id AND rx.cid = x JOIN rk ry ON ry.video_id = pv.video_id AND ry.cid = y WHERE best >= 0.85 AND chunks >= 2)""",
+        """SELECT pr.video_id, pr.cid AS character_id, coalesce(nullif(split_part(names, ',', 1), ''), pr.cid) AS display_name, coalesce(scenes, '') AS appearance_scenes, CAST(format('{:.1f}', coalesce(total, 0.0::DOUBLE)) AS DOUBLE) AS total_screen_time,
+      CAST(format('{:.1f}', coalesce(f, 0.0::DOUBLE)) AS DOUBLE) AS first_appearance, CAST(format('{:.1f}', coalesce(l, 0.0::DOUBLE)) AS DOUBLE) AS last_appearance
+      FROM pr LEFT JOIN ap ON ap.video_id = pr.video_id AND ap.cid = pr.cid WHERE (pr.video_id, pr.cid) NOT IN (SELECT (video_id, id) FROM nm)""",
+        recursive=True,
     ),
 )
-def chunk_identity_links(spark, sf_dir):
-    rows = _profiles(spark, sf_dir)
-    return entity.confirmed_merges(profiles.votes(rows), rows.select("video_id", F.col("character_id").alias("character"), "tier"), ["video_id"])
+def chunk_characters(spark, sf_dir):
+    shots, chunks = chunked(spark, sf_dir)
+    made = chunk_outputs.understood(chunks, shots, answers(spark, sf_dir), galleries(spark, sf_dir))
+    return made["character"].select("video_id", "character_id", "display_name", F.array_join("appearance_scenes", ",").alias("appearance_scenes"), "total_screen_time", "first_appearance", "last_appearance")
