@@ -1,3 +1,3 @@
 """Registered queries and the SQL they are held against."""
 
-from framelode.plans import chunks, coercion, cuts, entities, faces, retrieval, selection, timeline, units  # noqa: F401
+from framelode.plans import answers, chunks, coercion, cuts, entities, faces, retrieval, selection, timeline, units  # noqa: F401
