@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from framelode.functions import numbers as N
 from framelode.functions import text as T
 from framelode.functions import variants as V
+from framelode.operators.plan import UNCHECKED
 
 #: Seconds of a chapter, at least and where time alone cuts; importance from which an event may begin one.
 LEAST, EVEN, IMPORTANT = 300.0, 600.0, 6
@@ -48,14 +49,15 @@ def queries(plans: DataFrame, chapters: DataFrame) -> DataFrame:
     return rows.select(query_id(F.col("plan_id"), F.col("chapter_index")).alias("query_id"), "plan_id", "chapter_index", "video_id", "query", "embedding", cs("start_time").alias("start_cs"), cs("end_time").alias("end_cs"), "budget")
 
 
-def clips(answers: DataFrame, candidates: DataFrame, shots: DataFrame) -> DataFrame:
+def clips(answers: DataFrame, candidates: DataFrame, shots: DataFrame, unchecked: bool = False) -> DataFrame:
     """The clips of each plan from the answers (plan_id, chapter_index, video_id, answer) of its chapters, numbered and placed one after another, times in seconds to three digits.
 
     Clips of unknown shots (video_id, scene_index, start_time, end_time) go; a source is clamped to its shot, or is the whole shot where nothing is left. What an answer leaves out is filled from its
     chapter's candidates (query_id, scene_index, refs, transcript, vision): up to three references, or one to the search where the candidate has none, and the beginnings of its texts. A chapter without a candidate has been
-    asked nothing and its answer counts for nothing, nor does one that holds no object; a speed that is no number above 0 is 1."""
-    asked = candidates.select("query_id").distinct()
-    read = answers.withColumn("query_id", query_id(F.col("plan_id"), F.col("chapter_index"))).join(asked, "query_id", "left_semi").withColumn("v", V.read_object(F.col("answer")))
+    asked nothing and its answer counts for nothing, nor does one that holds no object; a speed that is no number above 0 is 1. unchecked: for plans that are not made by chapters, whose clips may be of shots that
+    were no candidates; without evidence those are marked so."""
+    read = answers.withColumn("query_id", query_id(F.col("plan_id"), F.col("chapter_index")))
+    read = (read if unchecked else read.join(candidates.select("query_id").distinct(), "query_id", "left_semi")).withColumn("v", V.read_object(F.col("answer")))
     items = read.select("plan_id", "chapter_index", "video_id", "query_id", F.explode(V.objects(F.col("v"), "clips")).alias("x"))
     item = F.col("x.item")
     said = lambda path, default=None: F.coalesce(V.raw_text(item, path), F.lit(default)).alias(path)
@@ -73,7 +75,9 @@ def clips(answers: DataFrame, candidates: DataFrame, shots: DataFrame) -> DataFr
     found = candidates.select("query_id", "scene_index", "refs", F.col("transcript").alias("_said"), F.col("vision").alias("_seen"), F.lit(True).alias("_found"))
     rows = rows.join(found, ["query_id", "scene_index"], "left")
     none = F.array(F.concat(F.lit("search_result#scene_"), F.col("scene_index").cast("string")))
-    refs = F.when(F.size("evidence_refs") > 0, F.col("evidence_refs")).when(F.col("_found"), F.when(F.size(F.coalesce("refs", F.array().cast("array<string>"))) > 0, F.slice("refs", 1, REFERENCES)).otherwise(none)).otherwise(F.col("evidence_refs"))
+    refs = F.when(F.size("evidence_refs") > 0, F.col("evidence_refs")).when(F.col("_found"), F.when(F.size(F.coalesce("refs", F.array().cast("array<string>"))) > 0, F.slice("refs", 1, REFERENCES)).otherwise(none))
+    mark = F.array(F.concat(F.lit("scene#"), F.col("scene_index").cast("string"), F.lit(f"_{UNCHECKED}")))
+    refs = refs.otherwise(mark if unchecked else F.col("evidence_refs"))
     filled = lambda own, other: F.coalesce(F.nullif(F.col(own), F.lit("")), F.nullif(T.prefix(F.col(other), QUOTED), F.lit("")), F.col(own)).alias(own)
     order = Window.partitionBy("plan_id").orderBy("chapter_index", "place")
     length = (F.col("source_end") - F.col("source_start")) / F.col("speed")

@@ -10,11 +10,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelode.functions import variants as V
 from framelode.operators import joins
 
 #: Fixed values of the rules.
 LEAST_CLIPS, MOST_CLIPS, TARGET_OFF, TOLERANCE_CS = 3, 20, 0.15, 50
-PENALTY, LEAST_SCORE, MOST_ISSUES, CRITICAL_SCORE = 0.15, 0.6, 2, 0.2
+PENALTY, LEAST_SCORE, MOST_ISSUES, CRITICAL_SCORE, MODEL_SCORE = 0.15, 0.6, 2, 0.2, 0.7
 VALID_TRANSITIONS = ("cut", "fade_in", "fade_out", "fade", "dissolve", "")
 VALIDATOR_OFF, VALIDATOR_TOLERANCE_CS, GAP_CS, MOST_VOLUME = 0.20, 100, 100, 5.0
 UNCHECKED = "unchecked"
@@ -93,13 +94,26 @@ def grounding_rules(clips: DataFrame, units: DataFrame, events: DataFrame) -> Da
     return reduce(DataFrame.union, rules)
 
 
-def verdicts(plans: DataFrame, issues: DataFrame) -> DataFrame:
-    """approved and score of each plan: critical rules fail it; each issue else takes 0.15; two and a score of 0.6 still pass."""
+def verdicts(plans: DataFrame, issues: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """approved, score and number of issues of each plan: critical rules fail it. Where a model's review (plan_id, answer) holds an object with readable values, its own issues are added and its approval (true
+    where it says nothing) and score (0.7) stand; else each issue takes 0.15, and two and a score of 0.6 still pass."""
     counts = issues.groupBy("plan_id").agg(F.count("*").alias("n"), F.count_if(F.col("rule").isin("unknown_scene", "too_few_clips")).alias("critical"))
     rows = plans.select("plan_id").distinct().join(counts, "plan_id", "left").na.fill(0, ["n", "critical"])
     score = F.greatest(F.lit(0.0), 1.0 - F.col("n") * PENALTY)
     fails = F.col("critical") > 0
-    return rows.select("plan_id", "n", F.when(fails, False).otherwise((F.col("n") <= MOST_ISSUES) & (score >= LEAST_SCORE)).alias("approved"), F.when(fails, CRITICAL_SCORE).otherwise(F.round(score, 2)).alias("score"))
+    rule = F.when(fails, False).otherwise((F.col("n") <= MOST_ISSUES) & (score >= LEAST_SCORE)), F.when(fails, CRITICAL_SCORE).otherwise(F.round(score, 2))
+    if reviews is None:
+        return rows.select("plan_id", "n", rule[0].alias("approved"), rule[1].alias("score"))
+    v = F.col("_v")
+    told = reviews.groupBy("plan_id").agg(F.max("answer").alias("answer")).select("plan_id", V.read_object(F.col("answer")).alias("_v"))
+    more = F.coalesce(F.try_variant_get(v, "$.issues", "array<variant>"), F.array().cast("array<variant>"))
+    given = F.when(V.at(v, "score").isNull(), MODEL_SCORE).otherwise(F.try_variant_get(v, "$.score", "double"))
+    rows = rows.join(told, "plan_id", "left").withColumn("_score", given)
+    heard = ~fails & v.isNotNull() & F.col("_score").isNotNull()
+    approves = F.when(V.at(v, "approved").isNull(), True).otherwise(V.filled(v, "approved"))
+    return rows.select(
+        "plan_id", (F.col("n") + F.when(heard, F.size(more)).otherwise(0)).alias("n"), F.when(heard, approves).otherwise(rule[0]).alias("approved"), F.when(heard, F.col("_score")).otherwise(rule[1]).alias("score")
+    )
 
 
 def validation_errors(clips: DataFrame, plans: DataFrame, shots: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framelode.operators import director as D
 from framelode.operators import positional as P
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
@@ -71,3 +72,34 @@ def views_by_position(spark, sf_dir):
     singles = P.to_ask_again(found).select("video_id", "unit_index", F.when(i % 61 == 0, "[1]").otherwise(F.concat(F.lit('{"description": "single '), i, F.lit('"}'))).alias("answer"))
     out = P.completed(found, singles, P.VIEW, ("video_id", "unit_index"))
     return out.select("video_id", "unit_index", "heard", "told", "description", F.array_join("objects", ",").alias("objects"))
+
+
+@query(
+    "directed_plans",
+    """WITH tried AS (SELECT c_custkey AS plan_id, k, (c_custkey + k) % 4 AS kind FROM customer, range(3) r(k)),
+    judged AS (SELECT *, kind = 2 AND plan_id % 5 > 0 AS approved, CASE kind WHEN 1 THEN 0.2::DOUBLE WHEN 2 THEN CASE WHEN plan_id % 5 = 0 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END WHEN 3 THEN CASE WHEN plan_id % 5 = 0 THEN 0.4::DOUBLE ELSE 0.55::DOUBLE END END AS score,
+      CASE kind WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 3 END + CASE WHEN plan_id % 5 = 0 AND kind > 1 THEN 1 ELSE 0 END AS n, CASE kind WHEN 1 THEN 2 ELSE 4 END AS n_clips FROM tried),
+    ended AS (SELECT plan_id, coalesce(min(k) FILTER (approved), 2) AS last FROM judged GROUP BY plan_id)
+    SELECT plan_id, arg_max(k, k)::INT AS attempt, arg_max(n, k)::BIGINT AS n, arg_max(approved, k) AS approved, arg_max(score, k) AS score, arg_max(n_clips, k)::BIGINT AS n_clips FROM judged JOIN ended USING (plan_id) WHERE kind > 0 AND k <= last GROUP BY plan_id""",
+)
+def directed_plans(spark, sf_dir):
+    """A plan for each customer, asked for three times at most. By (customer + attempt) % 4 an answer can't be read, has two clips, four good ones, or four of one role; a model's review is against every fifth plan."""
+    plans = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("plan_id"), F.lit(1).alias("video_id"), F.lit("a plan").alias("prompt"), F.lit(40.0).alias("target_duration"))
+    shots = A.table(spark, sf_dir, "region").select(F.lit(1).alias("video_id"), F.col("r_regionkey").alias("scene_index"), (F.col("r_regionkey") * 60.0).alias("start_time"), (F.col("r_regionkey") * 60.0 + 60).alias("end_time"))
+    units = shots.select("scene_index", (F.col("start_time") * 100).alias("start_cs"), (F.col("end_time") * 100).alias("end_cs"), F.array().cast("array<string>").alias("characters"))
+    candidates = shots.limit(0).select(F.lit("").alias("query_id"), "scene_index", F.array(F.lit("")).alias("refs"), F.lit("").alias("transcript"), F.lit("").alias("vision"))
+    events = plans.limit(0).select("plan_id", F.lit(0).alias("event_id"), F.array(F.lit(0)).alias("scene_indices"))
+
+    def ask(now):
+        kind = (F.col("plan_id") + F.col("attempt")) % 4
+        role = lambda i: F.when(kind == 3, "rising_action").otherwise(["hook", "setup", "climax", "ending"][i])
+        clip = [F.concat(F.lit(f'{{"source_scene_index": {i}, "source_start": {i * 60 + 5}, "source_end": {i * 60 + 15}, "evidence_refs": ["r"], "narrative_role": "'), role(i), F.lit('"}')) for i in range(4)]
+        listed = F.array_join(F.slice(F.array(*clip), 1, F.when(kind == 1, 2).otherwise(4)), ", ")
+        return now.select("plan_id", F.when(kind == 0, "no plan").otherwise(F.concat(F.lit('```json\n{"clips": ['), listed, F.lit("]}\n```"))).alias("answer"))
+
+    def review(clips):
+        return clips.where("plan_id % 5 = 0").select("plan_id", F.lit('```json\n{"approved": false, "score": 0.4, "issues": ["dull"]}\n```').alias("answer")).distinct()
+
+    found, clips = D.directed(plans, candidates, shots, units, events, ask, review)
+    counts = clips.groupBy("plan_id").agg(F.count("*").alias("n_clips"))
+    return found.join(counts, "plan_id").select("plan_id", "attempt", "n", "approved", "score", "n_clips")
