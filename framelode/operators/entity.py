@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import text as T
-from framelode.operators import shared
+from framelode.operators import joins, shared
 
 #: Fixed values of the rules.
 LEAST_CONFIDENCE, LEAST_CHUNKS = 0.85, 2
@@ -19,10 +19,11 @@ TEMPORARY = "char_tmp_"
 
 
 def cooccurring(appearances: DataFrame, least: int = 1) -> DataFrame:
-    """a < b and the number of shots that both are in, for (character, shot); an equi-join on the shot."""
-    own = appearances.select("character", "shot").distinct()
-    pairs = own.select("shot", F.col("character").alias("a")).join(own.select("shot", F.col("character").alias("b")), "shot").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.min("shot").alias("first_shared")).where(F.col("n_shared") >= least)
+    """a < b and the number of shots that both are in, for (character, shot); an equi-join on the shot. Of a collection (video_id) within each video."""
+    place = joins.place(appearances)
+    own = appearances.select(*place, "character", "shot").distinct()
+    pairs = own.select(*place, "shot", F.col("character").alias("a")).join(own.select(*place, "shot", F.col("character").alias("b")), [*place, "shot"]).where("a < b")
+    return pairs.groupBy(*place, "a", "b").agg(F.count("*").alias("n_shared"), F.min("shot").alias("first_shared")).where(F.col("n_shared") >= least)
 
 
 def overlaps(appearances: DataFrame) -> DataFrame:
@@ -43,9 +44,10 @@ def speaker_counts(speech: DataFrame, appearances: DataFrame, top: int = 5) -> D
 
 
 def screen_time(appearances: DataFrame, shots: DataFrame) -> DataFrame:
-    """Per character: total time, first and last shot start, number of shots."""
-    own = appearances.select("character", "shot").distinct().join(shots, "shot")
-    return own.groupBy("character").agg(F.sum("dur_cs").alias("screen_cs"), F.min("start_cs").alias("first_cs"), F.max("start_cs").alias("last_cs"), F.count("*").alias("n_shots"))
+    """Per character: total time, first and last shot start, number of shots. Of a collection (video_id) within each video."""
+    place = joins.place(appearances, shots)
+    own = appearances.select(*place, "character", "shot").distinct().join(shots, [*place, "shot"])
+    return own.groupBy(*place, "character").agg(F.sum("dur_cs").alias("screen_cs"), F.min("start_cs").alias("first_cs"), F.max("start_cs").alias("last_cs"), F.count("*").alias("n_shots"))
 
 
 def importance(screen: Column, dialogue: Column, events: Column, duration: Column, lines: Column, total_events: Column) -> Column:
@@ -122,9 +124,10 @@ def speakers_map(transcripts: DataFrame) -> DataFrame:
 
 
 def with_speakers(transcripts: DataFrame, mapping: DataFrame) -> DataFrame:
-    """transcripts (speaker, character) with the character that ``mapping`` (speaker, mapped) has for their speaker, their own otherwise."""
-    own = mapping.where("mapped is not null").dropDuplicates(["speaker"])
-    return transcripts.join(own, "speaker", "left").withColumn("character", F.coalesce("mapped", "character")).drop("mapped")
+    """transcripts (speaker, character) with the character that ``mapping`` (speaker, mapped) has for their speaker, their own otherwise. Of a collection (video_id) within each video."""
+    place = joins.place(transcripts, mapping)
+    own = mapping.where("mapped is not null").select(*place, "speaker", "mapped").dropDuplicates([*place, "speaker"])
+    return transcripts.join(own, [*place, "speaker"], "left").withColumn("character", F.coalesce("mapped", "character")).select(*transcripts.columns)
 
 
 def with_speaker_ids(characters: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -31,22 +31,25 @@ _SIDES = {
 def fused(shots: DataFrame, transcripts: DataFrame, characters: DataFrame, events: DataFrame, chapters: DataFrame | None = None, **sides: DataFrame) -> DataFrame:
     """Every shot (key scene_index) with its transcripts (pos, text) in order, its characters, its events (event_id, event_type, description) and, of
     each of ``sides`` (vision, ocr, audio, signals of shots, alignments), the columns of its last row by pos, null where there is none, and
-    ``has_`` of the side; chapters (chapter_index, shot_indices) give the last one that lists it. Each side is one row a shot before it is joined."""
-    key = "scene_index"
+    ``has_`` of the side; chapters (chapter_index, shot_indices) give the last one that lists it. Each side is one row a shot before it is joined. If all tables have video_id,
+    scenes are those of their video."""
+    given = [*sides.values(), *([] if chapters is None else [chapters])]
+    place = joins.place(shots, transcripts, characters, events, *given)
+    key = [*place, "scene_index"]
     ordered = lambda of, at: F.transform(F.array_sort(F.collect_list(F.struct(at, of))), lambda x: x[of])
-    out = shots.join(transcripts.groupBy(key).agg(ordered("text", "pos").alias("lines")), key, "left")
-    out = out.join(characters.groupBy(key).agg(F.array_sort(F.collect_set("character")).alias("characters")), key, "left")
-    out = out.join(events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "description"))).alias("events")), key, "left")
+    out = shots.join(transcripts.groupBy(*key).agg(ordered("text", "pos").alias("lines")), key, "left")
+    out = out.join(characters.groupBy(*key).agg(F.array_sort(F.collect_set("character")).alias("characters")), key, "left")
+    out = out.join(events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "description"))).alias("events")), key, "left")
     for side, columns in _SIDES.items():
         if side in sides:
-            own = joins.keep(sides[side], [key], ["pos"])
+            own = joins.keep(sides[side], key, ["pos"])
             given = [(F.col(c) if c in own.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()]
-            out = out.join(own.select(key, *given, F.lit(True).alias(f"has_{side}")), key, "left")
+            out = out.join(own.select(*key, *given, F.lit(True).alias(f"has_{side}")), key, "left")
         else:
             out = out.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items()} | {f"has_{side}": F.lit(False)})
         out = out.withColumn(f"has_{side}", F.coalesce(f"has_{side}", F.lit(False)))
     if chapters is not None:
-        out = out.join(chapters.select("chapter_index", F.explode("shot_indices").alias(key)).groupBy(key).agg(F.max("chapter_index").alias("chapter_index")), key, "left")
+        out = out.join(chapters.select(*place, "chapter_index", F.explode("shot_indices").alias("scene_index")).groupBy(*key).agg(F.max("chapter_index").alias("chapter_index")), key, "left")
     empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     event = "array<struct<event_id:bigint,event_type:string,description:string>>"
     return out.withColumns({"lines": empty("lines", "array<string>"), "characters": empty("characters", "array<string>"), "events": empty(F.col("events").cast(event), event)})
@@ -165,18 +168,21 @@ def unseen_speakers(speaking: Column, visible: Column) -> Column:
 def aligned(units: DataFrame, lines: DataFrame, speaker_map: DataFrame) -> DataFrame:
     """The alignment of each fused unit: speaker_to_character, speaking and visible characters, active and dominant modality, confidence to two
     digits, notes. lines: scene_index, pos, speaker, character; a speaker of speaker_map (speaker, mapped) speaks as the mapped character, a line of
-    another counts for its own character."""
-    rows = lines.join(speaker_map.where("mapped is not null").dropDuplicates(["speaker"]), "speaker", "left")
+    another counts for its own character. If all tables have video_id, scenes and speakers are those of their video."""
+    place = joins.place(units, lines, speaker_map)
+    key = [*place, "scene_index"]
+    bound = speaker_map.where("mapped is not null").select(*place, "speaker", "mapped").dropDuplicates([*place, "speaker"])
+    rows = lines.select(*key, "pos", "speaker", "character").join(bound, [*place, "speaker"], "left")
     who = F.coalesce("mapped", F.when(_filled(F.col("character")), F.col("character")))
-    told = rows.withColumn("who", who).groupBy("scene_index").agg(
+    told = rows.withColumn("who", who).groupBy(*key).agg(
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("who").isNotNull(), F.struct("pos", "who")))), lambda x: x["who"])).alias("speaking"),
         F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("mapped").isNotNull(), F.concat_ws("=", "speaker", "mapped"))))).alias("_pairs"),
     )
-    rows = units.join(told, "scene_index", "left").withColumn("speaking", F.coalesce("speaking", F.array().cast("array<string>")))
+    rows = units.join(told, key, "left").withColumn("speaking", F.coalesce("speaking", F.array().cast("array<string>")))
     n, music = F.size("lines"), F.coalesce("has_music", F.lit(False))
     c = F.col
     return rows.select(
-        "scene_index", F.array_join(F.coalesce("_pairs", F.array().cast("array<string>")), ",").alias("speaker_to_character"), c("characters").alias("visible_characters"), c("speaking").alias("speaking_characters"),
+        *key, F.array_join(F.coalesce("_pairs", F.array().cast("array<string>")), ",").alias("speaker_to_character"), c("characters").alias("visible_characters"), c("speaking").alias("speaking_characters"),
         active_modalities(n, c("action"), music, F.coalesce("has_sfx", F.lit(False)), c("silence")).alias("active_modalities"), dominant_modality(n, c("action"), music, c("silence")).alias("dominant_modality"),
         N.half_even(alignment_confidence(c("speaking"), c("characters"), c("has_audio"), c("has_vision"), n), 2).alias("alignment_confidence"), unseen_speakers(c("speaking"), c("characters")).alias("notes"),
     )

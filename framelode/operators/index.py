@@ -16,29 +16,40 @@ BIN = 6000
 
 
 def text_index(shots: DataFrame, units: DataFrame, transcripts: DataFrame, vision: DataFrame, events: DataFrame, characters: DataFrame) -> DataFrame:
-    """An entry for each shot (scene_index, start_cs, end_cs): the text, transcript, description and characters of its unit (scene_index, combined_text,
+    """An entry for each shot (scene_index, start_cs, end_cs and, where they have them, beat_index and story_scene_index): the text, transcript, description and characters of its unit (scene_index, combined_text,
     transcript, vision_description, characters), and for a shot without one what stands in the tables: the lines (start_cs, text) that begin in its time,
     its view (scene_index, description, mood), the events (event_id, start_cs, end_cs, description) that overlap it, and who (display_name, scene_index) is in it.
-    With the keywords of the text."""
-    bare = shots.join(units.select("scene_index"), "scene_index", "left_anti").select("scene_index", "start_cs", "end_cs")
-    span = bare.withColumnsRenamed({"start_cs": "l_start", "end_cs": "l_end"}).withColumn("v", F.lit(0))
-    points = transcripts.select(F.lit(0).alias("v"), F.col("start_cs").alias("r_start"), (F.col("start_cs") + 1).alias("r_end"), "text")
+    With the shot's times and parents, the mood and scene_type of its view (the first by pos, where views have one), the events that overlap it in order, and the keywords of the text. If all tables have video_id, scenes
+    are those of their video."""
+    place = joins.place(shots, units, transcripts, vision, events, characters)
+    key = [*place, "scene_index"]
+    span = shots.select(*key, F.col("start_cs").alias("l_start"), F.col("end_cs").alias("l_end"))
+    bare = shots.join(units.select(*key), key, "left_anti").select(*key)
+    within = place[0] if place else "_v"
+    of = lambda rows: rows if place else rows.withColumn("_v", F.lit(0))
+    points = transcripts.select(*place, F.col("start_cs").alias("r_start"), (F.col("start_cs") + 1).alias("r_end"), "text")
     ordered = lambda at, of: F.transform(F.array_sort(F.collect_list(F.struct(at, of))), lambda x: x[of])
-    said = temporal.overlapping(span, points, "v", BIN).where("r_start >= l_start and r_start < l_end").groupBy("scene_index").agg(F.array_join(ordered("r_start", "text"), " ").alias("_said"))
-    spans = events.select(F.lit(0).alias("v"), F.col("start_cs").alias("r_start"), F.col("end_cs").alias("r_end"), "event_id", "description")
-    happens = temporal.overlapping(span, spans, "v", BIN).groupBy("scene_index").agg(ordered("event_id", "description").alias("_events"))
-    view = joins.keep(vision, ["scene_index"], ["description"], last=False).select("scene_index", F.col("description").alias("_view"), F.col("mood").alias("_mood"))
-    who = characters.groupBy("scene_index").agg(F.array_sort(F.collect_set("display_name")).alias("_who"))
+    said = temporal.overlapping(of(span.join(bare, key, "left_semi")), of(points), within, BIN).where("r_start >= l_start and r_start < l_end").groupBy(*key).agg(F.array_join(ordered("r_start", "text"), " ").alias("_said"))
+    spans = events.select(*place, F.col("start_cs").alias("r_start"), F.col("end_cs").alias("r_end"), "event_id", "description")
+    happens = temporal.overlapping(of(span), of(spans), within, BIN).groupBy(*key).agg(ordered("event_id", "description").alias("_events"), F.array_sort(F.collect_list("event_id")).alias("event_ids"))
+    first = joins.keep(vision, key, ["pos" if "pos" in vision.columns else "description"], last=False)
+    view = first.select(*key, F.col("description").alias("_view"), F.col("mood").alias("_mood"), (F.col("scene_type") if "scene_type" in vision.columns else F.lit(None).cast("string")).alias("_type"))
+    who = characters.groupBy(*key).agg(F.array_sort(F.collect_set("display_name")).alias("_who"))
     rows = bare
     for side in (said, happens, view, who):
-        rows = rows.join(side, "scene_index", "left")
+        rows = rows.join(side, key, "left")
     filled = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c))
+    none = F.array().cast("array<string>")
     collected = rows.select(
-        "scene_index", F.concat_ws(" ", filled("_said"), filled("_view"), filled("_mood"), F.coalesce("_events", F.array().cast("array<string>"))).alias("combined_text"),
-        F.coalesce("_said", F.lit("")).alias("transcript"), F.coalesce("_view", F.lit("")).alias("vision_description"), F.coalesce("_who", F.array().cast("array<string>")).alias("characters"),
+        *key, F.concat_ws(" ", filled("_said"), filled("_view"), filled("_mood"), F.coalesce("_events", none)).alias("combined_text"),
+        F.coalesce("_said", F.lit("")).alias("transcript"), F.coalesce("_view", F.lit("")).alias("vision_description"), F.coalesce("_who", none).alias("characters"),
     )
-    known = shots.select("scene_index").join(units.select(*collected.columns), "scene_index")
-    return known.union(collected).withColumn("keywords", T.keywords(F.col("combined_text")))
+    known = shots.select(*key).join(units.select(*collected.columns), key)
+    parents = [F.col(c) if c in shots.columns else F.lit(None).cast("int").alias(c) for c in ("beat_index", "story_scene_index")]
+    own = shots.select(*key, "start_cs", "end_cs", *parents)
+    out = known.select(*collected.columns).union(collected).join(own, key).join(view.select(*key, "_mood", "_type"), key, "left").join(happens.select(*key, "event_ids"), key, "left")
+    ids = F.coalesce("event_ids", F.array().cast(happens.schema["event_ids"].dataType)).alias("event_ids")
+    return out.select(*collected.columns, "start_cs", "end_cs", F.coalesce("_mood", F.lit("")).alias("mood"), F.coalesce("_type", F.lit("")).alias("scene_type"), ids, "beat_index", "story_scene_index").withColumn("keywords", T.keywords(F.col("combined_text")))
 
 
 def vector_index(units: DataFrame, embedded: DataFrame) -> DataFrame:

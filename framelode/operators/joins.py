@@ -14,6 +14,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def place(*sides: DataFrame) -> list[str]:
+    """The column within which keys are keys: video_id where all sides have it, as those of a collection, none for a single video's."""
+    return ["video_id"] if all("video_id" in side.columns for side in sides) else []
+
+
 def keep(df: DataFrame, key: list[str], order: list[Column | str], last: bool = True) -> DataFrame:
     """One row for each key: the last (a map built in order) or the first (a search that stops) by ``order``."""
     by = [F.col(o) if isinstance(o, str) else o for o in order]

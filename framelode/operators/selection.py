@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelode.operators import entity
+from framelode.operators import entity, joins
 
 #: Fixed values of the rules.
 IMPORTANT, STRONG_TYPES, LEAST_INTENSITY, FALLBACK_BEATS = 7, ("confrontation", "resolution"), 0.5, 10
@@ -29,10 +29,12 @@ def important_beats(beats: DataFrame) -> DataFrame:
 
 def events_for_prompt(events: DataFrame) -> DataFrame:
     """Events (video_id, event_index, start_cs, importance, characters) to be told, with their ``place``: a video's first 20 and all that are important or
-    have two characters or more, in order of time, 60 at most."""
+    have two characters or more, in order of time, 60 at most. Of rows that repeat an event_index the first by time that is told stays."""
     of = Window.partitionBy("video_id")
     rows = events.withColumn("_n", F.row_number().over(of.orderBy("event_index")))
     rows = rows.where((F.col("_n") <= FIRST_EVENTS) | (F.col("importance") >= IMPORTANT) | (F.size("characters") >= 2))
+    again = F.row_number().over(Window.partitionBy("video_id", "event_index").orderBy("_n"))
+    rows = rows.withColumn("_again", again).where("_again = 1").drop("_again")
     return rows.withColumn("place", F.row_number().over(of.orderBy("start_cs", "_n"))).where(F.col("place") <= MOST_EVENTS).drop("_n")
 
 
@@ -68,22 +70,25 @@ def without_passersby(rows: DataFrame) -> DataFrame:
 
 def relation_graph(relations: DataFrame, characters: DataFrame, appearances: DataFrame) -> DataFrame:
     """relations (character_a, character_b, ...) between characters (video_id, character) that are known and, where a video has others, not temporary,
-    with ``co_appearance_shots``, the shots (character, shot) that both are in, in order."""
-    known = entity.stable_only(characters).select("character").distinct()
-    rows = relations.join(known.withColumnRenamed("character", "character_a"), "character_a", "left_semi").join(known.withColumnRenamed("character", "character_b"), "character_b", "left_semi")
-    pairs = rows.select("character_a", "character_b").distinct()
-    own = appearances.select("character", "shot").distinct()
-    both = pairs.join(own.withColumnRenamed("character", "character_a"), "character_a").join(own.withColumnRenamed("character", "character_b"), ["character_b", "shot"])
-    shots = both.groupBy("character_a", "character_b").agg(F.array_sort(F.collect_list("shot")).alias("co_appearance_shots"))
-    out = rows.join(shots, ["character_a", "character_b"], "left")
+    with ``co_appearance_shots``, the shots (character, shot) that both are in, in order. If all tables have video_id, a character is one of its video."""
+    place = joins.place(relations, characters, appearances)
+    known = entity.stable_only(characters).select(*place, "character").distinct()
+    rows = relations.join(known.withColumnRenamed("character", "character_a"), [*place, "character_a"], "left_semi").join(known.withColumnRenamed("character", "character_b"), [*place, "character_b"], "left_semi")
+    key = [*place, "character_a", "character_b"]
+    pairs = rows.select(*key).distinct()
+    own = appearances.select(*place, "character", "shot").distinct()
+    both = pairs.join(own.withColumnRenamed("character", "character_a"), [*place, "character_a"]).join(own.withColumnRenamed("character", "character_b"), [*place, "character_b", "shot"])
+    shots = both.groupBy(*key).agg(F.array_sort(F.collect_list("shot")).alias("co_appearance_shots"))
+    out = rows.join(shots, key, "left")
     return out.withColumn("co_appearance_shots", F.coalesce("co_appearance_shots", F.array().cast(shots.schema["co_appearance_shots"].dataType)))
 
 
 def companions(appearances: DataFrame) -> DataFrame:
     """(character, others): who shares a shot with each character, itself left out, in order."""
-    pairs = entity.cooccurring(appearances).select("a", "b")
-    each = pairs.select(F.col("a").alias("character"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("character"), F.col("a").alias("other")))
-    return each.groupBy("character").agg(F.array_sort(F.collect_set("other")).alias("others"))
+    place = joins.place(appearances)
+    pairs = entity.cooccurring(appearances).select(*place, "a", "b")
+    each = pairs.select(*place, F.col("a").alias("character"), F.col("b").alias("other")).union(pairs.select(*place, F.col("b").alias("character"), F.col("a").alias("other")))
+    return each.groupBy(*place, "character").agg(F.array_sort(F.collect_set("other")).alias("others"))
 
 
 def chapters_merged(clips: DataFrame, shots: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ _SIDES = [
 ]
 
 
-def units(spark, sf_dir):
+def units(spark, sf_dir, dealt=lambda rows: rows):
+    """``dealt``: what is done to each table that has scenes."""
     read, col, lit = lambda name: A.table(spark, sf_dir, name), F.col, F.lit
     shots = read("orders").select(col("o_orderkey").alias("scene_index"), col("o_custkey").alias("video_id"))
     lines = read("conversations").select(col("conv_id").alias("scene_index"), col("turn").alias("pos"), "text")
@@ -54,7 +55,17 @@ def units(spark, sf_dir):
     number = col("n_nationkey")
     listed = read("orders").select(col("o_orderkey").alias("shot"), F.explode(F.array(col("o_orderkey") % 25, col("o_orderkey") % 25 - 1)).alias("n_nationkey"))
     chapters = listed.join(read("nation"), "n_nationkey", "left_semi").groupBy(number.alias("chapter_index")).agg(F.collect_list("shot").alias("shot_indices"))
-    return U.fused(shots, lines, who, events, chapters, vision=vision, ocr=ocr, audio=audio, signals=signals, alignments=alignments)
+    sides = {"vision": vision, "ocr": ocr, "audio": audio, "signals": signals, "alignments": alignments}
+    return U.fused(*map(dealt, (shots, lines, who, events, chapters)), **{name: dealt(rows) for name, rows in sides.items()})
+
+
+def to_three_videos(rows):
+    """Scenes dealt to three videos, whose numbers clash."""
+    if "shot_indices" in rows.columns:
+        each = rows.withColumn("scene_index", F.explode("shot_indices")).drop("shot_indices")
+        return to_three_videos(each).groupBy("video_id", "chapter_index").agg(F.collect_list("scene_index").alias("shot_indices"))
+    s = F.col("scene_index")
+    return rows.withColumn("video_id", s % 3).withColumn("scene_index", F.floor(s / 3))
 
 
 @query(
@@ -86,6 +97,13 @@ def combined_text(spark, sf_dir):
     return units(spark, sf_dir).select("scene_index", U.combined_text().alias("combined_text"))
 
 
+@query("collection_units", A.sql([*_SIDES, _COMBINED, "placed AS (SELECT scene_index, chapter_index FROM units)"], "SELECT CAST(scene_index % 3 AS BIGINT) AS video_id, CAST(scene_index // 3 AS BIGINT) AS scene_index, md5(combined_text) AS text_md5, chapter_index FROM combined JOIN placed USING (scene_index)"))
+def collection_units(spark, sf_dir):
+    """The units of three videos with clashing scene numbers, in one call."""
+    rows = units(spark, sf_dir, to_three_videos)
+    return rows.select("video_id", "scene_index", F.md5(U.combined_text()).alias("text_md5"), "chapter_index")
+
+
 _SPEAKING = "speaking AS (SELECT conv_id AS scene_index, list_distinct(list(who)) AS speaking, list(who ORDER BY turn) AS every FROM (SELECT *, CASE WHEN role = 'user' THEN 'char_' || (conv_id % 60 + 1) WHEN turn % 3 > 0 THEN 'char_' || (turn * 7 % 90) END AS who FROM conversations) WHERE who IS NOT NULL GROUP BY conv_id)"
 
 
@@ -217,7 +235,8 @@ _LINES = "lines AS (SELECT s.scene_index, string_agg(o_orderpriority || ' L' ||
             """entries AS (SELECT scene_index, combined_text, left(combined_text, 30) AS transcript, 'v' AS view, 'nobody' AS who FROM unit JOIN scene USING (scene_index) UNION ALL
               SELECT scene_index, concat_ws(' ', nullif(said, ''), nullif(d.lang, ''), nullif(d.source, ''), evs), coalesce(said, ''), coalesce(d.lang, ''), coalesce(array_to_string(who, ','), '') FROM bare LEFT JOIN lines USING (scene_index) LEFT JOIN happens USING (scene_index) LEFT JOIN who USING (scene_index) LEFT JOIN documents d ON d.doc_id = scene_index)""",
         ],
-        "SELECT scene_index, md5(combined_text) AS text_md5, transcript, view, who FROM entries",
+        """SELECT e.scene_index, md5(combined_text) AS text_md5, transcript, view, who, start_cs, end_cs, coalesce(d.source, '') AS mood, coalesce(d.lang || '!', '') AS scene_type, coalesce(ids, '') AS event_ids FROM entries e JOIN scene USING (scene_index) LEFT JOIN documents d ON d.doc_id = scene_index
+        LEFT JOIN (SELECT s.scene_index, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM events JOIN scene s ON event_id * 90 < s.end_cs AND event_id * 90 + 100 > s.start_cs GROUP BY 1) USING (scene_index)""",
     ),
 )
 def text_index(spark, sf_dir):
@@ -229,10 +248,10 @@ def text_index(spark, sf_dir):
     known = own.select("scene_index", "combined_text", F.substring("combined_text", 1, 30).alias("transcript"), lit("v").alias("vision_description"), F.array(lit("nobody")).alias("characters"))
     lines = read("orders").select((col("o_orderkey") * 40).alias("start_cs"), F.concat("o_orderpriority", lit(" L"), "o_orderkey").alias("text"))
     events = read("events").select("event_id", (col("event_id") * 90).alias("start_cs"), (col("event_id") * 90 + 100).alias("end_cs"), F.concat(lit("ev "), "event_type").alias("description"))
-    vision = docs.select(col("doc_id").alias("scene_index"), col("lang").alias("description"), col("source").alias("mood"))
+    vision = docs.select(col("doc_id").alias("scene_index"), col("lang").alias("description"), col("source").alias("mood"), F.concat("lang", lit("!")).alias("scene_type"))
     who = read("supplier").select((col("s_suppkey") * 3).alias("scene_index"), col("s_name").alias("display_name"))
     out = I.text_index(shots, known, lines, vision, events, who)
-    return out.select("scene_index", F.md5("combined_text").alias("text_md5"), "transcript", col("vision_description").alias("view"), F.array_join("characters", ",").alias("who"))
+    return out.select("scene_index", F.md5("combined_text").alias("text_md5"), "transcript", col("vision_description").alias("view"), F.array_join("characters", ",").alias("who"), "start_cs", "end_cs", "mood", "scene_type", F.array_join(col("event_ids").cast("array<string>"), ",").alias("event_ids"))
 
 
 @query("vector_index", "SELECT doc_id AS scene_index, round(list_aggregate(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 'sum'), 6) AS total FROM documents JOIN embeddings ON vec_id = doc_id WHERE trim(text) <> ''")
