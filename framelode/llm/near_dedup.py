@@ -34,7 +34,7 @@ from framelode.llm import cc, common, shingles
 BANDS, ROWS, BITS = 40, 6, 2
 LEAST_ESTIMATE = 0.65
 #: Members of a bucket, and members and bytes of text of a component, that one block holds.
-BUCKET_BLOCK, BLOCK_DOCS, BLOCK_BYTES = 8192, 1500, 16 << 20
+BUCKET_BLOCK, BLOCK_DOCS, BLOCK_BYTES = 8192, 1500, 8 << 20
 
 _HASHES = BANDS * ROWS
 _SIGNATURE = -(-_HASHES * BITS // 64)
