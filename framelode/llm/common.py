@@ -153,6 +153,15 @@ def may_hold(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int
     return marked.where(F.col(mask).bitwiseAND(shift(own)) != 0).select(*rows.columns)
 
 
+def flagged(rows: DataFrame, column: str, keys: DataFrame, key: str, flag: str, bits: int = 26) -> DataFrame:
+    """``rows`` with ``flag``: false where ``column`` is surely not among the values of ``keys[key]``, by the filter of ``may_hold``."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(11)), F.lit(1 << bits))
+    shift = lambda p: F.expr(f"shiftleft(1L, cast({p} & 63 as int))")
+    table = keys.select(place(key).alias("_place")).select(F.shiftright("_place", 6).alias("_word"), shift("_place").alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
+    marked = rows.withColumn("_place", place(column)).withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(table), "_word", "left")
+    return marked.withColumn(flag, F.coalesce(F.col("_mask").bitwiseAND(shift("_place")) != 0, F.lit(False))).select(*rows.columns, flag)
+
+
 def clear_of(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names, whatever their case, clash with those an operator adds."""
     taken = {n.lower() for n in names}

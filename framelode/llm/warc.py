@@ -190,13 +190,24 @@ def revisits(pages: DataFrame) -> DataFrame:
     return marked.where("refers_to is not null").select("digest", "_page", "refers_to").union(rest.select("digest", "_page", "refers_to")).where("_page <> refers_to").distinct()
 
 
+def _told(keyed: DataFrame, again: DataFrame, few: bool) -> DataFrame:
+    """page_id, url, html and refers_to of pages (with their digest) by ``revisits``. These go to the pages where they are few; else only pages whose digest is that of some revisit, and hardly any others, are shuffled
+    with their payloads, and the rest stays where it is."""
+    columns = ("page_id", "url", "html", "refers_to")
+    to = again.withColumnRenamed("digest", "_digest")
+    met = (F.col("digest") == F.col("_digest")) & (F.col("page_id") == F.col("_page"))
+    if few:
+        return keyed.join(F.broadcast(to), met, "left").select(*columns)
+    maybe = common.flagged(keyed, "digest", again, "digest", "maybe")
+    return maybe.where("maybe").join(to, met, "left").select(*columns).union(maybe.where("not maybe").withColumn("refers_to", F.lit(None).cast("long")).select(*columns))
+
+
 def write(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as WARC files, by way of ARC records."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    again = common.small(common.written(revisits(pages), "revisits"), BROADCAST_ROWS)
+    again = common.written(revisits(pages), "revisits")
     keyed = pages.withColumn("digest", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    told = keyed.join(again.withColumnRenamed("digest", "_digest"), (F.col("digest") == F.col("_digest")) & (F.col("page_id") == F.col("_page")), "left")
-    records = told.select("page_id", "url", "html", "refers_to").mapInArrow(_converted, "records binary")
+    records = _told(keyed, again, again.count() <= BROADCAST_ROWS).mapInArrow(_converted, "records binary")
     records.select(F.col("records").cast("string")).write.option("lineSep", _ENDS.decode()).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 

@@ -25,9 +25,10 @@ ROWS = [(i, f"http://host.example/{i}?a=b c&é", f"<p>{i % 7} é</p>\r\n\r\n\n"
 ROWS += [(500, None, None), (501, "", ""), (502, "x y\nz", "HTTP/1.1 200 OK\r\n\r\nnested WARC/1.0\r\n\r\n"), (503, "http://a/", "x" * 300_000), (3, "http://b/", ROWS[3][2]), (None, "http://c/", "only here"), (None, "http://c/", ROWS[3][2])]
 
 
-@pytest.mark.parametrize("share", [1000, 3])
-def test_pages_through_both_archives(spark, tmp_path, monkeypatch, share):
+@pytest.mark.parametrize(("share", "few"), [(1000, 250_000), (3, 250_000), (1000, 5)])
+def test_pages_through_both_archives(spark, tmp_path, monkeypatch, share, few):
     monkeypatch.setattr(warc, "HOT_SHARE", share)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", few)
     monkeypatch.setattr(warc, "FILE_RECORDS", 13)
     spark.createDataFrame([(*r, "x") for r in ROWS], "page_id long, url string, html string, refers_to string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted((tuple(r) for r in warc.op7_warc(spark, str(tmp_path)).collect()), key=str) == plain(ROWS)
