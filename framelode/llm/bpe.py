@@ -13,7 +13,7 @@ that), which the vocabulary's own rules turn into words. Codes of units are kept
 and length; a unit that falls out of it, or is too long for it, is encoded again.
 
 Defined cases: null text is empty; empty and white-space texts have no ids; special tokens that stand in a text
-become their ids, as the library does it; words of any length; repeated rows each get their row; other columns are not
+become their ids, as the library does it; words of any length; repeated rows each get their row; an empty table gives no rows; other columns are not
 read, and those that clash with an added one are replaced.
 """
 

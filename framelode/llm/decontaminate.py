@@ -12,7 +12,7 @@ An item of fewer than ``SHINGLE`` words is one shingle of all its words; a docum
 The items go out in blocks of bounded size, ``PASS_BLOCKS`` of them for each pass over the documents, which are never shuffled.
 
 Defined cases: null and empty documents and items hold nothing; items of equal texts are searched as one and all listed; repeated
-documents each get their rows; a null doc_id or item_id stays null; an empty table of documents gives no rows, one of items finds
+documents each get their rows; a null doc_id or item_id stays null; texts of any length are searched whole; an empty table of documents gives no rows, one of items finds
 nothing and drops nothing; other columns keep their names and values.
 """
 

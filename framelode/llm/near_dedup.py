@@ -16,7 +16,8 @@ A link of similarity 0.8 shares no band with probability (1 - 0.8**6)**40 < 1e-5
 Defined cases: null and empty texts, and texts of white space, have empty sets and are linked with nothing, not
 even with each other. A text with fewer words than a shingle is one shingle. Repeated rows of one doc_id stay rows,
 of one component; a null doc_id keeps its row, with its own component null unless copies have an id. An empty table gives no
-rows; columns other than doc_id and text are not read, whatever their names. Texts of any length are taken whole.
+rows; columns other than doc_id and text are not read, whatever their names. Texts of any length are taken whole; what confirms links holds the words of two blocks, about fifteen bytes for
+each byte of their text.
 """
 
 from __future__ import annotations

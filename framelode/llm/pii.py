@@ -9,7 +9,7 @@ Every pattern runs in time linear in the text: runs are taken whole (possessivel
 both sides of its "@".
 
 Defined cases: null and empty texts have no spans; repeated rows each get their row; a text of any length is
-searched whole; columns that clash with an added one are replaced.
+searched whole; an empty table gives no rows; columns that clash with an added one are replaced.
 """
 
 from __future__ import annotations

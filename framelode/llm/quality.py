@@ -7,7 +7,8 @@ the logistic of the difference of the two log densities (half the difference of
 determinants) and of the log of the classes' shares, divided by ``TEMPER``, as the statistics depend on one another.
 
 Defined cases: null and empty texts have the statistics of no words; with no usable row of one class every score is the
-share of class 1, 0.5 without any; repeated rows each get their row; columns that clash are not read.
+share of class 1, 0.5 without any; repeated rows each get their row; texts of any length are
+measured whole; an empty table of documents gives no rows; columns that clash are not read.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ capacity and cuts. Rows then find their shard by comparing their digest with the
 
 Law: ``bytes``, sizes as near to equal as whole groups allow. Defined cases: null text is of size 1, crc32 0, and in
 the group of empty texts; repeated rows are rows of their own in one group, each with its own slot; a null doc_id
-is ordered first; an empty table gives no rows; fewer groups than shards leave shards empty;
+is ordered first; an empty table gives no rows; a text of any length is one size and one
+digest, which Spark takes of it where it stands; fewer groups than shards leave shards empty;
 columns other than doc_id and text are not read, whatever their names.
 """
 

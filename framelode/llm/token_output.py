@@ -16,7 +16,8 @@ bounded in number and length. Files are written by Spark's own writer, with its
 and read by its own reader, so any file system that Spark knows will do, and a lost executor costs only its own tasks.
 
 Defined cases: null text is empty and has only the end id; repeated rows are documents of their own, side by side;
-an empty table gives no files but the dictionary's.
+an empty table gives no files but the dictionary's; texts of any length are encoded whole, a block by itself if they are longer than one; columns
+other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

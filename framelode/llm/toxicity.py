@@ -8,7 +8,8 @@ texts up to ``SAMPLE_BYTES``. Spark counts the sample's document frequencies and
 of those each row of the sample has, no texts. The intercept is moved to the classes' shares among all training rows.
 
 Defined cases: null and empty texts have no features and get the intercept's score; if no labelled row of one class can be
-used, every score is the share of class 1, 0.5 without any; repeated rows each get their row; columns that clash are not read.
+used, every score is the share of class 1, 0.5 without any; repeated rows each get their row; texts of any length are
+scored whole; an empty table of documents gives no rows; columns that clash are not read. The ``FEATURES`` buckets of the grams that tell the classes apart best decide every score.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ holds up to ``FILE_RECORDS`` records and closes behind ``FILE_BYTES`` of them, s
 
 Defined cases: null html is empty; payloads below ``LEAST_BYTES`` are never revisited; a null or odd URL is written
 percent-encoded, or as ``about:blank``; rows of equal page_id and payload that share the smallest id are all responses; a null
-page_id is never the response that others refer to unless all are null; an empty table gives no files; columns other than
+page_id is never the response that others refer to unless all are null; an empty table gives no files; a payload of any
+length is one record, whole, in a file by itself if it is longer than one; columns other than
 page_id, url and html are not read, whatever their names.
 """
 

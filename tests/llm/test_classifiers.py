@@ -171,3 +171,9 @@ def test_quality_is_the_plain_discriminant(spark, tmp_path):
     expected = 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / quality.TEMPER, -60, 60)))
     out = {r.doc_id: r.score for r in quality.op6_quality(spark, str(tmp_path)).collect()}
     assert np.allclose([out[i] for i, *_ in rows], expected, atol=1e-7)
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id int, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert toxicity.op5_toxicity(spark, str(tmp_path)).count() == 0 and quality.op6_quality(spark, str(tmp_path)).count() == 0

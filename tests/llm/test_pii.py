@@ -106,3 +106,10 @@ def test_words_near_by_raise_and_lower_scores():
     assert score(own)["iban"] == 0.9 and score(f"iban {own}")["iban"] == 1.0 and round(score(f"sample {own}")["iban"], 2) == 0.65
     assert score("call 555-010-9999") == {"local_phone": 0.6} and score("555-010-9999") == {} and score("order by phone: invoice 555-010-9999") == {}
     assert round(score("order jo@ex.org")["email"], 2) == 0.65 and score("mail jo@ex.org")["email"] == 1.0
+
+
+def test_no_documents_and_ids_of_another_type(spark, tmp_path):
+    spark.createDataFrame([], "doc_id int, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pii.op8_pii(spark, f"{tmp_path}/none").count() == 0
+    spark.createDataFrame([(7, "a@b.example"), (None, "x")], "doc_id int, text string").write.parquet(f"{tmp_path}/few/documents.parquet")
+    assert {(r.doc_id, r.n_email) for r in pii.op8_pii(spark, f"{tmp_path}/few").collect()} == {(7, 1), (None, 0)}
