@@ -23,7 +23,8 @@ REJECT = toxicity.THRESHOLD
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below ``REJECT``; the model is that of the operator, from the labels of ``sf_dir``. A column that is named as the
-    score is put aside meanwhile."""
+    score is put aside meanwhile. A text without features, a null or empty one too, has the intercept's score, or the share of class 1 among the usable labels where a class has none: where that is
+    ``REJECT`` or more they all go."""
     common.light_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     aside = {c: common.fresh(docs, "score") for c in docs.columns if c.lower() == "score"}
