@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelode.operators import director as D
+from framelode.operators import groupings as G
 from framelode.operators import positional as P
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
@@ -103,3 +104,51 @@ def directed_plans(spark, sf_dir):
     found, clips = D.directed(plans, candidates, shots, units, events, ask, review)
     counts = clips.groupBy("plan_id").agg(F.count("*").alias("n_clips"))
     return found.join(counts, "plan_id").select("plan_id", "attempt", "n", "approved", "score", "n_clips")
+
+
+_BEATS = "bt AS (SELECT video_id, scene_index // 4 AS beat_index, min(start_cs) / 100 AS start_time, max(end_cs) / 100 AS end_time, sum(dur_cs)::BIGINT / 100 AS duration, list(scene_index ORDER BY scene_index) AS shots FROM shots GROUP BY ALL)"
+
+
+@query(
+    "story_scenes_from_answers",
+    A.sql(
+        [
+            "shots",
+            _BEATS,
+            "told AS (SELECT *, beat_index // 2 AS k FROM bt WHERE video_id % 4 = 2 AND beat_index // 2 % 3 < 2)",
+            "placed AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY k) - 1 AS place FROM told)",
+            "every AS (SELECT video_id, CASE WHEN k % 5 = 0 THEN k + 100 ELSE place END AS n, start_time, end_time, duration, beat_index, shots, CASE WHEN k % 2 = 0 THEN 'home' ELSE '' END AS location FROM placed UNION ALL SELECT video_id, beat_index // 3, start_time, end_time, duration, beat_index, shots, '' FROM bt WHERE video_id % 4 <> 2)",
+        ],
+        """SELECT video_id, n::INT AS story_scene_index, min(start_time) AS start_time, max(end_time) AS end_time, round(sum(duration), 6) AS duration, string_agg(beat_index, ',' ORDER BY beat_index) AS beat_indices,
+      array_to_string(list_sort(flatten(list(shots))), ',') AS shot_indices, any_value(location) AS location FROM every GROUP BY video_id, n""",
+    ),
+)
+def story_scenes_from_answers(spark, sf_dir):
+    """Beats of four shots; answers of every fourth video group two beats each, leave some out and number some, the others have none, a broken one, or one with an item that is no object."""
+    shots = A.shots(spark, sf_dir).withColumn("beat_index", F.floor(F.col("scene_index") / 4).cast("int"))
+    beats = shots.groupBy("video_id", "beat_index").agg((F.min("start_cs") / 100).alias("start_time"), (F.max("end_cs") / 100).alias("end_time"), (F.sum("dur_cs") / 100).alias("duration"), F.array_sort(F.collect_list("scene_index")).alias("shot_indices"))
+    k, v = F.floor(F.col("beat_index") / 2).cast("int"), F.col("video_id")
+    pairs = beats.withColumn("k", k).groupBy("video_id", "k").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("beat_index"), False).cast("array<string>"), ", "), F.lit("]")).alias("of"))
+    item = F.concat(F.lit('{"beat_indices": '), "of", F.when(F.col("k") % 5 == 0, F.concat(F.lit(', "story_scene_index": '), F.col("k") + 100)).otherwise(""), F.when(F.col("k") % 2 == 0, ', "location": "home"').otherwise(""), F.lit("}"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") % 3 < 2, F.struct("k", item.alias("item"))))), lambda x: x["item"]), ", ")
+    answers = pairs.groupBy("video_id").agg(listed.alias("items")).where(v % 4 > 0).select("video_id", F.when(v % 4 == 1, "no scenes").when(v % 4 == 2, F.concat(F.lit("["), "items", F.lit("]"))).otherwise(F.concat(F.lit("["), "items", F.lit(", 5]"))).alias("answer"))
+    made = G.story_scenes(beats, answers)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return made.select("video_id", "story_scene_index", "start_time", "end_time", F.round("duration", 6).alias("duration"), joined("beat_indices"), joined("shot_indices"), "location")
+
+
+@query(
+    "roles_from_answers",
+    """WITH sc AS (SELECT c_nationkey AS video_id, c_custkey AS character, CAST(floor(c_acctbal) AS BIGINT) AS screen_cs FROM customer)
+    SELECT video_id, character, CASE WHEN video_id % 3 = 0 THEN CASE row_number() OVER (PARTITION BY video_id ORDER BY screen_cs DESC, character) WHEN 1 THEN 'male_lead' WHEN 2 THEN 'female_lead' ELSE 'supporting' END
+      ELSE CASE character % 4 WHEN 0 THEN 'villain' WHEN 1 THEN 'minor' ELSE 'supporting' END END AS role FROM sc""",
+)
+def roles_from_answers(spark, sf_dir):
+    """Answers of two videos in three name roles, some of which are none, for some characters."""
+    screen = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("video_id"), F.col("c_custkey").alias("character"), F.floor("c_acctbal").cast("long").alias("screen_cs"))
+    i = F.col("character")
+    said = F.when(i % 4 == 0, '"villain"').when(i % 4 == 1, '"minor"').when(i % 8 == 2, '"king"').when(i % 8 == 6, "3")
+    entry = F.when(said.isNotNull(), F.concat(F.lit('"'), i, F.lit('": '), said))
+    rows = screen.groupBy("video_id").agg(F.array_join(F.collect_list(entry), ", ").alias("of"))
+    answers = rows.select("video_id", F.when(F.col("video_id") % 3 == 0, "nobody").otherwise(F.concat(F.lit("{"), "of", F.lit("}"))).alias("answer"))
+    return G.roles(screen, answers).select("video_id", "character", "role")
