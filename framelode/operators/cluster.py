@@ -239,6 +239,72 @@ def time_sampled(faces: DataFrame, key: str, buckets: int = 5) -> DataFrame:
     return faces.withColumn("bucket", bucket.cast("int")).withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+def sampled_in_time(faces: DataFrame, key: str, count: int) -> DataFrame:
+    """(key, face_id, place): ``count`` faces (face_id, timestamp, det_score, size) of each cluster spread over its time, in order of time: of each of ``count`` equal stretches, whose ends belong to both,
+    the best that is not taken yet, and where a stretch has none the one nearest to the next time of an even grid. A cluster of ``count`` faces or fewer gives all, one of a single moment its surest.
+
+    Only faces that can be taken reach the walk: two of each stretch, and of clusters with a stretch of fewer than two the ``count`` nearest to each time of the grid; so no task holds more than
+    count * (count + 2) rows of a cluster."""
+    c = F.col
+    sizes = faces.groupBy(key).agg(F.min("timestamp").alias("_low"), F.max("timestamp").alias("_high"), F.count("*").alias("_n"))
+    rows = faces.select(key, "face_id", "timestamp", "det_score", "size").join(sizes, key)
+    surest = Window.partitionBy(key).orderBy(F.desc("det_score"), "face_id")
+    plain = (c("_n") <= count) | (c("_high") <= c("_low"))
+    few = rows.where(plain).withColumn("_r", F.row_number().over(surest)).where((c("_n") <= count) | (c("_r") <= count))
+    # as they stand in time where all are taken, the surest first where there is no time
+    order = Window.partitionBy(key).orderBy(F.when(c("_n") <= count, c("timestamp")), F.when(c("_n") > count, c("_r")), "face_id")
+    few = few.select(key, "face_id", (F.row_number().over(order) - 1).cast("long").alias("place"))
+    many = rows.where(~plain).withColumn("_width", (c("_high") - c("_low")) / count)
+    about = F.floor((c("timestamp") - c("_low")) / c("_width"))
+    starts = lambda i: c("_low") + c("_width") * i
+    inside = lambda i: (i >= 0) & (i < count) & (starts(i) <= c("timestamp")) & (c("timestamp") <= F.when(i == count - 1, c("_high")).otherwise(starts(i) + c("_width")))
+    dealt = many.withColumn("_i", F.explode(F.filter(F.array(about - 1, about, about + 1), inside)))
+    best = Window.partitionBy(key, "_i").orderBy(F.desc("det_score"), F.desc("size"), "timestamp", "face_id")
+    firsts = dealt.withColumn("_r", F.row_number().over(best)).where("_r <= 2")
+    full = firsts.groupBy(key, "_i").agg(F.count("*").alias("_m")).where("_m = 2").groupBy(key).agg(F.count("*").alias("_full")).where(c("_full") == count).select(key)
+    grid = many.join(full, key, "left_anti").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("_off", F.abs(c("timestamp") - (c("_low") + (c("_high") - c("_low")) * c("_i") / max(count - 1, 1))))
+    near = Window.partitionBy(key, "_i").orderBy("_off", F.desc("det_score"), "timestamp", "face_id")
+    nearest = grid.withColumn("_r", F.row_number().over(near)).where(c("_r") <= count)
+    columns = [key, "face_id", "timestamp", "det_score", "size", "_low", "_high"]
+    reduced = firsts.select(*columns).union(nearest.select(*columns)).dropDuplicates([key, "face_id"])
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        held = rows.sort_values(["timestamp", "face_id"]).to_dict("records")
+        low, high = held[0]["_low"], held[0]["_high"]
+        width, taken = (high - low) / count, {}
+        for i in range(count):
+            start = low + width * i
+            end = high if i == count - 1 else start + width
+            inside = [f for f in held if f["face_id"] not in taken and start <= f["timestamp"] <= end]
+            if inside:
+                best = max(inside, key=lambda f: (f["det_score"], f["size"]))
+                taken[best["face_id"]] = best
+        for i in range(count):
+            left = [f for f in held if f["face_id"] not in taken]
+            if len(taken) >= count or not left:
+                break
+            at = low + (high - low) * i / max(count - 1, 1)
+            best = min(left, key=lambda f: (abs(f["timestamp"] - at), -f["det_score"]))
+            taken[best["face_id"]] = best
+        out = sorted(taken.values(), key=lambda f: (f["timestamp"], f["face_id"]))
+        return pd.DataFrame({key: rows[key].iloc[0], "face_id": [f["face_id"] for f in out], "place": range(len(out))})
+
+    return few.union(reduced.groupBy(key).applyInPandas(step, few.schema))
+
+
+def merge_faces(faces: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, face_id, place): up to ``most`` faces that stand for a cluster when clusters are compared: the surest half, then some spread over its time, then the surest of the rest. Of a cluster of ``most`` faces
+    or fewer all, in order."""
+    c, quota = F.col, max(1, most // 2)
+    surest = faces.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("det_score"), "face_id"))).where(c("_r") <= most).select(key, "face_id", "_r")
+    spread = sampled_in_time(faces, key, most - quota).select(key, "face_id", c("place").alias("_r"))
+    told = surest.withColumn("_part", F.when(c("_r") <= quota, 0).otherwise(2)).unionByName(spread.withColumn("_part", F.lit(1)))
+    once = told.groupBy(key, "face_id").agg(F.min(F.struct("_part", "_r")).alias("_at"))
+    small = faces.groupBy(key).agg((F.count("*") <= most).alias("_all"))
+    order = Window.partitionBy(key).orderBy(F.when(c("_all"), c("face_id")), "_at")
+    return once.join(small, key).withColumn("place", F.row_number().over(order) - 1).where(c("place") < most).select(key, "face_id", c("place").cast("long").alias("place"))
+
+
 def spread_fill(faces: DataFrame, key: str, wanted: int = 5) -> DataFrame:
     """(key, face_id, place): the best face first, then one after another that which is farthest in time from all taken ones, new scenes before known ones."""
 

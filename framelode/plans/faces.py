@@ -151,6 +151,12 @@ def merge_constrained(spark, sf_dir):
     return C.merged(pairs, faces.groupBy("video_id", "cluster").agg(F.collect_set("keyframe").alias("keyframes")))
 
 
+@query("merge_faces")
+def merge_faces(spark, sf_dir):
+    """Ten faces of each cluster, half of them the surest, the others spread over its time."""
+    return C.merge_faces(A.faces(spark, sf_dir).withColumn("timestamp", (F.col("scene_index") * F.col("scene_index")).cast("double")).withColumn("size", F.col("face_id") % 7), "label", 10)
+
+
 _TAKEN = "list_transform(taken, lambda t: t.scene_index)"
 
 
