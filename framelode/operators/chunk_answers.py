@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import chunks as K
 from framelode.functions import coerce
+from framelode.functions import numbers as N
 from framelode.functions import variants as V
 from framelode.operators import fusion
 
@@ -148,6 +149,17 @@ def speaker_map(transcripts: DataFrame) -> DataFrame:
     return transcripts.where("character_id is not null").groupBy("video_id", "speaker").agg(F.max_by("character_id", last).alias("character_id"))
 
 
+def boundaries(read_chunks: DataFrame) -> DataFrame:
+    """video_id, chunk_index, n_shots and ``lines``: what a chunk's prompt says of its shots, a line each: their number in the chunk and in the whole, their times in the whole and from the chunk's start, and their length."""
+    tenth = lambda c: F.format_string("%.1f", N.half_even(c, 1))
+    start = F.col("start_time")
+    line = lambda s, i: F.concat(
+        F.lit("local_shot_index "), i.cast("string"), F.lit(" | scene_index "), s["scene_index"].cast("string"), F.lit(" | abs "), tenth(s["start_time"]), F.lit("s-"), tenth(s["end_time"]), F.lit("s | rel "), tenth(s["start_time"] - start),
+        F.lit("s-"), tenth(s["end_time"] - start), F.lit("s | duration "), tenth(s["end_time"] - s["start_time"]), F.lit("s"),
+    )
+    return read_chunks.select(*_KEY, F.size("shots").alias("n_shots"), F.array_join(F.transform("shots", line), "\n").alias("lines"))
+
+
 def unknown_names(answer: Column) -> Column:
     """The distinct unknown_N, as written, of the lines and views of an answer."""
     lines = F.transform(F.filter(V.objects(answer, "transcripts"), lambda x: V.text(x["item"], "text") != ""), lambda x: V.text(x["item"], "speaker", "unknown"))

@@ -27,13 +27,41 @@ def cooccurring(appearances: DataFrame, least: int = 1) -> DataFrame:
 
 
 def overlaps(appearances: DataFrame) -> DataFrame:
-    """Of every pair a < b of characters: shots of both, of either, their Jaccard value, and shots of a alone. Shots are joined as in
-    ``cooccurring``; pairs without a common shot come from the characters and their numbers of shots alone."""
-    size = appearances.select("character", "shot").distinct().groupBy("character").agg(F.count("*").alias("n"))
-    pairs = size.select(F.col("character").alias("a"), F.col("n").alias("n_a")).join(size.select(F.col("character").alias("b"), F.col("n").alias("n_b")), F.col("a") < F.col("b"))
-    pairs = pairs.join(cooccurring(appearances).select("a", "b", "n_shared"), ["a", "b"], "left").withColumn("both", F.coalesce("n_shared", F.lit(0)))
+    """Of every pair a < b of characters that share a shot: shots of both, of either, their Jaccard value, and shots of a alone. Of any other pair these are 0, the sum of
+    ``shot_counts``, 0 and a's own count: they are not listed, as their number grows with the square of the characters'."""
+    place = joins.place(appearances)
+    size = shot_counts(appearances)
+    pairs = cooccurring(appearances).select(*place, "a", "b", F.col("n_shared").alias("both"))
+    for end in ("a", "b"):
+        pairs = pairs.join(size.select(*place, F.col("character").alias(end), F.col("n").alias(f"n_{end}")), [*place, end])
     pairs = pairs.withColumn("either", F.col("n_a") + F.col("n_b") - F.col("both"))
-    return pairs.select("a", "b", "both", "either", F.round(F.col("both") / F.greatest("either", F.lit(1)), 6).alias("jaccard"), (F.col("n_a") - F.col("both")).alias("only_a"))
+    return pairs.select(*place, "a", "b", "both", "either", F.round(F.col("both") / F.greatest("either", F.lit(1)), 6).alias("jaccard"), (F.col("n_a") - F.col("both")).alias("only_a"))
+
+
+def shot_counts(appearances: DataFrame) -> DataFrame:
+    """The number of shots of each character."""
+    place = joins.place(appearances)
+    return appearances.select(*place, "character", "shot").distinct().groupBy(*place, "character").agg(F.count("*").alias("n"))
+
+
+def cooccurrence_lines(appearances: DataFrame, most: int = 40, samples: int = 12) -> DataFrame:
+    """(place, a, b, n_shared, sample): the ``most`` pairs that share most shots, ties by their ids, with their first shots, and dots where there are more. Of a collection those of each video."""
+    place = joins.place(appearances)
+    order = Window.partitionBy(*(place or [F.lit(0)])).orderBy(F.desc("n_shared"), "a", "b")
+    top = cooccurring(appearances).withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < most).select(*place, "place", "a", "b", "n_shared")
+    own = appearances.select(*place, "character", "shot").distinct()
+    both = top.select(*place, "a", "b").join(own.withColumnRenamed("character", "a"), [*place, "a"]).join(own.withColumnRenamed("character", "b"), [*place, "b", "shot"])
+    first = both.withColumn("_r", F.row_number().over(Window.partitionBy(*place, "a", "b").orderBy("shot"))).where(F.col("_r") <= samples)
+    listed = first.groupBy(*place, "a", "b").agg(F.array_join(F.array_sort(F.collect_list("shot")).cast("array<string>"), ", ").alias("_listed"))
+    rows = top.join(listed, [*place, "a", "b"])
+    return rows.select(*place, "place", "a", "b", "n_shared", F.concat("_listed", F.when(F.col("n_shared") > samples, "...").otherwise("")).alias("sample"))
+
+
+def key_events(events: DataFrame) -> DataFrame:
+    """(character, n_events, event_ids): the events (event_id, characters) in which each character is, in order. Of a collection within each video."""
+    place = joins.place(events)
+    each = events.select(*place, "event_id", F.explode(F.array_distinct("characters")).alias("character"))
+    return each.groupBy(*place, "character").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_list("event_id")).alias("event_ids"))
 
 
 def speaker_counts(speech: DataFrame, appearances: DataFrame, top: int = 5) -> DataFrame:

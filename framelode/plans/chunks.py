@@ -218,3 +218,16 @@ def chunk_characters(spark, sf_dir):
     shots, chunks = chunked(spark, sf_dir)
     made = chunk_outputs.understood(chunks, shots, answers(spark, sf_dir), galleries(spark, sf_dir))
     return made["character"].select("video_id", "character_id", "display_name", F.array_join("appearance_scenes", ",").alias("appearance_scenes"), "total_screen_time", "first_appearance", "last_appearance")
+
+
+@query(
+    "chunk_prompts",
+    A.sql(
+        _BASE[:3],
+        """SELECT video_id, chunk_index, count(*)::INT AS n_shots, string_agg('local_shot_index ' || lo || ' | scene_index ' || scene_index || ' | abs ' || format('{:.1f}', start_time) || 's-' || format('{:.1f}', end_time) || 's | rel ' || format('{:.1f}', start_time - from_time) || 's-' || format('{:.1f}', end_time - from_time) || 's | duration ' || format('{:.1f}', end_time - start_time) || 's', chr(10) ORDER BY lo) AS lines
+      FROM cs JOIN ck USING (video_id, chunk_index) GROUP BY video_id, chunk_index""",
+    ),
+)
+def chunk_prompts(spark, sf_dir):
+    shots, chunks = chunked(spark, sf_dir)
+    return C.boundaries(C.read(chunks, shots, answers(spark, sf_dir)))

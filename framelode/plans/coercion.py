@@ -142,8 +142,8 @@ def list_rules(spark, sf_dir):
 
 @query(
     "set_rules",
-    A.sql("appearances", "SELECT x.c AS a, y.c AS b, coalesce(n, 0) AS \"both\", x.s + y.s - coalesce(n, 0) AS either, round(coalesce(n, 0) / (x.s + y.s - coalesce(n, 0)), 6) AS jaccard, x.s - coalesce(n, 0) AS only_a FROM (SELECT character AS c, count(*) AS s FROM appearances GROUP BY 1) x JOIN (SELECT character AS c, count(*) AS s FROM appearances GROUP BY 1) y ON x.c < y.c LEFT JOIN (SELECT p.character AS a, q.character AS b, count(*) AS n FROM appearances p JOIN appearances q USING (shot) WHERE p.character < q.character GROUP BY ALL) ON a = x.c AND b = y.c"),
+    A.sql("appearances", "SELECT x.c AS a, y.c AS b, coalesce(n, 0) AS \"both\", x.s + y.s - coalesce(n, 0) AS either, round(coalesce(n, 0) / (x.s + y.s - coalesce(n, 0)), 6) AS jaccard, x.s - coalesce(n, 0) AS only_a FROM (SELECT character AS c, count(*) AS s FROM appearances GROUP BY 1) x JOIN (SELECT character AS c, count(*) AS s FROM appearances GROUP BY 1) y ON x.c < y.c JOIN (SELECT p.character AS a, q.character AS b, count(*) AS n FROM appearances p JOIN appearances q USING (shot) WHERE p.character < q.character GROUP BY ALL) ON a = x.c AND b = y.c"),
 )
 def set_rules(spark, sf_dir):
-    """Every pair of characters."""
+    """Every pair of characters that share a shot."""
     return entity.overlaps(A.appearances(spark, sf_dir))

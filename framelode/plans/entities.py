@@ -16,10 +16,21 @@ def cooccurrence_pairs(spark, sf_dir):
 
 @query(
     "cooccurrence_top40",
-    A.sql("appearances", "SELECT x.character AS a, y.character AS b, count(*) AS n_shared FROM appearances x JOIN appearances y ON x.shot = y.shot AND x.character < y.character GROUP BY ALL ORDER BY n_shared DESC, a, b LIMIT 40"),
+    A.sql("appearances", """SELECT a, b, n_shared, array_to_string(shots[1:12], ', ') || CASE WHEN n_shared > 12 THEN '...' ELSE '' END AS sample FROM (SELECT x.character AS a, y.character AS b, count(*) AS n_shared, list(x.shot ORDER BY x.shot) AS shots
+      FROM appearances x JOIN appearances y ON x.shot = y.shot AND x.character < y.character GROUP BY ALL ORDER BY n_shared DESC, a, b LIMIT 40)"""),
 )
 def cooccurrence_top40(spark, sf_dir):
-    return E.cooccurring(A.appearances(spark, sf_dir)).orderBy(F.desc("n_shared"), "a", "b").limit(40).select("a", "b", "n_shared")
+    return E.cooccurrence_lines(A.appearances(spark, sf_dir)).select("a", "b", "n_shared", "sample")
+
+
+@query(
+    "key_events",
+    "SELECT user_id % 3 AS video_id, character, count(*) AS n_events, string_agg(event_id, ',' ORDER BY event_id) AS event_ids FROM (SELECT *, unnest(list_distinct([user_id % 7, event_id % 5])) AS character FROM events) GROUP BY ALL",
+)
+def key_events(spark, sf_dir):
+    i, u = F.col("event_id"), F.col("user_id")
+    rows = A.table(spark, sf_dir, "events").select((u % 3).alias("video_id"), "event_id", F.array(u % 7, i % 5).alias("characters"))
+    return E.key_events(rows).select("video_id", "character", "n_events", F.array_join(F.col("event_ids").cast("array<string>"), ",").alias("event_ids"))
 
 
 _SPEECH = "speech AS (SELECT o_orderpriority AS speaker, o_orderkey AS scene_index FROM orders)"
