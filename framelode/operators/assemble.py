@@ -1,7 +1,7 @@
 """Model answers to beats, events and edges: what is asked, batch by batch, and what an answer counts for.
 
 An answer is text that should hold a JSON list. Its items are checked and typed here; one that can't be read leaves a default grouping of
-its shots, or no rows, as each function says. Numbers that can't be read count as their default.
+its shots, or no rows, as each function says. A number that is missing or null counts as its default; one that can't be read voids its whole answer, as any other item that doesn't fit does.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from framelode.functions import text as T
 SEGMENT, GROUP, UNKNOWN = 30, 4, "unknown"
 
 _BEAT = "array<struct<shot_indices: array<int>, beat_type: string, description: string, emotion: string, intensity: string, characters: array<string>>>"
-_EVENT = "array<struct<event_index: string, start_time: string, end_time: string, event_type: string, description: string, characters: array<string>, emotion: string, importance: string, confidence: string>>"
+_EVENT = "array<struct<event_index: string, start_time: string, end_time: string, event_type: string, description: string, characters: array<string>, emotion: string, importance: string, confidence: string, evidence: array<string>>>"
 _EDGE = "array<struct<source_event: string, target_event: string, relation_type: string, description: string, strength: string, confidence: string>>"
 
 
@@ -26,6 +26,12 @@ def _items(answer: str, kind: str) -> Column:
     return F.when(F.trim(block).startswith("["), F.from_json(block, kind))
 
 
+def _readable(items: Column, numbers: tuple[str, ...]) -> Column:
+    """The items, null if a number of any of them, or an item itself, can't be read."""
+    wrong = lambda x: x.isNull() | F.array_contains(F.array(*[F.coalesce(x[n], F.lit("0")).try_cast("double").isNull() for n in numbers]), True)
+    return F.when(~F.exists(items, wrong), items)
+
+
 def _number(value: Column, default: float) -> Column:
     return F.coalesce(F.trim(value).try_cast("double"), F.lit(default))
 
@@ -44,7 +50,7 @@ def beats_from_answers(shots: DataFrame, answers: DataFrame, rosters: DataFrame)
     groups of four shots."""
     own = segmented(shots)
     local = own.groupBy("video_id", "segment").agg(F.map_from_entries(F.collect_list(F.struct("local", "scene_index"))).alias("of"))
-    read = local.join(answers, ["video_id", "segment"], "left").withColumn("items", _items("answer", _BEAT)).join(rosters, "video_id", "left")
+    read = local.join(answers, ["video_id", "segment"], "left").withColumn("items", _readable(_items("answer", _BEAT), ("intensity",))).join(rosters, "video_id", "left")
     told = read.where("items is not null and size(items) > 0").select("video_id", "segment", "of", "roster", F.posexplode("items").alias("position", "item"))
     number = lambda i: F.coalesce(F.try_element_at("of", i), i)
     told = told.where("size(item.shot_indices) > 0").select(
@@ -64,13 +70,14 @@ def beats_from_answers(shots: DataFrame, answers: DataFrame, rosters: DataFrame)
 
 
 def events_from_answers(answers: DataFrame) -> DataFrame:
-    """Events of each video (video_id, answer): typed, with the defaults of what an item leaves out; no rows where the answer can't be read."""
-    rows = answers.select("video_id", F.posexplode(_items("answer", _EVENT)).alias("position", "item"))
+    """Events of each video (video_id, answer): typed, with their evidence and the defaults of what an item leaves out; no rows where the answer can't be read."""
+    items = _readable(_items("answer", _EVENT), ("event_index", "start_time", "end_time", "importance", "confidence"))
+    rows = answers.select("video_id", F.posexplode(items).alias("position", "item"))
     text = lambda c: F.coalesce(f"item.{c}", F.lit("")).alias(c)
     return rows.select(
         "video_id", F.coalesce(coerce.safe_int(F.col("item.event_index")), F.lit(0)).alias("event_index"), _number(F.col("item.start_time"), 0.0).alias("start_time"), _number(F.col("item.end_time"), 0.0).alias("end_time"), text("event_type"),
         text("description"), lists.whitelisted(F.col("item.characters"), F.lit(None).cast("array<string>")).alias("characters"), text("emotion"), F.coalesce(coerce.safe_int(F.col("item.importance")), F.lit(5)).alias("importance"),
-        _number(F.col("item.confidence"), 0.8).alias("confidence"), "position",
+        F.coalesce("item.evidence", F.array().cast("array<string>")).alias("evidence"), _number(F.col("item.confidence"), 0.8).alias("confidence"), "position",
     )
 
 

@@ -30,9 +30,11 @@ def test_beats_from_answers_and_without(spark):
     own = assemble.segmented(shots)
     asked = own.groupBy("video_id", "segment").agg(F.concat(F.lit("v"), "video_id", F.lit("s"), "segment").alias("prompt"))
     good = """Sure: ```json
-[{"shot_indices": [0, 1, 12], "beat_type": "setup", "description": "d", "intensity": "0.7", "characters": ["char_1", "char_9", "unknown_2"]}, {"shot_indices": [], "beat_type": "x"}, {"shot_indices": [99]}, {"shot_indices": [3], "intensity": "much"}]
+[{"shot_indices": [0, 1, 12], "beat_type": "setup", "description": "d", "intensity": "0.7", "characters": ["char_1", "char_9", "unknown_2"]}, {"shot_indices": [], "beat_type": "x"}, {"shot_indices": [99]}, {"shot_indices": [3], "intensity": null}]
 ```"""
-    answers = providers.asked(asked, "prompt", providers.Recorded({"v1s0": good, "v1s1": "no list", "v2s0": "[]"}), pause=0.0)
+    # a number that can't be read voids its segment's answer
+    spoilt = '[{"shot_indices": [0]}, {"shot_indices": [1], "intensity": "much"}]'
+    answers = providers.asked(asked, "prompt", providers.Recorded({"v1s0": good, "v1s1": "no list", "v2s0": "[]", "v2s1": spoilt}), pause=0.0)
     rosters = spark.createDataFrame([(1, ["char_1"])], "video_id int, roster array<string>")
     out = {(r.video_id, r.beat_index): r for r in assemble.beats_from_answers(shots, answers, rosters).collect()}
     first = out[1, 0]
@@ -44,9 +46,9 @@ def test_beats_from_answers_and_without(spark):
 
 
 def test_events_and_edges_from_answers(spark):
-    text = '[{"event_index": 1, "start_time": "2.5", "event_type": "fight", "characters": ["a", " ", null]}, {"event_index": "2", "importance": "8", "confidence": "?"}]'
-    answers = spark.createDataFrame([(1, text), (2, "sorry"), (3, None)], "video_id int, answer string")
+    text = '[{"event_index": 1, "start_time": "2.5", "event_type": "fight", "characters": ["a", " ", null]}, {"event_index": "2", "importance": "8", "evidence": ["shot_3"]}]'
+    answers = spark.createDataFrame([(1, text), (2, "sorry"), (3, None), (4, text.replace('"8"', '"high"'))], "video_id int, answer string")
     events = assemble.events_from_answers(answers)
-    assert [tuple(r)[:10] for r in events.orderBy("position").collect()] == [(1, 1, 2.5, 0.0, "fight", "", ["a"], "", 5, 0.8), (1, 2, 0.0, 0.0, "", "", [], "", 8, 0.8)]
+    assert [tuple(r)[:11] for r in events.orderBy("position").collect()] == [(1, 1, 2.5, 0.0, "fight", "", ["a"], "", 5, [], 0.8), (1, 2, 0.0, 0.0, "", "", [], "", 8, ["shot_3"], 0.8)]
     edges = spark.createDataFrame([(1, '[{"source_event": 1, "target_event": 2, "strength": 0.9}, {"source_event": 1, "target_event": 1}, {"source_event": 1, "target_event": 7}, {"target_event": 2}]'), (2, '[{"source_event": 1, "target_event": 2}]')], "video_id int, answer string")
     assert [(r.video_id, r.source, r.target, r.strength, r.confidence) for r in assemble.edges_from_answers(edges, events).collect()] == [(1, 1, 2, 0.9, 0.5)]
