@@ -47,7 +47,7 @@ def valid_entries(mapping: Column, known: Column) -> Column:
 
 def last_valid(texts: Column, n: int) -> Column:
     """The last n distinct texts that say something, in order."""
-    good = F.array_distinct(F.transform(F.filter(texts, lambda x: ~T.is_placeholder(x)), F.trim))
+    good = F.array_distinct(F.transform(F.filter(texts, lambda x: ~T.is_placeholder(x)), lambda x: F.trim(x)))
     return F.slice(good, F.greatest(F.size(good) - (n - 1), F.lit(1)), F.lit(n))
 
 

@@ -71,6 +71,14 @@ def speaker_counts(speech: DataFrame, appearances: DataFrame, top: int = 5) -> D
     return pairs.groupBy("speaker", "character").agg(F.count("*").alias("n")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def speaker_samples(transcripts: DataFrame, most: int = 3, size: int = 50) -> DataFrame:
+    """(scene_index, speaker, samples): the beginnings of a speaker's first lines (pos, text) in a scene, as a list in order."""
+    key = [*joins.place(transcripts), "scene_index", "speaker"]
+    rows = transcripts.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("pos"))).where(F.col("_n") <= most)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", T.prefix(F.col("text"), size).alias("line")))), lambda x: x["line"])
+    return rows.groupBy(*key).agg(lines.alias("samples"))
+
+
 def screen_time(appearances: DataFrame, shots: DataFrame) -> DataFrame:
     """Per character: total time, first and last shot start, number of shots. Of a collection (video_id) within each video."""
     place = joins.place(appearances, shots)

@@ -81,6 +81,16 @@ def lines(profiles: DataFrame, galleries: DataFrame, chunk_index: Column | None
     return rows.groupBy("video_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("character_id", shown.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
 
 
+def context(profiles: DataFrame) -> DataFrame:
+    """video_id, character_id, ``description``, the profile's own or, if that says nothing, its last change that does, and ``lines``: up to five names, the last four changes and the last six actions that say something."""
+    told = lambda c, field, n: lists.last_valid(F.transform(c, lambda x: x[field]), n)
+    line = lambda label, values, between: F.when(F.size(values) > 0, F.concat(F.lit(f"  {label}: "), F.array_join(values, between)))
+    names, changes = F.slice("names", 1, 5), told("appearance_changes", "description", 4)
+    lines = F.concat_ws("\n", line("档案称呼/别名", names, ", "), line("有效外观线索", changes, "; "), line("关键行为线索", told("key_actions", "action", 6), "; "))
+    own = F.when(T.is_placeholder(F.col("description")), F.coalesce(F.try_element_at(changes, F.lit(-1)), F.lit(""))).otherwise(F.trim("description"))
+    return profiles.select("video_id", "character_id", own.alias("description"), lines.alias("lines"))
+
+
 def votes(profiles: DataFrame) -> DataFrame:
     """video_id, primary, duplicate, chunk and confidence of each suggestion that counts, for ``entity.confirmed_merges``."""
     rows = profiles.select("video_id", F.col("character_id").alias("primary"), F.explode("merge_suggestions").alias("s"))

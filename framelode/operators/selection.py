@@ -64,6 +64,16 @@ def tier_counts(tiers: DataFrame) -> DataFrame:
     return tiers.agg(*[F.count_if(F.col("tier") == t).alias(t) for t in entity.TIERS], F.count("*").alias("total"))
 
 
+def shot_stats(shots: DataFrame) -> DataFrame:
+    """n, min_cs, max_cs and avg_cs (to four digits) of each video's shots (video_id, dur_cs)."""
+    return shots.groupBy("video_id").agg(F.count("*").alias("n"), F.min("dur_cs").alias("min_cs"), F.max("dur_cs").alias("max_cs"), F.round(F.avg("dur_cs"), 4).alias("avg_cs"))
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """n_events, n_important and n_types of each video's events (video_id, event_type, importance)."""
+    return events.groupBy("video_id").agg(F.count("*").alias("n_events"), F.count_if(F.col("importance") >= IMPORTANT).alias("n_important"), F.countDistinct("event_type").alias("n_types"))
+
+
 def without_passersby(rows: DataFrame) -> DataFrame:
     return rows.where(F.coalesce(F.col("tier") != "passerby", F.lit(True)))
 

@@ -231,3 +231,24 @@ def chunk_characters(spark, sf_dir):
 def chunk_prompts(spark, sf_dir):
     shots, chunks = chunked(spark, sf_dir)
     return C.boundaries(C.read(chunks, shots, answers(spark, sf_dir)))
+
+
+@query(
+    "chunk_profile_context",
+    A.sql(
+        [
+            *_PROFILES,
+            "ch AS (SELECT video_id, cid, change, n, chunk_index, phase, place FROM mn WHERE change IS NOT NULL AND change <> '无变化')",
+            # of repeated texts the first place counts
+            "cf AS (SELECT video_id, cid, change AS t, min(n) AS n FROM ch GROUP BY ALL)",
+            "cx AS (SELECT video_id, cid, list(t ORDER BY n) AS ts FROM cf GROUP BY ALL)",
+            "af AS (SELECT m.video_id, m.cid, action AS t, min(n) AS n FROM mn m JOIN fi USING (video_id, cid) WHERE action IS NOT NULL AND NOT (made AND n = 1) GROUP BY ALL)",
+            "ax AS (SELECT video_id, cid, list(t ORDER BY n) AS ts FROM af GROUP BY ALL)",
+        ],
+        """SELECT pr.video_id, pr.cid AS character_id, description, concat_ws(chr(10), CASE WHEN names <> '' THEN '  档案称呼/别名: ' || array_to_string(string_split(names, ',')[1:5], ', ') END,
+      CASE WHEN cx.ts IS NOT NULL THEN '  有效外观线索: ' || array_to_string(cx.ts[-4:], '; ') END, CASE WHEN ax.ts IS NOT NULL THEN '  关键行为线索: ' || array_to_string(ax.ts[-6:], '; ') END) AS lines
+      FROM pr LEFT JOIN cx ON cx.video_id = pr.video_id AND cx.cid = pr.cid LEFT JOIN ax ON ax.video_id = pr.video_id AND ax.cid = pr.cid""",
+    ),
+)
+def chunk_profile_context(spark, sf_dir):
+    return profiles.context(_profiles(spark, sf_dir))

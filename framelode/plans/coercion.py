@@ -10,6 +10,7 @@ from framelode.functions import text as T
 from framelode.operators import entity, joins
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
+from framelode.sources import probe
 
 # Answers of a model, clean and not, made of the events.
 _RAW = """raw AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN (event_id % 130) || '%' WHEN 1 THEN ' ' || (event_id % 150) || ' ' WHEN 2 THEN CAST((event_id % 40) / 20.0 AS VARCHAR) WHEN 3 THEN 'abc' WHEN 4 THEN '' WHEN 5 THEN '-3' WHEN 6 THEN 'Yes' WHEN 7 THEN '否' ELSE NULL END AS value FROM events)"""
@@ -78,6 +79,22 @@ def probe_parse(spark, sf_dir):
     return A.table(spark, sf_dir, "supplier").select("s_suppkey", F.round(V.frame_rate(F.concat(i % 60 * 1000, F.lit("/"), i % 3 * 1001)), 6).alias("fps"), V.media_type(name).alias("media"), ((i % 700 > 480) | (i % 50 > 10)).alias("compress"))
 
 
+@query(
+    "probe_info",
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 0.0::DOUBLE ELSE s_suppkey * 7.25::DOUBLE END AS duration, CAST(s_suppkey % 900 AS INTEGER) AS width, CAST(s_suppkey % 700 AS INTEGER) AS height, CAST(format('{:.2f}', coalesce(CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 60 * 1000)::DOUBLE / (s_suppkey % 3 * 1001)::DOUBLE END, 30.0::DOUBLE)) AS DOUBLE) AS fps,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'h264' ELSE 'unknown' END AS codec, s_suppkey * 100000 AS file_size, s_suppkey % 700 > 480 OR coalesce(CASE WHEN s_suppkey % 3 > 0 THEN (s_suppkey % 60 * 1000)::DOUBLE / (s_suppkey % 3 * 1001)::DOUBLE END, 30.0::DOUBLE) > 10.004::DOUBLE AS compress,
+    s_suppkey % 5 > 0 AND s_suppkey > 0 AND (s_suppkey % 4 < 3 AND abs(s_suppkey % 4 * 3) <= greatest(5.0::DOUBLE, s_suppkey * 0.0725::DOUBLE) OR s_suppkey % 4 = 3 AND 9 <= greatest(5.0::DOUBLE, s_suppkey * 0.0725::DOUBLE)) AS same FROM supplier WHERE s_suppkey % 7 > 0""",
+)
+def probe_info(spark, sf_dir):
+    """Probes of files with sound before the picture; every seventh has no picture."""
+    i = F.col("s_suppkey")
+    video = F.when(i % 7 > 0, F.concat(F.lit(', {"codec_type": "video", "width": '), i % 900, F.lit(', "height": "'), i % 700, F.lit('", "r_frame_rate": "'), i % 60 * 1000, F.lit("/"), i % 3 * 1001, F.lit('"'), F.when(i % 2 == 0, ', "codec_name": "h264"').otherwise(""), F.lit("}"))).otherwise("")
+    length = F.when(i % 5 > 0, F.concat(F.lit(', "duration": "'), i * 7.25, F.lit('"'))).otherwise("")
+    text = F.concat(F.lit('{"streams": [{"codec_type": "audio", "codec_name": "aac"}'), video, F.lit('], "format": {"size": "'), i * 100000, F.lit('"'), length, F.lit("}}"))
+    rows = probe.info(A.table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("probe"))).drop("probe")
+    return rows.withColumn("compress", probe.needs_compression(F.col("height"), F.col("fps"))).withColumn("same", probe.duration_matches(F.col("duration"), i * 7.25 + i % 4 * 3))
+
+
 @query(
     "normalize_ids",
     "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'char_' || user_id WHEN event_id % 5 = 1 THEN 'entity_' || user_id WHEN event_id % 5 = 2 THEN CASE WHEN event_id % 10 = 2 THEN 'char_tmp_unknown_1' ELSE 'char_tmp_chunk_' || lpad((event_id % 40)::VARCHAR, 4, '0') || '_unknown_1' END END AS character FROM events",

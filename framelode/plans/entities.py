@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelode.operators import entity as E
+from framelode.operators import selection
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
 
@@ -174,12 +175,7 @@ def speaker_map(spark, sf_dir):
     A.sql("transcripts", "SELECT scene_index, speaker, string_agg(left(text, 50), ' / ' ORDER BY pos) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY scene_index, speaker ORDER BY pos) AS n FROM transcripts) WHERE n <= 3 GROUP BY ALL"),
 )
 def speaker_samples(spark, sf_dir):
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("scene_index", "speaker").orderBy("pos"))
-    rows = A.transcripts(spark, sf_dir).withColumn("n", first).where("n <= 3")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.substring("text", 1, 50).alias("line")))), lambda x: x["line"])
-    return rows.groupBy("scene_index", "speaker").agg(F.array_join(lines, " / ").alias("samples"))
+    return E.speaker_samples(A.transcripts(spark, sf_dir)).withColumn("samples", F.array_join("samples", " / "))
 
 
 @query(
@@ -187,7 +183,7 @@ def speaker_samples(spark, sf_dir):
     A.sql("shots story_events", "SELECT video_id, count(*) AS n_events, count(*) FILTER (importance >= 7) AS n_important, count(DISTINCT event_type) AS n_types FROM story_events GROUP BY video_id"),
 )
 def dialogue_and_event_counts(spark, sf_dir):
-    return A.story_events(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n_events"), F.count_if(F.col("importance") >= 7).alias("n_important"), F.countDistinct("event_type").alias("n_types"))
+    return selection.event_counts(A.story_events(spark, sf_dir))
 
 
 @query("stable_characters", "SELECT c_nationkey AS video_id, id AS character FROM (SELECT *, max(NOT starts_with(id, 'char_tmp_')) OVER (PARTITION BY c_nationkey) AS lasting FROM (SELECT c_nationkey, CASE WHEN c_custkey % 9 > c_nationkey % 9 OR c_nationkey % 9 = 8 THEN 'char_tmp_' ELSE 'char_' END || c_custkey AS id FROM customer)) WHERE NOT lasting OR NOT starts_with(id, 'char_tmp_')")

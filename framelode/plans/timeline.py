@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelode.operators import hierarchy as H
 from framelode.operators import temporal as T
+from framelode.operators import selection
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
 
@@ -17,7 +18,7 @@ def adapter_shot(spark, sf_dir):
 
 @query("shot_stats", A.sql("shots", "SELECT video_id, count(*) AS n, min(dur_cs) AS min_cs, max(dur_cs) AS max_cs, round(avg(dur_cs), 4) AS avg_cs FROM shots GROUP BY video_id"))
 def shot_stats(spark, sf_dir):
-    return A.shots(spark, sf_dir).groupBy("video_id").agg(F.count("*").alias("n"), F.min("dur_cs").alias("min_cs"), F.max("dur_cs").alias("max_cs"), F.round(F.avg("dur_cs"), 4).alias("avg_cs"))
+    return selection.shot_stats(A.shots(spark, sf_dir))
 
 
 _SEGMENTS = "segments AS (SELECT video_id, event_id AS segment_id, start_cs + (event_id * 37) % 900 - 300 AS start_cs, start_cs + (event_id * 37) % 900 - 300 + (event_id % 7) * 50 AS end_cs FROM shots)"
