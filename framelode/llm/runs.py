@@ -188,6 +188,7 @@ def looped(docs: DataFrame) -> DataFrame:
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.light_batches(spark)  # texts go to the workers and come back
     docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # greatest length, then smallest start, then smallest period
     order: Column = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.sign(y["length"] - x["length"])).when(x["start"] != y["start"], F.sign(x["start"] - y["start"])).otherwise(F.sign(x["period"] - y["period"])).cast("int"))
