@@ -78,7 +78,8 @@ def density_labels(faces: DataFrame, eps: float = EPS, least: int = LEAST_POINTS
     while True:  # the smallest label spreads, and labels follow their own label's label
         spread = edges.join(now, F.col("b") == F.col("core")).groupBy(F.col("a").alias("core")).agg(F.min("label").alias("label"))
         jumped = spread.join(now.select(F.col("core").alias("label"), F.col("label").alias("next")), "label").select("core", F.least("label", "next").alias("label"))
-        now = _kept(jumped)
+        last, now = now, _kept(jumped)
+        shared.dropped(faces.sparkSession, last)
         total = now.agg(F.sum("label")).first()[0] or 0
         if total == before:
             break

@@ -116,8 +116,8 @@ def canonical(links: DataFrame, rounds: int = 40) -> DataFrame:
     steps = max(1, count.bit_length())
     for _ in range(min(rounds, steps)):
         onward = now.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        now = now.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-        now = shared.written(now, "canonical")
+        before, now = now, shared.written(now.join(onward, "to", "left").select("id", F.coalesce("next", "to").alias("to")), "canonical")
+        shared.dropped(links.sparkSession, before)
     ends = links.where("merged <> kept").select(F.col("merged").alias("to")).distinct()
     return now.join(ends.withColumn("_loop", F.lit(True)), "to", "left").select("id", F.when(F.col("_loop"), F.col("id")).otherwise(F.col("to")).alias("canonical"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The folder that stands in where the session names none, which is only so on one machine.
 _OWN: dict[str, str] = {}
+#: What this process has written and not yet deleted.
+_MADE: dict[str, None] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -23,5 +25,23 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and read back: lineage ends here, and a lost executor costs no recomputation."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = None
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(spark: SparkSession, *what: DataFrame | str) -> None:
+    """Delete written tables that nothing reads any more; other tables stay."""
+    jvm = spark.sparkContext._jvm
+    for path in (w if isinstance(w, str) else getattr(w, "_written_to", None) for w in what):
+        if path is not None:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _MADE.pop(path, None)
+
+
+def cleaned(spark: SparkSession) -> None:
+    """Delete all that the operators of this process have written for themselves, once their results, which may be read from there, have been written elsewhere."""
+    dropped(spark, *list(_MADE))

@@ -103,3 +103,17 @@ def test_rules_and_indexes_have_every_row(spark):
     bare = {r[0] for r in table("orders").where("o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0").select("o_custkey").collect()}
     found = {r["plan_id"] for r in run(spark, "grounding_violations").where("rule = 'event_not_covered'").collect()}
     assert bare and bare <= found
+
+
+def test_steps_of_loops_are_deleted_and_the_rest_on_request(spark):
+    import os
+
+    from framelode.operators import shared
+
+    shared.cleaned(spark)
+    links = spark.createDataFrame([(i, i // 2) for i in range(1, 200)], "merged long, kept long")
+    assert {r.canonical for r in entity.canonical(links).collect()} == {0} and len(shared._MADE) == 1
+    path = next(iter(shared._MADE)).removeprefix("file://")
+    assert os.path.isdir(path)
+    shared.cleaned(spark)
+    assert not os.path.exists(path) and not shared._MADE
