@@ -163,6 +163,6 @@ def tempo_stages(speed: float) -> list[float]:
     return [*out, speed]
 
 
-def cut_list(clips: DataFrame, source: str) -> DataFrame:
-    """What a media tool has to do for each clip, as a table; nothing is cut here."""
-    return clips.select("plan_id", "clip_index", F.lit(source).alias("source"), (F.col("source_start") / 100).alias("from_s"), (F.col("source_end") / 100).alias("to_s"), "speed", "transition_in", "transition_out", "volume")
+def cut_list(clips: DataFrame, source: str | Column) -> DataFrame:
+    """What a media tool has to do for each clip, as a table; nothing is cut here. source: a path, or a column of paths."""
+    return clips.select("plan_id", "clip_index", (F.lit(source) if isinstance(source, str) else source).alias("source"), (F.col("source_start") / 100).alias("from_s"), (F.col("source_end") / 100).alias("to_s"), "speed", "transition_in", "transition_out", "volume")
