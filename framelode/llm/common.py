@@ -101,6 +101,18 @@ def in_groups(batches: Iterable[pa.RecordBatch], key: list[str]) -> Iterator[pa.
                 held = []
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    given_back()
+
+
+def given_back() -> None:
+    """Let a worker, which the next stage's tasks will use, give the memory back that it has freed."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def by_text_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -119,6 +131,7 @@ def by_text_bytes(batches: Iterable[pa.RecordBatch], column: str = "text", most:
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    given_back()
 
 
 #: Rows and bytes of a batch that goes to a Python worker, where a whole pipeline of text stages shares an executor's memory.
