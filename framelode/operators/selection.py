@@ -114,8 +114,17 @@ def chapters_merged(clips: DataFrame, shots: DataFrame) -> DataFrame:
     return rows.select("plan_id", (F.row_number().over(order) - 1).alias("clip_index"), "chapter_index", "scene_index", "source_start", "source_end", "speed", (end - length).alias("timeline_start"), end.alias("timeline_end"))
 
 
-def shot_boundaries(frames: DataFrame, threshold: float = 27.0) -> DataFrame:
-    """frames (video_id, frame, metric) with the number of their shot: a new one begins where the metric differs from the frame before by more than the threshold."""
+def shot_boundaries(frames: DataFrame, threshold: float = 27.0, least: int = 1) -> DataFrame:
+    """frames (video_id, frame, metric) with the number of their shot: a new one begins where the metric differs from the frame before by more than the threshold, and ``least`` frames or more after the
+    last one did (or the video). Cuts alone, of which a video has few, are walked in order."""
     order = Window.partitionBy("video_id").orderBy("frame")
-    cut = F.coalesce((F.abs(F.col("metric") - F.lag("metric").over(order)) > threshold).cast("int"), F.lit(0))
-    return frames.withColumn("_cut", cut).withColumn("scene_index", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_cut")
+    jumps = F.coalesce((F.abs(F.col("metric") - F.lag("metric").over(order)) > threshold).cast("int"), F.lit(0))
+    frames = frames.withColumn("_cut", jumps)
+    if least > 1:
+        begins = frames.groupBy("video_id").agg(F.min("frame").alias("_from"), F.array_sort(F.collect_list(F.when(F.col("_cut") == 1, F.col("frame")))).alias("_all"))
+        none = F.array().cast(begins.schema["_all"].dataType)
+        last = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1)), F.col("_from"))
+        kept = F.aggregate("_all", none, lambda kept, at: F.when(at - last(kept) >= least, F.concat(kept, F.array(at))).otherwise(kept))
+        cuts = begins.select("video_id", F.explode(kept).alias("frame"), F.lit(1).alias("_kept"))
+        frames = frames.join(cuts, ["video_id", "frame"], "left").withColumn("_cut", F.coalesce("_kept", F.lit(0))).drop("_kept")
+    return frames.withColumn("scene_index", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_cut")

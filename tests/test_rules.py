@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelode.functions import coerce, numbers, text
-from framelode.operators import cluster, entity, fusion, index, plan, prompts, search, temporal
+from framelode.operators import cluster, entity, fusion, index, plan, prompts, search, selection, temporal
 
 
 def value(spark, column):
@@ -289,3 +289,20 @@ def test_faces_sampled_in_time(spark):
         by_score = sorted(own, key=lambda f: (-f[2], f[1]))
         expected = list(dict.fromkeys(f[1] for f in [*by_score[:4], *plain_samples(own, 5), *by_score]))[:9] if len(own) > 9 else sorted(f[1] for f in own)
         assert found[k] == expected, k
+
+
+def test_shots_have_a_least_length(spark):
+    import random
+
+    rng = random.Random(4)
+    videos = {v: [rng.choice([0.0, 10.0, 50.0, 100.0]) for _ in range(rng.randint(1, 60))] for v in range(6)}
+    rows = spark.createDataFrame([(v, i + v, m) for v, own in videos.items() for i, m in enumerate(own)], "video_id long, frame int, metric double")
+    for least in (1, 4):
+        expected = {}
+        for v, own in videos.items():
+            shot, last = 0, v
+            for i, m in enumerate(own):
+                if i and abs(m - own[i - 1]) > 27 and i + v - last >= least:
+                    shot, last = shot + 1, i + v
+                expected[v, i + v] = shot
+        assert {(r.video_id, r.frame): r.scene_index for r in selection.shot_boundaries(rows, 27.0, least).collect()} == expected
