@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import vector as V
-from framelode.operators import shared
+from framelode.operators import joins, shared
 
 #: Fixed values of the rules.
 EPS, LEAST_POINTS, SPLIT_EPS, MOST_RADIUS = 0.42, 3, 0.30, 0.34
@@ -226,6 +226,23 @@ def tiers(faces: DataFrame, key: str, n_shots: int, seconds: float) -> DataFrame
     return counts.withColumn("tier", F.when(F.col("n_scenes") >= major, "major").when(F.col("n_scenes") >= minor, "minor").otherwise("passerby"))
 
 
+def galleries(faces: DataFrame, tiers_of: DataFrame, shown: DataFrame, key: str) -> DataFrame:
+    """A gallery for each cluster that is no passer-by: character_id, ``place`` (most faces first, ties to the smaller cluster), total_detections, appearance_scenes, tier, embedding_centroid and its faces (path,
+    timestamp, scene_index) in order. faces: key, face_id, scene_index, embedding, path, timestamp; tiers_of: as ``tiers`` gives them; shown: key, face_id, place, the faces that stand for a cluster. Of a collection (faces with video_id;
+    a cluster is of one video) with the video, and in order within it."""
+    video = joins.place(faces)
+    known = tiers_of.where("tier <> 'passerby'").select(key, "n_faces", "tier")
+    own = faces.join(known.select(key), key, "left_semi")
+    scenes = own.groupBy(*video, key).agg(F.array_sort(F.collect_set("scene_index")).alias("appearance_scenes"))
+    picked = own.join(shown.select(key, "face_id", F.col("place").alias("_place")), [key, "face_id"])
+    listed = picked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "path", "timestamp", "scene_index"))), lambda f: F.struct(f["path"], f["timestamp"], f["scene_index"])).alias("faces"))
+    rows = known.join(scenes, key).join(listed, key, "left").join(centroids(own, key).withColumnRenamed("centroid", "embedding_centroid"), key)
+    order = Window.partitionBy(*(video or [F.lit(0)])).orderBy(F.desc("n_faces"), key)  # the clusters of one video
+    return rows.select(
+        *video, F.format_string("char_%03d", F.col(key)).alias("character_id"), (F.row_number().over(order) - 1).alias("place"), F.col("n_faces").alias("total_detections"), "appearance_scenes", "tier", "embedding_centroid", "faces"
+    )
+
+
 def best_of_scene(faces: DataFrame, key: str) -> DataFrame:
     order = Window.partitionBy(key, "scene_index").orderBy(F.desc("det_score"), "face_id")
     return faces.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")

@@ -74,6 +74,19 @@ def cluster_tiers(spark, sf_dir):
     return C.tiers(A.faces(spark, sf_dir), "label", 1000, 900.0)
 
 
+@query(
+    "galleries",
+    A.sql(
+        ["faces", _U, _MIDDLE, "kept AS (SELECT label, count(*) AS n, count(DISTINCT scene_index) AS s FROM faces GROUP BY label HAVING count(DISTINCT scene_index) >= 3)"],
+        """SELECT printf('char_%03d', label) AS character_id, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INTEGER) AS place, n AS total_detections, s AS n_scenes, CASE WHEN s >= 50 THEN 'major' ELSE 'minor' END AS tier, round(c[1], 6) AS first, least(n, 5) AS n_shown FROM kept JOIN centers USING (label)""",
+    ),
+)
+def galleries(spark, sf_dir):
+    faces = A.faces(spark, sf_dir).withColumns({"path": F.concat(F.lit("f"), "face_id"), "timestamp": F.col("scene_index").cast("double")})
+    rows = C.galleries(faces, C.tiers(faces, "label", 1000, 900.0), C.spread_fill(faces, "label"), "label")
+    return rows.select("character_id", "place", "total_detections", F.size("appearance_scenes").cast("long").alias("n_scenes"), "tier", F.round(F.element_at("embedding_centroid", 1), 6).alias("first"), F.size("faces").cast("long").alias("n_shown"))
+
+
 @query("best_face_per_scene", A.sql("faces", "SELECT label, scene_index, arg_max(face_id, (det_score, -face_id)) AS face_id FROM faces GROUP BY label, scene_index"))
 def best_face_per_scene(spark, sf_dir):
     return C.best_of_scene(A.faces(spark, sf_dir), "label").select("label", "scene_index", "face_id")

@@ -306,3 +306,13 @@ def test_shots_have_a_least_length(spark):
                     shot, last = shot + 1, i + v
                 expected[v, i + v] = shot
         assert {(r.video_id, r.frame): r.scene_index for r in selection.shot_boundaries(rows, 27.0, least).collect()} == expected
+
+
+def test_galleries_of_a_collection(spark):
+    rows = [(v, c, c * 10 + i, i // 2, [1.0, float(i)], f"p{c}{i}", i * 1.0) for v, c, n in (("a", 1, 6), ("a", 2, 8), ("b", 3, 6), ("b", 4, 1)) for i in range(n)]
+    faces = spark.createDataFrame(rows, "video_id string, label long, face_id long, scene_index int, embedding array<double>, path string, timestamp double")
+    tiers = cluster.tiers(faces, "label", 10, 1000.0)
+    shown = spark.createDataFrame([(1, 13, 0), (1, 10, 1), (2, 21, 0)], "label long, face_id long, place long")
+    out = {r.character_id: r for r in cluster.galleries(faces, tiers, shown, "label").collect()}
+    assert {k: (r.video_id, r.place, r.total_detections, r.appearance_scenes) for k, r in out.items()} == {"char_001": ("a", 1, 6, [0, 1, 2]), "char_002": ("a", 0, 8, [0, 1, 2, 3]), "char_003": ("b", 0, 6, [0, 1, 2])}
+    assert [(f.path, f.timestamp, f.scene_index) for f in out["char_001"].faces] == [("p13", 3.0, 1), ("p10", 0.0, 0)] and out["char_003"].faces is None
