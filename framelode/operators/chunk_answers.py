@@ -20,7 +20,7 @@ from framelode.functions import chunks as K
 from framelode.functions import coerce
 from framelode.functions import numbers as N
 from framelode.functions import variants as V
-from framelode.operators import fusion
+from framelode.operators import fusion, shared
 
 #: The views and notes of shots that an answer leaves out, and the confidence in shots that it doesn't.
 UNTOLD, UNSEEN, UNALIGNED = "无法判断", "模型未返回该镜头画面分析", "模型未返回该镜头 per_shot，写入占位对齐"
@@ -107,12 +107,12 @@ def _present(item: Column, chunk: Column) -> Column:
 def backfilled(chunks: DataFrame, shots: DataFrame, answers: DataFrame) -> Backfilled:
     """The tables of the shots (video_id, scene_index, start_time, end_time) from the answers (video_id, chunk_index, answer) about chunks. A shot of which no answer speaks has a
     placeholder in each table but the transcripts."""
-    return backfilled_from(read(chunks, shots, answers), shots)
+    return backfilled_from(shared.written(read(chunks, shots, answers), "read"), shots)
 
 
 def backfilled_from(rows: DataFrame, shots: DataFrame) -> Backfilled:
-    """The same from ``read``."""
-    transcripts, views = _transcripts(rows), _views(rows)
+    """The same from ``read``, written. Lines and shots are written too, as several tables are made of them."""
+    transcripts, views = shared.written(_transcripts(rows), "lines"), _views(rows)
     item = F.col("item")
     vision, audio = V.object_or_none(item, "vision"), V.object_or_none(item, "audio")
     spoken = transcripts.groupBy("video_id", "scene_index").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set("character_id")).alias("speaking"))
@@ -129,6 +129,7 @@ def backfilled_from(rows: DataFrame, shots: DataFrame) -> Backfilled:
         own(V.text(audio, "speech_rate"), F.when(F.col("n_lines") > 0, "unknown").otherwise("")).alias("speech_rate"), own(V.share(audio, "volume_peak"), F.lit(0.0)).alias("volume_peak"), own(V.text(audio, "speech_emotion"), F.lit("")).alias("speech_emotion"),
         own(_present(item, F.col("chunk_index")), none).alias("visible_characters"), F.coalesce("speaking", none).alias("speaking_characters"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), seen.alias("seen"),
     )
+    every = shared.written(every, "told")
     n, music = F.col("n_lines"), F.col("has_music")
     active = F.array_compact(F.array(F.when(n > 0, "speech"), F.when(music, "music"), F.when(F.col("has_sfx"), "sfx")))
     return Backfilled(
