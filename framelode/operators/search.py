@@ -41,6 +41,8 @@ VECTOR_TOP, CANDIDATES = 50, 20
 QUERY_BLOCK, ROW_BLOCK = 4096, 2048
 #: Hits that leave a task at once, or that it holds before it keeps the best, at most.
 HITS = 1 << 18
+#: Queries of a block, with all those that differ in their filters alone.
+MEMBERS = 1 << 18
 #: The columns of queries that restrict what they find.
 FILTERS = ("character", "start_cs", "end_cs", "scene_type")
 
@@ -56,44 +58,63 @@ def asked_for(rows: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.join(joins.small(queries.select("video_id").distinct()), "video_id", "left_semi")
 
 
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    """The rows of the queries, block by block. A table of several blocks is evaluated once."""
-    first = queries.limit(QUERY_BLOCK + 1).collect()
-    if len(first) <= QUERY_BLOCK:
+def _blocks(queries: DataFrame, size: Column | None = None) -> Iterator[list]:
+    """The rows of the queries, block by block: ``QUERY_BLOCK`` at most, and ``MEMBERS`` by the sum of ``size``. A table of several blocks is evaluated once."""
+    first = queries.limit(QUERY_BLOCK + 1).collect() if size is None else []
+    if size is None and len(first) <= QUERY_BLOCK:
         yield from [first] if first else []
         return
     queries = shared.written(queries, "queries")
-    n = -(-queries.count() // QUERY_BLOCK)
+    count, members = queries.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    n = max(-(-count // QUERY_BLOCK), -(-(members or 0) // MEMBERS))
     for block in range(n):
-        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).collect()
+        if found := queries.where(F.pmod(F.xxhash64(queries.columns[0]), F.lit(n)) == block).collect():
+            yield found
 
 
 class _Asked:
-    """The queries of one video in a block: their terms, and their filters by place."""
+    """The queries of one video in a block. Those of equal terms are one entry of ``table``, and those of equal filters one pattern: a scene is held against each pattern once, and a text against each entry."""
 
     def __init__(self, rows: list):
-        self.table = TermTable([(r.query_id, r.terms) for r in rows])
-        filters = [[r[f] if f in r else None for r in rows] for f in FILTERS]
-        self.character, start, end, kind = filters
+        self.table = TermTable([(n, r.terms) for n, r in enumerate(rows)])
+        every = [(n, m) for n, r in enumerate(rows) for m in r.members]
+        self.ids = [m.query_id for _, m in every]
+        of: dict[tuple, list[tuple[int, int]]] = {}
+        for place, (n, m) in enumerate(every):
+            of.setdefault(tuple(m[f] if f in m else None for f in FILTERS), []).append((n, place))
+        self.character, start, end, kind = (list(c) for c in zip(*of, strict=True))
         self.start = np.array([-np.inf if x is None else x for x in start], float)
         self.end = np.array([np.inf if x is None else x for x in end], float)
         self.kind = [None if k is None else k.lower() for k in kind]
-        timed = np.array([x is not None or y is not None for x, y in zip(start, end, strict=True)], bool)
-        self.timed = timed if timed.any() else None
-        told = np.array([c is not None or k is not None for c, k in zip(self.character, self.kind, strict=True)], bool)
-        self.told = told if told.any() else None
-
-    def allowed(self, hit: np.ndarray, start, end, cast, kinds) -> np.ndarray:
-        """Which of the queries ``hit`` may find a scene of these times, characters and types (lower-cased, null where it has no view)."""
-        good = np.ones(len(hit), bool)
-        if self.timed is not None:
-            within = np.zeros(len(hit), bool) if start is None or end is None else (start >= self.start[hit]) & (end <= self.end[hit])
-            good &= within | ~self.timed[hit]
-        if self.told is not None:
-            for n in np.flatnonzero(self.told[hit] & good).tolist():
-                who, kind = self.character[hit[n]], self.kind[hit[n]]
-                good[n] = (who is None or who in (cast or ())) and (kind is None or any(kind in k for k in kinds or ()))
-        return good
+        self.timed = np.array([x is not None or y is not None for x, y in zip(start, end, strict=True)], bool)
+        self.told = np.array([c is not None or k is not None for c, k in zip(self.character, self.kind, strict=True)], bool)
+        #: By pattern: the entries of its queries, and the queries' places.
+        self.members = [(np.array([n for n, _ in own], np.int64), np.array([p for _, p in own], np.int64)) for own in of.values()]
+
+    def allowing(self, start, end, cast, kinds) -> list[int]:
+        """The patterns that allow a scene of these times, characters and types (lower-cased, null where it has no view)."""
+        good = ~self.timed
+        if start is not None and end is not None:
+            good = good | ((start >= self.start) & (end <= self.end))
+        out = []
+        for n in np.flatnonzero(good).tolist():
+            who, kind = self.character[n], self.kind[n]
+            if not self.told[n] or ((who is None or who in (cast or ())) and (kind is None or any(kind in k for k in kinds or ()))):
+                out.append(n)
+        return out
+
+    def expanded(self, found: tuple[np.ndarray, ...], patterns: list[int]) -> tuple[np.ndarray, ...]:
+        """What was found of a row, entries and more, for the queries of those patterns."""
+        at = np.full(len(self.table.ids), -1)
+        at[found[0]] = np.arange(len(found[0]))
+        places, rows = [], []
+        for n in patterns:
+            entries, own = self.members[n]
+            hit = at[entries]
+            places.append(own[hit >= 0])
+            rows.append(hit[hit >= 0])
+        row = np.concatenate(rows)
+        return np.concatenate(places), *(c[row] for c in found[1:])
 
 
 #: Columns that rows have where queries have filters.
@@ -123,7 +144,12 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
     video = "video_id" if "video_id" in rows.columns and "video_id" in queries.columns else None
     key, extra = scene_key(rows) if video else ["scene_index"], extra.split()
     kept = [c for c in rows.columns if c not in texts and c not in _ATTRIBUTES]
-    asked = queries.select("query_id", *([video] if video else []), *[c for c in FILTERS if c in queries.columns], terms.alias("terms")).where(F.size("terms") > 0)
+    of = [video] if video else []
+    asked = queries.select("query_id", *of, *[c for c in FILTERS if c in queries.columns], terms.alias("terms")).where(F.size("terms") > 0)
+    # a text is searched once for all queries of the same terms
+    member = F.struct("query_id", *[c for c in FILTERS if c in queries.columns]).alias("member")
+    asked = asked.groupBy("terms", *of).agg(F.collect_list(member).alias("members"))
+    filtered = _ATTRIBUTES[0] in rows.columns
     if best:
         schema = StructType([*(rows.schema[c] for c in key), queries.schema["query_id"], StructField("by", DoubleType())])
     else:
@@ -145,32 +171,36 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
             # n best scenes of each video's queries: place of the query, scene, score
             pool: dict[object, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
             held: dict[object, int] = {}
+            limit: dict[object, int] = {}
             for whole in batches:
                 for value, part in parts_of(whole, own):
                     asked_by, table = own[value], own[value].table
+                    every = list(range(len(asked_by.members)))
+                    if filtered:  # scenes that no query may find aren't read
+                        scenes = list(zip(*(part.column(c).to_pylist() for c in _ATTRIBUTES), strict=True))
+                        patterns = [asked_by.allowing(*scene) for scene in scenes]
+                        part = part.filter(pa.array([bool(p) for p in patterns], pa.bool_()))
+                        patterns = [p for p in patterns if p]
                     rows_at_once = max(1, HITS // max(1, len(table.ids)))
                     for at in range(0, part.num_rows, rows_at_once):
                         batch = part.slice(at, rows_at_once)
-                        found = list(step(table, batch))
+                        found = [asked_by.expanded(f, patterns[at + n] if filtered else every) for n, f in enumerate(step(table, batch))]
                         hit = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
                         places, *more = (np.concatenate(c) for c in zip(*found, strict=True))
                         if not best:
                             picked = batch.select(kept).take(pa.array(hit))
-                            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(table.ids, id_type).take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
+                            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(asked_by.ids, id_type).take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
                             continue
                         by = np.round(score(batch, hit, *more), 9)
-                        if _ATTRIBUTES[0] in batch.schema.names:
-                            scenes = list(zip(*(batch.column(c).to_pylist() for c in _ATTRIBUTES), strict=True))
-                            good = np.concatenate([asked_by.allowed(f[0], *scenes[n]) for n, f in enumerate(found)]) if len(hit) else np.zeros(0, bool)
-                            hit, places, by = hit[good], places[good], by[good]
                         pool.setdefault(value, []).append((places, np.asarray(batch.column("scene_index"))[hit], by))
                         held[value] = held.get(value, 0) + len(hit)
-                        if held[value] > HITS:
+                        if held[value] > limit.get(value, HITS):
                             pool[value] = [_best(*(np.concatenate(c) for c in zip(*pool[value], strict=True)), best)]
                             held[value] = len(pool[value][0][0])
+                            limit[value] = max(HITS, 2 * held[value])
             for value, parts in pool.items():
                 places, scenes, by = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), best)
-                columns = [pa.array(scenes, to_arrow_type(schema["scene_index"].dataType)), pa.array(own[value].table.ids, id_type).take(pa.array(places)), pa.array(by)]
+                columns = [pa.array(scenes, to_arrow_type(schema["scene_index"].dataType)), pa.array(own[value].ids, id_type).take(pa.array(places)), pa.array(by)]
                 if video:
                     columns.insert(0, pa.array([value] * len(scenes), to_arrow_type(schema[video].dataType)))
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -178,7 +208,7 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
         return rows.mapInArrow(run, schema)
 
     parts = []
-    for block in _blocks(asked):
+    for block in _blocks(asked, F.size("members")):
         by_video: dict[object, list] = {}
         for r in block:
             by_video.setdefault(r[video] if video else None, []).append(r)
@@ -471,18 +501,19 @@ def known_filters(queries: DataFrame, appearances: DataFrame) -> DataFrame:
     return queries.join(known, [*scope, "character"], "left").withColumn("character", F.when(F.col("_known"), F.col("character"))).drop("_known")
 
 
-def permitted(hits: DataFrame, queries: DataFrame, scenes: DataFrame | None) -> DataFrame:
-    """``hits``, few of them, that the filters of their queries allow; scenes: ``attributes``."""
+def permitted(hits: DataFrame, queries: DataFrame, scenes: DataFrame | None, on: str = "query_id") -> DataFrame:
+    """``hits``, few of them, that the filters of their queries allow, with the query_id of each query of the same ``on``; scenes: ``attributes``."""
+    columns = [c for c in hits.columns if c != on]
     if scenes is None:
-        return hits
+        return hits.join(joins.small(queries.select(*dict.fromkeys((on, "query_id")))), on).select("query_id", *[c for c in columns if c != "query_id"])
     asked = [f for f in FILTERS if f in queries.columns]
-    rows = hits.join(scenes, scene_key(hits), "left").join(joins.small(queries.select("query_id", *[F.col(f).alias(f"_q_{f}") for f in asked])), "query_id")
+    rows = hits.join(scenes, scene_key(hits), "left").join(joins.small(queries.select(*dict.fromkeys((on, "query_id")), *[F.col(f).alias(f"_q_{f}") for f in asked])), on)
     c = F.col
     good = {
         "start_cs": c("_q_start_cs").isNull() | (c("_start") >= c("_q_start_cs")), "end_cs": c("_q_end_cs").isNull() | (c("_end") <= c("_q_end_cs")),
         "character": c("_q_character").isNull() | F.array_contains("_cast", c("_q_character")), "scene_type": c("_q_scene_type").isNull() | F.exists("_kinds", lambda k: F.contains(k, F.lower("_q_scene_type"))),
     }
-    return rows.where(reduce(lambda a, b: a & b, [F.coalesce(good[f], F.lit(False)) for f in asked])).select(*hits.columns)
+    return rows.where(reduce(lambda a, b: a & b, [F.coalesce(good[f], F.lit(False)) for f in asked])).select("query_id", *columns)
 
 
 def search_memory(
@@ -502,7 +533,12 @@ def search_memory(
             queries = queries.withColumn(name, F.lit(given))
     queries = shared.written(known_filters(queries, memory["appearances"]), "queries")
     scenes = attributes(memory, queries)
-    near = shared.written(permitted(as_hits(vector_hits(memory["units"], queries)), queries, scenes), "near")
+    # a vector is searched once for all queries that have it
+    first = queries.where("embedding is not null").groupBy("embedding", *joins.place(memory["units"], queries)).agg(F.min("query_id").alias("_first"))
+    first = shared.written(first, "vectors")
+    found = as_hits(vector_hits(memory["units"], first.withColumnRenamed("_first", "query_id"))).withColumnRenamed("query_id", "_first")
+    members = queries.join(first, [c for c in first.columns if c != "_first"]).select("_first", "query_id", *[f for f in FILTERS if f in queries.columns])
+    near = shared.written(permitted(found, members, scenes, "_first"), "near")
 
     def layers(rows: dict[str, DataFrame], best: int | None) -> list[DataFrame]:
         found = [of(rows[name], queries, best) for name, of in (("transcripts", transcript_hits), ("vision", vision_hits), ("events", event_hits), ("index", index_hits))]

@@ -78,3 +78,17 @@ def test_each_video_of_a_collection(videos, name):
     for v, tables in alone.items():
         expected = [repr([r[c] for c in columns]) for r in OPERATORS[name](tables).collect()]
         assert expected and sorted(by_video[v]) == sorted(expected), v
+
+
+def test_a_text_is_searched_once_for_all_queries_of_its_terms(spark):
+    """Queries that differ in their time ranges alone: no hit outside a query's range leaves a task, and texts that no query may find aren't read."""
+    from framelode.operators import search
+
+    rows = spark.createDataFrame([(s, s, f"word{s % 3} and", 100 * s, 100 * s + 100, [s % 2], ["a"]) for s in range(60)], "scene_index long, pos long, text string, _start long, _end long, _cast array<int>, _kinds array<string>").coalesce(1)
+    asked = [(f"{q}#{c}", "and " + q, 1000 * c, 1000 * c + 1000, 1 if c == 2 else None) for q in ("word1", "word2") for c in range(5)]
+    queries = spark.createDataFrame(asked, "query_id string, query string, start_cs long, end_cs long, character int")
+    expected = {(i, s) for i, q, a, b, who in asked for s in range(60) if a <= 100 * s and 100 * s + 100 <= b and (who is None or s % 2 == who)}
+    found = search.matched(rows.select("scene_index", "text", "_start", "_end", "_cast", "_kinds"), queries, "text", 100).collect()
+    assert {(r.query_id, r.scene_index) for r in found} == expected
+    every = search.matched(rows.select("scene_index", "text", "_start", "_end", "_cast", "_kinds"), queries, "text").collect()
+    assert {(r.query_id, r.scene_index) for r in every} == expected and {round(r.share, 3) for r in every} == {0.5, 1.0}
