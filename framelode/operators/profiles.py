@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import lists
 from framelode.functions import text as T
+from framelode.operators import shared
 
 #: Fixed value: the description of somebody whom no gallery knows.
 TEMPORARY = "临时标注人物（无脸谱匹配）"
@@ -40,6 +41,7 @@ def accepted(suggestions: DataFrame, known: DataFrame) -> DataFrame:
 def folded(galleries: DataFrame, mentions: DataFrame, suggestions: DataFrame) -> DataFrame:
     """video_id, character_id and the columns of ``PROFILE`` from ``mentions`` and ``suggestions`` as ``operators/chunk_answers.py`` gives them."""
     key = ["video_id", "character_id"]
+    mentions = shared.written(mentions, "mentions")
     told = mentions.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "phase", "place", "raw", "names", "change", "action"))).alias("told"))
     there = galleries.where("tier <> 'passerby'").groupBy(*key).agg(F.min("tier").alias("gallery_tier"))
     rows = there.join(told, key, "full").withColumn("told", F.coalesce("told", F.array().cast(told.schema["told"].dataType)))

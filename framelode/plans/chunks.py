@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from framelode.functions import variants as V
 from framelode.operators import chunk_answers as C
 from framelode.operators import chunk_outputs
-from framelode.operators import entity, profiles
+from framelode.operators import entity, profiles, shared
 from framelode.plans.registry import query
 from framelode.sources import adapters as A
 
@@ -160,7 +160,7 @@ _PROFILES = [
 
 
 def _profiles(spark, sf_dir):
-    read = answers(spark, sf_dir).withColumn("answer", V.read_object(F.col("answer")))
+    read = shared.written(answers(spark, sf_dir).withColumn("answer", V.read_object(F.col("answer"))), "read")
     return profiles.folded(galleries(spark, sf_dir), C.mentions(read), C.suggestions(read))
 
 
@@ -184,7 +184,7 @@ _LINKS = [
 
 @query("chunk_identity_links", A.sql([*_PROFILES, *_LINKS], "SELECT video_id, kept, merged, best, chunks FROM links"))
 def chunk_identity_links(spark, sf_dir):
-    rows = _profiles(spark, sf_dir)
+    rows = shared.written(_profiles(spark, sf_dir), "profiles")
     return entity.confirmed_merges(profiles.votes(rows), rows.select("video_id", F.col("character_id").alias("character"), "tier"), ["video_id"])
 
 
