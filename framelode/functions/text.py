@@ -87,9 +87,10 @@ def short_hash(text: Column, digits: int = 8) -> Column:
 
 
 def json_value(text: Column) -> Column:
-    """A text that is one JSON value, as VARIANT, else null. Spark's own parser takes what follows the first value for nothing; as an item of a list with one more, it must end there."""
+    """A text that is one JSON value, as VARIANT, else null. Spark's own parser takes what follows the first value for nothing; as an item of a list with one more, it must end there.
+    A lambda's variable, unlike a column that is named twice, is read once."""
     items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]"))), "$", "array<variant>")
-    return F.when(F.size(items) == 2, F.get(items, F.lit(0)))
+    return F.get(F.transform(F.filter(F.array(items), lambda x: F.size(x) == 2), lambda x: F.get(x, F.lit(0))), F.lit(0))
 
 
 def _json_tries(text: Column) -> list[Column]:

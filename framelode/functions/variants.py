@@ -20,8 +20,7 @@ def at(value: Column, path: str) -> Column:
 
 def read_object(answer: Column) -> Column:
     """The JSON object that a model's answer holds, or null."""
-    value = T.json_found(answer)
-    return F.when(kind(value) == "OBJECT", value)
+    return F.get(F.filter(F.array(T.json_found(answer)), lambda value: kind(value) == "OBJECT"), F.lit(0))
 
 
 def objects(value: Column, path: str) -> Column:

@@ -49,8 +49,10 @@ def answers(spark, sf_dir):
     line = fields(start_time=F.when(i % 3 == 0, text(start)).otherwise(start.cast("string")), end_time=end.cast("string"), text=F.when(i % 6 == 0, '""').otherwise(text(F.concat("event_type", F.lit(" line")))), speaker=one_of(i, ['"char_a"', '"unknown_2"', '"unknown"', F.lit(None)]), type=F.when(i % 3 == 1, '"narration"'))
     update = F.when(i % 3 == 0, fields(character_id=one_of(i / 3, ['"char_a"', '"entity_7"', '"unknown_2"', '"char_c"', '"nobody"', '"unknown_9"']), new_names=one_of(i, [F.concat(F.lit('["Name'), i % 8, F.lit('", "未知"]')), F.lit(None)]), appearance_change=one_of(i, [F.concat(F.lit('" coat '), i % 10, F.lit('"')), F.lit('"无变化"'), F.lit(None), F.lit('""')]), key_action=one_of(i / 3, [F.lit('"暂无"'), F.concat(F.lit('"runs '), i % 6, F.lit('"')), F.lit('""')])))
     merge = F.when(i % 5 == 0, fields(primary=one_of(i / 5, ['"char_a"', '"char_c"', '"entity_7"', '"char_a"']), duplicate=one_of(i / 10, ['"char_c"', '"char_a"', '"char_zz"', '"entity_7"', '""']), confidence=one_of(i, ['"95%"', "0.7", "0.86", '"x"']), reason='"alike"'))
-    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scene_index", c.alias("of")))), lambda x: x["of"]), ", ")
-    some = rows.groupBy("video_id", "chunk_index").agg(listed(view).alias("views"), listed(again).alias("again"), listed(line).alias("lines"), listed(update).alias("updates"), listed(merge).alias("merges"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scene_index", F.col(c).alias("of")))), lambda x: x["of"]), ", ").alias(c)
+    # made in a step before they are collected, which is compiled
+    told = rows.select("video_id", "chunk_index", "scene_index", view.alias("views"), again.alias("again"), line.alias("lines"), update.alias("updates"), merge.alias("merges"))
+    some = told.groupBy("video_id", "chunk_index").agg(*map(listed, ("views", "again", "lines", "updates", "merges")))
     n = F.col("video_id") + F.col("chunk_index")
     views = F.when(n % 17 == 0, '"none"').otherwise(F.concat(F.lit("["), F.concat_ws(", ", "views", F.nullif("again", F.lit("")), F.lit("7, null")), F.lit("]")))
     whole = F.concat(F.lit('{"transcripts": ['), "lines", F.lit(', "x"], "per_shot": '), views, F.lit(', "character_updates": ['), "updates", F.lit('], "character_merge_suggestions": ['), "merges", F.lit("]}"))
