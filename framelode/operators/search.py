@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,13 @@ class _Asked:
 _ATTRIBUTES = ("_start", "_end", "_cast", "_kinds")
 
 
+class Best(NamedTuple):
+    """How many scenes of each query are wanted, and to how many digits scores are compared: as they are without."""
+
+    n: int
+    digits: int | None = 9
+
+
 def _best(query: np.ndarray, scene: np.ndarray, score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of (query, scene, score) the n best scenes of each query by their best score, ties to the smaller scene."""
     order = np.lexsort((-score, scene, query))
@@ -135,11 +143,11 @@ def _best(query: np.ndarray, scene: np.ndarray, score: np.ndarray, n: int) -> tu
     return query[place < n], scene[place < n], score[place < n]
 
 
-def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str], extra: str, step: Callable, best: int | None = None, score: Callable | None = None) -> DataFrame:
+def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str], extra: str, step: Callable, best: Best | None = None, score: Callable | None = None) -> DataFrame:
     """``rows`` without ``texts`` and with query_id and the long columns of ``extra``, a row for each hit. ``step(table, batch)`` gives for each
     row of the batch the queries that it hits, as an array of their places, and an array of each of ``extra``.
 
-    With ``best``, instead: query_id, the scene's key and ``by``, the score to nine digits, of the ``best`` scenes that each task finds for each query among those that its
+    With ``best``, instead: query_id, the scene's key and ``by``, the score to its digits, of the ``best`` scenes that each task finds for each query among those that its
     filters allow. ``score(batch, rows of hits, *extra)`` gives the hits' scores."""
     video = "video_id" if "video_id" in rows.columns and "video_id" in queries.columns else None
     key, extra = scene_key(rows) if video else ["scene_index"], extra.split()
@@ -191,15 +199,16 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
                             picked = batch.select(kept).take(pa.array(hit))
                             yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(asked_by.ids, id_type).take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
                             continue
-                        by = np.round(score(batch, hit, *more), 9)
+                        by = score(batch, hit, *more)
+                        by = by if best.digits is None else np.round(by, best.digits)
                         pool.setdefault(value, []).append((places, np.asarray(batch.column("scene_index"))[hit], by))
                         held[value] = held.get(value, 0) + len(hit)
                         if held[value] > limit.get(value, HITS):
-                            pool[value] = [_best(*(np.concatenate(c) for c in zip(*pool[value], strict=True)), best)]
+                            pool[value] = [_best(*(np.concatenate(c) for c in zip(*pool[value], strict=True)), best.n)]
                             held[value] = len(pool[value][0][0])
                             limit[value] = max(HITS, 2 * held[value])
             for value, parts in pool.items():
-                places, scenes, by = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), best)
+                places, scenes, by = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), best.n)
                 columns = [pa.array(scenes, to_arrow_type(schema["scene_index"].dataType)), pa.array(own[value].ids, id_type).take(pa.array(places)), pa.array(by)]
                 if video:
                     columns.insert(0, pa.array([value] * len(scenes), to_arrow_type(schema[video].dataType)))
@@ -216,7 +225,7 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 
-def matched(rows: DataFrame, queries: DataFrame, text: str, best: int | None = None, score: Callable = lambda batch, hit, share: share) -> DataFrame:
+def matched(rows: DataFrame, queries: DataFrame, text: str, best: Best | None = None, score: Callable = lambda batch, hit, share: share) -> DataFrame:
     """Every row, without its column ``text``, with each query (query_id, query) of which that holds a term: ``share`` of its terms, repeated
     ones each time. With ``best`` the scenes that are best by ``score(batch, rows of hits, shares)``."""
 
@@ -247,7 +256,7 @@ def _snippet(text: Column) -> Column:
     return T.prefix(text, SNIPPET).alias("snippet")
 
 
-def transcript_hits(transcripts: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
+def transcript_hits(transcripts: DataFrame, queries: DataFrame, best: Best | None = None) -> DataFrame:
     """transcripts: scene_index, pos (its place in time), text. ``best``, here and below: only so many scenes of each query and task, with ``by`` in place of all that a hit shows."""
     if best:
         return matched(transcripts.select(*_kept(transcripts), "text"), queries, "text", best)
@@ -255,7 +264,7 @@ def transcript_hits(transcripts: DataFrame, queries: DataFrame, best: int | None
     return _hits(found, "transcript", F.col("share"), F.concat(F.lit("transcripts#t"), F.col("pos")), transcript=F.col("pos"))
 
 
-def vision_hits(vision: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
+def vision_hits(vision: DataFrame, queries: DataFrame, best: Best | None = None) -> DataFrame:
     """vision: scene_index, description, mood, scene_type and, where there are any, objects; all of them are searched."""
     objects = [F.array_join("objects", " ")] if "objects" in vision.columns else []
     every = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in (F.col("description"), F.col("mood"), F.col("scene_type"), *objects)))
@@ -267,7 +276,7 @@ def vision_hits(vision: DataFrame, queries: DataFrame, best: int | None = None)
     return _hits(found, "vision", F.col("share") * VISION_WEIGHT, F.concat(F.lit("vision#scene_"), F.col("scene_index")), vision=F.col("vision_at"))
 
 
-def event_hits(events: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
+def event_hits(events: DataFrame, queries: DataFrame, best: Best | None = None) -> DataFrame:
     """events: scene_index (the first of the event's), pos (its number), description, event_type, emotion, importance, which raises the score by
     0.05 a step, to 2.0 at most."""
     every = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("description", "event_type", "emotion")))
@@ -286,7 +295,7 @@ def _index_score(matches: np.ndarray, size: np.ndarray) -> np.ndarray:
     return each[place.ravel()]
 
 
-def index_hits(index: DataFrame, queries: DataFrame, best: int | None = None) -> DataFrame:
+def index_hits(index: DataFrame, queries: DataFrame, best: Best | None = None) -> DataFrame:
     """Hits on the text index (scene_index, combined_text, keywords, transcript, vision_description), with ``matches``: keywords shared with the
     query's distinct terms, and those terms that the text holds, each counted. The modalities are those of the two texts that hold a term."""
     texts = {"_low": "combined_text", "_said": "transcript", "_seen": "vision_description"}
@@ -461,15 +470,19 @@ def looked_up(hits: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     return hits.join(table.join(joins.small(hits.select(*key).distinct()), key, "left_semi"), key, "left")
 
 
-Layer = Callable[[dict[str, DataFrame], "int | None"], list[DataFrame]]
+Layer = Callable[[dict[str, DataFrame], "Best | None"], list[DataFrame]]
+
+
+def _compared(digits: int | None) -> Column:
+    return F.col("score") if digits is None else F.round("score", digits)
 
 
-def best_scenes(layers: Layer, tables: dict[str, DataFrame], n: int, more: DataFrame | None = None) -> DataFrame:
-    """The n best scenes of each query among the hits of ``layers(tables, best)`` and of ``more``, deduplicated, with their rank. Scores alone, to nine digits, decide which these
+def best_scenes(layers: Layer, tables: dict[str, DataFrame], n: int, more: DataFrame | None = None, digits: int | None = 9) -> DataFrame:
+    """The n best scenes of each query among the hits of ``layers(tables, best)`` and of ``more``, deduplicated, with their rank. Scores alone, to ``digits`` digits or as they are, decide which these
     are, and a task passes on its n best; only the rows of those scenes are then searched again for all that a hit shows."""
-    found = layers(tables, n)
+    found = layers(tables, Best(n, digits))
     if more is not None:
-        found = [*found, more.select(*scene_key(more), "query_id", F.round("score", 9).alias("by"))]
+        found = [*found, more.select(*scene_key(more), "query_id", _compared(digits).alias("by"))]
     key = scene_key(found[0])
     scores = reduce(DataFrame.unionByName, found).groupBy("query_id", *key).agg(F.max("by").alias("by"))
     best = shared.written(top(scores, n, "by").select("query_id", *key, "rank"), "scenes")
@@ -517,14 +530,15 @@ def permitted(hits: DataFrame, queries: DataFrame, scenes: DataFrame | None, on:
 
 
 def search_memory(
-    memory: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, character=None, time_range: tuple | None = None, scene_type: str | None = None, answers: DataFrame | Callable[[DataFrame], DataFrame] | None = None
+    memory: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, character=None, time_range: tuple | None = None, scene_type: str | None = None, answers: DataFrame | Callable[[DataFrame], DataFrame] | None = None, digits: int | None = None
 ) -> DataFrame:
     """The whole funnel for queries (query_id, query, embedding) over one memory, or over a collection if its tables and the queries have ``video_id``.
 
     ``memory``: units (scene_index, combined_text, transcript, vision, embedding), transcripts, vision, events and index as their layers
     read them, shots (scene_index, start_cs, end_cs) and appearances (character, shot). The five layers are merged and filtered by the queries' own columns ``FILTERS`` (or by character,
     time_range and scene_type, which stand for all queries), hits of one scene become one, the 20 best are reranked by ``answers`` (query_id, index, relevance, pos; or a function from
-    candidates to them) where there are more than three, and the ``top_k`` best are put in context. Ties go to the smaller scene, after the reranking to the better rank before.
+    candidates to them) where there are more than three, and the ``top_k`` best are put in context. Ties go to the smaller scene, after the reranking to the better rank before;
+    scores are compared as they are, or to ``digits`` digits.
 
     Returns query_id, rank, scene_index, score, match_type, snippet, modalities (with "semantic" for reranked ones), refs, transcript, vision,
     start_cs, end_cs, combined_text, context_before and context_after."""
@@ -540,7 +554,7 @@ def search_memory(
     members = queries.join(first, [c for c in first.columns if c != "_first"]).select("_first", "query_id", *[f for f in FILTERS if f in queries.columns])
     near = shared.written(permitted(found, members, scenes, "_first"), "near")
 
-    def layers(rows: dict[str, DataFrame], best: int | None) -> list[DataFrame]:
+    def layers(rows: dict[str, DataFrame], best: Best | None) -> list[DataFrame]:
         found = [of(rows[name], queries, best) for name, of in (("transcripts", transcript_hits), ("vision", vision_hits), ("events", event_hits), ("index", index_hits))]
         return found if best else [*found[:3], found[3].drop("matches")]
 
@@ -548,7 +562,7 @@ def search_memory(
     if scenes is not None:
         own = joins.small(shared.written(scenes, "attributes"))
         texts = {name: rows.join(own, scene_key(rows), "left") for name, rows in texts.items()}
-    found = best_scenes(layers, texts, CANDIDATES, near)
+    found = best_scenes(layers, texts, CANDIDATES, near, digits)
     key = scene_key(found)
     found = shared.written(found.withColumn("index", F.col("rank") - 1).drop("rank"), "candidates")
     if answers is not None:
@@ -556,7 +570,7 @@ def search_memory(
         found = reranked(found, given)
         semantic = F.when(F.col("semantic"), F.array(F.lit("semantic"))).otherwise(F.array().cast("array<string>"))
         found = found.withColumn("modalities", F.array_distinct(F.concat("modalities", semantic))).drop("semantic")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "index")
+    order = Window.partitionBy("query_id").orderBy(_compared(digits).desc(), "index")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("index")
     return enriched(shared.written(found, "found"), memory)
 

@@ -361,7 +361,7 @@ def _plans(spark, sf_dir):
 def _planned(spark, sf_dir):
     memory, chapters = _chapters(spark, sf_dir)
     asked = P.queries(_plans(spark, sf_dir), chapters)
-    return memory, asked, S.search_memory(memory, asked, P.CANDIDATES)
+    return memory, asked, S.search_memory(memory, asked, P.CANDIDATES, digits=9)
 
 
 @query(
