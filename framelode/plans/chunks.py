@@ -16,15 +16,16 @@ SIZE = 6
 
 
 def chunked(spark, sf_dir):
-    """The shots, six to a chunk, and the chunks."""
+    """The shots, six to a chunk, and the chunks. Both are written, as several tables are made of them."""
     shots = A.shots(spark, sf_dir).select("video_id", "scene_index", (F.col("start_cs") / 100).alias("start_time"), (F.col("end_cs") / 100).alias("end_time"), "event_id", "event_type").withColumn("chunk_index", F.floor(F.col("scene_index") / SIZE).cast("int"))
+    shots = shared.written(shots, "shots")
     chunks = shots.groupBy("video_id", "chunk_index").agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.array_sort(F.collect_list("scene_index")).alias("shot_indices"))
-    return shots, chunks.withColumn("duration", F.col("end_time") - F.col("start_time"))
+    return shots, shared.written(chunks.withColumn("duration", F.col("end_time") - F.col("start_time")), "chunks")
 
 
-def answers(spark, sf_dir):
-    """video_id, chunk_index, answer."""
-    shots, chunks = chunked(spark, sf_dir)
+def answers(spark, sf_dir, made=None):
+    """video_id, chunk_index, answer. made: what ``chunked`` gives, where it is there already."""
+    shots, chunks = made or chunked(spark, sf_dir)
     rows = shots.join(chunks.select("video_id", "chunk_index", F.col("start_time").alias("from")), ["video_id", "chunk_index"])
     i, s = F.col("event_id"), F.col("scene_index")
     lo, text = s % SIZE, lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -100,7 +101,7 @@ _VIEWS = [
 )
 def chunk_transcripts(spark, sf_dir):
     shots, chunks = chunked(spark, sf_dir)
-    return C.backfilled(chunks, shots, answers(spark, sf_dir)).transcripts
+    return C.backfilled(chunks, shots, answers(spark, sf_dir, (shots, chunks))).transcripts
 
 
 @query(
@@ -120,7 +121,7 @@ def chunk_transcripts(spark, sf_dir):
 )
 def chunk_backfill(spark, sf_dir):
     shots, chunks = chunked(spark, sf_dir)
-    made = C.backfilled(chunks, shots, answers(spark, sf_dir))
+    made = C.backfilled(chunks, shots, answers(spark, sf_dir, (shots, chunks)))
     key = ["video_id", "scene_index"]
     rows = made.vision.join(made.ocr.drop("timestamp"), key).join(made.audio, key).join(made.alignments, key)
     shown = [F.array_join(c, ",").alias(c) for c in ("objects", "texts", "sfx_tags", "visible_characters", "speaking_characters", "active_modalities")]
@@ -218,7 +219,7 @@ _NAMES = [
 )
 def chunk_characters(spark, sf_dir):
     shots, chunks = chunked(spark, sf_dir)
-    made = chunk_outputs.understood(chunks, shots, answers(spark, sf_dir), galleries(spark, sf_dir))
+    made = chunk_outputs.understood(chunks, shots, answers(spark, sf_dir, (shots, chunks)), galleries(spark, sf_dir))
     return made["character"].select("video_id", "character_id", "display_name", F.array_join("appearance_scenes", ",").alias("appearance_scenes"), "total_screen_time", "first_appearance", "last_appearance")
 
 
@@ -232,7 +233,7 @@ def chunk_characters(spark, sf_dir):
 )
 def chunk_prompts(spark, sf_dir):
     shots, chunks = chunked(spark, sf_dir)
-    return C.boundaries(C.read(chunks, shots, answers(spark, sf_dir)))
+    return C.boundaries(C.read(chunks, shots, answers(spark, sf_dir, (shots, chunks))))
 
 
 @query(
