@@ -55,9 +55,10 @@ def clips(answers: DataFrame, candidates: DataFrame, shots: DataFrame, unchecked
     Clips of unknown shots (video_id, scene_index, start_time, end_time) go; a source is clamped to its shot, or is the whole shot where nothing is left. What an answer leaves out is filled from its
     chapter's candidates (query_id, scene_index, refs, transcript, vision): up to three references, or one to the search where the candidate has none, and the beginnings of its texts. A chapter without a candidate has been
     asked nothing and its answer counts for nothing, nor does one that holds no object; a speed that is no number above 0 is 1. unchecked: for plans that are not made by chapters, whose clips may be of shots that
-    were no candidates; without evidence those are marked so."""
+    were no candidates; without evidence those are marked so. Answers that were parsed before have the object as ``v`` instead."""
     read = answers.withColumn("query_id", query_id(F.col("plan_id"), F.col("chapter_index")))
-    read = (read if unchecked else read.join(candidates.select("query_id").distinct(), "query_id", "left_semi")).withColumn("v", V.read_object(F.col("answer")))
+    read = (read if unchecked else read.join(candidates.select("query_id").distinct(), "query_id", "left_semi"))
+    read = read if "v" in read.columns else read.withColumn("v", V.read_object(F.col("answer")))
     items = read.select("plan_id", "chapter_index", "video_id", "query_id", F.explode(V.objects(F.col("v"), "clips")).alias("x"))
     item = F.col("x.item")
     said = lambda path, default=None: F.coalesce(V.raw_text(item, path), F.lit(default)).alias(path)

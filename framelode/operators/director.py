@@ -40,9 +40,11 @@ def directed(plans: DataFrame, candidates: DataFrame, shots: DataFrame, units: D
     made: list[DataFrame] = []
     told: list[DataFrame] = []
     scale = shots.select("scene_index", (F.col("start_time") * 100).alias("start_cs"), (F.col("end_time") * 100).alias("end_cs"))
+    parallel = plans.sparkSession.sparkContext.defaultParallelism
     for attempt in range(rounds):
-        answers = shared.written(ask(now.withColumn("attempt", F.lit(attempt))), "answers")
-        read = answers.withColumn("_v", V.read_object(F.col("answer"))).where("_v is not null").select("plan_id", "answer")
+        # few bytes would be few tasks, and the answers take the time; they are parsed here and nowhere else
+        dealt = now.repartition(parallel, "plan_id").withColumn("attempt", F.lit(attempt))
+        read = shared.written(ask(dealt).select("plan_id", V.read_object(F.col("answer")).alias("v")), "answers").where("v is not null")
         own = read.join(now.select("plan_id", "video_id"), "plan_id").withColumn("chapter_index", F.lit(0))
         clips = shared.written(chapter_plan.clips(own, candidates, shots, unchecked=True).withColumn("attempt", F.lit(attempt)), "clips")
         parsed = shared.written(read.select("plan_id").distinct().join(now, "plan_id"), "parsed")
