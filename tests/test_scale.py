@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from framelode.operators import director, shared
+from framelode.operators import director, fusion, shared
 
 
 def test_open_plans_are_dealt_to_all_tasks_and_their_answers_parsed_once(spark, monkeypatch):
@@ -24,3 +24,22 @@ def test_open_plans_are_dealt_to_all_tasks_and_their_answers_parsed_once(spark,
     assert {(r.attempt, r.approved) for r in found.collect()} == {(0, False)} and found.count() == 40
     assert sorted(tuple(r) for r in clips.select("plan_id", "source_scene_index").collect()) == [(i, 2) for i in range(40)]
     shared.cleaned(spark)
+
+
+def test_beats_of_equal_shots_are_laid_out_once_from_cut_lines(spark):
+    beats = spark.range(200).select(
+        F.col("id").alias("beat_index"), F.when(F.col("id") % 4 == 3, F.lit(None)).otherwise(F.array(F.lit(1), F.lit(2), F.lit(9))).alias("shot_indices"), *[F.lit("").alias(c) for c in ("beat_type", "description", "emotion")], F.array().cast("array<string>").alias("characters"),
+    )
+    said = {1: ["a" * 3, None, "b" * 300], 2: ["c" * 900, *("d" * 50_000 for _ in range(12))]}
+    lines = spark.createDataFrame([(s, i, t) for s, texts in said.items() for i, t in enumerate(texts)], "scene_index int, pos int, text string")
+    views = spark.createDataFrame([(2, 0, "first"), (2, 1, "v" * 60), (1, 0, None)], "scene_index int, pos int, description string")
+    out = fusion.beat_units(beats, lines, views)
+    every = " ".join(t for t in [*said[1], *said[2]][:10] if t is not None)
+    rows = out.select("beat_index", "transcript_summary", "combined_text").collect()
+    assert len(rows) == 200
+    for r in rows:
+        told = r.beat_index % 4 < 3
+        assert r.transcript_summary == (every[:500] if told else "")
+        assert r.combined_text == (f"{fusion.LINES}: {every[:200]} | {fusion.VIEW}: {'v' * 50}" if told else "")
+    sizes = [len(x.text or "") for x in fusion.heads(lines, 10, 500).select(F.explode("lines").alias("x")).select("x.*").collect()]
+    assert len(sizes) == 13 and sum(sizes) == 303 + 500
