@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from framelode.operators import director, fusion, shared
+from framelode.operators import director, entity, fusion, shared
 
 
 def test_open_plans_are_dealt_to_all_tasks_and_their_answers_parsed_once(spark, monkeypatch):
@@ -43,3 +43,33 @@ def test_beats_of_equal_shots_are_laid_out_once_from_cut_lines(spark):
         assert r.combined_text == (f"{fusion.LINES}: {every[:200]} | {fusion.VIEW}: {'v' * 50}" if told else "")
     sizes = [len(x.text or "") for x in fusion.heads(lines, 10, 500).select(F.explode("lines").alias("x")).select("x.*").collect()]
     assert len(sizes) == 13 and sum(sizes) == 303 + 500
+
+
+def test_canonical_ids_need_no_broadcast_and_stop_when_none_moves(spark, monkeypatch):
+    written, plans = shared.written, []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(shared, "written", seen)
+    chain = [(i, i - 1) for i in range(1, 9)] + [(i, i // 3) for i in range(100, 2000) if i // 3 != 0]
+    cycles = [(5001, 5002), (5002, 5003), (5003, 5001), (5010, 5001), (6001, 6002), (6002, 6001), (7, 7), (8, 90)]
+    rows = spark.createDataFrame(chain + cycles, "merged long, kept long")
+    to = {}
+    for merged, kept in chain + cycles:
+        if merged != kept:
+            to[merged] = min(kept, to.get(merged, kept))
+
+    def end(x):
+        at, n = x, 0
+        while at in to and n < 100:
+            at, n = to[at], n + 1
+        return x if n == 100 else at
+
+    assert {(r.id, r.canonical) for r in entity.canonical(rows).collect()} == {(x, end(x)) for x in to}
+    assert not any("Broadcast" in plan for plan in plans)
+    del plans[:]
+    assert entity.canonical(spark.range(1, 5000).select(F.col("id").alias("merged"), F.floor(F.col("id") / 3).alias("kept"))).select("canonical").distinct().count() == 1
+    assert len(plans) <= 6  # thirteen rounds of doubling would be for a chain of all
+    shared.cleaned(spark)
