@@ -96,9 +96,11 @@ def relation_graph(relations: DataFrame, characters: DataFrame, appearances: Dat
 def companions(appearances: DataFrame) -> DataFrame:
     """(character, others): who shares a shot with each character, itself left out, in order."""
     place = joins.place(appearances)
-    pairs = entity.cooccurring(appearances).select(*place, "a", "b")
+    own, tasks = entity.by_shot(appearances)
+    pairs = entity.pairs_of_shots(own, tasks).select(*place, "a", "b")
     each = pairs.select(*place, F.col("a").alias("character"), F.col("b").alias("other")).union(pairs.select(*place, F.col("b").alias("character"), F.col("a").alias("other")))
-    return each.groupBy(*place, "character").agg(F.array_sort(F.collect_set("other")).alias("others"))
+    # a pair is there once, so that a list of them is a set
+    return each.repartition(tasks, *place, "character").groupBy(*place, "character").agg(F.array_sort(F.collect_list("other")).alias("others"))
 
 
 def chapters_merged(clips: DataFrame, shots: DataFrame) -> DataFrame:

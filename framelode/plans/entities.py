@@ -12,7 +12,7 @@ from framelode.sources import adapters as A
 
 @query("cooccurrence_pairs", A.sql("appearances", "SELECT x.character AS a, y.character AS b, count(*) AS n_shared, min(x.shot) AS first_shared FROM appearances x JOIN appearances y ON x.shot = y.shot AND x.character < y.character GROUP BY ALL"))
 def cooccurrence_pairs(spark, sf_dir):
-    return E.cooccurring(A.appearances(spark, sf_dir))
+    return E.cooccurring(A.appearances(spark, sf_dir, once=False))
 
 
 @query(
@@ -21,7 +21,7 @@ def cooccurrence_pairs(spark, sf_dir):
       FROM appearances x JOIN appearances y ON x.shot = y.shot AND x.character < y.character GROUP BY ALL ORDER BY n_shared DESC, a, b LIMIT 40)"""),
 )
 def cooccurrence_top40(spark, sf_dir):
-    return E.cooccurrence_lines(A.appearances(spark, sf_dir)).select("a", "b", "n_shared", "sample")
+    return E.cooccurrence_lines(A.appearances(spark, sf_dir, once=False)).select("a", "b", "n_shared", "sample")
 
 
 @query(

@@ -142,7 +142,7 @@ def relation_graph(spark, sf_dir):
 
 @query("companions", A.sql("appearances", "SELECT a.character, count(DISTINCT b.character) AS n, min(b.character) AS first, max(b.character) AS last FROM appearances a JOIN appearances b ON a.shot = b.shot AND a.character <> b.character GROUP BY a.character"))
 def companions(spark, sf_dir):
-    return S.companions(A.appearances(spark, sf_dir)).select("character", F.size("others").cast("long").alias("n"), F.element_at("others", 1).alias("first"), F.element_at("others", -1).alias("last"))
+    return S.companions(A.appearances(spark, sf_dir, once=False)).select("character", F.size("others").cast("long").alias("n"), F.element_at("others", 1).alias("first"), F.element_at("others", -1).alias("last"))
 
 
 @query("roster_whitelist", "SELECT p_partkey, array_to_string(CASE WHEN p_size % 3 = 0 THEN ['char_' || p_size, 'made_up', 'unknown_4'] ELSE list_filter(['char_' || p_size, 'unknown_4'], lambda x: x <> 'char_' || 1 AND (x = 'unknown_4' OR p_size < 25)) END, ',') AS kept FROM part")

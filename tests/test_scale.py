@@ -1,8 +1,10 @@
 """What keeps a query's cost in step with its tables: rows that are dealt out, parsed once and made small before they are joined."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from framelode.operators import director, entity, fusion, shared
+from framelode.operators import director, entity, fusion, selection, shared
 
 
 def test_open_plans_are_dealt_to_all_tasks_and_their_answers_parsed_once(spark, monkeypatch):
@@ -73,3 +75,22 @@ def test_canonical_ids_need_no_broadcast_and_stop_when_none_moves(spark, monkeyp
     assert entity.canonical(spark.range(1, 5000).select(F.col("id").alias("merged"), F.floor(F.col("id") / 3).alias("kept"))).select("canonical").distinct().count() == 1
     assert len(plans) <= 6  # thirteen rounds of doubling would be for a chain of all
     shared.cleaned(spark)
+
+
+def test_pairs_of_a_shot_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    rows = [(c, s) for s in range(60) for c in range(s % 7 + 1)] * 2 + [(0, 0), (None, 3), (5, None)]
+    who = spark.createDataFrame(rows, "character long, shot long").coalesce(1)
+    monkeypatch.setattr(entity, "TASK_ROWS", 10)
+    got = entity.cooccurring(who)
+    shots, pairs = set(rows), {}
+    for c, s in shots:
+        for d, t in shots:
+            if None not in (c, d, s, t) and s == t and c < d:
+                pairs.setdefault((c, d), set()).add(s)
+    assert {(r.a, r.b): (r.n_shared, r.first_shared) for r in got.collect()} == {k: (len(v), min(v)) for k, v in pairs.items()}
+    n = sum(len(v) for v in pairs.values())
+    for made in (got, entity.overlaps(who), selection.companions(who)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        dealt = [int(x) for x in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)]
+        assert -(-sum(None not in r for r in rows) // 10) in dealt and -(-n // 10) in dealt
+    assert {r.character: r.others for r in selection.companions(who).collect()} == {c: sorted({x for p in pairs if c in p for x in p} - {c}) for c in {x for p in pairs for x in p}}
