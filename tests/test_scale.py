@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from framelode.operators import director, entity, fusion, selection, shared
+from framelode.operators import director, entity, fusion, index, selection, shared
 
 
 def test_open_plans_are_dealt_to_all_tasks_and_their_answers_parsed_once(spark, monkeypatch):
@@ -94,3 +94,14 @@ def test_pairs_of_a_shot_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
         dealt = [int(x) for x in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", plan)]
         assert -(-sum(None not in r for r in rows) // 10) in dealt and -(-n // 10) in dealt
     assert {r.character: r.others for r in selection.companions(who).collect()} == {c: sorted({x for p in pairs if c in p for x in p} - {c}) for c in {x for p in pairs for x in p}}
+
+
+def test_character_units_are_dealt_before_they_are_made_distinct(spark, monkeypatch):
+    monkeypatch.setattr(entity, "TASK_ROWS", 10)
+    rows = [(f"c{i % 9}", i % 40) for i in range(200)] * 2 + [(None, 1), ("c1", None)]
+    who = spark.createDataFrame(rows, "character string, shot long").coalesce(1)
+    units = spark.range(10).select(F.col("id").alias("unit_index"), F.array(F.lit("c3"), F.lit("nobody")).alias("cast"), F.transform(F.array(*map(F.lit, range(4))), lambda i: F.col("id") * 4 + i).alias("shot_ids"))
+    made = index.character_units(who, units)
+    assert sorted(map(tuple, made.collect())) == sorted({("c3", u) for u in range(10)} | {(c, s // 4) for c, s in rows if c is not None and s is not None})
+    dealt = [int(x) for x in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", made._jdf.queryExecution().optimizedPlan().toString())]
+    assert len(dealt) >= 3 and min(dealt) >= 40
