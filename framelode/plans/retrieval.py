@@ -104,11 +104,15 @@ _MERGE = [
 
 @query("merge_dedupe_modalities", A.sql(_MERGE, "SELECT query_id, scene_index, round(score, 6) AS score, match_type, snippet, modalities, n_refs, md5(transcript) AS transcript_md5, md5(vision) AS vision_md5 FROM merged"))
 def merge_dedupe_modalities(spark, sf_dir):
-    out = S.deduplicated(_merged(spark, sf_dir))
+    # hits are dealt by scene alone, once: what follows is of a query and scene or of a scene
+    out = S.deduplicated(_merged(spark, sf_dir).repartition("scene_index"))
     # digests, not texts, meet the hits
-    lines = A.transcripts(spark, sf_dir).select("scene_index", F.col("pos").cast("long").alias("transcript_at"), F.md5("text").alias("transcript_md5"))
-    views = A.scenes(spark, sf_dir).select("scene_index", F.col("scene_index").alias("vision_at"), F.md5("description").alias("vision_md5"))
-    out = out.join(lines, ["scene_index", "transcript_at"], "left").join(views, ["scene_index", "vision_at"], "left")
+    line = F.struct(F.col("pos").cast("long").alias("at"), F.md5("text").alias("md5"))
+    lines = A.transcripts(spark, sf_dir).groupBy("scene_index").agg(F.collect_list(line).alias("lines"))
+    views = A.scenes(spark, sf_dir).groupBy("scene_index").agg(F.min(F.md5("description")).alias("view"))
+    out = out.join(lines, "scene_index", "left").join(views, "scene_index", "left").withColumns({
+        "transcript_md5": F.get(F.filter("lines", lambda x: x["at"] == F.col("transcript_at")), F.lit(0))["md5"], "vision_md5": F.when(F.col("vision_at").isNotNull(), F.col("view")),
+    })
     filled = lambda c: F.coalesce(c, F.md5(F.lit(""))).alias(c)
     return out.select("query_id", "scene_index", F.round("score", 6).alias("score"), "match_type", "snippet", F.array_join("modalities", ",").alias("modalities"), F.size("refs").cast("long").alias("n_refs"), filled("transcript_md5"), filled("vision_md5"))
 

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from framelode.operators import director, entity, fusion, index, selection, shared
+from framelode.plans import registry
 
 
 def test_open_plans_are_dealt_to_all_tasks_and_their_answers_parsed_once(spark, monkeypatch):
@@ -105,3 +106,9 @@ def test_character_units_are_dealt_before_they_are_made_distinct(spark, monkeypa
     assert sorted(map(tuple, made.collect())) == sorted({("c3", u) for u in range(10)} | {(c, s // 4) for c, s in rows if c is not None and s is not None})
     dealt = [int(x) for x in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", made._jdf.queryExecution().optimizedPlan().toString())]
     assert len(dealt) >= 3 and min(dealt) >= 40
+
+
+def test_merged_hits_are_dealt_once_by_their_scene(spark):
+    made = registry.queries()["merge_dedupe_modalities"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and not re.search(r"hashpartitioning\(scene_index#\d+L?, (transcript|vision)_at", plan)
