@@ -40,6 +40,8 @@ RERANK_OLD, RERANK_NEW, RERANK_LEAST, RERANK_REST = 0.3, 0.7, 0.2, 0.3
 VECTOR_TOP, CANDIDATES = 50, 20
 #: Queries that go out at once, and rows that are compared with them at once.
 QUERY_BLOCK, ROW_BLOCK = 4096, 2048
+#: Cosines that a task holds at once; with their places, an order of both and copies they take some 50 bytes each.
+CELLS = 1 << 20
 #: Hits that leave a task at once, or that it holds before it keeps the best, at most.
 HITS = 1 << 18
 #: Queries of a block, with all those that differ in their filters alone.
@@ -352,9 +354,10 @@ def vector_hits(units: DataFrame, queries: DataFrame, n: int = VECTOR_TOP) -> Da
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # by video and length of vector: ids of queries, their vectors, the best scenes and scores so far
             held = {k: [ids, wanted, np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))] for k, (ids, wanted) in own.value.items()}
+            step = max(min(ROW_BLOCK, CELLS // max([len(ids) for ids, _ in own.value.values()], default=1)), 1)
             for whole in batches:
-                for at in range(0, whole.num_rows, ROW_BLOCK):
-                    batch = whole.slice(at, ROW_BLOCK)
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
                     sizes = np.asarray(batch.column("embedding").value_lengths())
                     videos = batch.column("video_id") if video else None
                     for value in videos.unique().to_pylist() if video else [None]:

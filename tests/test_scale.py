@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from framelode.operators import director, entity, fusion, index, selection, shared
+from framelode.operators import director, entity, fusion, index, search, selection, shared
 from framelode.plans import registry
 
 
@@ -108,6 +108,14 @@ def test_character_units_are_dealt_before_they_are_made_distinct(spark, monkeypa
     assert len(dealt) >= 3 and min(dealt) >= 40
 
 
+def test_a_task_of_vector_search_holds_so_many_cosines(spark, monkeypatch):
+    rows = spark.range(90).select(F.col("id").alias("scene_index"), F.array(F.cos(F.col("id") / 90), F.sin(F.col("id") / 90)).alias("embedding")).coalesce(1)
+    asked = rows.where("scene_index % 9 = 0").withColumnRenamed("scene_index", "query_id")
+    whole = search.vector_hits(rows, asked, 4).collect()
+    monkeypatch.setattr(search, "CELLS", 70)
+    assert search.vector_hits(rows, asked, 4).collect() == whole
+
+
 def test_merged_hits_are_dealt_once_by_their_scene(spark):
     made = registry.queries()["merge_dedupe_modalities"](spark, "/root/testdata/sf0.001")
     plan = made._jdf.queryExecution().executedPlan().toString()
