@@ -145,12 +145,73 @@ def _best(query: np.ndarray, scene: np.ndarray, score: np.ndarray, n: int) -> tu
     return query[place < n], scene[place < n], score[place < n]
 
 
-def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str], extra: str, step: Callable, best: Best | None = None, score: Callable | None = None) -> DataFrame:
+class _Pool:
+    """The best scenes of each query of a video that a task has seen. A hit that is no better than the last of a query's n best is not taken in."""
+
+    def __init__(self, queries: int, n: int):
+        self.n, self.size = n, min(HITS, 4 * n * queries)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held, self.limit = 0, self.size
+        self.worst, self.last = np.full(queries, -np.inf), np.zeros(queries, np.int64)
+
+    def add(self, query: np.ndarray, scene: np.ndarray, score: np.ndarray) -> None:
+        worst = self.worst[query]
+        good = ~((score < worst) | ((score == worst) & (scene >= self.last[query])))
+        self.parts.append((query[good], scene[good], score[good]))
+        self.held += int(good.sum())
+        if self.held > self.limit:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        found = query, scene, score = _best(*(np.concatenate(c) for c in zip(none, *self.parts, strict=True)), self.n)
+        self.parts, self.held, self.limit = [found], len(query), max(self.size, 2 * len(query))
+        ends = np.flatnonzero(np.r_[query[1:] != query[:-1], True]) if len(query) else np.zeros(0, int)
+        ends = ends[np.diff(np.r_[-1, ends]) == self.n]
+        self.worst[query[ends]], self.last[query[ends]] = score[ends], scene[ends]
+        return found
+
+
+def _alike(batch: pa.RecordBatch, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the number of its class, rows that are equal in ``columns`` being one, and a row of each class. With lists each row is its own."""
+    every = np.arange(batch.num_rows)
+    if any(pa.types.is_nested(batch.column(c).type) for c in columns):
+        return every, every
+    of = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        code = np.asarray(batch.column(c).dictionary_encode("encode").indices).astype(np.int64)
+        of = np.unique(of * (code.max(initial=0) + 1) + code, return_inverse=True)[1]
+    return of, np.unique(of, return_index=True)[1]
+
+
+def _smallest(of: np.ndarray, scene: np.ndarray, n: int) -> np.ndarray:
+    """The rows of the n smallest scenes of each class, one row a scene, class by class."""
+    order = np.lexsort((scene, of))
+    first = np.ones(len(order), bool)
+    first[1:] = (of[order][1:] != of[order][:-1]) | (scene[order][1:] != scene[order][:-1])
+    order = order[first]
+    of = of[order]
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+    return order[np.arange(len(of)) - np.repeat(starts, np.diff(np.r_[starts, len(of)])) < n]
+
+
+def _allowed(asked: _Asked, batch: pa.RecordBatch) -> tuple[np.ndarray, list[list[int]]]:
+    """For each row, with ``_ATTRIBUTES``, which of the lists of patterns that follow allow its scene, -1 for none. A scene is looked at once."""
+    scene, first = _alike(batch, [c for c in ("video_id", "scene_index") if c in batch.schema.names])
+    scenes = batch.select(list(_ATTRIBUTES)).take(pa.array(first))
+    number: dict[tuple, int] = {}
+    of = [number.setdefault(p, len(number)) if (p := tuple(asked.allowing(*s))) else -1 for s in zip(*(scenes.column(c).to_pylist() for c in _ATTRIBUTES), strict=True)]
+    return np.array(of, np.int64)[scene], [list(p) for p in number]
+
+
+def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str], extra: str, step: Callable, best: Best | int | None = None, score: Callable | None = None) -> DataFrame:
     """``rows`` without ``texts`` and with query_id and the long columns of ``extra``, a row for each hit. ``step(table, batch)`` gives for each
     row of the batch the queries that it hits, as an array of their places, and an array of each of ``extra``.
 
     With ``best``, instead: query_id, the scene's key and ``by``, the score to its digits, of the ``best`` scenes that each task finds for each query among those that its
-    filters allow. ``score(batch, rows of hits, *extra)`` gives the hits' scores."""
+    filters allow. ``step(table, batch)`` then gives for each row the places of the terms that it holds, one for each time that they count, and ``score(batch, rows of hits, counts, sizes)`` the hits'
+    scores. Rows of a batch that are equal but for their scene, and that the same filters allow, have equal scores: they are read once, and of them the ``best`` smallest scenes count."""
+    best = Best(best) if isinstance(best, int) else best
     video = "video_id" if "video_id" in rows.columns and "video_id" in queries.columns else None
     key, extra = scene_key(rows) if video else ["scene_index"], extra.split()
     kept = [c for c in rows.columns if c not in texts and c not in _ATTRIBUTES]
@@ -165,6 +226,9 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
     else:
         schema = StructType([*(rows.schema[c] for c in kept), queries.schema["query_id"], *(StructField(c, LongType()) for c in extra)])
     id_type, names = to_arrow_type(queries.schema["query_id"].dataType), schema.names
+    # what scores depend on
+    told = [c for c in rows.columns if c not in key and c not in _ATTRIBUTES]
+
     # the rows of one video, of a batch
     def parts_of(batch: pa.RecordBatch, own: dict) -> Iterator[tuple[object, pa.RecordBatch]]:
         if video is None:
@@ -178,39 +242,46 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
     def scan(shared_block: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[object, _Asked] = shared_block.value
-            # n best scenes of each video's queries: place of the query, scene, score
-            pool: dict[object, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-            held: dict[object, int] = {}
-            limit: dict[object, int] = {}
+            pools: dict[object, _Pool] = {}
             for whole in batches:
                 for value, part in parts_of(whole, own):
                     asked_by, table = own[value], own[value].table
                     every = list(range(len(asked_by.members)))
                     if filtered:  # scenes that no query may find aren't read
-                        scenes = list(zip(*(part.column(c).to_pylist() for c in _ATTRIBUTES), strict=True))
-                        patterns = [asked_by.allowing(*scene) for scene in scenes]
-                        part = part.filter(pa.array([bool(p) for p in patterns], pa.bool_()))
-                        patterns = [p for p in patterns if p]
+                        allowed, patterns = _allowed(asked_by, part)
+                        part, allowed = part.filter(pa.array(allowed >= 0)), allowed[allowed >= 0]
+                    else:
+                        allowed, patterns = np.zeros(part.num_rows, np.int64), [every]
+                    if best:
+                        if value not in pools:
+                            pools[value] = _Pool(len(asked_by.ids), best.n)
+                        scenes = np.asarray(part.column("scene_index"))
+                        alike, first = _alike(part, told)
+                        few = _smallest(alike * len(patterns) + allowed, scenes, best.n)
+                        rows_at_once = max(1, HITS // max(1, table.pairs))
+                        for at in range(0, len(few), rows_at_once):
+                            some = few[at : at + rows_at_once]
+                            kinds, kind = np.unique(alike[some], return_inverse=True)
+                            counts = table.counted(step(table, part.take(pa.array(first[kinds]))))
+                            for n in np.unique(allowed[some]).tolist():
+                                mine = np.flatnonzero(allowed[some] == n)
+                                for entries, members in (asked_by.members[p] for p in patterns[n]):
+                                    cells = counts[kind[mine]][:, entries]
+                                    hit, entry = np.nonzero(cells)
+                                    row = some[mine[hit]]
+                                    by = score(part, row, cells[hit, entry], table.sizes[entries[entry]])
+                                    pools[value].add(members[entry], scenes[row], by if best.digits is None else np.round(by, best.digits))
+                        continue
                     rows_at_once = max(1, HITS // max(1, len(table.ids)))
                     for at in range(0, part.num_rows, rows_at_once):
                         batch = part.slice(at, rows_at_once)
-                        found = [asked_by.expanded(f, patterns[at + n] if filtered else every) for n, f in enumerate(step(table, batch))]
+                        found = [asked_by.expanded(f, patterns[allowed[at + n]]) for n, f in enumerate(step(table, batch))]
                         hit = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
                         places, *more = (np.concatenate(c) for c in zip(*found, strict=True))
-                        if not best:
-                            picked = batch.select(kept).take(pa.array(hit))
-                            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(asked_by.ids, id_type).take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
-                            continue
-                        by = score(batch, hit, *more)
-                        by = by if best.digits is None else np.round(by, best.digits)
-                        pool.setdefault(value, []).append((places, np.asarray(batch.column("scene_index"))[hit], by))
-                        held[value] = held.get(value, 0) + len(hit)
-                        if held[value] > limit.get(value, HITS):
-                            pool[value] = [_best(*(np.concatenate(c) for c in zip(*pool[value], strict=True)), best.n)]
-                            held[value] = len(pool[value][0][0])
-                            limit[value] = max(HITS, 2 * held[value])
-            for value, parts in pool.items():
-                places, scenes, by = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), best.n)
+                        picked = batch.select(kept).take(pa.array(hit))
+                        yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(asked_by.ids, id_type).take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
+            for value, pool in pools.items():
+                places, scenes, by = pool.best()
                 columns = [pa.array(scenes, to_arrow_type(schema["scene_index"].dataType)), pa.array(own[value].ids, id_type).take(pa.array(places)), pa.array(by)]
                 if video:
                     columns.insert(0, pa.array([value] * len(scenes), to_arrow_type(schema[video].dataType)))
@@ -227,7 +298,7 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 
-def matched(rows: DataFrame, queries: DataFrame, text: str, best: Best | None = None, score: Callable = lambda batch, hit, share: share) -> DataFrame:
+def matched(rows: DataFrame, queries: DataFrame, text: str, best: Best | int | None = None, score: Callable = lambda batch, hit, share: share) -> DataFrame:
     """Every row, without its column ``text``, with each query (query_id, query) of which that holds a term: ``share`` of its terms, repeated
     ones each time. With ``best`` the scenes that are best by ``score(batch, rows of hits, shares)``."""
 
@@ -237,8 +308,12 @@ def matched(rows: DataFrame, queries: DataFrame, text: str, best: Best | None =
             hit = np.flatnonzero(counts)
             yield hit, counts[hit], table.sizes[hit]
 
-    found = _scanned(rows.withColumn("_low", F.lower(text)).drop(text), queries, T.tokens(F.col("query")), ["_low"], "_held _size", step, best, lambda batch, hit, held, size: score(batch, hit, held / size))
-    return found if best else found.withColumn("share", F.col("_held") / F.col("_size")).drop("_held", "_size")
+    rows, terms = rows.withColumn("_low", F.lower(text)).drop(text), T.tokens(F.col("query"))
+    if best:
+        held = lambda table, batch: map(table.places, batch.column("_low").to_pylist())
+        return _scanned(rows, queries, terms, ["_low"], "", held, best, lambda batch, hit, held, size: score(batch, hit, held / size))
+    found = _scanned(rows, queries, terms, ["_low"], "_held _size", step)
+    return found.withColumn("share", F.col("_held") / F.col("_size")).drop("_held", "_size")
 
 
 def _hits(rows: DataFrame, kind: str, score: Column, ref: Column, transcript: Column | None = None, vision: Column | None = None) -> DataFrame:
@@ -315,15 +390,13 @@ def index_hits(index: DataFrame, queries: DataFrame, best: Best | None = None) -
             in_said, in_seen = (table.counts(table.held(text))[hit] > 0 for text in ((said, seen) if len(hit) else (None, None)))
             yield hit, counts[hit], table.sizes[hit], in_said, in_seen
 
-    def brief(table: TermTable, batch: pa.RecordBatch) -> Iterator[tuple]:
+    def brief(table: TermTable, batch: pa.RecordBatch) -> Iterator[list[int]]:
         for low, keywords in zip(batch.column("_low").to_pylist(), batch.column("_keywords").to_pylist(), strict=True):
-            counts = counted(table, low, keywords)
-            hit = np.flatnonzero(counts)
-            yield hit, counts[hit], table.sizes[hit]
+            yield [*table.places(low), *(table.at[k] for k in set(keywords or ()) if k in table.at)]
 
     if best:
         few = rows.drop("snippet", "_said", "_seen")
-        return _scanned(few, queries, T.query_terms(F.col("query")), ["_low", "_keywords"], "matches size", brief, best, lambda batch, hit, matches, size: _index_score(matches, size))
+        return _scanned(few, queries, T.query_terms(F.col("query")), ["_low", "_keywords"], "", brief, best, lambda batch, hit, matches, size: _index_score(matches, size))
     found = _scanned(rows, queries, T.query_terms(F.col("query")), [*texts, "_keywords"], "matches size said seen", step)
     either = F.array_compact(F.array(F.when(F.col("said") > 0, "transcript"), F.when(F.col("seen") > 0, "vision")))
     found = found.withColumn("modalities", F.when(F.size(either) > 0, either).otherwise(F.array(F.lit("index"))))

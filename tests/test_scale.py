@@ -2,8 +2,10 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from framelode.functions import terms
 from framelode.operators import director, entity, fusion, index, search, selection, shared
 from framelode.plans import registry
 
@@ -120,3 +122,77 @@ def test_merged_hits_are_dealt_once_by_their_scene(spark):
     made = registry.queries()["merge_dedupe_modalities"](spark, "/root/testdata/sf0.001")
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and not re.search(r"hashpartitioning\(scene_index#\d+L?, (transcript|vision)_at", plan)
+
+
+def _plain_best(texts, asked, n):
+    """Brute force: (query, scene, share) of the n best scenes of each query."""
+    out = []
+    for q, query in asked:
+        terms = query.lower().split()
+        of = {}
+        for scene, text, weight in texts:
+            if k := sum(t in (text or "") for t in terms):
+                of[scene] = max(of.get(scene, 0), k / len(terms) * weight)
+        out += [(q, s, round(by, 9)) for s, by in sorted(of.items(), key=lambda x: (-x[1], x[0]))[:n]]
+    return sorted(out)
+
+
+def test_equal_rows_are_read_once_and_their_smallest_scenes_count(spark, tmp_path):
+    read = str(tmp_path / "read")
+    texts = [(s, f"click {s % 7} of user", s % 2 + 1.0) for s in range(2999, -1, -1)] * 2 + [(3, None, 1.0)]
+    asked = [(q, f"click {q} q{q} user") for q in range(9)]
+    rows = spark.createDataFrame(texts, "scene_index long, _low string, weight double").coalesce(1)
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+
+    def step(table, batch):
+        for low in batch.column("_low").to_pylist():
+            with open(read, "a") as f:
+                f.write(f"{low}\n")
+            yield table.places(low)
+
+    score = lambda batch, hit, held, size: held / size * batch.column("weight").to_numpy()[hit]
+    found = search._scanned(rows, queries, F.split(F.lower("query"), " "), ["_low"], "", step, search.Best(5), score).collect()
+    assert sorted((r.query_id, r.scene_index, round(r.by, 9)) for r in found) == _plain_best(texts, asked, 5)
+    assert len(open(read).read().splitlines()) <= 3 * 16  # 14 kinds of rows and the empty one, of at most three batches
+
+
+def test_best_scenes_with_filters_are_those_of_brute_force(spark):
+    texts = [(s, f"{'tense' if s % 3 else 'calm'} word{s % 11} user{s // 2 % 5}", 1.0) for s in range(400)] * 3
+    rows = spark.createDataFrame([(s, t, 100 * s, 100 * s + 100, [s % 4], ["kind" if s % 2 else "else"]) for s, t, _ in texts], "scene_index long, text string, _start long, _end long, _cast array<int>, _kinds array<string>").coalesce(1)
+    asked = [(i, f"tense word{i % 11} u", None if i % 2 else 1000 * i, None if i % 3 else 2, "Kind" if i % 5 == 0 else None) for i in range(30)]
+    queries = spark.createDataFrame(asked, "query_id int, query string, start_cs long, character int, scene_type string").withColumn("end_cs", F.lit(None).cast("long"))
+    found = search.matched(rows, queries, "text", search.Best(6)).collect()
+    expected = []
+    for i, query, start, who, kind in asked:
+        own = [x for x in texts if (start is None or 100 * x[0] >= start) and (who is None or x[0] % 4 == who) and (kind is None or x[0] % 2)]
+        expected += _plain_best(own, [(i, query)], 6)
+    assert sorted((r.query_id, r.scene_index, round(r.by, 9)) for r in found) == sorted(expected)
+
+
+def test_a_hit_no_better_than_the_last_of_the_best_is_not_held():
+    rng = np.random.default_rng(5)
+    pool, every = search._Pool(7, 4), []
+    for _ in range(60):
+        query, scene, score = rng.integers(0, 7, 500), rng.integers(0, 900, 500), rng.integers(0, 6, 500) / 5
+        every += zip(query.tolist(), scene.tolist(), score.tolist())
+        pool.add(query, scene, score)
+        assert pool.held <= max(pool.size, 2 * 28)
+    best = {}
+    for q, s, by in every:
+        best[q, s] = max(by, best.get((q, s), 0))
+    expected = [x for q in range(7) for x in sorted(((q, s, by) for (p, s), by in best.items() if p == q), key=lambda x: (-x[2], x[1]))[:4]]
+    assert list(zip(*(c.tolist() for c in pool.best()))) == expected
+    before = pool.held
+    pool.add(np.arange(7), np.full(7, 899), np.zeros(7))
+    assert pool.held == before
+
+
+def test_common_terms_are_looked_for_alone():
+    asked = [("a", ["e", "word", "e", "ñga"]), ("b", ["word1", "e"]), ("c", ["nothing"])]
+    table = terms.TermTable(asked)
+    texts = [f"eee ee ee e e eeeeeeeeeeeeee word{i}" for i in range(terms.PROBED)] + ["word1 ñga", "", None, "nothing e"]
+    held = [table.places(t) for t in texts]
+    assert [w for _, w in table._common] == ["e"]
+    assert [{table.terms[i] for i in h} for h in held] == [{t for t in table.of if t in (x or "")} for x in texts]
+    assert table.counted(held).tolist() == [table.counts(table.held(x)).tolist() for x in texts]
+    assert table.counted([[table.at["word1"]] * 2, []]).tolist() == [[0, 2, 0], [0, 0, 0]] and table.counted([]).shape == (0, 3)
