@@ -570,13 +570,18 @@ def best_scenes(layers: Layer, tables: dict[str, DataFrame], n: int, more: DataF
 
 
 def attributes(memory: dict[str, DataFrame], queries: DataFrame) -> DataFrame | None:
-    """What the filters of the queries ask of scenes: each scene's times, characters and lower-cased types, null where it has no shot, nobody or no view. None without filters."""
+    """What the filters of the queries ask of scenes: each scene's times, characters (of those that are asked for) and lower-cased types, null where it has no shot, none of them or no view. None without
+    filters."""
     asked = [f for f in FILTERS if f in queries.columns]
     if not asked:
         return None
     key = scene_key(memory["shots"])
     times = asked_for(memory["shots"], queries).groupBy(*key).agg(F.min("start_cs").alias("_start"), F.max("end_cs").alias("_end"))
-    who = asked_for(memory["appearances"], queries).select(*[c for c in key if c != "scene_index"], F.col("shot").alias("scene_index"), "character").groupBy(*key).agg(F.collect_set("character").alias("_cast"))
+    place = [c for c in key if c != "scene_index"]
+    own = [*joins.place(memory["appearances"], queries), "character"]
+    # before they are dealt to their scenes, appearances are those of the characters asked for
+    wanted = queries.select(*own).distinct() if "character" in asked else memory["appearances"].select(*own).limit(0)
+    who = memory["appearances"].join(joins.small(wanted), own, "left_semi").select(*place, F.col("shot").alias("scene_index"), "character").groupBy(*key).agg(F.collect_set("character").alias("_cast"))
     kinds = asked_for(memory["vision"], queries).groupBy(*key).agg(F.collect_set(F.lower("scene_type")).alias("_kinds"))
     return times.join(who, key, "full").join(kinds, key, "full")
 
@@ -623,6 +628,7 @@ def search_memory(
             queries = queries.withColumn(name, F.lit(given))
     queries = shared.written(known_filters(queries, memory["appearances"]), "queries")
     scenes = attributes(memory, queries)
+    scenes = None if scenes is None else shared.written(scenes, "attributes")
     # a vector is searched once for all queries that have it
     first = queries.where("embedding is not null").groupBy("embedding", *joins.place(memory["units"], queries)).agg(F.min("query_id").alias("_first"))
     first = shared.written(first, "vectors")
@@ -636,7 +642,7 @@ def search_memory(
 
     texts = {name: asked_for(memory[name], queries) for name in ("transcripts", "vision", "events", "index")}
     if scenes is not None:
-        own = joins.small(shared.written(scenes, "attributes"))
+        own = joins.small(scenes)
         texts = {name: rows.join(own, scene_key(rows), "left") for name, rows in texts.items()}
     found = best_scenes(layers, texts, CANDIDATES, near, digits)
     key = scene_key(found)

@@ -196,3 +196,15 @@ def test_common_terms_are_looked_for_alone():
     assert [{table.terms[i] for i in h} for h in held] == [{t for t in table.of if t in (x or "")} for x in texts]
     assert table.counted(held).tolist() == [table.counts(table.held(x)).tolist() for x in texts]
     assert table.counted([[table.at["word1"]] * 2, []]).tolist() == [[0, 2, 0], [0, 0, 0]] and table.counted([]).shape == (0, 3)
+
+
+def test_attributes_hold_the_characters_that_are_asked_for(spark):
+    memory = {
+        "shots": spark.range(6).select(F.col("id").alias("scene_index"), F.col("id").alias("start_cs"), F.col("id").alias("end_cs")),
+        "appearances": spark.range(60).select((F.col("id") % 10).alias("character"), (F.col("id") % 6).alias("shot")),
+        "vision": spark.range(4).select(F.col("id").alias("scene_index"), F.lit("Src").alias("scene_type")),
+    }
+    asked = spark.createDataFrame([(1, 4), (2, None), (3, 4)], "query_id int, character long")
+    got = {r.scene_index: r._cast for r in search.attributes(memory, asked).collect()}
+    assert got == {s: [4] if s % 2 == 0 else None for s in range(6)}
+    assert {r._cast for r in search.attributes(memory, asked.select("query_id", F.lit("src").alias("scene_type"))).collect()} == {None}
