@@ -208,3 +208,18 @@ def test_attributes_hold_the_characters_that_are_asked_for(spark):
     got = {r.scene_index: r._cast for r in search.attributes(memory, asked).collect()}
     assert got == {s: [4] if s % 2 == 0 else None for s in range(6)}
     assert {r._cast for r in search.attributes(memory, asked.select("query_id", F.lit("src").alias("scene_type"))).collect()} == {None}
+
+
+def test_faces_of_one_vector_are_compared_once_and_chains_end_in_their_smallest_core(spark, monkeypatch):
+    from framelode.operators import cluster
+
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    # a chain in both directions whose faces touch the next alone, sixty equal faces, a border face, one far off, and zero vectors
+    chain = [(n, turn(d)) for n, d in zip([9, 3, 12, 0, 7, 5, 11, 2], range(0, 320, 40), strict=True)]
+    rows = [(v, 1000 * v + n, e) for v in (1, 2) for n, e in chain] + [(3, 3000 + n, turn(10)) for n in range(60)] + [(3, 3100, turn(60)), (3, 3101, turn(200)), (3, 3102, [0.0, 0.0]), (3, 3103, [0.0, 0.0]), (3, 3104, [0.0, 0.0])]
+    faces = spark.createDataFrame(rows, "video long, face_id long, embedding array<double>")
+    seen, pairs = [], cluster._block_pairs
+    monkeypatch.setattr(cluster, "_block_pairs", lambda own, *a: seen.append(own.count()) or pairs(own, *a))
+    found = dict(map(tuple, cluster.density_labels(faces, 0.42, 3, "video").collect()))
+    assert found == {1000 * v + n: 1000 * v for v in (1, 2) for n, _ in chain} | {3000 + n: 3000 for n in range(60)} | {3100: 3000, 3101: -1, 3102: -1, 3103: -1, 3104: -1}
+    assert seen == [16 + 1 + 1 + 1 + 1]
