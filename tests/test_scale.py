@@ -223,3 +223,26 @@ def test_faces_of_one_vector_are_compared_once_and_chains_end_in_their_smallest_
     found = dict(map(tuple, cluster.density_labels(faces, 0.42, 3, "video").collect()))
     assert found == {1000 * v + n: 1000 * v for v in (1, 2) for n, _ in chain} | {3000 + n: 3000 for n in range(60)} | {3100: 3000, 3101: -1, 3102: -1, 3103: -1, 3104: -1}
     assert seen == [16 + 1 + 1 + 1 + 1]
+
+
+def test_faces_go_only_where_their_cluster_meets_another(spark, monkeypatch):
+    from framelode.operators import cluster
+
+    for name, value in {"BLOCK": 6, "FEW": 6, "PAIRS": 20, "AT_ONCE": 40}.items():
+        monkeypatch.setattr(cluster, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    sizes = [1, 2, 3, 30, 12, 1, 2, 3, 2, 2, 4, 1, 1, 1, 2, 3]
+    rows = [(n % 2, c, e) for n, c in enumerate(np.repeat(np.arange(16), sizes).tolist()) for e in [rng.normal(size=5)]]
+    rows = [(c // 8, n, c, e.tolist()) for n, (_, c, e) in enumerate(rows)]
+    faces = spark.createDataFrame(rows, "video long, face_id long, c long, embedding array<double>")
+    pairs = [(0, 3), (1, 3), (2, 3), (3, 4), (0, 1), (5, 6), (8, 9), (10, 15)]
+    unit = lambda c: np.stack([np.array(e) / np.linalg.norm(e) for _, _, k, e in rows if k == c])
+    top = {(x, y): np.sort((unit(x) @ unit(y).T).ravel())[::-1][:5] for x, y in pairs}
+    dealt, repartition = [], type(faces).repartition
+    monkeypatch.setattr(type(faces), "repartition", lambda self, *a: (dealt.append(self.count()) if "i" in a else None) or repartition(self, *a))
+    found = cluster.top_pair_mean(faces, "c", 5, "video", spark.createDataFrame(pairs, "x long, y long"))
+    assert {(r.x, r.y): (round(r.link, 9), round(r.strong, 9)) for r in found.collect()} == {p: (round(s.mean(), 9), round(s[0], 9)) for p, s in top.items()}
+    far = spark.createDataFrame([(1, n, n, np.eye(60)[n // 3].tolist()) for n in range(180)], "video long, face_id long, c long, embedding array<double>")
+    own = spark.createDataFrame([(3 * n, 3 * n + 1, 1.0) for n in range(50)], "x long, y long, centroid double")
+    assert {(r.x, r.y, r.link) for r in cluster.top_pair_mean(far, "c", 5, "video", own).collect()} == {(3 * n, 3 * n + 1, 1.0) for n in range(50)}
+    assert dealt[-1] == 100
