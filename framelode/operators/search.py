@@ -44,8 +44,8 @@ QUERY_BLOCK, ROW_BLOCK = 4096, 2048
 CELLS = 1 << 20
 #: Hits that leave a task at once, or that it holds before it keeps the best, at most.
 HITS = 1 << 18
-#: Queries of a block, with all those that differ in their filters alone.
-MEMBERS = 1 << 18
+#: Queries of a block, with all those that differ in their filters alone; each block reads all rows, and a query takes some 200 bytes in a task.
+MEMBERS = 1 << 20
 #: The columns of queries that restrict what they find.
 FILTERS = ("character", "start_cs", "end_cs", "scene_type")
 
@@ -82,6 +82,8 @@ class _Asked:
         self.table = TermTable([(n, r.terms) for n, r in enumerate(rows)])
         every = [(n, m) for n, r in enumerate(rows) for m in r.members]
         self.ids = [m.query_id for _, m in every]
+        #: By query: its entry and its place.
+        self.entry, self.place = np.array([n for n, _ in every], np.int64), {i: p for p, i in enumerate(self.ids)}
         of: dict[tuple, list[tuple[int, int]]] = {}
         for place, (n, m) in enumerate(every):
             of.setdefault(tuple(m[f] if f in m else None for f in FILTERS), []).append((n, place))
@@ -120,8 +122,17 @@ class _Asked:
         return np.concatenate(places), *(c[row] for c in found[1:])
 
 
-#: Columns that rows have where queries have filters.
-_ATTRIBUTES = ("_start", "_end", "_cast", "_kinds")
+    def picked(self, found: tuple[np.ndarray, ...], wanted: list) -> tuple[np.ndarray, ...]:
+        """What was found of a row, entries and more, for those of the queries ``wanted`` that are of this block."""
+        at = np.full(len(self.table.ids), -1)
+        at[found[0]] = np.arange(len(found[0]))
+        places = np.array([self.place[q] for q in wanted if q in self.place], np.int64)
+        row = at[self.entry[places]]
+        return places[row >= 0], *(c[row[row >= 0]] for c in found[1:])
+
+
+#: Columns that rows have where queries have filters, and the column of the queries that a row is read for, where those are known.
+_ATTRIBUTES, _WANTED = ("_start", "_end", "_cast", "_kinds"), "_wanted"
 
 
 class Best(NamedTuple):
@@ -204,9 +215,9 @@ def _allowed(asked: _Asked, batch: pa.RecordBatch) -> tuple[np.ndarray, list[lis
     return np.array(of, np.int64)[scene], [list(p) for p in number]
 
 
-def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str], extra: str, step: Callable, best: Best | int | None = None, score: Callable | None = None) -> DataFrame:
+def _scanned(rows: DataFrame, queries: DataFrame, terms: Column | Callable[[Column], Column], texts: list[str], extra: str, step: Callable, best: Best | int | None = None, score: Callable | None = None) -> DataFrame:
     """``rows`` without ``texts`` and with query_id and the long columns of ``extra``, a row for each hit. ``step(table, batch)`` gives for each
-    row of the batch the queries that it hits, as an array of their places, and an array of each of ``extra``.
+    row of the batch the queries that it hits, as an array of their places, and an array of each of ``extra``. Rows with ``_WANTED`` give hits of those queries alone, whose filters have let them pass.
 
     With ``best``, instead: query_id, the scene's key and ``by``, the score to its digits, of the ``best`` scenes that each task finds for each query among those that its
     filters allow. ``step(table, batch)`` then gives for each row the places of the terms that it holds, one for each time that they count, and ``score(batch, rows of hits, counts, sizes)`` the hits'
@@ -214,9 +225,10 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
     best = Best(best) if isinstance(best, int) else best
     video = "video_id" if "video_id" in rows.columns and "video_id" in queries.columns else None
     key, extra = scene_key(rows) if video else ["scene_index"], extra.split()
-    kept = [c for c in rows.columns if c not in texts and c not in _ATTRIBUTES]
+    kept = [c for c in rows.columns if c not in texts and c not in _ATTRIBUTES and c != _WANTED]
+    picked = _WANTED in rows.columns
     of = [video] if video else []
-    asked = queries.select("query_id", *of, *[c for c in FILTERS if c in queries.columns], terms.alias("terms")).where(F.size("terms") > 0)
+    asked = queries.select("query_id", *of, *[c for c in FILTERS if c in queries.columns], (terms(F.col("query")) if callable(terms) else terms).alias("terms")).where(F.size("terms") > 0)
     # a text is searched once for all queries of the same terms
     member = F.struct("query_id", *[c for c in FILTERS if c in queries.columns]).alias("member")
     asked = asked.groupBy("terms", *of).agg(F.collect_list(member).alias("members"))
@@ -275,11 +287,15 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
                     rows_at_once = max(1, HITS // max(1, len(table.ids)))
                     for at in range(0, part.num_rows, rows_at_once):
                         batch = part.slice(at, rows_at_once)
-                        found = [asked_by.expanded(f, patterns[allowed[at + n]]) for n, f in enumerate(step(table, batch))]
+                        found = step(table, batch)
+                        if picked:
+                            found = [asked_by.picked(f, w) for f, w in zip(found, batch.column(_WANTED).to_pylist(), strict=True)]
+                        else:
+                            found = [asked_by.expanded(f, patterns[allowed[at + n]]) for n, f in enumerate(found)]
                         hit = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
                         places, *more = (np.concatenate(c) for c in zip(*found, strict=True))
-                        picked = batch.select(kept).take(pa.array(hit))
-                        yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(asked_by.ids, id_type).take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
+                        shown = batch.select(kept).take(pa.array(hit))
+                        yield pa.RecordBatch.from_arrays([*shown.columns, pa.array(asked_by.ids, id_type).take(pa.array(places)), *(pa.array(c.astype(np.int64)) for c in more)], names)
             for value, pool in pools.items():
                 places, scenes, by = pool.best()
                 columns = [pa.array(scenes, to_arrow_type(schema["scene_index"].dataType)), pa.array(own[value].ids, id_type).take(pa.array(places)), pa.array(by)]
@@ -289,12 +305,15 @@ def _scanned(rows: DataFrame, queries: DataFrame, terms: Column, texts: list[str
 
         return rows.mapInArrow(run, schema)
 
-    parts = []
-    for block in _blocks(asked, F.size("members")):
-        by_video: dict[object, list] = {}
-        for r in block:
-            by_video.setdefault(r[video] if video else None, []).append(r)
-        parts.append(scan(rows.sparkSession.sparkContext.broadcast({v: _Asked(own) for v, own in by_video.items()})))
+    # layers that read the same terms of the queries, and both passes over them, share what is sent out
+    sent = queries.__dict__.setdefault("_sent", {}).setdefault((terms, video), []) if callable(terms) else []
+    if not sent:
+        for block in _blocks(asked, F.size("members")):
+            by_video: dict[object, list] = {}
+            for r in block:
+                by_video.setdefault(r[video] if video else None, []).append(r)
+            sent.append(rows.sparkSession.sparkContext.broadcast({v: _Asked(own) for v, own in by_video.items()}))
+    parts = [scan(block) for block in sent]
     return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], schema)
 
 
@@ -308,7 +327,7 @@ def matched(rows: DataFrame, queries: DataFrame, text: str, best: Best | int | N
             hit = np.flatnonzero(counts)
             yield hit, counts[hit], table.sizes[hit]
 
-    rows, terms = rows.withColumn("_low", F.lower(text)).drop(text), T.tokens(F.col("query"))
+    rows, terms = rows.withColumn("_low", F.lower(text)).drop(text), T.tokens
     if best:
         held = lambda table, batch: map(table.places, batch.column("_low").to_pylist())
         return _scanned(rows, queries, terms, ["_low"], "", held, best, lambda batch, hit, held, size: score(batch, hit, held / size))
@@ -326,7 +345,7 @@ def _hits(rows: DataFrame, kind: str, score: Column, ref: Column, transcript: Co
 
 def _kept(rows: DataFrame) -> list[str]:
     """The columns that a layer passes on: the scene's key and what filters ask of it."""
-    return [*scene_key(rows), *(c for c in _ATTRIBUTES if c in rows.columns)]
+    return [*scene_key(rows), *(c for c in (*_ATTRIBUTES, _WANTED) if c in rows.columns)]
 
 
 def _snippet(text: Column) -> Column:
@@ -396,8 +415,8 @@ def index_hits(index: DataFrame, queries: DataFrame, best: Best | None = None) -
 
     if best:
         few = rows.drop("snippet", "_said", "_seen")
-        return _scanned(few, queries, T.query_terms(F.col("query")), ["_low", "_keywords"], "", brief, best, lambda batch, hit, matches, size: _index_score(matches, size))
-    found = _scanned(rows, queries, T.query_terms(F.col("query")), [*texts, "_keywords"], "matches size said seen", step)
+        return _scanned(few, queries, T.query_terms, ["_low", "_keywords"], "", brief, best, lambda batch, hit, matches, size: _index_score(matches, size))
+    found = _scanned(rows, queries, T.query_terms, [*texts, "_keywords"], "matches size said seen", step)
     either = F.array_compact(F.array(F.when(F.col("said") > 0, "transcript"), F.when(F.col("seen") > 0, "vision")))
     found = found.withColumn("modalities", F.when(F.size(either) > 0, either).otherwise(F.array(F.lit("index"))))
     score = N.half_even(F.least(F.col("matches") / (F.col("size") * 2), F.lit(INDEX_CAP)) * INDEX_WEIGHT, 3)
@@ -553,17 +572,17 @@ def _compared(digits: int | None) -> Column:
     return F.col("score") if digits is None else F.round("score", digits)
 
 
-def best_scenes(layers: Layer, tables: dict[str, DataFrame], n: int, more: DataFrame | None = None, digits: int | None = 9) -> DataFrame:
+def best_scenes(layers: Layer, tables: dict[str, DataFrame], n: int, more: DataFrame | None = None, digits: int | None = 9, plain: dict[str, DataFrame] | None = None) -> DataFrame:
     """The n best scenes of each query among the hits of ``layers(tables, best)`` and of ``more``, deduplicated, with their rank. Scores alone, to ``digits`` digits or as they are, decide which these
-    are, and a task passes on its n best; only the rows of those scenes are then searched again for all that a hit shows."""
+    are, and a task passes on its n best; only the rows of those scenes are then searched again, each for the queries that it is among the best of, for all that a hit shows. plain: the tables as they are without what filters need."""
     found = layers(tables, Best(n, digits))
     if more is not None:
         found = [*found, more.select(*scene_key(more), "query_id", _compared(digits).alias("by"))]
     key = scene_key(found[0])
     scores = reduce(DataFrame.unionByName, found).groupBy("query_id", *key).agg(F.max("by").alias("by"))
     best = shared.written(top(scores, n, "by").select("query_id", *key, "rank"), "scenes")
-    scenes = joins.small(best.select(*key).distinct())
-    narrow = {name: rows.join(scenes, key, "left_semi") for name, rows in tables.items()}
+    scenes = joins.small(shared.written(best.groupBy(*key).agg(F.collect_list("query_id").alias(_WANTED)), "wanted"))
+    narrow = {name: rows.join(scenes, key) for name, rows in (plain or tables).items()}
     every = layers(narrow, None)
     hits = merged(every if more is None else [more, *every]).join(joins.small(best.select("query_id", *key)), ["query_id", *key], "left_semi")
     return deduplicated(hits).join(joins.small(best), ["query_id", *key])
@@ -640,11 +659,11 @@ def search_memory(
         found = [of(rows[name], queries, best) for name, of in (("transcripts", transcript_hits), ("vision", vision_hits), ("events", event_hits), ("index", index_hits))]
         return found if best else [*found[:3], found[3].drop("matches")]
 
-    texts = {name: asked_for(memory[name], queries) for name in ("transcripts", "vision", "events", "index")}
+    texts = plain = {name: asked_for(memory[name], queries) for name in ("transcripts", "vision", "events", "index")}
     if scenes is not None:
         own = joins.small(scenes)
         texts = {name: rows.join(own, scene_key(rows), "left") for name, rows in texts.items()}
-    found = best_scenes(layers, texts, CANDIDATES, near, digits)
+    found = best_scenes(layers, texts, CANDIDATES, near, digits, plain)
     key = scene_key(found)
     found = shared.written(found.withColumn("index", F.col("rank") - 1).drop("rank"), "candidates")
     if answers is not None:

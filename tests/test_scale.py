@@ -246,3 +246,23 @@ def test_faces_go_only_where_their_cluster_meets_another(spark, monkeypatch):
     own = spark.createDataFrame([(3 * n, 3 * n + 1, 1.0) for n in range(50)], "x long, y long, centroid double")
     assert {(r.x, r.y, r.link) for r in cluster.top_pair_mean(far, "c", 5, "video", own).collect()} == {(3 * n, 3 * n + 1, 1.0) for n in range(50)}
     assert dealt[-1] == 100
+
+
+def test_winning_scenes_are_read_for_their_own_queries_and_queries_go_out_once(spark, monkeypatch):
+    texts = [(s % 2, s, f"user click {s % 5} of {'purchase ' * (s % 3)}") for s in range(40)]
+    rows = spark.createDataFrame(texts, "video_id long, scene_index long, text string").withColumn("pos", F.lit(0).cast("long"))
+    asked = spark.createDataFrame([(f"{v}#{n}", v, "click user" if n % 2 else f"purchase click {n}") for v in (0, 1) for n in range(8)], "query_id string, video_id long, query string")
+    sent, out = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(1) or out(self, value))
+    hits, merged = [], search.merged
+    monkeypatch.setattr(search, "merged", lambda layers: hits.extend(rows.count() for rows in layers) or merged(layers))
+    layers = lambda tables, best: [search.transcript_hits(tables["transcripts"], asked, best)] * 2
+    found = search.best_scenes(layers, {"transcripts": rows}, 2, plain={"transcripts": rows})
+    low = {(v, s): t.lower() for v, s, t in texts}
+    share = lambda q, t: sum(w in t for w in q.split()) / len(q.split())
+    expected = set()
+    for q in asked.collect():
+        of = sorted(((-round(share(q["query"], t), 9), s) for (v, s), t in low.items() if v == q.video_id and share(q["query"], t)))[:2]
+        expected |= {(q.query_id, s, n + 1, -by) for n, (by, s) in enumerate(of)}
+    assert {(r.query_id, r.scene_index, r["rank"], round(r.score, 9)) for r in found.collect()} == expected
+    assert len(sent) == 1 and hits == [len(expected)] * 2
