@@ -266,3 +266,21 @@ def test_winning_scenes_are_read_for_their_own_queries_and_queries_go_out_once(s
         expected |= {(q.query_id, s, n + 1, -by) for n, (by, s) in enumerate(of)}
     assert {(r.query_id, r.scene_index, r["rank"], round(r.score, 9)) for r in found.collect()} == expected
     assert len(sent) == 1 and hits == [len(expected)] * 2
+
+
+def test_blocks_of_descriptions_are_dealt_in_rounds(spark, monkeypatch):
+    import random
+
+    from framelode.operators import cluster
+
+    for name, value in {"WORDS": 400, "ROUND": 1, "TIMES": 2}.items():
+        monkeypatch.setattr(cluster, name, value, raising=False)
+    rng = random.Random(8)
+    sets = {i: frozenset(rng.sample([f"{kind}{n}" for kind in "ab"[: 1 + i % 2] for n in range(9)], rng.randint(4, 9))) for i in range(120)}
+    rows = spark.createDataFrame([("s", i, len(w), sorted(w)) for i, w in sets.items()], "k string, id long, n int, words array<string>")
+    dealt, grouped = [], type(rows).groupBy
+    monkeypatch.setattr(type(rows), "groupBy", lambda self, *a: (dealt.append(self.count()) if a[-2:] == ("i", "j") else None) or grouped(self, *a))
+    found = {(r.a, r.b) for r in cluster.like_pairs(rows, "k", 0.5).collect()}
+    same = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.5}
+    assert {p for p in found if p in same} == same == found
+    assert len(dealt) > 2 and max(dealt) < sum(dealt) / 2
